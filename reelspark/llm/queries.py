@@ -3,16 +3,39 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
-
-from reelspark.llm import exact_dedup, near_dedup, packing, quality
+from reelspark.llm import chat, embedding_dedup, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality, sentencepiece_codec, token_files
 from reelspark.llm.common import table
 
 
+def op1_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("n_bytes", "locator")
 
 
+def op3_embedding_near_dedup(spark, sf_dir):
+    return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op4_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_chat_rotation(spark, sf_dir):
+    return chat.rotated_chats(table(spark, sf_dir, "conversations"))
+
+
+def op6_lm_scoring(spark, sf_dir):
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), good)
+
+
+def op7_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "byte", end_id=0).drop("ids")
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
@@ -26,7 +49,13 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.quality_scores(docs, quality.learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_minhash_near_dedup, op9_best_fit_packing, op10_quality_classifier)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_exact_dedup, op3_embedding_near_dedup, op4_sentencepiece, op5_chat_rotation,
+        op6_lm_scoring, op7_token_files, op8_minhash_near_dedup, op9_best_fit_packing, op10_quality_classifier,
+    )
+}
 
 ORACLE = {
     "op2_exact_dedup": """
