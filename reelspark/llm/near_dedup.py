@@ -20,6 +20,8 @@ from reelspark.llm.common import only_ids, stored
 from reelspark.llm.components import connected_components
 from reelspark.llm.shingles import mix, shingle_sets
 
+#: Bits of a set's parity sketch.
+SKETCH_BITS = 2048
 #: Texts are worked on in groups of about so many bytes.
 GROUP_BYTES = 4 << 20
 
@@ -33,15 +35,26 @@ def _grouped(ids: list, texts: list) -> Iterator[tuple[list, list[bytes]]]:
             at, size = i + 1, 0
 
 
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (mix(np.concatenate(sets) + np.uint64(0x27D4EB2F165667C5)) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    count = np.bincount(owner * SKETCH_BITS + bit, minlength=len(sets) * SKETCH_BITS)
+    return np.packbits((count & 1).astype(np.uint8).reshape(len(sets), SKETCH_BITS), axis=1).view(np.int64)
+
+
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return seeds[:n] | np.uint64(1), seeds[n:]
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, sig): the set's size, a 128-bit hash of the whole set, its minhashes."""
+    """(doc_id, n_shingles, h1, h2, sig, odd): the set's size, a 128-bit hash of the whole set, its minhashes and parity sketch.
+
+    In the parity sketch each shingle turns one bit over. The bits in which two sketches differ are never
+    more than the shingles that only one of the sets has.
+    """
     n_hashes = 2 * bands * rows
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, sig binary"
+    schema = "doc_id long, n_shingles long, h1 long, h2 long, sig binary, odd array<long>"
 
     def run(batches):
         mult, add = _factors(n_hashes)
@@ -59,9 +72,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
                         sig[full, k] = np.minimum.reduceat((every * mult[k] + add[k]) >> np.uint64(32), begin)
                     h[0, full] = np.add.reduceat(mix(every ^ np.uint64(0x5851F42D4C957F2D)), begin)
                     h[1, full] = np.bitwise_xor.reduceat(mix(every + np.uint64(0x14057B7EF767814F)), begin)
+                odd = np.concatenate([_parity(sets[i : i + 512]) for i in range(0, len(sets), 512)])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * odd.shape[1]), pa.array(odd.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "sig"],
+                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([s.tobytes() for s in sig], pa.binary()), lists],
+                    names=["doc_id", "n_shingles", "h1", "h2", "sig", "odd"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
@@ -87,17 +102,19 @@ def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def likely(a: str, b: str, percent: int, n_hashes: int):
-    """Condition on two rows' signatures and sizes: sizes allow the similarity, and enough minhashes agree.
+    """Condition on two rows' sizes, parity sketches and signatures.
 
-    The sizes' bound is exact. Agreement is 4 standard deviations below what is expected at the
-    threshold, which loses one such pair in 10,000.
+    The bounds of sizes and sketches are exact: at the threshold at most (100 - percent) / (100 + percent)
+    of both sizes together lie outside the intersection. Agreement of minhashes is 4 standard deviations
+    below what is expected at the threshold, which loses one such pair in 10,000.
     """
     s = percent / 100
     least = max(0, int(n_hashes * s - 4 * (n_hashes * s * (1 - s)) ** 0.5))
-    small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
+    n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    apart = sum(F.bit_count(F.get(f"{a}.odd", F.lit(k)).bitwiseXOR(F.get(f"{b}.odd", F.lit(k)))) for k in range(SKETCH_BITS // 64))
     ints = lambda t: [F.substring(f"{t}.sig", 4 * k + 1, 4) for k in range(n_hashes)]
     agree = sum((x == y).cast("int") for x, y in zip(ints(a), ints(b), strict=True))
-    return (small * 100 >= large * percent) & (agree >= least)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent)) & (agree >= least)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, name: str) -> DataFrame:
@@ -147,14 +164,14 @@ def near_groups(
     Equal sets are one class and need no pairs. Of each table bucket, first every member is paired with
     the smallest, and each class's most promising such pair is verified; this joins groups of many copies
     with one pair for each class. Then only buckets that still hold different components are looked at
-    again, and every pair of theirs across components whose signatures agree enough is verified. So no
-    candidate is given up, and a bucket of thousands of copies makes no quadratic number of pairs.
+    again, and every pair of theirs across components that sizes, parity sketches and signatures leave possible is
+    verified. So no candidate is given up, and a bucket of thousands of copies makes no quadratic number of pairs.
     """
     n_hashes = 2 * rows * bands
     sigs = stored(signatures(docs, id_col, text_col, size, rows, bands), "near-signatures")
     sets = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(sets.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "near-classes")
-    sig = classes.groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = stored(sets.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("odd").alias("odd")), "near-classes")
+    sig = classes.groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     sig = stored(sig, "near-reps")
 
     keys = tensored_keys(sig, rows, bands)
@@ -162,8 +179,8 @@ def near_groups(
     members = stored(keys.join(met, "key").select("key", "rep", "leader"), "near-members")
 
     def promising(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sig.select(F.col("rep").alias("a"), F.struct("n_shingles", "sig").alias("x")), "a")
-        x = x.join(sig.select(F.col("rep").alias("b"), F.struct("n_shingles", "sig").alias("y")), "b")
+        x = pairs.join(sig.select(F.col("rep").alias("a"), F.struct("n_shingles", "sig", "odd").alias("x")), "a")
+        x = x.join(sig.select(F.col("rep").alias("b"), F.struct("n_shingles", "sig", "odd").alias("y")), "b")
         return x.where(likely("x", "y", percent, n_hashes)).select(*pairs.columns)
 
     stars = members.where("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("tables"))
@@ -175,7 +192,7 @@ def near_groups(
     placed = stored(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = stored(mixed, "near-mixed")
-    rest = stored(placed.join(mixed, "key").join(sig, "rep").select("key", "rep", "component", "n_shingles", "sig"), "near-rest")
+    rest = stored(placed.join(mixed, "key").join(sig, "rep").select("key", "rep", "component", "n_shingles", "sig", "odd"), "near-rest")
     across = (
         rest.alias("x")
         .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & likely("x", "y", percent, n_hashes))
@@ -185,7 +202,7 @@ def near_groups(
     more = verified(stored(across, "near-across"), docs, id_col, text_col, size, percent, "near-second")
     whole = stored(connected_components(links.union(stored(more, "near-more")), "near-b"), "near-whole")
 
-    out = sigs.join(classes.drop("sig"), ["n_shingles", "h1", "h2"], "left")
+    out = sigs.drop("sig", "odd").join(classes.select("n_shingles", "h1", "h2", "rep"), ["n_shingles", "h1", "h2"], "left")
     out = out.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
