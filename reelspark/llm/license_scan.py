@@ -62,7 +62,10 @@ def license_scan(
         F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(lower_ascii(F.col(text_col)), F.lit(WORD), F.lit(0)).alias("words")
     )
     gram = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, GRAM)]))
-    grams = words.withColumn("n_words", F.size("words").cast("long")).select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), gram)).alias("at", "gram"))
+    # The hashes are a column of their own before they are spread out: a row of the join then only refers to
+    # its document's words, and nothing but the few words of a hit is ever copied.
+    grams = words.withColumns({"n_words": F.size("words").cast("long"), "grams": F.concat(F.array(F.lit(0).cast("long")), gram)})
+    grams = grams.select("doc_id", "row", "words", "n_words", F.posexplode("grams").alias("at", "gram"))
     span = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("t_words"))
     # A diagonal may begin before the text; its words are then moved along by as many empty places.
     shift = F.greatest(-F.col("diagonal"), F.lit(0))
@@ -71,10 +74,10 @@ def license_scan(
         grams.join(F.broadcast(t.union(mark)), "gram")
         .where("(at = 0) = (template = -1) and (at = 0 or at <= n_words - 2)")
         .withColumn("diagonal", F.col("at") - 1 - F.col("t_pos"))
-        .withColumn("span", F.when(F.col("at") > 0, span))
-        .withColumn("shift", shift)
-        .select("doc_id", "row", "n_words", "template", "label", "base", "diagonal", F.size("t_words").alias("size"), F.when(F.col("at") > 0, equal).otherwise(0).alias("agree"))
+        .select("doc_id", "row", "n_words", "template", "label", "base", "t_words", "diagonal", F.size("t_words").alias("size"), F.when(F.col("at") > 0, span).alias("span"))
         .repartition("row")
+        .withColumn("shift", shift)
+        .withColumn("agree", equal)
     )
     key = ["doc_id", "row", "n_words", "template", "label", "base", "size"]
     voted = hits.groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.max("agree").alias("agree"))
