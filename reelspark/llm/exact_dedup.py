@@ -40,7 +40,9 @@ def fold_stream(log: DataFrame, state_dir: str, partitions: int | None = None) -
         F.max("n_bytes").alias("n_bytes_high"),
     )
     changed = f"{state_dir}/changed"
-    keys = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+    # A store is closed as soon as its part of a batch is committed: each open one holds some 4 MB of disk.
+    store = "spark.sql.streaming.stateStore"
+    keys = {f"{store}.providerClass": PROVIDER, f"{store}.unloadOnCommit": "true", f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"}
     if partitions:
         keys["spark.sql.shuffle.partitions"] = str(partitions)
     before = {k: spark.conf.get(k, None) for k in keys}
