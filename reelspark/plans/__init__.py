@@ -1,4 +1,5 @@
 """Named queries over the driver's tables, and the SQL that states them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from reelspark.plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
