@@ -63,9 +63,10 @@ def license_scan(
     )
     gram = F.transform("words", lambda w, i: F.xxhash64(w, *[F.get("words", i + k) for k in range(1, GRAM)]))
     # The hashes are a column of their own before they are spread out: a row of the join then only refers to
-    # its document's words, and nothing but the few words of a hit is ever copied.
+    # its document's words, and nothing but the few words of a hit is ever copied. The array is never empty; the
+    # outer form keeps the optimizer from testing that with a second copy of the expression, words and all.
     grams = words.withColumns({"n_words": F.size("words").cast("long"), "grams": F.concat(F.array(F.lit(0).cast("long")), gram)})
-    grams = grams.select("doc_id", "row", "words", "n_words", F.posexplode("grams").alias("at", "gram"))
+    grams = grams.select("doc_id", "row", "words", "n_words", F.posexplode_outer("grams").alias("at", "gram"))
     span = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("t_words"))
     # A diagonal may begin before the text; its words are then moved along by as many empty places.
     shift = F.greatest(-F.col("diagonal"), F.lit(0))
