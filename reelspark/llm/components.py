@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     while True:
         both = edges.union(edges.select("b", "a"))
         parent = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up"))
-        roots = _roots(stored(parent, f"{name}-parents"), f"{name}-roots")
+        roots = _roots(parent, f"{name}-roots")
         if labels is None:
             labels = roots
         else:

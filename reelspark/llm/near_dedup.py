@@ -199,8 +199,16 @@ def near_groups(
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
-    more = verified(stored(across, "near-across"), docs, id_col, text_col, size, percent, "near-second")
-    whole = stored(connected_components(links.union(stored(more, "near-more")), "near-b"), "near-whole")
+    more = stored(verified(stored(across, "near-across"), docs, id_col, text_col, size, percent, "near-second"), "near-more")
+    whole = found
+    if not more.isEmpty():
+        # only the components that a late link joins are worked on again
+        first = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        late = more.join(first("a"), "a", "left").join(first("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+        joined = stored(connected_components(late, "near-b"), "near-joined")
+        of = joined.select(F.col("id").alias("component"), F.col("component").alias("low"))
+        whole = found.join(of, "component", "left").select("id", F.coalesce("low", "component").alias("component"))
+        whole = stored(whole.union(joined.join(found, "id", "left_anti")), "near-whole")
 
     out = sigs.drop("sig", "odd").join(classes.select("n_shingles", "h1", "h2", "rep"), ["n_shingles", "h1", "h2"], "left")
     out = out.join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
