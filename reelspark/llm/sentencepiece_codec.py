@@ -1,13 +1,18 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A model file's pieces and scores define the best segmentation: the one with the largest sum of piece
-scores. Words of equal length advance together; the hash of every substring is looked up among the sorted
-hashes of all pieces, and each position keeps the best way to reach it by a vectorised maximum.
+Words of equal length advance together; the hash of every substring is looked up among the sorted hashes
+of all pieces, and each position keeps a backpointer to the best way to reach it.
+
+The model files at hand are of the merging kind (BPE), whose ids are not those of the largest sum of
+scores. Every beginning of a merged text is itself merged, so the search is over pairs instead: a piece
+may follow another only if merging their joint text gives just these two. One way to each position is
+left, and it is the library's.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
 from collections import defaultdict
 from itertools import chain
@@ -27,9 +32,9 @@ CELLS = 1 << 20
 
 
 class Codec:
-    """Reads pieces, scores and byte pieces from a model file; the model must keep white space as it is (identity normalizer)."""
+    """Reads pieces, scores and byte pieces from a BPE model file that keeps white space as it is (identity normalizer)."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 700_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -39,19 +44,31 @@ class Codec:
         plain = [i for i in ids if not special[i]]
         self.byte_ids = {int(text[i][3:5], 16): i for i in ids if sp.is_byte(i)}
         self.unknown = sp.unk_id()
-        self.longest = max(len(text[i]) for i in plain)
-        keys = np.array([self._key(text[i]) for i in plain], dtype=np.uint64)
+        self.score = {text[i]: sp.get_score(i) for i in plain}
+        self.id_of = {text[i]: i for i in plain}
+        # Numbers in the order of creation: characters, then merged pieces by falling score. Pieces that merging never makes are left out.
+        self.parts: list[tuple[int, int]] = []
+        self.ids: list[int] = []
+        number: dict[str, int] = {}
+        for i in sorted((i for i in plain if SPACE * 2 not in text[i]), key=lambda i: (len(text[i]) > 1, -self.score[text[i]], i)):
+            made = self.merge(text[i])
+            if len(made) == 1:
+                number[text[i]] = len(self.ids)
+                self.ids.append(i)
+                self.parts.append(tuple(number[p] for p in made[0][1]) if len(text[i]) > 1 else (number[text[i]],) * 2)
+        self.number = number
+        self.text_of = list(number)
+        self.longest = max(map(len, number))
+        keys = np.array([self._key(t) for t in number], dtype=np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(plain, dtype=np.int64)[order]
-        if len(np.unique(self.keys)) != len(plain):
+        self.keys, self.of_key = keys[order], order
+        if len(np.unique(self.keys)) != len(keys):
             raise ValueError("two pieces have one hash")
-        self.scores = np.array([sp.get_score(i) for i in plain])[order]
-        #: A character that is no piece costs more than any piece, and is written as its bytes.
-        self.penalty = float(self.scores.min()) - 10.0
         self.bytes = [b"" if special[i] else text[i].encode() for i in ids]
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
         self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
         self.most = cache_words
         self.words = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
@@ -62,12 +79,68 @@ class Codec:
             h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
         return mix(np.array([h], dtype=np.uint64) + np.uint64(len(s)))[0]
 
+    def merge(self, word: str) -> list[tuple[str, tuple[str, str]]]:
+        """Pieces of one word by merging the best neighbours, leftmost first, each with the two that it was made of."""
+        piece, parts = list(word), [("", "")] * len(word)
+        after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
+        heap: list[tuple[float, int, str, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < len(piece) and (s := self.score.get(piece[i] + piece[j])) is not None:
+                heapq.heappush(heap, (-s, i, piece[i], piece[j]))
+
+        for i in range(len(word) - 1):
+            offer(i)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            if piece[i] != a or (j := after[i]) >= len(piece) or piece[j] != b:
+                continue
+            piece[i], parts[i], piece[j], after[i] = a + b, (a, b), "", after[j]
+            if after[j] < len(piece):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [(p, q) for p, q in zip(piece, parts, strict=True) if p]
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether merging the joint text of pieces a and b gives these two: no merge across them comes before those that made them."""
+        ca, cb = [a], [b]
+        # the pieces that stand at the seam, from the whole ones down to characters
+        while self.parts[ca[-1]][1] != ca[-1]:
+            ca.append(self.parts[ca[-1]][1])
+        while self.parts[cb[-1]][0] != cb[-1]:
+            cb.append(self.parts[cb[-1]][0])
+        i, j = len(ca) - 1, len(cb) - 1
+        while True:
+            across = self.number.get(self.text_of[ca[i]] + self.text_of[cb[j]])
+            next_a, next_b = ca[i - 1] if i else None, cb[j - 1] if j else None
+            # a merge across the seam wins a tie against one on its right, as it stands further left
+            if across is not None and (next_a is None or across < next_a) and (next_b is None or across <= next_b):
+                return False
+            if next_a is None and next_b is None:
+                return True
+            if next_b is None or (next_a is not None and next_a <= next_b):
+                i -= 1
+            else:
+                j -= 1
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair, back = np.unique(a * np.int64(len(self.ids)) + b, return_inverse=True)
+        out = np.zeros(len(pair), dtype=bool)
+        for k, p in enumerate(pair.tolist()):
+            ok = self.pairs.get(p)
+            if ok is None:
+                ok = self.pairs[p] = self.may_follow(*divmod(p, len(self.ids)))
+            out[k] = ok
+        return out[back]
+
     def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words of one length: of equal sums the one whose last piece is the longest."""
+        """Ids of words of one length."""
         m, n = len(words), len(words[0])
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
         most = min(n, self.longest)
-        score = np.full((m, n, most), -np.inf)
         piece = np.full((m, n, most), -1, dtype=np.int64)
         h = np.zeros((m, n), dtype=np.uint64)
         for size in range(1, most + 1):
@@ -75,42 +148,51 @@ class Codec:
             h = h[:, : n - size + 1] * _BASE + code[:, size - 1 :]
             key = mix(h + np.uint64(size))
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            # longest first, so that the first maximum is the longest last piece
-            score[:, size - 1 :, most - size] = np.where(hit, self.scores[at], -np.inf)
-            piece[:, size - 1 :, most - size] = np.where(hit, self.ids[at], -1)
-        lone = piece[:, :, most - 1] < 0
-        score[:, :, most - 1][lone] = self.penalty
-        best = np.full((m, n + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((m, n + 1), dtype=np.int64)
-        row = np.arange(m)
+            piece[:, size - 1 :, size - 1] = np.where(self.keys[at] == key, self.of_key[at], -1)
+        # -2: nothing before, -1: a character that is no piece; neither ever merges with what follows
+        last = np.full((m, n + 1), -2, dtype=np.int64)
+        back = np.ones((m, n + 1), dtype=np.int64)
         for end in range(1, n + 1):
             few = min(end, most)
-            total = score[:, end - 1, most - few :] + best[:, end - few : end]
-            pick = total.argmax(axis=1)
-            best[:, end] = total[row, pick]
-            back[:, end] = few - pick
+            now = piece[:, end - 1, :few]
+            prior = last[:, end - few : end][:, ::-1]
+            reach = now >= 0
+            ask = reach & (prior >= 0)
+            reach[ask] = self._fit(prior[ask], now[ask])
+            size = reach.argmax(axis=1)
+            row = np.arange(m)
+            some = reach[row, size]
+            back[:, end] = np.where(some, size + 1, 1)
+            last[:, end] = np.where(some, now[row, size], -1)
         out = []
         for i, word in enumerate(words):
             ids, end = [], n
             while end:
-                size = int(back[i, end])
-                p = int(piece[i, end - 1, most - size])
-                ids.append([p] if p >= 0 else [self.byte_ids.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace")])
-                end -= size
+                p = int(last[i, end])
+                ids.append([self.ids[p]] if p >= 0 else [self.byte_ids.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace")])
+                end -= int(back[i, end])
             out.append(tuple(chain.from_iterable(reversed(ids))))
         return out
 
+    def spaced(self, word: str) -> tuple[int, ...]:
+        """Ids of a word with several spaces in a row: their pieces share one score, so that place alone decides."""
+        made = [p for p, _ in self.merge(word)]
+        return tuple(chain.from_iterable([self.id_of[p]] if p in self.id_of else [self.byte_ids.get(b, self.unknown) for b in p.encode("utf-8", "replace")] for p in made))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a text begins with a space of its own unless it is empty."""
         cut = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
+        if len(self.pairs) > 4 * self.most:
+            self.pairs.clear()
         by_length: dict[int, list[str]] = defaultdict(list)
         for w in dict.fromkeys(chain.from_iterable(cut)):
             if w not in self.known:
-                by_length[len(w)].append(w)
+                if SPACE * 2 in w:
+                    self.known[w] = self.spaced(w)
+                else:
+                    by_length[len(w)].append(w)
         for n, words in by_length.items():
             step = max(1, CELLS // (n * min(n, self.longest)))
             for at in range(0, len(words), step):
@@ -167,13 +249,13 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             c = codec(path)
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 256):
-                part = texts[at : at + 256]
+            for at in range(0, len(texts), 1024):
+                part = texts[at : at + 1024]
                 ids = c.encode(part)
                 back = [c.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[at : at + 256], pa.int64()),
+                        pa.array(keys[at : at + 1024], pa.int64()),
                         pa.array([len(x) for x in ids], pa.int64()),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back]),
