@@ -25,12 +25,20 @@ def usable(vec: str = "embedding"):
     return F.col(vec).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def fit_pivots(classes: DataFrame, n_pivots: int) -> np.ndarray:
-    """Unit pivots from a bounded sample: the distinct vectors with the smallest hashes, `n_pivots` at most."""
-    got = classes.select("vec").where(F.size("vec") > 0).orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()
+def fit_pivots(classes: DataFrame, n_pivots: int, sample: int = 8, apart: float = 0.7) -> np.ndarray:
+    """Unit pivots from a bounded sample: the `sample * n_pivots` distinct vectors with the smallest hashes.
+
+    Of these, one after the other is taken, up to `n_pivots`, unless its cosine with a pivot is `apart` or
+    more: a large group of near copies gives one pivot, whose place in a vector's order noise can't change.
+    """
+    got = classes.select("vec").where(F.size("vec") > 0).orderBy(F.xxhash64("vec"), "vec").limit(sample * n_pivots).collect()
     width = max((len(r["vec"]) for r in got), default=0)
     x = np.array([r["vec"] for r in got if len(r["vec"]) == width], dtype=np.float64)
-    return _unit(x) if len(x) else np.zeros((0, width))
+    pivots = np.zeros((0, width))
+    for v in _unit(x) if len(x) else x:
+        if len(pivots) < n_pivots and (pivots @ v < apart).all():
+            pivots = np.vstack([pivots, v])
+    return pivots
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
