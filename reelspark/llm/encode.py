@@ -9,8 +9,8 @@ through the library. The ids are the library's in either case.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
-from itertools import chain
 
 import numpy as np
 import regex
@@ -19,14 +19,14 @@ import regex
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Latin letters, signs and the usual quotes; others go to the library. NEL and the file separators are left out as well.
-PLAIN = regex.compile("[\t\n\r\x20-\x7e\xa0-\xac\xae-ɏ‐-‧‰-⁞₠-₿]*")
+#: Any character but Latin letters, signs and the usual quotes; such texts go to the library. NEL and the file separators are left out as well.
+OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-ɏ‐-‧‰-⁞₠-₿]")
 
 
 class Encoder:
     """kind: "byte" (byte-level pieces as they are) or "word" (NFC, lower case, white space dropped)."""
 
-    def __init__(self, path: str, kind: str, cache_pieces: int = 400_000):
+    def __init__(self, path: str, kind: str, cache_pieces: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -34,26 +34,54 @@ class Encoder:
         self.kind, self.most = kind, cache_pieces
         self.find = regex.compile(BYTE_PIECES if kind == "byte" else WORD_PIECES).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.ids: dict[str, tuple[int, ...]] = {}
+        #: Ids of each piece as little-endian 32-bit integers.
+        self.ids: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        #: Bytes of text that each id stands for: one for each character of its byte-level name.
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for name, i in vocabulary.items():
+            self.width[i] = len(name.removesuffix("</w>") if kind == "word" else name)
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, pieces: set[str]) -> None:
+        """Encode pieces that are not known yet: many in one text where they can be told apart again by their bytes."""
+        joint = [p for p in pieces if self.kind == "word" or (p[0] == " " and len(p) > 1 and p[1] != " ")]
+        alone = list(pieces.difference(joint))
+        for at in range(0, len(joint), 2000):
+            part = joint[at : at + 2000]
+            ids = self.whole((" " if self.kind == "word" else "").join(part))
+            ends = np.cumsum([len(p.encode()) for p in part])
+            place = np.concatenate(([0], np.cumsum(self.width[ids])))
+            cut = np.searchsorted(place, ends)
+            if place[-1] != ends[-1] or (place[cut] != ends).any():
+                alone += part
+                continue
+            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
+            self.ids.update(zip(part, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
+        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            self.ids[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without special tokens of its own."""
+        cut: list[list[str] | None] = []
+        for t in texts:
+            if OTHER.search(t) or any(s in t for s in self.special):
+                cut.append(None)
+            else:
+                cut.append(self.find(unicodedata.normalize("NFC", t).lower() if self.kind == "word" else t))
+        new = set().union(*(c for c in cut if c)).difference(self.ids)
+        if new:
+            if len(self.ids) + len(new) > self.most:
+                self.ids.clear()
+                new = set().union(*(c for c in cut if c))
+            self.learn(new)
+        get = self.ids.__getitem__
+        return [self.whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
-        if PLAIN.fullmatch(text) is None or any(s in text for s in self.special):
-            return self.whole(text)
-        if self.kind == "word":
-            text = unicodedata.normalize("NFC", text).lower()
-        pieces, known = self.find(text), self.ids
-        try:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), dtype=np.uint32)
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in known]
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), dtype=np.uint32)
+        return self.encode_all([text])[0]
 
 
 _kept: dict[tuple[str, str], Encoder] = {}

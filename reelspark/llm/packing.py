@@ -73,10 +73,11 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col
 
     def run(batches):
         enc = encoder(path, kind)
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             out: list[tuple] = []
-            for doc, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = np.append(enc.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            docs, rows, texts = (c.to_pylist() for c in batch.columns)
+            for doc, row, x in zip(docs, rows, enc.encode_all([t or "" for t in texts]), strict=True):
+                ids = np.append(x, np.uint32(end_id)).astype("<u4")
                 out += [(doc, row, k, a, len(p := ids[a : a + size]), zlib.crc32(p.tobytes())) for k, a in enumerate(range(0, len(ids), size))]
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
@@ -96,10 +97,10 @@ def packed(cut: DataFrame, size: int, group_rows: int = 50_000) -> DataFrame:
     n = max(1, -(-cut.count() // group_rows))
 
     def run(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        got = got.sort_by([(c, "ascending") for c in ("length", "doc_id", "row", "piece")])
+        got = pa.Table.from_batches(got).sort_by([(c, "ascending") for c in ("length", "doc_id", "row", "piece")])
         bins, offsets = best_fit(got["length"].to_numpy(), size)
         part = got["part"].to_numpy().astype(np.int64)
         got = got.drop_columns(["part"]).append_column("sequence_id", pa.array((part << 40) + bins)).append_column("offset", pa.array(offsets))

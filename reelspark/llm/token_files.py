@@ -91,9 +91,10 @@ def write_token_files(
             types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["part", "page", "before", "docs", "counts", "ids"])
 
-        for batch in batches:
-            for doc, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.append((doc, np.append(enc.encode(text or ""), np.uint32(end_id))))
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            docs, parts, texts = (c.to_pylist() for c in batch.columns)
+            for doc, part, x in zip(docs, parts, enc.encode_all([t or "" for t in texts]), strict=True):
+                held.append((doc, np.append(x, np.uint32(end_id))))
                 tokens += len(held[-1][1])
                 if tokens >= page_tokens:
                     yield flush()
