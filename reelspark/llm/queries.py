@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from reelspark.llm import chat, embedding_dedup, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality, sentencepiece_codec, token_files
+from reelspark.llm import chat, embedding_dedup, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality, sentencepiece_codec, sql, token_files
 from reelspark.llm.common import table
 
 
@@ -57,9 +57,11 @@ QUERIES = {
     )
 }
 
+#: The others have tests against brute force: tokenizers and learned models can't be stated in SQL.
 ORACLE = {
-    "op2_exact_dedup": """
-with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as s from documents)
-select doc_id, max(doc_id) over (partition by s) as keep_id, count(*) over (partition by s) as group_size,
- doc_id = max(doc_id) over (partition by s) as kept, s as text_sha256 from d""",
+    "op1_license_scan": sql.LICENSES,
+    "op2_exact_dedup": sql.EXACT,
+    "op3_embedding_near_dedup": sql.EMBEDDINGS,
+    "op5_chat_rotation": sql.CHATS,
+    "op8_minhash_near_dedup": sql.NEAR,
 }
