@@ -1,9 +1,10 @@
-"""Token ids by a public tokenizer file, with a cache of the pieces that texts share.
+"""Token ids by a public tokenizer file, with a cache of the words that texts share.
 
-Both tokenizers cut a text into pieces before they merge bytes, and never merge across pieces. So each
-distinct piece is encoded once by the tokenizers library and looked up after that. Texts that hold a
-special token's string, or characters for which Python's rules and the library's may differ, go whole
-through the library. The ids are the library's in either case.
+Both tokenizers cut a text into pieces before they merge bytes, and never merge across pieces; and no piece
+reaches from a word into the space after it. So each distinct word, with what sticks to it, is encoded once
+by the tokenizers library and looked up after that. Texts that hold a special token's string, or
+characters for which Python's rules and the library's may differ, go whole through the library, and texts
+with runs of white space that a cut at a space would part go piece by piece. The ids are the library's.
 """
 
 from __future__ import annotations
@@ -15,27 +16,33 @@ import unicodedata
 import numpy as np
 import regex
 
-#: The piece patterns as the tokenizer files and their library state them (fixed values).
+#: The piece pattern of byte-level tokenizers as the library states it (a fixed value).
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: Any character but Latin letters, signs and the usual quotes; such texts go to the library. NEL and the file separators are left out as well.
 OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-ɏ‐-‧‰-⁞₠-₿]")
+#: A space within a run of white space, or at its end where a text ends.
+RUN = re.compile("[\t\n\r\xa0 ] (?:[\t\n\r\xa0 ]|\\Z)")
+BLANK = "\t\n\r\xa0 "
 
 
 class Encoder:
     """kind: "byte" (byte-level pieces as they are) or "word" (NFC, lower case, white space dropped)."""
 
-    def __init__(self, path: str, kind: str, cache_pieces: int = 800_000):
+    def __init__(self, path: str, kind: str, cache_pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.kind, self.most = kind, cache_pieces
-        self.find = regex.compile(BYTE_PIECES if kind == "byte" else WORD_PIECES).findall
+        self.pieces = regex.compile(BYTE_PIECES).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids of each piece as little-endian 32-bit integers.
-        self.ids: dict[str, bytes] = {}
+        #: Ids of each word as little-endian 32-bit integers; of kind "byte", of the word with a space before it.
+        self.words: dict[str, bytes] = {}
+        #: Kind "byte": ids of pieces and of texts' first words, as they are.
+        self.bare: dict[str, bytes] = {}
+        #: The two tables as they were when they were cleared last.
+        self.old: list[dict[str, bytes]] = [{}, {}]
         vocabulary = self.library.get_vocab()
         #: Bytes of text that each id stands for: one for each character of its byte-level name.
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -45,40 +52,54 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that are not known yet: many in one text where they can be told apart again by their bytes."""
-        joint = [p for p in pieces if self.kind == "word" or (p[0] == " " and len(p) > 1 and p[1] != " ")]
-        alone = list(pieces.difference(joint))
+    def each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: many in one text where they can be told apart again by their bytes, others by themselves."""
+        space = "" if self.kind == "word" else " "
+        alone = [w for w in words if not w or (space and (w[0] in BLANK or w[-1] in BLANK))]
+        joint = [w for w in words if w and not (space and (w[0] in BLANK or w[-1] in BLANK))]
         for at in range(0, len(joint), 2000):
             part = joint[at : at + 2000]
-            ids = self.whole((" " if self.kind == "word" else "").join(part))
-            ends = np.cumsum([len(p.encode()) for p in part])
+            ids = self.whole(space + " ".join(part))
+            ends = np.cumsum([len(w.encode()) + len(space) for w in part])
             place = np.concatenate(([0], np.cumsum(self.width[ids])))
-            cut = np.searchsorted(place, ends)
+            cut = np.minimum(np.searchsorted(place, ends), len(place) - 1)
             if place[-1] != ends[-1] or (place[cut] != ends).any():
                 alone += part
                 continue
             raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
-            self.ids.update(zip(part, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        for p, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, dtype="<u4").tobytes()
+            self.words.update(zip(part, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
+        self.words.update(zip(alone, self.each([space + w for w in alone]), strict=True))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without special tokens of its own."""
-        cut: list[list[str] | None] = []
+        cut: list[tuple[list[str], list[str]] | None] = []
         for t in texts:
             if OTHER.search(t) or any(s in t for s in self.special):
                 cut.append(None)
+            elif self.kind == "word":
+                cut.append(([], unicodedata.normalize("NFC", t).lower().split()))
+            elif RUN.search(t):
+                cut.append((self.pieces(t), []))
             else:
-                cut.append(self.find(unicodedata.normalize("NFC", t).lower() if self.kind == "word" else t))
-        new = set().union(*(c for c in cut if c)).difference(self.ids)
-        if new:
-            if len(self.ids) + len(new) > self.most:
-                self.ids.clear()
-                new = set().union(*(c for c in cut if c))
-            self.learn(new)
-        get = self.ids.__getitem__
-        return [self.whole(t) if c is None else np.frombuffer(b"".join(map(get, c)), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
+                words = t.split(" ")
+                cut.append((words[:1] if words[0] else [], words[1:]))
+        for known, k, learn in ((self.bare, 0, lambda new: self.bare.update(zip(new, self.each(new), strict=True))), (self.words, 1, self.learn)):
+            every = set().union(*(c[k] for c in cut if c))
+            new = every.difference(known)
+            if new:
+                if len(known) + len(new) > self.most:
+                    self.old[k] = dict(known)
+                    known.clear()
+                    new = every
+                # what was known before the last clearing comes back without the library
+                again = {w: self.old[k][w] for w in new if w in self.old[k]}
+                known.update(again)
+                learn(list(new.difference(again)))
+        bare, words = self.bare.__getitem__, self.words.__getitem__
+        return [self.whole(t) if c is None else np.frombuffer(b"".join([*map(bare, c[0]), *map(words, c[1])]), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
