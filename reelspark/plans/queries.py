@@ -528,10 +528,25 @@ def appearance_scores(spark, sf_dir):
     return reid.score_matrix(c, g).select("frame", "cand_idx", "track_id", F.round("score", 6).alias("score"))
 
 
-@query()
+GREEDY = {
+    "sc": "select frame, cand_idx, track_id, 0.5 * cosine + 0.5 * hist as score from scores",
+    "ranked": "select *, row_number() over (partition by frame order by score desc, track_id, cand_idx) as k from sc where score > 0.5",
+    "run": """select distinct frame, cast(0 as bigint) as k, cast([] as integer[]) as g, cast([] as bigint[]) as c from ranked
+ union all select r.frame, x.k, case when list_contains(r.g, x.track_id) or list_contains(r.c, x.cand_idx) then r.g else list_append(r.g, x.track_id) end,
+ case when list_contains(r.g, x.track_id) or list_contains(r.c, x.cand_idx) then r.c else list_append(r.c, x.cand_idx) end from run r join ranked x on x.frame = r.frame and x.k = r.k + 1""",
+    "took": "select frame, unnest(g) as track_id, unnest(c) as cand_idx from (select frame, arg_max(g, k) as g, arg_max(c, k) as c from run group by frame)",
+}
+
+
+@query(
+    """select 0 as video_id, a.frame, a.cand_idx, coalesce(t.track_id, -1) as track_id, coalesce(round(sc.score, 6), 0.0) as score from (select distinct frame, cand_idx from sc) a
+ left join took t on t.frame = a.frame and t.cand_idx = a.cand_idx left join sc on sc.frame = a.frame and sc.cand_idx = a.cand_idx and sc.track_id = t.track_id""",
+    **LOOKS,
+    **GREEDY,
+)
 def greedy_assign(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    return reid.greedy_assign(reid.score_matrix(c, g), c, 0.5)
+    return reid.greedy_assign(reid.score_matrix(c, g), c, 0.5).withColumn("score", F.round("score", 6))
 
 
 @query(

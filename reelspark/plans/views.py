@@ -64,4 +64,4 @@ def with_views(select: str, **more: str) -> str:
             parts.append((n, VIEWS[n]))
             text += VIEWS[n]
     parts = parts[::-1] + [(n, q) for n, q in more.items()]
-    return "with " + ",\n".join(f"{n} as ({q})" for n, q in parts) + "\n" + select if parts else select
+    return "with recursive " + ",\n".join(f"{n} as ({q})" for n, q in parts) + "\n" + select if parts else select
