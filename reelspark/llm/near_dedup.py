@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
 
 
 def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(key, rep): for each class bands^2 table keys, each from one band of either collection."""
+    """(key, place, rep): for each class bands^2 table keys, each from one band of either collection; place is the table."""
 
     def run(batches):
         for batch in batches:
@@ -96,9 +96,9 @@ def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
                     band = mix(band * np.uint64(0xC2B2AE3D27D4EB4F) + sig[:, :, :, r])
                 place = np.arange(bands * bands, dtype=np.uint64).reshape(1, bands, bands)
                 key = mix(mix(band[:, 0, :, None] + place) + band[:, 1, None, :] * np.uint64(0x9E3779B97F4A7C15))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(part, bands * bands))], names=["key", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(place.reshape(-1).astype(np.int32), len(part))), pa.array(np.repeat(part, bands * bands))], names=["key", "place", "rep"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("rep", "sig").mapInArrow(run, "key long, place int, rep long")
 
 
 def likely(a: str, b: str, percent: int, n_hashes: int):
@@ -117,6 +117,13 @@ def likely(a: str, b: str, percent: int, n_hashes: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent)) & (agree >= least)
 
 
+def first_met(a: str, b: str, rows: int, bands: int):
+    """Condition: this table, of all in which two rows meet, is the first, so that a pair is made once and not in each of them."""
+    band = lambda t, c, k: F.substring(f"{t}.sig", 4 * rows * (c * bands + k) + 1, 4 * rows)
+    first = lambda c: F.coalesce(*[F.when(band(a, c, k) == band(b, c, k), F.lit(k)) for k in range(bands)])
+    return F.col(f"{a}.place") == first(0) * bands + first(1)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
 
@@ -176,7 +183,7 @@ def near_groups(
 
     keys = tensored_keys(sig, rows, bands)
     met = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("leader")).where("n > 1").select("key", "leader"), "near-buckets")
-    members = stored(keys.join(met, "key").select("key", "rep", "leader"), "near-members")
+    members = stored(keys.join(met, "key").select("key", "place", "rep", "leader"), "near-members")
 
     def promising(pairs: DataFrame) -> DataFrame:
         x = pairs.join(sig.select(F.col("rep").alias("a"), F.struct("n_shingles", "sig", "odd").alias("x")), "a")
@@ -188,14 +195,14 @@ def near_groups(
     links = stored(verified(stored(best, "near-best"), docs, id_col, text_col, size, percent, "near-first"), "near-links")
     found = stored(connected_components(links, "near-a"), "near-found")
 
-    placed = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "place", "rep", F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "near-placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     mixed = stored(mixed, "near-mixed")
-    rest = stored(placed.join(mixed, "key").join(sig, "rep").select("key", "rep", "component", "n_shingles", "sig", "odd"), "near-rest")
+    rest = stored(placed.join(mixed, "key").join(sig, "rep").select("key", "place", "rep", "component", "n_shingles", "sig", "odd"), "near-rest")
     across = (
         rest.alias("x")
-        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & likely("x", "y", percent, n_hashes))
+        .join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") > F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & first_met("x", "y", rows, bands) & likely("x", "y", percent, n_hashes))
         .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
         .distinct()
     )
