@@ -122,7 +122,7 @@ def write_token_files(
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
     counts = plain.select("counts", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    ranked = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])["id"].to_numpy(dtype=np.int64)
+    ranked = counts.toArrow().sort_by([("n", "descending"), ("id", "ascending")])["id"].to_numpy()
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ranked)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
