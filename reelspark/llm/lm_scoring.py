@@ -4,64 +4,155 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import BROADCAST_ROWS, stored
+from reelspark.llm.common import BROADCAST_ROWS, shared_dir, stored
 from reelspark.llm.near_dedup import _grouped
 from reelspark.llm.shingles import mix, word_hashes
 
-#: Slots of the shared vocabulary: words and word pairs are told apart by a hash. The tables' size is fixed by these.
-WORD_SLOTS, PAIR_SLOTS = 1 << 17, 1 << 20
-START = np.uint64(0x243F6A8885A308D3)
+#: The smoothing counts so many words in the vocabulary at least; where the texts have more, as many as they have.
+WORD_SLOTS = 1 << 17
+#: Tokens of a chunk (and its last texts), tokens for a block of keys, and blocks at least. They change no result.
+CHUNK_TOKENS, BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 1 << 20, 128
+#: A key's lowest bit is 0 for a word and 1 for a pair. The start mark has a key of its own.
+PAIR = np.uint64(1)
+START = np.uint64(0x243F6A8885A308D2)
 
+CHUNKS = "chunk long, ids array<long>, cut binary, flags binary, token binary, words binary, n_target long, n_background long"
+#: A row of chunks is of some MB; unless told, Parquet looks at sizes every 100 rows only.
+LARGE_ROWS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
 
-def slots(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first token of each text and one past the last, word slot, slot of the word before, pair slot) of all tokens.
 
-    Tokens are runs of bytes other than white space after A-Z are lower-cased; each text begins after a
-    start mark, which has a word slot of its own past the others.
+def _packed(a: np.ndarray) -> bytes:
+    """The width and then the bytes of whole numbers by place, in as few as hold the largest."""
+    k = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([k]) + a.astype("<u8").view(np.uint8).reshape(len(a), 8).T[:k].tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    places = np.frombuffer(b, dtype=np.uint8, offset=1).reshape(b[0], -1)
+    out = np.zeros((places.shape[1], 8), dtype=np.uint8)
+    out[:, : b[0]] = places.T
+    return out.view("<u8").reshape(-1).astype(np.int64)
+
+
+def _packed_keys(keys: np.ndarray) -> bytes:
+    return _packed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(b).view(np.uint64), dtype=np.uint64)
+
+
+def keyed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of tokens of each text, word key of each token).
+
+    Tokens are runs of bytes other than white space after A-Z are lower-cased.
     """
     words, start = word_hashes(b"\n".join(texts).lower())
     cut = np.searchsorted(start, np.cumsum([0] + [len(t) + 1 for t in texts]))
-    before = np.concatenate(([START], words[:-1])) if len(words) else words
-    first = cut[:-1][cut[:-1] < cut[1:]]
-    before[first] = START
-    own = (words % np.uint64(WORD_SLOTS)).astype(np.int64)
-    prior = (before % np.uint64(WORD_SLOTS)).astype(np.int64)
-    prior[first] = WORD_SLOTS
-    pair = (mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + words) % np.uint64(PAIR_SLOTS)).astype(np.int64)
-    return cut, own, prior, pair
-
-
-def model_counts(rows: DataFrame) -> DataFrame:
-    """(slot, target, background): word slots, then the start mark's, then pair slots; counts over all texts of `rows` (text, target)."""
+    return np.diff(cut), words & ~PAIR
+
+
+def _chunk(number: int, ids: list, flags: list, parts: list) -> dict:
+    """One row of CHUNKS: its words' keys, each once and in order, and its texts as numbers of words."""
+    n, own = (np.concatenate([p[k] for p in parts]) for k in range(2))
+    words, token = np.unique(np.concatenate(([START], own)), return_inverse=True)
+    return {
+        "chunk": number,
+        "ids": ids,
+        "cut": np.concatenate(([0], np.cumsum(n))).astype(np.int64).tobytes(),
+        "flags": bytes(flags),
+        "token": _packed(token[1:]),
+        "words": _packed_keys(words),
+        "n_target": int(n[np.array(flags, dtype=bool)].sum()),
+        "n_background": int(n.sum()),
+    }
+
+
+def _pairs(row: dict) -> tuple[np.ndarray, ...]:
+    """(cut, token, its pair, the pairs' own words and words before, keys of words and then pairs, order of the keys) of a chunk."""
+    cut, token, words = np.frombuffer(row["cut"], dtype=np.int64), _unpacked(row["token"]), _unpacked_keys(row["words"])
+    start = np.searchsorted(words, START)
+    before = np.concatenate(([start], token[:-1])) if len(token) else token.copy()
+    before[cut[:-1][cut[:-1] < cut[1:]]] = start
+    codes, pair = np.unique(before * len(words) + token, return_inverse=True)
+    prior, own = codes // len(words), codes % len(words)
+    keys = np.concatenate((words, mix(words[prior] * np.uint64(0xC2B2AE3D27D4EB4F) + words[own]) | PAIR))
+    return cut, token, pair, own, prior, keys, np.argsort(keys, kind="stable")
+
+
+def chunks_of(rows: DataFrame) -> DataFrame:
+    """The texts of `rows` (doc_id, text, target) in chunks of about a million tokens, stored."""
+    spark, most = rows.sparkSession, CHUNK_TOKENS
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "binary": pa.binary()}.get(c.split()[1], pa.list_(pa.int64()))) for c in CHUNKS.split(", ")])
 
     def run(batches):
-        total = np.zeros((2, WORD_SLOTS + 1 + PAIR_SLOTS), dtype=np.int64)
+        number, ids, flags, parts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
+        for batch in batches:
+            marks = batch.column(2).to_pylist()
+            for some, texts in _grouped(list(zip(batch.column(0).to_pylist(), marks, strict=True)), batch.column(1).cast(pa.binary()).to_pylist(), 4 * most):
+                parts.append(keyed(texts))
+                ids += [i for i, _ in some]
+                flags += [f for _, f in some]
+                size += len(parts[-1][1])
+                if size >= most:
+                    yield pa.RecordBatch.from_pylist([_chunk(number, ids, flags, parts)], schema)
+                    number, ids, flags, parts, size = number + 1, [], [], [], 0
+        if parts:
+            yield pa.RecordBatch.from_pylist([_chunk(number, ids, flags, parts)], schema)
+
+    path = shared_dir(spark, "lm-chunks")
+    got = rows.select("doc_id", "text", "target").mapInArrow(run, CHUNKS)
+    got.write.options(**LARGE_ROWS).parquet(path)
+    return spark.read.schema(got.schema).parquet(path)
+
+
+def model_counts(chunks: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, target, background, n_words): for each chunk's keys in order, block by block, their counts over all chunks, stored.
+
+    Keys are dealt to `blocks` ranges; a chunk sends each key once, however often it has it. n_words sums up to
+    the number of different words.
+    """
+
+    def deal(batches):
         for batch in batches:
-            for flags, texts in _grouped(batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist()):
-                cut, own, _, pair = slots(texts)
-                token = np.repeat(np.array(flags, dtype=bool), np.diff(cut))
-                starts = np.array([np.count_nonzero(np.diff(cut) > 0), np.count_nonzero((np.diff(cut) > 0) & np.array(flags, dtype=bool))])
-                for row, pick, n in ((0, slice(None), starts[0]), (1, token, starts[1])):
-                    total[row, :WORD_SLOTS] += np.bincount(own[pick], minlength=WORD_SLOTS)
-                    total[row, WORD_SLOTS] += n
-                    total[row, WORD_SLOTS + 1 :] += np.bincount(pair[pick], minlength=PAIR_SLOTS)
-        used = np.flatnonzero(total[0])
-        for at in range(0, len(used), 1 << 16):
-            s = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(total[1, s]), pa.array(total[0, s])], names=["slot", "target", "background"])
-
-    counts = rows.select("text", "target").mapInArrow(run, "slot int, target long, background long")
-    return counts.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def token_losses(count: np.ndarray, own: np.ndarray, prior: np.ndarray, pair: np.ndarray, weight: float) -> np.ndarray:
-    """Bits of each token under one model: weight * pair / word before + (1 - weight) * (word + 1) / (all + slots)."""
-    n = count[:WORD_SLOTS].sum()
-    single = (count[own] + 1.0) / (n + WORD_SLOTS)
-    double = np.minimum(1.0, count[WORD_SLOTS + 1 + pair] / np.maximum(1, count[prior]))
+            for row in batch.to_pylist():
+                cut, token, pair, own, prior, keys, order = _pairs(row)
+                keys, n, in_target = keys[order], np.diff(cut), np.frombuffer(row["flags"], dtype=bool)
+                n_words, counts = len(keys) - len(own), []
+                for texts in (in_target, np.ones(len(n), dtype=bool)):
+                    picked = np.repeat(texts, n)
+                    count = np.bincount(token[picked], minlength=n_words)
+                    count[np.searchsorted(_unpacked_keys(row["words"]), START)] = np.count_nonzero(texts & (n > 0))
+                    counts.append(np.concatenate((count, np.bincount(pair[picked], minlength=len(own))))[order])
+                some, first = np.unique(((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), return_index=True)
+                slices = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
+                sliced = [pa.array([f(x[at]) for at in slices], pa.binary()) for f, x in ((_packed_keys, keys), (_packed, counts[0]), (_packed, counts[1]))]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([row["chunk"]] * len(some), pa.int64()), *sliced], names=["block", "chunk", "keys", "target", "background"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        keys = [_unpacked_keys(x) for x in rows["keys"].to_pylist()]
+        cut = np.cumsum([len(x) for x in keys])[:-1]
+        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        out = []
+        for c in ("target", "background"):
+            summed = np.bincount(inverse, weights=np.concatenate([_unpacked(x) for x in rows[c].to_pylist()])).astype(np.int64)
+            out.append(pa.array([_packed(x) for x in np.split(summed[inverse], cut)], pa.binary()))
+        words = np.zeros(len(keys), dtype=np.int64)
+        words[0] = np.count_nonzero((every & PAIR == 0) & (every != START))
+        return pa.table([rows["chunk"], rows["block"], *out, pa.array(words)], names=["chunk", "block", "target", "background", "n_words"])
+
+    dealt = chunks.mapInArrow(deal, "block long, chunk long, keys binary, target binary, background binary")
+    return stored(dealt.groupBy("block").applyInArrow(count, "chunk long, block long, target binary, background binary, n_words long"), "lm-counts")
+
+
+def pair_losses(count: np.ndarray, own: np.ndarray, prior: np.ndarray, pair: np.ndarray, total: int, words: int, weight: float) -> np.ndarray:
+    """Bits of a token of each pair under one model: weight * pair / word before + (1 - weight) * (word + 1) / (all + words)."""
+    single = (count[own] + 1.0) / (total + words)
+    double = np.minimum(1.0, count[pair] / np.maximum(1, count[prior]))
     return -np.log2(weight * double + (1 - weight) * single)
 
 
@@ -71,41 +162,45 @@ def score_documents(
     """doc_id, n_tokens, target_bits, background_bits, score per row; the lower the score, the closer to the target.
 
     The target model counts the documents in `target_ids` (a table with `id_col`) or those for which
-    `target` holds; the background model counts all. Both share tokens, vocabulary slots and smoothing, and
+    `target` holds; the background model counts all. Both share tokens, vocabulary and smoothing, and
     count every text as a whole. score is the mean over tokens of the target model's bits less the
     background model's. A document without tokens scores 0. Null texts are empty; null ids are scored,
     repeated rows one by one; other columns are ignored. Without target documents the target model is
     uniform over words.
 
-    Counts are summed within each task and then by slot; the model that reaches the driver has
-    WORD_SLOTS + 1 + PAIR_SLOTS rows at most, however large the corpus is.
+    Words and pairs are told apart by 64-bit keys and all are counted: the counts are tables in the shared
+    folder that grow with the texts, and neither the driver nor any task holds them all. Texts are read
+    once, in chunks; a chunk sends its keys to the blocks that count them and gets their counts back. The
+    vocabulary of the smoothing is the number of different words, or WORD_SLOTS where there are fewer.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(False) if target is None else F.coalesce(target, F.lit(False))).alias("target"))
     if target_ids is not None:
         ids = stored(target_ids.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "lm-target")
         few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
         ids = ids.withColumn("in_target", F.lit(True))
-        marked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("text", (F.col("target") | F.coalesce("in_target", F.lit(False))).alias("target"))
+        marked = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left").select("doc_id", "text", (F.col("target") | F.coalesce("in_target", F.lit(False))).alias("target"))
     else:
         marked = rows
-    got = model_counts(marked).toArrow()  # columns, not a million row objects
-    count = np.zeros((2, WORD_SLOTS + 1 + PAIR_SLOTS), dtype=np.float64)
-    for i, c in enumerate(("target", "background")):
-        count[i, got["slot"].to_numpy()] = got[c].to_numpy()
-    model = docs.sparkSession.sparkContext.broadcast(count)
-
-    def run(batches):
-        for batch in batches:
-            for ids, texts in _grouped(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                cut, own, prior, pair = slots(texts)
-                n = np.diff(cut)
-                bits = []
-                for c in model.value:
-                    summed = np.concatenate(([0.0], np.cumsum(token_losses(c, own, prior, pair, weight))))
-                    bits.append((summed[cut[1:]] - summed[cut[:-1]]) / np.maximum(1, n))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(bits[0]), pa.array(bits[1]), pa.array(bits[0] - bits[1])],
-                    names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"],
-                )
-
-    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")
+    chunks = chunks_of(marked)
+    totals = chunks.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("target", "background")]).first().asDict()
+    counts = model_counts(chunks, max(LEAST_BLOCKS, -(-totals["background"] // BLOCK_TOKENS)))
+    words = max(WORD_SLOTS, counts.agg(F.sum("n_words")).first()[0] or 0)
+
+    def run(counted: pa.Table, chunk: pa.Table) -> pa.Table:
+        counted, row = counted.sort_by("block"), chunk.to_pylist()[0]
+        cut, _, pair, own, prior, keys, order = _pairs(row)
+        at_pair, bits = np.arange(len(keys) - len(own), len(keys)), []
+        for c, total in totals.items():
+            count = np.empty(len(keys), dtype=np.int64)
+            count[order] = np.concatenate([_unpacked(x) for x in counted[c].to_pylist()])
+            losses = pair_losses(count, own, prior, at_pair, total, words, weight)
+            summed = np.concatenate(([0.0], np.cumsum(losses[pair])))
+            bits.append((summed[cut[1:]] - summed[cut[:-1]]) / np.maximum(1, np.diff(cut)))
+        return pa.table(
+            [pa.array(row["ids"], pa.int64()), pa.array(np.diff(cut)), pa.array(bits[0]), pa.array(bits[1]), pa.array(bits[0] - bits[1])],
+            names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"],
+        )
+
+    texts = chunks.select("chunk", "ids", "cut", "token", "words")
+    replies = counts.drop("n_words").groupBy("chunk")
+    return replies.cogroup(texts.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")

@@ -26,11 +26,11 @@ SKETCH_BITS = 2048
 GROUP_BYTES = 4 << 20
 
 
-def _grouped(ids: list, texts: list) -> Iterator[tuple[list, list[bytes]]]:
+def _grouped(ids: list, texts: list, most: int = GROUP_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"")
-        if size >= GROUP_BYTES or i + 1 == len(texts):
+        if size >= most or i + 1 == len(texts):
             yield ids[at : i + 1], [x or b"" for x in texts[at : i + 1]]
             at, size = i + 1, 0
 

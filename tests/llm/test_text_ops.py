@@ -118,6 +118,29 @@ def test_lm_scores_against_plain_counts(spark):
     assert lm_scoring.score_documents(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_tell_all_words_apart(spark, monkeypatch):
+    """More words and pairs than any fixed table: each has its own count, and chunks and blocks change nothing."""
+    texts = [" ".join(f"w{j}" for j in range(i * 700, (i + 1) * 700)) for i in range(600)] + ["w0 w1 w2", None, "w0 w0 w419999 w1"]
+    df = docs(spark, texts)
+    score = lambda: {x.doc_id: x for x in lm_scoring.score_documents(df, target=F.col("doc_id") < 3).collect()}
+    got, toks = score(), [(t or "").split() for t in texts]
+    words = len({w for t in toks for w in t})
+    assert words > 3 * lm_scoring.WORD_SLOTS
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t in enumerate(toks):
+        for m in (0, 1) if i < 3 else (1,):
+            one[m].update(["<s>"] * bool(t) + t)
+            two[m].update(zip(["<s>"] + t, t, strict=False))
+    for m, name in enumerate(("target_bits", "background_bits")):
+        n = sum(one[m].values()) - one[m]["<s>"]
+        for i, t in enumerate(toks):
+            p = [0.5 * min(1, two[m][a, b] / max(1, one[m][a])) + 0.5 * (one[m][b] + 1) / (n + words) for a, b in zip(["<s>"] + t, t, strict=False)]
+            assert got[i][name] == pytest.approx(-np.log2(p).mean() if t else 0.0)
+    for name, n in {"CHUNK_TOKENS": 5000, "BLOCK_TOKENS": 100_000, "LEAST_BLOCKS": 3}.items():
+        monkeypatch.setattr(lm_scoring, name, n)
+    assert {i: round(x.score, 9) for i, x in score().items()} == {i: round(x.score, 9) for i, x in got.items()}
+
+
 def test_quality(spark, sf):
     read = lambda t: spark.read.parquet(f"{sf.replace('0.001', '0.01')}/{t}.parquet")
     model = quality.learn(read("documents"), read("labels"))
