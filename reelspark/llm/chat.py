@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.llm.common import stored
 
-#: Turns of one chunk by their number, and rows of a chunk beyond which it is dealt further by a hash.
+#: Turns of one chunk by their number, and rows of a chunk beyond which it is cut further, in order.
 CHUNK_TURNS, CHUNK_ROWS = 256, 1024
 
 
+def _cut(rows: DataFrame, n: int) -> DataFrame:
+    """`rows` (about n, all different) with slot: CHUNK_ROWS of a chunk to each in the order of turn, role and text, the last with the rest.
+
+    Rows are sorted into ranges, counted by range and numbered within it, so no task holds a whole chunk.
+    """
+    order, chunk = ["turn", "role", "text"], ["conv_id", "chunk"]
+    ranges = rows.repartitionByRange(-(-n // (4 * CHUNK_ROWS)), *chunk, *order).withColumn("range", F.spark_partition_id())
+    ranges = stored(ranges, "chat-ranges")
+    sizes = ranges.groupBy("range", *chunk).count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(*chunk).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranges.withColumn("place", F.row_number().over(Window.partitionBy("range", *chunk).orderBy(*order)) - 1)
+    placed = numbered.join(sizes.withColumn("before", before).drop("count"), ["range", *chunk])
+    return placed.withColumn("slot", F.floor((F.col("before") + F.col("place")) / CHUNK_ROWS).cast("int")).select(*rows.columns, "slot")
+
+
 def rotated_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Each conversation rendered once for every participant: that speaker as assistant, all others as named users.
 
@@ -24,18 +39,19 @@ def rotated_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     null name is "unknown", a null text empty, a null turn comes first (chunk -1); rows without a
     conversation are left out. A conversation is cut into chunks of 256 turn numbers, to be read in the
     order of chunk and slot, so that a conversation of a third of all rows is many rows: slot is 0 but
-    where over 1024 different rows share a chunk. No rows give no rows; other columns are ignored.
+    where over 1024 different rows share a chunk, which is cut after each 1024 of them in that order. No rows give no rows; other columns are ignored.
     """
     name = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
     rows = turns.where(F.col(conv_col).isNotNull()).select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), name.alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     rows = rows.distinct().withColumn("chunk", F.coalesce(F.floor(F.col("turn") / CHUNK_TURNS), F.lit(-1)).cast("long"))
-    full = rows.groupBy("conv_id", "chunk").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("slots")).where("slots > 1")
+    full = rows.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK_ROWS)
     full = stored(full, "chat-full")
-    rows = rows.join(full, ["conv_id", "chunk"], "left")
-    slot = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("slots")).cast("int"), F.lit(0))
-    chunks = rows.withColumn("slot", slot).groupBy("conv_id", "chunk", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    slotted, n = rows.withColumn("slot", F.lit(0)), full.agg(F.sum("n")).first()[0]
+    if n:
+        slotted = slotted.join(full, ["conv_id", "chunk"], "left_anti").unionByName(_cut(rows.join(full, ["conv_id", "chunk"], "left_semi"), n))
+    chunks = slotted.groupBy("conv_id", "chunk", "slot").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     speakers = rows.select("conv_id", F.col("role").alias("speaker")).distinct()
 
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))

@@ -93,6 +93,21 @@ def test_long_chats_are_cut(spark, monkeypatch):
     assert max(x.n_turns for x in chat.rotated_chats(df.withColumn("turn", F.lit(0))).collect()) < 100
 
 
+def test_full_chunks_are_cut_in_order(spark, monkeypatch):
+    """Slots read one after the other give the turns in order; only full chunks have several."""
+    r = random.Random(3)
+    rows = list({(c, r.choice(turns), r.choice(("ann", "bob")), str(r.randrange(10**6))) for c, turns, n in ((1, range(4), 3000), (2, [None], 500), (3, range(3), 20)) for _ in range(n)})
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat, "CHUNK_ROWS", 64)
+    got = chat.rotated_chats(df.union(df.limit(100))).collect()
+    for c in (1, 2, 3):
+        turns = sorted(((t, role, text) for k, t, role, text in rows if k == c), key=lambda x: (x[0] or 0, *x[1:]))
+        for speaker in ("ann", "bob"):
+            mine = sorted((x for x in got if (x.conv_id, x.speaker) == (c, speaker)), key=lambda x: x.slot)
+            assert [x.slot for x in mine] == list(range(-(-len(turns) // 64)))
+            assert [(x.text, x.mask) for x in mine] == [rendered(turns[i : i + 64], speaker) for i in range(0, len(turns), 64)]
+
+
 def test_lm_scores_against_plain_counts(spark):
     r = random.Random(9)
     texts = [None, "", "  ", "a"] + [" ".join(r.choice("a b c d e f g".split()) for _ in range(30)) for _ in range(20)] + ["A a\tB\nb " * 3000]
