@@ -133,13 +133,13 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
     """Fit on labelled rows that are not held out, on at most about `max_rows` of them (a bounded sample by a hash of the id).
 
     Rows with a null label, id or without a document are left out; an id with several labels counts with
-    its smallest.
+    its smallest, one with several documents once, with the text of the smallest hash.
     """
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     share = min(1.0, max_rows / max(1, rows.count()))
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
     # At most about max_rows ids, however large the tables are.
     texts = texts.join(F.broadcast(rows), "id")
 
@@ -147,9 +147,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
         for batch in batches:
             t = batch.to_pydict()
             values = np.array([statistics(s) for s in t["text"]], dtype=np.float64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([pa.array(t["id"], pa.int64()), pa.array(t["label"], pa.int32()), pa.array(list(values), pa.list_(pa.float64()))], names=["id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(t["id"], pa.int64()), pa.array(t["label"], pa.int32()), pa.array(t["hash"], pa.int64()), pa.array(list(values), pa.list_(pa.float64()))], names=["id", "label", "hash", "x"])
 
-    got = texts.select("id", "label", "text").mapInArrow(run, "id long, label int, x array<double>").toPandas().sort_values("id", kind="stable")
+    got = texts.select("id", "label", "text", "hash").mapInArrow(run, "id long, label int, hash long, x array<double>")
+    # Rows that repeat an id become one within each task already, so that the driver gets max_rows and not all of them.
+    got = got.groupBy("id", "label").agg(F.min(F.struct("hash", "x")).alias("s")).select("id", "label", "s.x").toPandas().sort_values("id", kind="stable")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, got["label"].to_numpy(dtype=np.float64))
 

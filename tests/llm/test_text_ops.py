@@ -181,6 +181,20 @@ def test_quality_never_learns_from_held_out(spark):
     assert quality.quality_scores(df, none).select("score").distinct().count() == 1
 
 
+def test_quality_learns_from_each_id_once(spark, monkeypatch):
+    """However often an id is repeated, one row of it is collected, whatever the order of the rows."""
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: (seen.append(x), fit(x, y))[1])
+    texts = ["good words here. " * (i % 7 + 1) if i % 2 else "BAD!! $$$ ### " * (i % 5 + 1) for i in range(100)]
+    df = docs(spark, texts)
+    labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).where(~quality.held_out())
+    hot = labels.agg(F.min("doc_id")).first()[0]
+    more = df.union(docs(spark, [f"text {i}" for i in range(300)] + [None] * 50, [hot] * 350))
+    a, b = quality.learn(more, labels), quality.learn(more.orderBy(F.desc("text")), labels)
+    assert [len(x) for x in seen] == [labels.count()] * 2
+    assert np.array_equal(seen[0], seen[1]) and np.array_equal(a.value, b.value)
+
+
 def test_flat_trees_are_the_trees():
     r = np.random.default_rng(0)
     x = r.normal(size=(400, 3))
