@@ -129,12 +129,50 @@ def test_shingles_are_independent_of_batches():
     assert [x.tolist() for x in shingle_sets(texts, 4)] == one and one[0] == one[3]
 
 
-def test_parity_sketch_is_a_lower_bound():
+def test_parity_sketch_is_a_lower_bound(monkeypatch):
     r = np.random.default_rng(1)
     for n in (5, 200, 5000):
         a, b = (np.unique(r.integers(0, 3 * n, n).astype(np.uint64)) for _ in range(2))
-        x, y = near_dedup._parity([a, b])
-        assert sum(bin(int(v)).count("1") for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+        c = a[: n // 3]
+        bits = near_dedup.apart(near_dedup.sketches([a, b, c]), np.array([0, 0, 2]), np.array([1, 2, 2])).tolist()
+        assert bits[0] <= len(np.setxor1d(a, b)) and bits[1] <= len(a) - len(c) and bits[2] == 0
+    wide = near_dedup.sketches([a])[0]
+    monkeypatch.setattr(near_dedup, "SKETCH_BITS", (2048, 2048))
+    assert len(wide) == 4096 and near_dedup._folded(wide, 256).tobytes() == near_dedup.sketches([a])[0]
+
+
+def changed_copies(n, most):
+    """n copies of one text of 200 words in which 1 to `most` words are new."""
+    r = random.Random(n)
+    base, out = [f"w{i}" for i in range(200)], []
+    for i in range(n):
+        t = list(base)
+        for k in r.sample(range(200), r.randint(1, most)):
+            t[k] = f"x{i}y{k}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_pairs_grow_with_the_members_of_a_group(spark, monkeypatch):
+    """Copies that link with many others, but not with all: pairs that are verified grow in proportion, components are brute force's."""
+    tried = []
+    before = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *more: (tried.append(pairs.count()), before(pairs, *more))[1])
+    for n in (150, 600):
+        texts = changed_copies(n, 4)
+        tried.append(0)
+        got = {x.doc_id: x.component_id for x in near_dedup.near_groups(docs(spark, texts), size=5).collect()}
+        sets = word_sets(texts, 5)
+        edges = [(i, j) for i in range(n) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+        assert [got[i] for i in range(n)] == components(n, edges) and len(edges) > 10 * n
+    at = tried.index(0, 1)
+    assert sum(tried[at:]) <= 1.25 * 4 * sum(tried[:at]) and sum(tried[at:]) < 2 * near_dedup.FIRST * 600
+
+
+def test_different_texts_under_one_id(spark):
+    one = " ".join(f"a{i}" for i in range(40))
+    got = near_dedup.drop_near(docs(spark, [one, "something else", one + " end", one, None, one], [1, 1, 2, None, None, 1]))
+    assert sorted(x.text or "" for x in got.collect()) == ["", one, one, one, "something else"]
 
 
 def vectors():
