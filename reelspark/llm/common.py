@@ -41,6 +41,11 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def text_key(text_col: str) -> Column:
+    """A hash that tells different texts under one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The rows whose `key` is in `ids` (a stored table of distinct keys).
 

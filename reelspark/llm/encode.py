@@ -1,10 +1,11 @@
 """Token ids by a public tokenizer file, with a cache of the words that texts share.
 
 Both tokenizers cut a text into pieces before they merge bytes, and never merge across pieces; and no piece
-reaches from a word into the space after it. So each distinct word, with what sticks to it, is encoded once
-by the tokenizers library and looked up after that. Texts that hold a special token's string, or
-characters for which Python's rules and the library's may differ, go whole through the library, and texts
-with runs of white space that a cut at a space would part go piece by piece. The ids are the library's.
+reaches from a word into the space after it. So the words of many texts are told apart at once, each distinct
+one, with what sticks to it, is encoded once by the tokenizers library, and ids are gathered by numpy.
+Texts that hold a special token's string, or characters for which Python's rules and the library's may
+differ, go whole through the library, and texts with runs of white space that a cut at a space would part go
+piece by piece. The ids are the library's.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The piece pattern of byte-level tokenizers as the library states it (a fixed value).
@@ -24,82 +28,176 @@ OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-ɏ‐-‧‰-⁞₠-₿]")
 #: A space within a run of white space, or at its end where a text ends.
 RUN = re.compile("[\t\n\r\xa0 ] (?:[\t\n\r\xa0 ]|\\Z)")
 BLANK = "\t\n\r\xa0 "
+#: Begins the key of what has no space before it; no text that is cut into words holds this character.
+BARE = "\0"
+#: Characters of texts that are cut into words together.
+GROUP_CHARS = 8 << 20
+
+
+def byte_names() -> dict[int, int]:
+    """The character that stands for each byte in names of byte-level pieces: printable ones for themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
 class Encoder:
     """kind: "byte" (byte-level pieces as they are) or "word" (NFC, lower case, white space dropped)."""
 
-    def __init__(self, path: str, kind: str, cache_pieces: int = 500_000):
+    def __init__(self, path: str, kind: str, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        self.kind, self.most = kind, cache_pieces
-        self.pieces = regex.compile(BYTE_PIECES).findall
+        self.kind, self.most = kind, cache_words
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        #: Ids of each word as little-endian 32-bit integers; of kind "byte", of the word with a space before it.
-        self.words: dict[str, bytes] = {}
-        #: Kind "byte": ids of pieces and of texts' first words, as they are.
-        self.bare: dict[str, bytes] = {}
-        #: The two tables as they were when they were cleared last.
-        self.old: list[dict[str, bytes]] = [{}, {}]
         vocabulary = self.library.get_vocab()
         #: Bytes of text that each id stands for: one for each character of its byte-level name.
         self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for name, i in vocabulary.items():
             self.width[i] = len(name.removesuffix("</w>") if kind == "word" else name)
+        if kind == "byte":
+            #: The library on pieces that are cut already and stand between spaces.
+            self.merges = Tokenizer.from_file(path)
+            self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.pieces = regex.compile(BYTE_PIECES).findall
+            self.names = byte_names()
+        #: Place of each known word among the three arrays: where its ids start, how many they are, how often texts had it.
+        self.known: dict[str, int] = {}
+        self.start, self.size, self.seen = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.ids, self.used = np.zeros(4096, dtype=np.uint32), 0
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Remember words, each with its part of `ids` up to its end."""
+        n, at = len(self.known), self.used
+        while len(self.start) < n + len(words):
+            self.start, self.size, self.seen = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.seen))
+        while len(self.ids) < at + len(ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        self.known.update(zip(words, range(n, n + len(words)), strict=True))
+        begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        self.start[n : n + len(words)], self.size[n : n + len(words)], self.seen[n : n + len(words)] = at + begins, ends - begins, 0
+        self.ids[at : at + len(ids)] = ids
+        self.used += len(ids)
+
+    def forget(self) -> None:
+        """Keep only words that texts have had more than once."""
+        keep = np.flatnonzero(self.seen[: len(self.known)] > 1)
+        words = np.array(list(self.known), dtype=object)[keep].tolist()
+        if 2 * len(words) > self.most:
+            words, keep = [], keep[:0]
+        ids, ends = self.gather(keep)
+        self.known, self.used = {}, 0
+        self.add(words, ids, ends)
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words at `places` one after the other, and where each ends."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.start[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def split(self, ids: np.ndarray, widths: np.ndarray) -> np.ndarray | None:
+        """Where the ids of parts of so many bytes end; None if they don't end between ids."""
+        place, ends = np.concatenate(([0], np.cumsum(self.width[ids]))), np.cumsum(widths)
+        cut = np.minimum(np.searchsorted(place, ends), len(place) - 1)
+        return cut if place[-1] == (ends[-1] if len(ends) else 0) and (place[cut] == ends).all() else None
+
+    def one_by_one(self, words: list[str]) -> None:
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast([w[1:] if w[:1] == BARE else w if self.kind == "word" else " " + w for w in words], add_special_tokens=False)]
+        self.add(words, np.concatenate(got), np.cumsum([len(x) for x in got]))
+
+    def learn_words(self, words: list[str]) -> None:
+        """Kind "word": many new words in one text, told apart again by their bytes."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = self.whole(" ".join(part))
+            ends = self.split(ids, np.array([len(w.encode()) for w in part]))
+            self.add(part, ids, ends) if ends is not None else self.one_by_one(part)
+
+    def learn_pieces(self, pieces: list[str]) -> None:
+        """Kind "byte": new pieces by their keys, each between spaces in one text of byte names."""
+        for at in range(0, len(pieces), 5000):
+            part = pieces[at : at + 5000]
+            plain = [p[1:] if p[:1] == BARE else " " + p for p in part]
+            text = BARE.join(plain).encode().decode("latin-1").translate(self.names).replace(chr(self.names[0]), " ")
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = self.split(ids, np.array([len(p.encode()) for p in plain]))
+            self.add(part, ids, ends) if ends is not None else self.one_by_one(part)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words: many in one text where they can be told apart again by their bytes, others by themselves."""
-        space = "" if self.kind == "word" else " "
-        alone = [w for w in words if not w or (space and (w[0] in BLANK or w[-1] in BLANK))]
-        joint = [w for w in words if w and not (space and (w[0] in BLANK or w[-1] in BLANK))]
-        for at in range(0, len(joint), 2000):
-            part = joint[at : at + 2000]
-            ids = self.whole(space + " ".join(part))
-            ends = np.cumsum([len(w.encode()) + len(space) for w in part])
-            place = np.concatenate(([0], np.cumsum(self.width[ids])))
-            cut = np.minimum(np.searchsorted(place, ends), len(place) - 1)
-            if place[-1] != ends[-1] or (place[cut] != ends).any():
-                alone += part
-                continue
-            raw, cut = ids.tobytes(), [0, *(4 * cut).tolist()]
-            self.words.update(zip(part, (raw[a:b] for a, b in zip(cut, cut[1:], strict=False)), strict=True))
-        self.words.update(zip(alone, self.each([space + w for w in alone]), strict=True))
+        """Encode new words. Kind "byte": their new pieces first; words of several pieces are put together from them."""
+        if self.kind == "word":
+            return self.learn_words(words)
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            plain = [w[1:] if w[:1] == BARE else " " + w for w in some]
+            # side by side, pieces are those of each alone if one ends in no white space and the next begins with one space
+            odd = [i for i, p in enumerate(plain) if p[:1] != " " or p[1:2] in BLANK or p[-1] in BLANK]
+            apart = [self.pieces(plain[i]) for i in odd]
+            if odd:
+                out = set(odd)
+                order = [i for i in range(len(some)) if i not in out]
+                some = [some[i] for i in (*order, *odd)]
+                plain = [plain[i] for i in order]
+            pieces = self.pieces("".join(plain))
+            ends = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(p) for p in plain])) + 1 if plain else np.zeros(0, dtype=np.int64)
+            pieces += chain.from_iterable(apart)
+            ends = np.concatenate((ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in apart], dtype=np.int64)))
+            keys = [p[1:] if p[0] == " " else BARE + p for p in pieces]
+            self.learn_pieces([k for k in dict.fromkeys(keys) if k not in self.known])
+            places = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
+            count = np.diff(ends, prepend=0)
+            several = count != 1
+            ids, cut = self.gather(places[np.repeat(several, count)])
+            self.add([some[i] for i in np.flatnonzero(several).tolist()], ids, np.concatenate(([0], cut))[np.cumsum(count[several])])
+
+    def cut(self, texts: list[str]) -> pa.ListArray:
+        """The words of texts, by their keys."""
+        if self.kind == "word":
+            return pc.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", t).lower() for t in texts], pa.string()))
+        run = [RUN.search(t) is not None for t in texts]
+        plain = [BARE if r else t[1:] if t[:1] == " " else BARE + t for t, r in zip(texts, run, strict=True)]
+        words = pc.split_pattern(pa.array(plain, pa.string()), " ")
+        if any(run):
+            words = words.to_pylist()
+            for i in np.flatnonzero(run).tolist():
+                words[i] = [p[1:] if p[0] == " " else BARE + p for p in self.pieces(texts[i])]
+            words = pa.array(words, pa.list_(pa.string()))
+        return words
+
+    def group(self, texts: list[str]) -> list[np.ndarray]:
+        words = self.cut(texts)
+        coded = words.flatten().dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > self.most:
+            self.forget()
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self.learn(new)
+        places = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.seen[places] += np.bincount(index, minlength=len(distinct))
+        ids, ends = self.gather(places[index])
+        cuts = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, without special tokens of its own."""
-        cut: list[tuple[list[str], list[str]] | None] = []
-        for t in texts:
+        """Ids of each text as unsigned 32-bit integers, without special tokens of its own."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        some, chars = [], 0
+        for i, t in enumerate(texts):
             if OTHER.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-            elif self.kind == "word":
-                cut.append(([], unicodedata.normalize("NFC", t).lower().split()))
-            elif RUN.search(t):
-                cut.append((self.pieces(t), []))
+                out[i] = self.whole(t)
             else:
-                words = t.split(" ")
-                cut.append((words[:1] if words[0] else [], words[1:]))
-        for known, k, learn in ((self.bare, 0, lambda new: self.bare.update(zip(new, self.each(new), strict=True))), (self.words, 1, self.learn)):
-            every = set().union(*(c[k] for c in cut if c))
-            new = every.difference(known)
-            if new:
-                if len(known) + len(new) > self.most:
-                    self.old[k] = dict(known)
-                    known.clear()
-                    new = every
-                # what was known before the last clearing comes back without the library
-                again = {w: self.old[k][w] for w in new if w in self.old[k]}
-                known.update(again)
-                learn(list(new.difference(again)))
-        bare, words = self.bare.__getitem__, self.words.__getitem__
-        return [self.whole(t) if c is None else np.frombuffer(b"".join([*map(bare, c[0]), *map(words, c[1])]), dtype="<u4") for t, c in zip(texts, cut, strict=True)]
+                some.append(i)
+                chars += len(t)
+            if some and (chars >= GROUP_CHARS or i + 1 == len(texts)):
+                for k, ids in zip(some, self.group([texts[k] for k in some]), strict=True):
+                    out[k] = ids
+                some, chars = [], 0
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import only_ids, stored, without
+from reelspark.llm.common import only_ids, stored, text_key, without
 from reelspark.llm.components import connected_components
 from reelspark.llm.shingles import mix, shingle_sets
 
@@ -118,11 +118,6 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def text_key(text_col: str):
-    """Tells different texts under one id apart."""
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
     """(key, place, node): for each class bands^2 table keys, each from one band of either collection; place is the table."""
 

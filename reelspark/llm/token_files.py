@@ -2,7 +2,7 @@
 
 An id is replaced by its rank (0: the commonest over all documents) and a rank takes 1 to 4 bytes, low
 byte first. The sizes less one stand apart, two bits each, four to a control byte. A page holds whole
-documents in ascending order of their ids: header, document ids, token counts, control bytes, data
+documents in ascending order of their ids (those without one first): header, document ids, token counts, control bytes, data
 bytes. Pages are rows of Parquet files, so that they are written and read through Spark on any store.
 """
 
@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import shared_dir
+from reelspark.llm.common import shared_dir, text_key
 from reelspark.llm.encode import encoder
 
-HEADER = struct.Struct("<4sIQ")
-MAGIC = b"FRV1"
+HEADER = struct.Struct("<4sIIQ")
+MAGIC = b"FRV2"
 #: Bytes of each of the four values under a control byte.
 SIZES = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 
@@ -28,41 +28,44 @@ SIZES = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.
 def code(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, dtype="<u4")
-    size = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    most = max(1, (int(v.max()).bit_length() + 7) // 8) if len(v) else 1
     low = np.zeros(-(-len(v) // 4) * 4, dtype=np.uint8)
-    low[: len(v)] = size - 1
+    for k in range(1, most):
+        low[: len(v)] += v >= 1 << (8 * k)
     control = (low.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    data = v.view(np.uint8).reshape(-1, 4)[:, :most][np.arange(most, dtype=np.uint8) <= low[: len(v), None]]
     return control.tobytes(), data.tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The `n` values of `code`: control bytes look their four sizes up in a table, data bytes are gathered by offset."""
-    size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
-    at = np.cumsum(size) - size
+    size = SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.cumsum(size, dtype=np.int64) - size
     x = np.frombuffer(data, np.uint8)
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(4):
-        has = size > k
+    out = x[at].astype(np.uint32)
+    for k in range(1, int(size.max(initial=1))):
+        has = np.flatnonzero(size > k)
         out[has] |= x[at[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
-def page(docs: np.ndarray, counts: np.ndarray, ranks: np.ndarray) -> bytes:
+def page(docs: list[int | None], counts: np.ndarray, ranks: np.ndarray) -> bytes:
+    """`docs` in order, those without an id first."""
     control, data = code(ranks)
-    return HEADER.pack(MAGIC, len(docs), len(ranks)) + docs.astype("<i8").tobytes() + counts.astype("<u4").tobytes() + control + data
+    nulls = sum(d is None for d in docs)
+    return HEADER.pack(MAGIC, len(docs), nulls, len(ranks)) + np.array(docs[nulls:], dtype="<i8").tobytes() + counts.astype("<u4").tobytes() + control + data
 
 
-def open_page(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def open_page(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, token counts, ranks) of a page; raises on anything else."""
-    magic, n, values = HEADER.unpack_from(blob)
+    magic, n, nulls, values = HEADER.unpack_from(blob)
     if magic != MAGIC:
         raise ValueError("not a token page")
     at = HEADER.size
-    docs, counts = np.frombuffer(blob, "<i8", n, at), np.frombuffer(blob, "<u4", n, at + 8 * n)
-    at += 12 * n
+    docs, counts = np.frombuffer(blob, "<i8", n - nulls, at), np.frombuffer(blob, "<u4", n, at + 8 * (n - nulls))
+    at += 8 * (n - nulls) + 4 * n
     end = at + -(-values // 4)
-    return docs, counts, decode(blob[at:end], blob[end:], values)
+    return [None] * nulls + docs.tolist(), counts, decode(blob[at:end], blob[end:], values)
 
 
 def write_token_files(
@@ -70,75 +73,79 @@ def write_token_files(
 ) -> None:
     """Encode every text, append `end_id`, and write `folder`/pages and `folder`/ranks.
 
-    Documents are dealt by ranges of their id, so that parts and pages follow its order; rows without an
-    id are left out, rows that repeat one stand side by side. Null texts are empty: the end id alone.
-    Ids are encoded once; the ranks come from their counts over all documents (at most one row for each
-    id of the vocabulary reaches the driver).
+    Texts are encoded where they are read; only their ids are then dealt by ranges of the document's id, so that
+    parts and pages follow its order. Rows without an id stand first, rows that repeat one side by side (in the
+    order of a hash of their texts). Null texts are empty: the end id alone. The ranks come from the counts of
+    ids over all documents, which each task sums up as it encodes (at most one row for each id of the
+    vocabulary reaches the driver).
     """
     spark = docs.sparkSession
+    fields = {"doc_id": pa.int64(), "key": pa.int64(), "row": pa.int64(), "n": pa.int32(), "ids": pa.binary(), "counts": pa.binary()}
 
     def encode(batches):
-        enc, n_page, before = encoder(path, kind), 0, 0
-        held: list[tuple[int, np.ndarray]] = []
-        tokens = 0
-
-        def flush():
-            nonlocal n_page, before, tokens
-            ids = np.concatenate([x for _, x in held])
-            row = [[part], [n_page], [before], [np.array([d for d, _ in held], "<i8").tobytes()], [np.array([len(x) for _, x in held], "<u4").tobytes()], [ids.astype("<u4" if ids.max() > 0xFFFF else "<u2").tobytes()]]
-            n_page, before, tokens = n_page + 1, before + len(ids), 0
-            held.clear()
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, types, strict=True)], names=["part", "page", "before", "docs", "counts", "ids"])
-
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
-            docs, parts, texts = (c.to_pylist() for c in batch.columns)
-            for doc, part, x in zip(docs, parts, enc.encode_all([t or "" for t in texts]), strict=True):
-                held.append((doc, np.append(x, np.uint32(end_id))))
-                tokens += len(held[-1][1])
-                if tokens >= page_tokens:
-                    yield flush()
-        if held:
-            yield flush()
-
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").select("doc_id", F.spark_partition_id().alias("part"), "text")
-    rows.mapInArrow(encode, "part int, page int, before long, docs binary, counts binary, ids binary").write.option("compression", "zstd").parquet(f"{folder}/plain")
-    plain = spark.read.parquet(f"{folder}/plain")
-
-    def widen(counts, ids):
-        n = int(np.frombuffer(counts, "<u4").sum())
-        return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
+        enc, total = encoder(path, kind), np.zeros(end_id + 1, dtype=np.int64)
+        for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
+            coded = [np.append(x, np.uint32(end_id)) for x in enc.encode_all([t or "" for t in batch.column(3).to_pylist()])]
+            more = np.bincount(np.concatenate(coded), minlength=len(total))
+            more[: len(total)] += total
+            total = more
+            narrow = len(total) <= 1 << 16
+            rows = [*batch.columns[:3], pa.array([len(x) for x in coded], pa.int32()), pa.array([x.astype("<u2" if narrow or x.max() <= 0xFFFF else "<u4").tobytes() for x in coded], pa.binary()), pa.nulls(len(coded), pa.binary())]
+            yield pa.RecordBatch.from_arrays(rows, names=list(fields))
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, -1, None, total.astype("<i8").tobytes()), fields.values(), strict=True)], names=list(fields))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    plain = rows.mapInArrow(encode, "doc_id long, key long, row long, n int, ids binary, counts binary")
+    schema = plain.schema
+    plain.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/plain")
+    plain = spark.read.schema(schema).parquet(f"{folder}/plain")
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for c, i in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                more = np.bincount(widen(c, i))
-                if len(more) > len(total):
-                    total = np.pad(total, (0, len(more) - len(total)))
-                total[: len(more)] += more
+            for c in batch.column(0).to_pylist():
+                more = np.frombuffer(c, "<i8").copy()
+                if len(more) < len(total):
+                    total, more = more, total.copy()
+                more[: len(total)] += total
+                total = more
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
-    counts = plain.select("counts", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = plain.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counts.toArrow().sort_by([("n", "descending"), ("id", "ascending")])["id"].to_numpy()
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ranked)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
 
     def pack(batches):
+        n_page, before, tokens = 0, 0, 0
+        held: list[tuple[int | None, np.ndarray]] = []
+
+        def flush():
+            nonlocal n_page, before, tokens
+            blob = page([d for d, _ in held], np.array([len(x) for _, x in held]), rank_of[np.concatenate([x for _, x in held])])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([n_page], pa.int32()), pa.array([before], pa.int64()), pa.array([tokens], pa.int64()), pa.array([blob], pa.binary())],
+                names=["part", "page", "before", "n_tokens", "blob"],
+            )
+            n_page, before, tokens = n_page + 1, before + tokens, 0
+            held.clear()
+            return row
+
         for batch in batches:
-            part, no, before, doc, cnt, ids = (x.to_pylist() for x in batch.columns)
-            for i in range(len(part)):
-                x = widen(cnt[i], ids[i])
-                blob = page(np.frombuffer(doc[i], "<i8"), np.frombuffer(cnt[i], "<u4"), rank_of[x])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part[i]], pa.int32()), pa.array([no[i]], pa.int32()), pa.array([before[i]], pa.int64()), pa.array([len(x)], pa.int64()), pa.array([blob], pa.binary())],
-                    names=["part", "page", "before", "n_tokens", "blob"],
-                )
-
-    plain.mapInArrow(pack, "part int, page int, before long, n_tokens long, blob binary").write.option("compression", "zstd").parquet(f"{folder}/pages")
+            for doc, part, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):  # noqa: B007
+                held.append((doc, np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")))
+                tokens += n
+                if tokens >= page_tokens:
+                    yield flush()
+        if held:
+            yield flush()
+
+    order = ["doc_id", "key", "row"]
+    dealt = plain.where("n >= 0").select(*order, "n", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
+    pages = dealt.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(pack, "part int, page int, before long, n_tokens long, blob binary")
+    pages.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/pages")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/plain")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
@@ -165,7 +172,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     own = slice(at, at + 256)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(docs[own].astype(np.int64)),
+                            pa.array(docs[own], pa.int64()),
                             pa.array(start + ends[own] - counts[own]),
                             pa.array(counts[own].astype(np.int64)),
                             pa.array([zlib.crc32(x.tobytes()) for x in cut[own]], pa.int64()),
