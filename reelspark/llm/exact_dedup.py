@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import lower_ascii, only_ids, shared_dir, stored
+from reelspark.llm.common import lower_ascii, only_ids, shared_dir, stored, without
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -71,8 +75,37 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def read_parquet(spark: SparkSession, files: list[str]) -> DataFrame:
+    return spark.read.parquet(*files)
+
+
+def fetched(rows: DataFrame, id_col: str, text_col: str, read: Callable) -> DataFrame:
+    """(doc_id, digest, text_sha256, norm): the texts of logged rows, through their locators.
+
+    Only the files that the locators name are read (their names reach the driver, as any listing of input files does).
+    A row is known again by its file, id and text digest; one that is no longer there is an error, so that no hit stays unchecked.
+    """
+    spark, rows = rows.sparkSession, stored(rows.select("doc_id", "digest", "text_sha256", "locator").distinct(), "exact-located")
+    files = [unquote(r["locator"]) for r in rows.select("locator").distinct().collect()]
+    if not files:
+        return rows.select("doc_id", "digest", "text_sha256", F.lit("").alias("norm"))
+    text = lower_ascii(F.col(text_col))
+    there = read(spark, files).select(F.col(id_col).cast("long").alias("id"), text.alias("norm"), F.sha2(text.cast("binary"), 256).alias("sha"), F.input_file_name().alias("file"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha")) & (F.col("locator") == F.col("file"))
+    got = stored(rows.join(there, same).select("doc_id", "digest", "text_sha256", "norm"), "exact-fetched")
+    if got.select("doc_id", "text_sha256").distinct().count() < rows.select("doc_id", "text_sha256").distinct().count():
+        raise RuntimeError("texts of earlier rows are no longer where their locators say")
+    return got
+
+
 def exact_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, files_per_batch: int = 10_000, state_dir: str | None = None
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    digest: Column | None = None,
+    files_per_batch: int = 10_000,
+    state_dir: str | None = None,
+    read: Callable[[SparkSession, list[str]], DataFrame] | None = None,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, locator.
 
@@ -83,31 +116,54 @@ def exact_groups(
     repeat an id and a text share one fate. Rows without an id never beat others; a group of such rows
     only stays whole (keep_id null). An empty table gives no rows; other columns are ignored.
     `digest` replaces the SHA-256 as the key of the state.
+
+    With a `state_dir`, calls go on from one another: rows of earlier calls are known by their digests, count in
+    group_size and may be the ones that stay. `docs` is then new rows only. The texts of earlier rows that are hit
+    are fetched through their locators: from a copy that each call leaves in `state_dir`, or, with `read`
+    (spark, files -> rows with the same columns, such as `read_parquet`), from the files that `docs` come from,
+    which must stay as they are.
     """
-    spark = docs.sparkSession
+    spark, whole, number = docs.sparkSession, state_dir is None, uuid.uuid4().hex
     state_dir = state_dir or shared_dir(spark, "exact-state")
-    log = stored(digest_log(docs, id_col, text_col, digest), "exact-log")
-    path = log.inputFiles()
-    folder = path[0].rsplit("/", 1)[0] if path else None
-    if folder is None:
-        states = spark.createDataFrame([], "digest string, group_size long, keep_id long, locator string, n_bytes_low long, n_bytes_high long")
-    else:
-        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    if not whole and read is None:
+        copy = f"{state_dir}/texts/call={number}"
+        docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col)).write.parquet(copy)
+        docs, read = spark.read.parquet(copy), read_parquet
+    folder = f"{state_dir}/log"
+    new = digest_log(docs, id_col, text_col, digest)
+    # one folder of one layout for all calls: the stream's checkpoint knows which of its files it has taken in
+    new.withColumn("call", F.lit(number)).write.mode("append").parquet(folder)
+    every = spark.read.schema(new.schema.add("call", "string")).parquet(folder)
+    log = every.where(F.col("call") == number).drop("call")
+    if every.inputFiles():
+        stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
         states = fold_stream(stream, state_dir)
+    else:
+        states = spark.createDataFrame([], "digest string, keep_id long, group_size long, locator string, n_bytes_low long, n_bytes_high long")
     states = stored(states, "exact-states")
 
     hits = states.where("group_size > 1").select("digest")
     text = lower_ascii(F.col(text_col))
-    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), F.input_file_name().alias("locator"), (F.sha2(text.cast("binary"), 256) if digest is None else digest).alias("digest"))
+    full = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), (F.sha2(text.cast("binary"), 256) if digest is None else digest).alias("digest"))
     full = only_ids(full, hits, "digest")
+    earlier = every.where(F.col("call") != number).drop("call")
+    if not whole:
+        # one earlier row of each text: rows of one call were compared with one another when it was made
+        touched = stored(only_ids(log, hits, "digest").select("digest").distinct(), "exact-touched")
+        named = only_ids(earlier, touched, "digest").groupBy("digest", "text_sha256").agg(F.max(F.struct("doc_id", "locator")).alias("s")).select("digest", "text_sha256", "s.*")
+        full = full.unionByName(fetched(named, id_col, text_col, read).select(full.columns))
     # Equal texts become one row within each task, so that a text with very many copies is shuffled once a task.
     mixed = full.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
     mixed = stored(mixed, "exact-mixed")
 
     rows = log.join(states.drop("locator"), "digest", "left").select("doc_id", "digest", "keep_id", "group_size", "text_sha256", "n_bytes", "locator")
     if not mixed.isEmpty():
-        apart = full.join(mixed, "digest", "left_semi")
-        texts = apart.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        apart = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), F.input_file_name().alias("locator"), (F.sha2(text.cast("binary"), 256) if digest is None else digest).alias("digest"))
+        apart = apart.join(mixed, "digest", "left_semi")
+        members = apart.select("doc_id", "digest", "norm")
+        if not whole:
+            members = members.unionByName(fetched(earlier.join(mixed, "digest", "left_semi"), id_col, text_col, read).select("doc_id", "digest", "norm"))
+        texts = members.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         apart = apart.join(texts, ["digest", "norm"]).select(
             "doc_id", "digest", "keep_id", "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").cast("long").alias("n_bytes"), "locator"
         )
@@ -115,7 +171,10 @@ def exact_groups(
     return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "locator")
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that `exact_groups` drops; same columns."""
-    out = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(out, id_col, "left_anti")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """`docs` without the rows that `exact_groups` drops, known by id and text; same columns.
+
+    Rows that repeat an id and a text share one fate; of different texts under one id each has its own.
+    """
+    out = exact_groups(docs, id_col, text_col, **how).where("not kept").select("doc_id", "text_sha256").distinct()
+    return without(docs, out, {"doc_id": F.col(id_col).cast("long"), "text_sha256": F.sha2(lower_ascii(F.col(text_col)).cast("binary"), 256)})

@@ -65,6 +65,38 @@ def test_exact_borders(spark):
     assert kept.columns == DOCS.replace(" long", "").replace(" string", "").replace(" int", "").split(", ") and sorted(x.doc_id for x in kept.collect()) == [1, 2]
 
 
+def test_copies_leave_by_id_and_text(spark):
+    """No text is lost when an id is repeated, and copies without an id leave."""
+    rows = [(1, "A"), (1, "unique"), (2, "a"), (None, "a"), (None, "b"), (None, None), (3, ""), (3, "")]
+    kept = exact_dedup.drop_copies(docs(spark, [t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted((x.doc_id or 0, x.text) for x in kept) == [(0, "b"), (1, "unique"), (2, "a"), (3, ""), (3, "")]
+
+
+@pytest.mark.parametrize("digest", [None, lambda: F.lit("same")])
+@pytest.mark.parametrize("own_files", [False, True])
+def test_exact_calls_go_on(spark, tmp_path, digest, own_files):
+    """Later calls know earlier rows; a digest that covers different texts joins nothing across calls either."""
+    state, every = f"file://{tmp_path}/state", {}
+    for k, texts in enumerate((["a"], ["b"], ["A", "b", None, "a"], ["", "c"])):
+        now = docs(spark, texts, range(10 * k, 10 * k + len(texts)))
+        if own_files:
+            now.write.parquet(f"file://{tmp_path}/in{k}")
+            now = spark.read.parquet(f"file://{tmp_path}/in{k}")
+        every |= dict(zip(range(10 * k, 10 * k + len(texts)), texts, strict=True))
+        got = exact_dedup.exact_groups(now, digest=digest and digest(), state_dir=state, read=exact_dedup.read_parquet if own_files else None).collect()
+        want = expected_exact(every, every.values())
+        assert {x.doc_id: (x.keep_id, x.group_size) for x in got} == {i: want[i] for i in range(10 * k, 10 * k + len(texts))}
+
+
+def test_a_moved_text_is_an_error(spark, tmp_path):
+    for name, texts in (("x", ["a"]), ("y", ["A"])):
+        docs(spark, texts, [len(name + texts[0])]).coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+    state, read = f"file://{tmp_path}/state", lambda spark, files: spark.read.parquet(f"file://{tmp_path}/y")
+    exact_dedup.exact_groups(spark.read.parquet(f"file://{tmp_path}/x"), state_dir=state, read=exact_dedup.read_parquet).collect()
+    with pytest.raises(RuntimeError):
+        exact_dedup.exact_groups(spark.read.parquet(f"file://{tmp_path}/y").withColumn("doc_id", F.lit(1)), state_dir=state, read=read).collect()
+
+
 def test_exact_state_goes_on(spark, tmp_path):
     """A second run over the same state takes in only new rows; nothing expires in between."""
     log = exact_dedup.digest_log(docs(spark, ["a", "b", "A"]))
