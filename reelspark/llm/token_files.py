@@ -97,7 +97,7 @@ def write_token_files(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     plain = rows.mapInArrow(encode, "doc_id long, key long, row long, n int, ids binary, counts binary")
     schema = plain.schema
-    plain.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/plain")
+    plain.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.enable.dictionary": "false"}).parquet(f"{folder}/plain")
     plain = spark.read.schema(schema).parquet(f"{folder}/plain")
 
     def count(batches):
