@@ -36,33 +36,65 @@ def event_ids(events: DataFrame) -> DataFrame:
     return events.withColumns({"id": stable_id(F.col("video_id"), F.col("event_index")), "candidate_id": stable_id(F.col("video_id"), F.col("event_index"), F.lit("c"))})
 
 
-def event_messages(events: DataFrame) -> DataFrame:
-    """(video_id, body, attributes) of each event; numbers in attributes are text."""
+def _event_parts() -> tuple[Column, Column]:
+    """Body and attributes of an event's message."""
     candidate = F.struct(F.col("candidate_id").alias("id"), "role", "skill_name", "category", "confidence")
     body = F.to_json(F.struct("id", F.col("video_id").cast("string").alias("video_id"), "start_time", "end_time", F.array(candidate).alias("event_candidates")))
     names = F.array(*[F.lit(x) for x in ("category", "event_type", "event_index", "total_events")])
     values = F.array("category", F.lit(EVENT), F.col("event_index").cast("string"), F.col("total_events").cast("string"))
-    return events.select("video_id", F.col("event_index").alias("seq"), body.alias("body"), F.map_from_arrays(names, values).alias("attributes"))
+    return body, F.map_from_arrays(names, values)
+
+
+def _completion_parts(total: Column, job: Column | None, uri: Column | None) -> tuple[Column, Column]:
+    """Body and attributes of a completion marker; the total stands in the body only, an empty URI is null."""
+    job = F.col("video_id").cast("string") if job is None else job
+    uri = F.lit(None).cast("string") if uri is None else F.nullif(uri, F.lit(""))
+    body = F.struct(F.col("video_id").cast("string").alias("video_id"), job.alias("job_id"), total.cast("int").alias("total_event_count"), uri.alias("result_s3_uri"))
+    return F.to_json(body, {"ignoreNullFields": "false"}), F.map_from_arrays(F.array(F.lit("event_type")), F.array(F.lit(COMPLETE)))
+
+
+def event_messages(events: DataFrame) -> DataFrame:
+    """(video_id, seq, body, attributes) of each event; numbers in attributes are text."""
+    body, attributes = _event_parts()
+    return events.select("video_id", F.col("event_index").alias("seq"), body.alias("body"), attributes.alias("attributes"))
 
 
 def completion_messages(videos: DataFrame, events: DataFrame, job: Column | None = None, uri: Column | None = None) -> DataFrame:
     """One completion marker per video, those without events included; an empty URI is null."""
     n = events.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    job = F.col("video_id").cast("string") if job is None else job
-    uri = F.lit(None).cast("string") if uri is None else F.nullif(uri, F.lit(""))
-    rows = videos.join(n, "video_id", "left").withColumn("total_event_count", F.coalesce("n", F.lit(0)).cast("int"))
-    body = F.to_json(F.struct(F.col("video_id").cast("string").alias("video_id"), job.alias("job_id"), "total_event_count", uri.alias("result_s3_uri")), {"ignoreNullFields": "false"})
-    kind = F.map_from_arrays(F.array(F.lit("event_type")), F.array(F.lit(COMPLETE)))
-    return rows.select("video_id", (F.col("total_event_count") + 1).cast("long").alias("seq"), body.alias("body"), kind.alias("attributes"))
+    rows = videos.join(n, "video_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    body, attributes = _completion_parts(F.col("n"), job, uri)
+    return rows.select("video_id", (F.col("n") + 1).cast("long").alias("seq"), body.alias("body"), attributes.alias("attributes"))
+
+
+def all_messages(videos: DataFrame, events: DataFrame, job: Column | None = None, uri: Column | None = None) -> DataFrame:
+    """N event messages and then one completion marker for each video, from one pass over the events.
+
+    The marker goes with the last event, whose index is the total, or with a video without events.
+    `job` and `uri` are expressions over the columns of `videos`.
+    """
+    total = F.coalesce("total_events", F.lit(0))
+    rows = videos.join(events, "video_id", "left")
+    message = lambda seq, parts: F.struct(seq.cast("long").alias("seq"), parts[0].alias("body"), parts[1].alias("attributes"))
+    event = F.when(F.col("event_index").isNotNull(), message(F.col("event_index"), _event_parts()))
+    done = F.when(F.col("event_index").isNull() | (F.col("event_index") == F.col("total_events")), message(total + 1, _completion_parts(total, job, uri)))
+    return rows.select("video_id", F.explode(F.filter(F.array(event, done), lambda m: m.isNotNull())).alias("m")).select("video_id", "m.*")
 
 
-def all_messages(videos: DataFrame, events: DataFrame, **how) -> DataFrame:
-    """N event messages and then one completion marker for each video."""
-    return event_messages(events).unionByName(completion_messages(videos, events, **how))
+def enveloped(messages: DataFrame, at: Column | None = None) -> DataFrame:
+    """(value): each message as the JSON text of the envelope in which a subscriber gets it."""
+    key = stable_id(F.col("video_id"), F.col("seq"), F.lit("m"))
+    attributes = F.transform_values("attributes", lambda k, v: F.struct(F.lit("String").alias("Type"), v.alias("Value")))
+    at = F.lit(None).cast("timestamp") if at is None else at
+    envelope = F.struct(F.lit("Notification").alias("Type"), key.alias("MessageId"), F.lit("events").alias("TopicArn"), F.col("body").alias("Message"), attributes.alias("MessageAttributes"), at.alias("Timestamp"))
+    return messages.select(F.to_json(envelope).alias("value"))
 
 
 def parse_envelope(feed: DataFrame) -> DataFrame:
-    """Envelope and the JSON within its Message as typed columns; works on batches and streams."""
+    """Envelope and the JSON within its Message as typed columns; works on batches and streams.
+
+    total_events is the attribute of an event message, and of a completion marker the total in its body.
+    """
     attr = lambda k: F.element_at("MessageAttributes", k)["Value"]
     event, done = F.from_json("Message", EVENT_BODY), F.from_json("Message", COMPLETION_BODY)
     kind = attr("event_type")
@@ -72,7 +104,7 @@ def parse_envelope(feed: DataFrame) -> DataFrame:
         F.col("MessageAttributes").alias("attributes"),
         kind.alias("event_type"),
         attr("event_index").cast("long").alias("event_index"),
-        attr("total_events").cast("long").alias("total_events"),
+        F.coalesce(attr("total_events").cast("long"), F.when(kind == COMPLETE, done["total_event_count"]).cast("long")).alias("total_events"),
         attr("category").alias("category"),
         F.coalesce(event["video_id"], done["video_id"]).alias("video_id"),
         F.when(kind == EVENT, event).alias("event"),
@@ -120,7 +152,8 @@ def upsert_events(msgs: DataFrame, key: tuple[str, ...] = ("video_id", "event_in
 
 
 def video_status(msgs: DataFrame) -> DataFrame:
-    """Per video: received_count (different events), completion_received, expected_total.
+    """Per video: received_count (different events), completion_received, expected_total; job_id and result_s3_uri
+    where `msgs` has completion (of parsed envelopes), created_at and updated_at where it has Timestamp.
 
     A set of indices is counted, so that repeated deliveries change nothing, on a stream as well.
     """
@@ -129,10 +162,16 @@ def video_status(msgs: DataFrame) -> DataFrame:
         received = F.size(F.collect_set(F.when(F.col("event_type") == EVENT, F.col("event_index"))))
     else:
         received = F.count_distinct(F.when(F.col("event_type") == EVENT, F.col("event_index")))
+    more = []
+    if "completion" in msgs.columns:
+        more += [F.max(f"completion.{c}").alias(c) for c in ("job_id", "result_s3_uri")]
+    if "Timestamp" in msgs.columns:
+        more += [F.min("Timestamp").alias("created_at"), F.max("Timestamp").alias("updated_at")]
     return msgs.groupBy("video_id").agg(
         received.cast("long").alias("received_count"),
         F.bool_or(done).alias("completion_received"),
         F.coalesce(F.max(F.when(done, F.col("total_events"))), F.max("total_events")).cast("long").alias("expected_total"),
+        *more,
     )
 
 

@@ -45,18 +45,16 @@ def valid_crop(df: DataFrame) -> DataFrame:
     return df.where("crop_x2 > crop_x1 and crop_y2 > crop_y1")
 
 
-def enhance_plan(df: DataFrame, method: str = "esrgan", target_size: int = 1024, model_scale: int = 4) -> DataFrame:
-    """out_w, out_h of each crop; a diffusion side that falls to 0 fails the frame, whose row is dropped."""
+def enhance_plan(df: DataFrame, method: str | None = "esrgan", target_size: int = 1024, model_scale: int = 4) -> DataFrame:
+    """out_w, out_h of each crop by `method`, or by a column of that name if it is None; a diffusion side that falls to 0 fails the frame, whose row is dropped."""
     c = F.col
-    df = df.withColumns({"w": c("crop_x2") - c("crop_x1"), "h": c("crop_y2") - c("crop_y1")})
-    if method == "diffusion":
-        big = F.greatest("w", "h")
-        scaled = lambda v: F.when(big > 768, (c(v) * (F.lit(768.0) / big)).cast("int")).otherwise(c(v))
-        out = df.withColumns({"out_w": F.floor(scaled("w") / 8).cast("int") * 8, "out_h": F.floor(scaled("h") / 8).cast("int") * 8})
-        return out.where("out_w > 0 and out_h > 0").drop("w", "h")
-    big = F.greatest(c("w") * model_scale, c("h") * model_scale)
-    scaled = lambda v: F.when(big > target_size, (c(v) * model_scale * (F.lit(float(target_size)) / big)).cast("int")).otherwise(c(v) * model_scale)
-    return df.withColumns({"out_w": scaled("w"), "out_h": scaled("h")}).drop("w", "h")
+    w, h = c("crop_x2") - c("crop_x1"), c("crop_y2") - c("crop_y1")
+    diffusion = c("method") == "diffusion" if method is None else F.lit(method == "diffusion")
+    small, big = F.greatest(w, h), F.greatest(w * model_scale, h * model_scale)
+    eighths = lambda v: F.floor(F.when(small > 768, (v * (F.lit(768.0) / small)).cast("int")).otherwise(v) / 8).cast("int") * 8
+    scaled = lambda v: F.when(big > target_size, (v * model_scale * (F.lit(float(target_size)) / big)).cast("int")).otherwise(v * model_scale)
+    out = df.withColumns({f"out_{n}": F.when(diffusion, eighths(v)).otherwise(scaled(v)) for n, v in (("w", w), ("h", h))})
+    return out.where(~diffusion | ((c("out_w") > 0) & (c("out_h") > 0)))
 
 
 def crop_path(df: DataFrame, method: str, out_dir: str) -> DataFrame:

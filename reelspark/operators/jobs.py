@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from reelspark.schemas import REQUIRED
 
-UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+_DASHED = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+#: With and without hyphens, in braces, or as a URN.
+UUID = rf"^(?i)(?:[0-9a-f]{{32}}|{_DASHED}|\{{{_DASHED}\}}|urn:uuid:{_DASHED})$"
 
 
 def validate_requests(df: DataFrame) -> DataFrame:
-    """Adds errors (names of what is wrong, in order) and fills in defaults; all columns come as text."""
+    """Adds errors (names of what is wrong, in order) and fills in defaults; all columns come as text.
+
+    A column that is absent counts as null in every row. Valid video ids come in lower case with hyphens.
+    """
     c = F.col
     have = set(df.columns)
-    out = df.withColumns({n: F.lit(None).cast("string") for n in ("sampling_rate", "analyzer_mode", "method", "sns_topic_arn") if n not in have})
+    out = df.withColumns({n: F.lit(None).cast("string") for n in (*REQUIRED, "sampling_rate", "analyzer_mode", "method", "sns_topic_arn") if n not in have})
     rate = F.try_to_number(F.when(c("sampling_rate").rlike(r"^\s*[0-9]{1,9}\s*$"), F.trim("sampling_rate")), F.lit("999999999")).cast("int")
-    bad = [F.when(c(n).isNull(), F.lit(f"{n} missing")) for n in REQUIRED if n in have]
+    bad = [F.when(c(n).isNull(), F.lit(f"{n} missing")) for n in REQUIRED]
     bad.append(F.when(c("video_id").isNotNull() & ~c("video_id").rlike(UUID), F.lit("video_id not a uuid")))
     bad.append(F.when(c("sampling_rate").isNotNull() & ~F.coalesce(rate >= 1, F.lit(False)), F.lit("sampling_rate")))
     bad.append(F.when(c("analyzer_mode").isNotNull() & ~c("analyzer_mode").isin("single", "multi"), F.lit("analyzer_mode")))
@@ -24,7 +29,9 @@ def validate_requests(df: DataFrame) -> DataFrame:
         bad.append(F.when(c("_corrupt_record").isNotNull(), F.lit("not json")))
     out = out.withColumn("errors", F.filter(F.array(*bad), lambda x: x.isNotNull()))
     filled = {"sampling_rate": F.when(c("sampling_rate").isNull(), F.lit(1)).otherwise(rate), "analyzer_mode": F.coalesce("analyzer_mode", F.lit("single")), "method": F.coalesce("method", F.lit("esrgan"))}
-    return out.withColumns(filled).withColumn("video_id", F.lower("video_id"))
+    plain = F.regexp_replace(F.lower("video_id"), "^urn:uuid:|[{}-]", "")
+    dashed = F.concat_ws("-", *[F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return out.withColumns(filled).withColumn("video_id", F.when(F.col("video_id").rlike(UUID), dashed).otherwise(F.lower("video_id")))
 
 
 def job_state(jobs: DataFrame, updates: DataFrame) -> DataFrame:
@@ -48,6 +55,12 @@ def get_jobs(state: DataFrame, ids: DataFrame) -> DataFrame:
 MILESTONES = {"downloading": 0.05, "processing": 0.10, "uploading": 0.85, "publishing": 0.95, "completed": 1.0}
 
 
+def milestone_progress(updates: DataFrame) -> DataFrame:
+    """Updates with the progress of their status's milestone where they state none."""
+    fixed = F.coalesce(*[F.when(F.col("status") == k, F.lit(v)) for k, v in MILESTONES.items()])
+    return updates.withColumn("progress", F.coalesce("progress", fixed))
+
+
 def stage_progress(frames: DataFrame, stage: str = "Processing") -> DataFrame:
     """Progress reports of the frames that were not skipped: pct, progress (0.1 + 0.7 * pct) and message.
 

@@ -11,7 +11,7 @@ def tracking_document(tracks: DataFrame, frame_map: DataFrame, videos: DataFrame
 
     tracks (video_id, local_idx, track_id, box, mask_area), frame_map (video_id, local_idx, frame; a null
     frame is its local index), videos (video_id, width, height, fps). num_objects counts the tracks of the
-    first frame that has any.
+    first frame that has any. video is the file's name where `videos` has it, else the video's id.
     """
     athlete = F.struct("track_id", "box", "mask_area")
     by_frame = tracks.groupBy("video_id", "local_idx").agg(F.array_sort(F.collect_list(athlete)).alias("athletes"))
@@ -22,5 +22,6 @@ def tracking_document(tracks: DataFrame, frame_map: DataFrame, videos: DataFrame
         F.array_sort(F.collect_list(item)).alias("f"), F.coalesce(F.min_by(F.size("athletes"), F.when(F.size("athletes") > 0, F.col("local_idx"))), F.lit(0)).alias("num_objects")
     )
     frames = F.transform("f", lambda x: F.struct(x["frame"].alias("frame"), x["athletes"].alias("athletes")))
+    name = F.col("video") if "video" in videos.columns else F.col("video_id").cast("string")
     out = docs.join(videos, "video_id")
-    return out.select("video_id", F.lit(model).alias("model"), "fps", F.array("width", "height").alias("video_size"), "num_objects", frames.alias("frames"))
+    return out.select("video_id", name.alias("video"), F.lit(model).alias("model"), "fps", F.array("width", "height").alias("video_size"), "num_objects", frames.alias("frames"))

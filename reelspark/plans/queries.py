@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.functions.columns import cosine01, hist_correlation
+from reelspark.functions.columns import cosine01, hist_correlation, l2_normalize, result_uri
 from reelspark.operators import clips, detections, events, frames, geometry, jobs, reid, responses, tracking, windows
 from reelspark.plans.views import view, with_views
+from reelspark.sources import readers, sinks
+from reelspark.sources.tables import scratch, small
+from reelspark.streaming import status
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,9 +81,10 @@ def result_document(spark, sf_dir):
     return docs.select("video_id", "match_summary", "fps", F.size("clips").cast("long").alias("n_clips"), F.array_join(text, ",").alias("clips"))
 
 
-@query("select video_id, pos, case when pos % 50 = 0 then 'no end_frame' else 'good' end as verdict from v_clips")
+@query("select video_id, pos, case when pos % 50 = 0 then 'no start_frame' when pos % 50 = 1 then 'no end_frame' when pos % 50 = 2 then 'confidence is NaN' else 'good' end as verdict from v_clips")
 def quarantine_clips(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_clips").withColumn("end_frame", F.when(F.col("pos") % 50 != 0, F.col("end_frame")))
+    k = F.col("pos") % 50
+    rows = view(spark, sf_dir, "v_clips").withColumns({"start_frame": F.when(k != 0, F.col("start_frame")), "end_frame": F.when(k != 1, F.col("end_frame")), "confidence": F.when(k == 2, F.lit(float("nan"))).otherwise(F.col("confidence"))})
     good, bad = clips.quarantine_clips(rows)
     return good.select("video_id", "pos", F.lit("good").alias("verdict")).unionByName(bad.select("video_id", "pos", F.col("reason").alias("verdict")))
 
@@ -235,9 +239,8 @@ def square_crop(spark, sf_dir):
     wh="select video_id, frame, crop_x2 - crop_x1 as w, crop_y2 - crop_y1 as h from sq4 where crop_x2 > crop_x1 and crop_y2 > crop_y1",
 )
 def enhance_plan(spark, sf_dir):
-    rows = crops(spark, sf_dir)
-    plans = [geometry.enhance_plan(rows, m).select("video_id", "frame", F.lit(m).alias("method"), "out_w", "out_h") for m in ("esrgan", "diffusion")]
-    return plans[0].unionByName(plans[1])
+    rows = crops(spark, sf_dir).withColumn("method", F.explode(F.array(F.lit("esrgan"), F.lit("diffusion"))))
+    return geometry.enhance_plan(rows, None).select("video_id", "frame", "method", "out_w", "out_h")
 
 
 @query("select video_id, frame, printf('crops/%sframe_%06d.jpg', 'swinir_', frame) as path from v_frames union all select video_id, frame, printf('crops/%sframe_%06d.jpg', 'esrgan_', frame) from v_frames")
@@ -265,10 +268,10 @@ def roi_to_box(spark, sf_dir):
     return out.select("video_id", "frame", "det_idx", *[F.get("box", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
-@query("select l_orderkey % 40 as video_id, l_orderkey as frame, l_linenumber as track_id, min(l_partkey % 640) as x1, min(l_suppkey % 360) as y1, max(l_partkey % 640) as x2, max(l_suppkey % 360) as y2, count(*) as mask_area from lineitem group by 1, 2, 3")
+@query("select cast(floor(l_orderkey / 64) as bigint) as video_id, l_orderkey as frame, l_linenumber as track_id, min(l_partkey % 640) as x1, min(l_suppkey % 360) as y1, max(l_partkey % 640) as x2, max(l_suppkey % 360) as y2, count(*) as mask_area from lineitem group by 1, 2, 3")
 def mask_bbox(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 40).alias("video_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), (F.col("l_partkey") % 640).alias("x"), (F.col("l_suppkey") % 360).alias("y")
+        F.floor(F.col("l_orderkey") / 64).alias("video_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), (F.col("l_partkey") % 640).alias("x"), (F.col("l_suppkey") % 360).alias("y")
     )
     return geometry.mask_bbox(rows)
 
@@ -328,20 +331,25 @@ def apply_picks(spark, sf_dir):
 
 
 @query(
-    """select v.video_id, v.fps, count(*) as n_frames, cast(sum(n) as bigint) as n_athletes, coalesce(cast(first(n order by frame) filter (where n > 0) as bigint), 0) as num_objects,
+    """select v.video_id, 'm' || cast(v.video_id as varchar) as video, v.fps, count(*) as n_frames, cast(sum(n) as bigint) as n_athletes, coalesce(cast(first(n order by frame) filter (where n > 0) as bigint), 0) as num_objects,
  string_agg(cast(frame as varchar) || ':' || cast(n as varchar), ',' order by frame) as frames from
  (select f.video_id, f.frame, count(a.frame) as n from v_frames f left join v_athletes a on f.video_id = a.video_id and f.frame = a.frame group by f.video_id, f.frame) x join v_videos v on v.video_id = x.video_id group by v.video_id, v.fps"""
 )
 def tracking_document(spark, sf_dir):
+    docs = tracked(spark, sf_dir)
+    n = F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + F.size(f["athletes"]))
+    text = F.array_join(F.transform("frames", lambda f: F.concat(f["frame"].cast("string"), F.lit(":"), F.size(f["athletes"]).cast("string"))), ",")
+    return docs.select("video_id", "video", "fps", F.size("frames").cast("long").alias("n_frames"), n.alias("n_athletes"), F.col("num_objects").cast("long").alias("num_objects"), text.alias("frames"))
+
+
+def tracked(spark, sf_dir):
     # the frame's own number serves as its local index
     rows = view(spark, sf_dir, "v_frames").select("video_id", F.col("frame").alias("local_idx"), F.lit(None).cast("long").alias("frame"))
     tracks = view(spark, sf_dir, "v_athletes").select(
         "video_id", F.col("frame").alias("local_idx"), F.col("det_idx").cast("int").alias("track_id"), F.array("x1", "y1", "x2", "y2").alias("box"), F.lit(0).cast("long").alias("mask_area")
     )
-    docs = tracking.tracking_document(tracks, rows, view(spark, sf_dir, "v_videos"))
-    n = F.aggregate("frames", F.lit(0).cast("long"), lambda s, f: s + F.size(f["athletes"]))
-    text = F.array_join(F.transform("frames", lambda f: F.concat(f["frame"].cast("string"), F.lit(":"), F.size(f["athletes"]).cast("string"))), ",")
-    return docs.select("video_id", "fps", F.size("frames").cast("long").alias("n_frames"), n.alias("n_athletes"), F.col("num_objects").cast("long").alias("num_objects"), text.alias("frames"))
+    videos = view(spark, sf_dir, "v_videos").withColumn("video", F.concat(F.lit("m"), F.col("video_id").cast("string")))
+    return tracking.tracking_document(tracks, rows, videos)
 
 
 # ---- windows and responses
@@ -356,6 +364,16 @@ def sliding_windows(spark, sf_dir):
     return rows.select("video_id", F.col("window_no").cast("long").alias("window_no"), "is_final", F.array_join(F.col("frames").cast("array<string>"), ",").alias("frames"))
 
 
+WINDOWS = """select video_id, k + 1 as window_no, k = m as is_final, count(*) as n, string_agg(cast(frame as varchar), ', ' order by frame) as frames
+ from (select *, case when n < 30 then 0 else (n - 30) // 15 + 1 end as m from (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 as rn, count(*) over (partition by video_id) as n from v_frames)) f,
+ unnest(range(0, m + 1)) t(k) where (k < m and rn >= k * 15 and rn < k * 15 + 30) or (k = m and rn >= m * 15) group by video_id, k, m"""
+
+
+@query("select video_id, window_no, case when is_final then 'final' else cast(window_no as varchar) end as \"window\" from win", win=WINDOWS)
+def number_windows(spark, sf_dir):
+    return windows.number_windows(windows.sliding_windows(view(spark, sf_dir, "v_frames"))).select("video_id", F.col("window_no").cast("long").alias("window_no"), "window")
+
+
 @query(
     """select video_id, window_no, string_agg(case when role = 'Referee' and turn % 6 = 1 then '--- ' || role || ' FAILED ---' || chr(10) || 'Error: none' || chr(10) else '--- ' || role || ' REPORT ---' || chr(10) || text || chr(10) end, chr(10) order by turn % 3) as report
  from (select conv_id as video_id, turn, turn // 3 as window_no, case turn % 3 when 0 then 'Biomechanist' when 1 then 'Referee' else 'Tactician' end as role, coalesce(text, '') as text from conversations where conv_id is not null and turn is not null) group by video_id, window_no"""
@@ -468,33 +486,158 @@ def finalised_videos(spark, sf_dir):
     return events.finalise(events.video_status(view(spark, sf_dir, "v_messages")))
 
 
+FEED = f"""select cast(video_id as varchar) as video_id, 'bjj_event_detected' as event_type, event_index, total_events, category, {UUID5(KEY)} as id, start_time, cast(null as varchar) as job_id, cast(null as varchar) as result_s3_uri from ev
+ union all select cast(v.video_id as varchar), 'analysis_complete', null, count(m.video_id), null, null, null, 'job-' || cast(v.video_id as varchar), case when v.video_id % 3 = 0 then null else 's3://out/' || cast(v.video_id as varchar) end
+ from v_videos v left join merged m on v.video_id = m.video_id group by v.video_id"""
+#: Every seventh event message is lost and every fifth comes twice.
+LOSSY = "select * from feed where event_index is null or event_index % 7 <> 0"
+FEED_STATUS = """select video_id, count(event_index) as received_count, bool_or(event_type = 'analysis_complete') as completion_received, max(total_events) as expected_total, max(job_id) as job_id, max(result_s3_uri) as result_s3_uri,
+ count(event_index) >= max(total_events) and bool_or(event_type = 'analysis_complete') as finalized from lossy group by video_id"""
+STREAM = {**MERGE, "ev": EVENTS, "feed": FEED, "lossy": LOSSY}
+
+
+def published(spark, sf_dir):
+    """All messages as a subscriber gets them: JSON texts of envelopes."""
+    name = F.col("video_id").cast("string")
+    uri = F.when(F.col("video_id") % 3 == 0, "").otherwise(F.concat(F.lit("s3://out/"), name))
+    return events.all_messages(view(spark, sf_dir, "v_videos").select("video_id"), clip_events(spark, sf_dir), F.concat(F.lit("job-"), name), uri)
+
+
+def delivered(spark, sf_dir) -> str:
+    """A folder of the feed as it is delivered: some messages lost, some twice."""
+    rows = published(spark, sf_dir).withColumn("index", F.element_at("attributes", "event_index").cast("long"))
+    rows = rows.where("index is null or index % 7 <> 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("seq") % 5 == 0, 2).otherwise(1))))
+    path = scratch(spark, "feed")
+    events.enveloped(rows.drop("index", "copy"), F.timestamp_seconds(F.col("seq"))).write.text(path)
+    return path
+
+
+def message_columns(rows):
+    return rows.select("video_id", "event_type", "event_index", "total_events", "category", "event.id", "event.start_time", "completion.job_id", "completion.result_s3_uri")
+
+
+@query("select * from feed", **STREAM)
+def parse_envelope(spark, sf_dir):
+    from reelspark.schemas import ENVELOPE
+
+    texts = events.enveloped(published(spark, sf_dir))
+    return message_columns(events.parse_envelope(texts.select(F.from_json("value", ENVELOPE).alias("e")).select("e.*")))
+
+
+@query("select * from lossy union all select * from lossy where coalesce(event_index, total_events + 1) % 5 = 0", **STREAM)
+def read_messages(spark, sf_dir):
+    return message_columns(events.parse_envelope(readers.read_messages(spark, delivered(spark, sf_dir))))
+
+
+@query("select distinct * from lossy", **STREAM)
+def dedupe_by_index(spark, sf_dir):
+    rows = events.parse_envelope(readers.read_messages(spark, delivered(spark, sf_dir)))
+    return message_columns(events.dedupe_messages(rows, ("video_id", "event_type", "event_index")))
+
+
+@query("select * exclude (finalized) from status", **STREAM, status=FEED_STATUS)
+def message_status(spark, sf_dir):
+    rows = events.parse_envelope(readers.read_messages(spark, delivered(spark, sf_dir)))
+    return events.video_status(rows).drop("created_at", "updated_at")
+
+
+@query("select * exclude (finalized) from status where finalized", **STREAM, status=FEED_STATUS)
+def finalised_messages(spark, sf_dir):
+    return events.finalise(message_status(spark, sf_dir))
+
+
+@query("select * from status", **STREAM, status=FEED_STATUS)
+def upsert_status(spark, sf_dir):
+    feed, path = delivered(spark, sf_dir), scratch(spark, "status")
+    status.run_status_stream(events.parse_envelope(readers.read_messages(spark, feed, streaming=True)), path, f"{path}/checkpoint")
+    return status.read_status(spark, path).drop("created_at", "updated_at")
+
+
+# ---- sources and sinks: what is written and read again
+
+@query("select f.video_id, 'm' || cast(f.video_id as varchar) as video, f.frame, count(a.frame) as n_athletes, coalesce(sum(a.x1), 0.0) as x1 from v_frames f left join v_athletes a on f.video_id = a.video_id and f.frame = a.frame group by f.video_id, f.frame")
+def write_tracking(spark, sf_dir):
+    path = scratch(spark, "tracking")
+    sinks.write_tracking(tracked(spark, sf_dir), path)
+    docs = readers.read_tracking(spark, path, lines=True).select(F.col("video_id").cast("long").alias("video_id"), "video", F.explode("frames").alias("f"))
+    return docs.select("video_id", "video", "f.frame", F.size("f.athletes").cast("long").alias("n_athletes"), F.aggregate("f.athletes", F.lit(0.0), lambda s, a: s + F.get(a["box"], F.lit(0))).alias("x1"))
+
+
+@query("select video_id, 'm' || cast(video_id as varchar) as video, '1920x1080' as video_size, frame_idx, row_number() over (partition by video_id, frame_idx order by det_idx) as track_id, round(x2, 1) as x2, round(confidence, 4) as confidence from dets where class_id = 0 and confidence >= 0.5", dets=DETS)
+def write_detections(spark, sf_dir):
+    path = scratch(spark, "detections")
+    rows = detections.number_tracks(detections.filter_persons(raw_detections(spark, sf_dir)))
+    sinks.write_detections(rows.withColumns({"video": F.concat(F.lit("m"), F.col("video_id").cast("string")), "video_size": F.array(F.lit(1920), F.lit(1080))}), path)
+    docs = readers.read_detections(spark, path, lines=True)
+    size = F.array_join(F.col("video_size").cast("array<string>"), "x")
+    people = readers.explode_persons(docs).join(docs.select("video_id", "frame_idx", "video", size.alias("video_size")), ["video_id", "frame_idx"])
+    return people.select(F.col("video_id").cast("long").alias("video_id"), "video", "video_size", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("track_id").cast("long").alias("track_id"), corner(2).alias("x2"), "confidence")
+
+
+@query("select video_id, window_no, is_final, response from body", body=BODY)
+def read_responses(spark, sf_dir):
+    path, last = scratch(spark, "responses"), F.max("window_no").over(Window.partitionBy("video_id"))
+    view(spark, sf_dir, "v_responses").withColumn("is_final", F.col("window_no") == last).write.json(path)
+    return readers.read_responses(spark, path).select("video_id", F.col("window_no").cast("long").alias("window_no"), "is_final", "response")
+
+
+@query("select video_id, sampling_rate, analyzer_mode, method, video_s3_bucket, output_s3_key from v_requests")
+def read_job_requests(spark, sf_dir):
+    path = scratch(spark, "requests")
+    view(spark, sf_dir, "v_requests").write.json(path)
+    return readers.read_job_requests(spark, path).select("video_id", "sampling_rate", "analyzer_mode", "method", "video_s3_bucket", "output_s3_key")
+
+
 @query(
-    f"select video_id, seq, {UUID5(KEY)} as id, start_time, category, total_events from (select *, event_index as seq from ev)",
+    "select video_id, count(*) as n_windows, string_agg(case when is_final then 'final' else cast(window_no as varchar) end, ',' order by is_final, window_no) as windows, count(*) filter (where not parse_ok) as n_errors from parsed where parse_ok or not is_final group by video_id",
+    body=BODY,
+    parsed=PARSED,
+)
+def write_raw(spark, sf_dir):
+    path = scratch(spark, "raw")
+    sinks.write_raw(responses.raw_records(parsed(spark, sf_dir)), path)
+    log = F.from_json("value", "array<struct<window: string, raw_error: string>>")
+    rows = spark.read.text(path).select(F.col("video_id").cast("long").alias("video_id"), log.alias("log"))
+    return rows.select("video_id", F.size("log").cast("long").alias("n_windows"), F.array_join("log.window", ",").alias("windows"), F.size(F.filter("log.raw_error", lambda e: e.isNotNull())).cast("long").alias("n_errors"))
+
+
+@query(
+    """select v.video_id, 'Analysis generated via Single-Agent' as match_summary, fps, count(m.video_id) as n_clips, coalesce(string_agg(cast(start_frame as varchar) || '-' || cast(end_frame as varchar), ',' order by clip_no), '') as clips
+ from v_videos v left join merged m on v.video_id = m.video_id group by v.video_id, fps""",
     **MERGE,
-    ev=EVENTS,
 )
-def parse_envelope(spark, sf_dir):
-    rows = events.event_messages(clip_events(spark, sf_dir))
-    wrapped = rows.select(
-        F.lit("m").alias("MessageId"),
-        F.lit(None).cast("timestamp").alias("Timestamp"),
-        F.col("body").alias("Message"),
-        F.transform_values("attributes", lambda k, v: F.struct(F.lit("String").alias("Type"), v.alias("Value"))).alias("MessageAttributes"),
-    )
-    out = events.parse_envelope(wrapped)
-    return out.select(F.col("video_id").cast("long").alias("video_id"), F.col("event_index").alias("seq"), "event.id", "event.start_time", "category", "total_events")
+def write_result(spark, sf_dir):
+    path = scratch(spark, "results")
+    sinks.write_result(clips.result_document(merged(spark, sf_dir), view(spark, sf_dir, "v_videos")), path)
+    doc = F.from_json("value", "match_summary string, clips array<struct<start_frame: bigint, end_frame: bigint>>, fps double").alias("d")
+    rows = spark.read.text(path).select(F.col("video_id").cast("long").alias("video_id"), doc).select("video_id", "d.*")
+    text = F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"].cast("string"), c["end_frame"].cast("string")))
+    return rows.select("video_id", "match_summary", "fps", F.size("clips").cast("long").alias("n_clips"), F.array_join(text, ",").alias("clips"))
+
+
+@query(f"select cast(video_id as varchar) as key, {UUID5(KEY)} as id, category, cast(event_index as varchar) as event_index from ev", **MERGE, ev=EVENTS)
+def write_messages(spark, sf_dir):
+    path = scratch(spark, "messages")
+    sinks.write_messages(events.event_messages(clip_events(spark, sf_dir)), path)
+    header = lambda k: F.get(F.filter("headers", lambda h: h["key"] == k), F.lit(0))["value"].cast("string")
+    return spark.read.parquet(path).select("key", F.get_json_object("value", "$.id").alias("id"), header("category").alias("category"), header("event_index").alias("event_index"))
 
 
 # ---- identity
 
-GALLERY = "select label as track_id, min(vec_id) as g_id from embeddings where label is not null group by label"
+#: A video has the 256 vectors whose ids follow one another.
+GALLERY = "select vec_id // 256 as video_id, label as track_id, min(vec_id) as g_id from embeddings where label is not null group by 1, 2"
 LOOK = "select vec_id, label, cast(embedding as double[]) as f, list_transform(embedding[1:32], lambda x: abs(cast(x as double))) as h from embeddings where label is not null"
 PAIRS = """select c.vec_id // 4 as frame, c.vec_id % 4 as cand_idx, g.track_id, list_dot_product(c.f, e.f) as d, list_dot_product(c.h, e.h) as ab, list_dot_product(c.h, c.h) as aa, list_dot_product(e.h, e.h) as bb,
- list_sum(c.h) as sa, list_sum(e.h) as sb from look c join gallery g on c.vec_id not in (select g_id from gallery) join look e on e.vec_id = g.g_id"""
+ list_sum(c.h) as sa, list_sum(e.h) as sb from look c join gallery g on g.video_id = c.vec_id // 256 and c.vec_id not in (select g_id from gallery) join look e on e.vec_id = g.g_id"""
 SCORES = """select frame, cand_idx, track_id, (d + 1) / 2 as cosine, case when (aa - sa * sa / 32) * (bb - sb * sb / 32) > 1e-18 then greatest(0.0, (ab - sa * sb / 32) / sqrt((aa - sa * sa / 32) * (bb - sb * sb / 32))) else 1.0 end as hist from pairs"""
 LOOKS = {"gallery": GALLERY, "look": LOOK, "pairs": PAIRS, "scores": SCORES}
 
 
+def video_of_vector():
+    return F.floor(F.col("vec_id") / 256)
+
+
 def looks(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings").where("label is not null")
     return rows.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"), F.transform(F.slice("embedding", 1, 32), lambda x: F.abs(x.cast("double"))).alias("histogram"))
@@ -502,23 +645,23 @@ def looks(spark, sf_dir):
 
 def gallery_and_candidates(spark, sf_dir):
     rows = looks(spark, sf_dir)
-    entries = reid.build_gallery(rows.select(F.lit(0).alias("video_id"), F.col("label").alias("track_id"), "features", "histogram", (-F.col("vec_id")).alias("seq"), "vec_id"))
-    cands = rows.join(F.broadcast(entries.select("vec_id")), "vec_id", "left_anti")
-    cands = cands.select(F.lit(0).alias("video_id"), F.floor(F.col("vec_id") / 4).alias("frame"), (F.col("vec_id") % 4).alias("cand_idx"), "features", "histogram", "label", "vec_id")
+    entries = reid.build_gallery(rows.select(video_of_vector().alias("video_id"), F.col("label").alias("track_id"), "features", "histogram", (-F.col("vec_id")).alias("seq"), "vec_id"))
+    cands = rows.join(small(entries.select("vec_id")), "vec_id", "left_anti")
+    cands = cands.select(video_of_vector().alias("video_id"), F.floor(F.col("vec_id") / 4).alias("frame"), (F.col("vec_id") % 4).alias("cand_idx"), "features", "histogram", "label", "vec_id")
     return entries.drop("vec_id"), cands
 
 
 @query("select frame, cand_idx, track_id, round(cosine, 6) as score from scores", **LOOKS)
 def cosine_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(F.broadcast(g.withColumnRenamed("features", "gf").drop("histogram")), "video_id")
+    rows = c.join(small(g.withColumnRenamed("features", "gf").drop("histogram"), 20_000), "video_id")
     return rows.select("frame", "cand_idx", "track_id", F.round(cosine01("features", "gf"), 6).alias("score"))
 
 
 @query("select frame, cand_idx, track_id, round(hist, 6) as score from scores", **LOOKS)
 def hist_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(F.broadcast(g.withColumnRenamed("histogram", "gh").drop("features")), "video_id")
+    rows = c.join(small(g.withColumnRenamed("histogram", "gh").drop("features"), 20_000), "video_id")
     return rows.select("frame", "cand_idx", "track_id", F.round(hist_correlation("histogram", "gh"), 6).alias("score"))
 
 
@@ -539,7 +682,7 @@ GREEDY = {
 
 
 @query(
-    """select 0 as video_id, a.frame, a.cand_idx, coalesce(t.track_id, -1) as track_id, coalesce(round(sc.score, 6), 0.0) as score from (select distinct frame, cand_idx from sc) a
+    """select a.frame // 64 as video_id, a.frame, a.cand_idx, coalesce(t.track_id, -1) as track_id, coalesce(round(sc.score, 6), 0.0) as score from (select distinct frame, cand_idx from sc) a
  left join took t on t.frame = a.frame and t.cand_idx = a.cand_idx left join sc on sc.frame = a.frame and sc.cand_idx = a.cand_idx and sc.track_id = t.track_id""",
     **LOOKS,
     **GREEDY,
@@ -566,11 +709,11 @@ def detect_swaps(spark, sf_dir):
 @query(
     """select frame, string_agg(printf('%.4f', case when hi > lo then (n - lo) / (hi - lo) else 0 end), ',' order by bin) as histogram from
  (select *, min(n) over (partition by frame) as lo, max(n) over (partition by frame) as hi from
- (select f.frame, b.bin, coalesce(c.n, 0) as n from (select distinct l_orderkey % 200 as frame from lineitem) f cross join (select unnest(range(0, 32)) as bin) b
- left join (select l_orderkey % 200 as frame, cast(floor((l_partkey % 180) / 22.5) * 4 + floor(((l_suppkey * 7) % 256) / 64) as bigint) as bin, count(*) as n from lineitem group by 1, 2) c on c.frame = f.frame and c.bin = b.bin)) group by frame"""
+ (select f.frame, b.bin, coalesce(c.n, 0) as n from (select distinct l_orderkey // 8 as frame from lineitem) f cross join (select unnest(range(0, 32)) as bin) b
+ left join (select l_orderkey // 8 as frame, cast(floor((l_partkey % 180) / 22.5) * 4 + floor(((l_suppkey * 7) % 256) / 64) as bigint) as bin, count(*) as n from lineitem group by 1, 2) c on c.frame = f.frame and c.bin = b.bin)) group by frame"""
 )
 def hs_histogram(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("frame"), (F.col("l_partkey") % 180).alias("h"), (F.col("l_suppkey") * 7 % 256).alias("s"))
+    rows = read(spark, sf_dir, "lineitem").select(F.floor(F.col("l_orderkey") / 8).alias("frame"), (F.col("l_partkey") % 180).alias("h"), (F.col("l_suppkey") * 7 % 256).alias("s"))
     out = reid.hs_histogram(rows, ("frame",))
     return out.select("frame", F.array_join(F.transform("histogram", lambda x: F.format_string("%.4f", x)), ",").alias("histogram"))
 
@@ -579,20 +722,20 @@ def hs_histogram(spark, sf_dir):
 
 @query(
     """select job_id, video_id, case when sampling_rate is null then 1 else cast(sampling_rate as bigint) end as sampling_rate, coalesce(analyzer_mode, 'single') as analyzer_mode, coalesce(method, 'esrgan') as method,
- concat_ws(',', case when video_id = 'bad-id' then 'video_id not a uuid' end, case when cast(sampling_rate as bigint) < 1 then 'sampling_rate' end, case when analyzer_mode = 'both' then 'analyzer_mode' end) as errors from v_requests"""
+ concat_ws(',', case when video_s3_bucket is null then 'video_s3_bucket missing' end, case when tracking_json_s3_key is null then 'tracking_json_s3_key missing' end, case when video_id = 'bad-id' then 'video_id not a uuid' end, case when cast(sampling_rate as bigint) < 1 then 'sampling_rate' end, case when analyzer_mode = 'both' then 'analyzer_mode' end) as errors from v_requests"""
 )
 def validate_requests(spark, sf_dir):
     out = jobs.validate_requests(view(spark, sf_dir, "v_requests"))
     return out.select("job_id", "video_id", F.col("sampling_rate").cast("long").alias("sampling_rate"), "analyzer_mode", "method", F.array_join("errors", ",").alias("errors"))
 
 
-STATE = """select j.job_id, coalesce(u.status, 'queued') as status, coalesce(u.progress, 0.0) as progress, coalesce(u.message, '') as message, u.error from (select video_id as job_id from v_videos where video_id % 3 <> 0 union all select 1000) j
+STATE = """select j.job_id, coalesce(u.status, 'queued') as status, coalesce(u.progress, 0.0) as progress, coalesce(u.message, '') as message, u.error from (select video_id as job_id from v_videos where video_id % 3 <> 0 union all select -1) j
  left join (select job_id, arg_max(status, seq) as status, arg_max(progress, seq) as progress, arg_max(message, seq) as message, arg_max(error, seq) as error from v_updates group by job_id) u on j.job_id = u.job_id"""
 
 
 @query(STATE)
 def job_state(spark, sf_dir):
-    known = view(spark, sf_dir, "v_videos").where("video_id % 3 <> 0").select(F.col("video_id").alias("job_id")).union(spark.range(1000, 1001))
+    known = view(spark, sf_dir, "v_videos").where("video_id % 3 <> 0").select(F.col("video_id").alias("job_id")).union(spark.range(-1, 0))
     return jobs.job_state(known, view(spark, sf_dir, "v_updates")).select("job_id", "status", "progress", "message", "error")
 
 
@@ -616,9 +759,9 @@ def completion_text(spark, sf_dir):
     return jobs.completion_text(view(spark, sf_dir, "v_videos").select("video_id"), merged(spark, sf_dir), F.col("video_id") % 2 != 0).select("video_id", "message")
 
 
-@query("select r.job_id, r.video, case when v.video_id is null then 'failed' else 'completed' end as status, case when v.video_id is not null then coalesce(v.fps, 30.0) end as fps from (select job_id, job_id % 60 as video from v_requests) r left join (select video_id, case when video_id % 4 = 0 then null else fps end as fps from v_videos) v on r.video = v.video_id")
+@query("select r.job_id, r.video, case when v.video_id is null then 'failed' else 'completed' end as status, case when v.video_id is not null then coalesce(v.fps, 30.0) end as fps from (select job_id, job_id // 64 as video from v_requests) r left join (select video_id, case when video_id % 4 = 0 then null else fps end as fps from v_videos) v on r.video = v.video_id")
 def completed_jobs(spark, sf_dir):
-    asked = view(spark, sf_dir, "v_requests").select("job_id", (F.col("job_id") % 60).alias("video_id"))
+    asked = view(spark, sf_dir, "v_requests").select("job_id", F.floor(F.col("job_id") / 64).alias("video_id"))
     results = view(spark, sf_dir, "v_videos").select("video_id", F.when(F.col("video_id") % 4 != 0, F.col("fps")).alias("fps"))
     return jobs.completed_jobs(asked, results).withColumnRenamed("video_id", "video")
 
@@ -636,11 +779,39 @@ def resolve_topic(spark, sf_dir):
     parsed=PARSED,
     keyed=KEYED,
     ctx=CONTEXT,
-    win="""select video_id, k + 1 as window_no, count(*) as n, string_agg(cast(frame as varchar), ', ' order by frame) as frames
- from (select *, case when n < 30 then 0 else (n - 30) // 15 + 1 end as m from (select video_id, frame, row_number() over (partition by video_id order by frame) - 1 as rn, count(*) over (partition by video_id) as n from v_frames)) f,
- unnest(range(0, m + 1)) t(k) where (k < m and rn >= k * 15 and rn < k * 15 + 30) or (k = m and rn >= m * 15) group by video_id, k, m""",
+    win=WINDOWS,
 )
 def build_prompts(spark, sf_dir):
     context = carry_context(spark, sf_dir)
     rows = windows.sliding_windows(view(spark, sf_dir, "v_frames")).withColumn("window_no", F.col("window_no").cast("long"))
     return windows.build_prompts(rows.join(context, ["video_id", "window_no"], "left")).select("video_id", "window_no", "prompt")
+
+
+@query(
+    "select w.video_id, w.window_no, 'Report on ' || cast(w.n as varchar) || ' frames [' || w.frames || '] in your role. Context so far: ' || coalesce(c.context, 'None') as prompt from win w left join ctx c on c.video_id = w.video_id and c.window_no = w.window_no",
+    body=BODY,
+    parsed=PARSED,
+    keyed=KEYED,
+    ctx=CONTEXT,
+    win=WINDOWS,
+)
+def build_prompts_multi(spark, sf_dir):
+    context = carry_context(spark, sf_dir)
+    rows = windows.sliding_windows(view(spark, sf_dir, "v_frames")).withColumn("window_no", F.col("window_no").cast("long"))
+    return windows.build_prompts(rows.join(context, ["video_id", "window_no"], "left"), "multi").select("video_id", "window_no", "prompt")
+
+
+@query("select job_id, 's3://' || output_s3_bucket || '/' || output_s3_key as uri from v_requests")
+def result_uris(spark, sf_dir):
+    return view(spark, sf_dir, "v_requests").select("job_id", result_uri("output_s3_bucket", "output_s3_key").alias("uri"))
+
+
+@query("select job_id, seq, coalesce(progress, case status when 'downloading' then 0.05 when 'processing' then 0.1 when 'uploading' then 0.85 when 'publishing' then 0.95 when 'completed' then 1.0 end) as progress from v_updates")
+def milestone_progress(spark, sf_dir):
+    return jobs.milestone_progress(view(spark, sf_dir, "v_updates")).select("job_id", "seq", "progress")
+
+
+@query("select vec_id, round(f[1] / sqrt(list_dot_product(f, f)), 6) as first, round(list_sum(f) / sqrt(list_dot_product(f, f)), 6) as total from look", look=LOOK)
+def l2_normalized(spark, sf_dir):
+    unit = looks(spark, sf_dir).select("vec_id", l2_normalize("features").alias("u"))
+    return unit.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from reelspark import schemas
 
 
-def _documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+def _documents(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    rows = spark.read.schema(schema).option("multiLine", not lines).json(path)
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return rows.withColumn("video_id", F.regexp_replace(name, r"\.[^.]*$", ""))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "/video_id=([^/]*)/", 1)
+    return rows.withColumn("video_id", F.coalesce(F.nullif(folder, F.lit("")), F.regexp_replace(name, r"\.[^.]*$", "")))
 
 
-def read_tracking(spark: SparkSession, path: str) -> DataFrame:
-    """Tracking documents, one a file; video_id is the file's name."""
-    return _documents(spark, path, schemas.TRACKING)
+def read_tracking(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Tracking documents, one a file, or one a line; video_id is the folder's (video_id=...) or else the file's name."""
+    return _documents(spark, path, schemas.TRACKING, lines)
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    return _documents(spark, path, schemas.DETECTIONS)
+def read_detections(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _documents(spark, path, schemas.DETECTIONS, lines)
 
 
 def explode_persons(detections: DataFrame) -> DataFrame:

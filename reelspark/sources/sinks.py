@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _text(df: DataFrame, path: str) -> None:
-    """One JSON text per row, in a folder for each video."""
-    df.select("video_id", F.col("value")).write.partitionBy("video_id").mode("overwrite").text(path)
+    """One JSON text per row, in a folder for each video; a video's rows are brought together first, large ones in several files."""
+    df.select("video_id", F.col("value")).hint("rebalance", "video_id").write.partitionBy("video_id").mode("overwrite").text(path)
 
 
 def _json(*cols: str, nulls: bool = True):
@@ -47,11 +47,16 @@ def write_messages(messages: DataFrame, path: str, format: str = "parquet", **op
 
 
 def write_tracking(docs: DataFrame, path: str) -> None:
-    _text(docs.withColumn("value", _json("model", "fps", "video_size", "num_objects", "frames")), path)
+    _text(docs.withColumn("value", _json("video", "model", "fps", "video_size", "num_objects", "frames")), path)
 
 
 def write_detections(dets: DataFrame, path: str) -> None:
-    """Detection documents from one row per person (video_id, frame_idx, track_id, box, confidence)."""
+    """Detection documents from one row per person (video_id, frame_idx, track_id, box, confidence).
+
+    video is the column of that name, else the video's id; video_size is an array column, empty without it.
+    """
+    named = {"video": F.col("video_id").cast("string"), "video_size": F.array().cast("array<int>")}
+    dets = dets.withColumns({k: v for k, v in named.items() if k not in dets.columns})
     person = F.struct("track_id", "box", "confidence")
-    docs = dets.groupBy("video_id", "frame_idx").agg(F.array_sort(F.collect_list(person)).alias("persons"))
-    _text(docs.withColumn("value", _json("frame_idx", "persons")).select("video_id", "value"), path)
+    docs = dets.groupBy("video_id", "frame_idx").agg(F.first("video").alias("video"), F.first("video_size").alias("video_size"), F.array_sort(F.collect_list(person)).alias("persons"))
+    _text(docs.withColumn("value", _json("video", "frame_idx", "video_size", "persons")).select("video_id", "value"), path)

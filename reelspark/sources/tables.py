@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only if a count proves that it has no more rows than this.
@@ -12,3 +15,13 @@ SMALL_ROWS = 200_000
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """`df` with a broadcast hint if it is proven small; else as it is, to be joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`); a local session may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/reelspark/{name}-{uuid.uuid4().hex}"

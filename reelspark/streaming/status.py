@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,45 +10,53 @@ from pyspark.sql import functions as F
 
 from reelspark.operators.events import finalise, upsert_events, video_status
 
+#: Parts, by a hash of the video, of the messages and of the status table; a batch reads and writes those it touches.
+BUCKETS = 64
+KEY = ("video_id", "event_type", "event_index")
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _current(spark: SparkSession, path: str) -> str | None:
+def _current(spark: SparkSession, path: str) -> dict[str, str]:
+    """The folder in which each bucket's status stands."""
     fs, p = _fs(spark, f"{path}/current")
-    return spark.read.text(str(p)).first()["value"] if fs.exists(p) else None
+    return json.loads(spark.read.text(str(p)).first()["value"]) if fs.exists(p) else {}
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame | None:
     """The status table as of the last batch, or None before the first."""
-    version = _current(spark, path)
-    return spark.read.parquet(f"{path}/status/{version}") if version else None
+    folders = _current(spark, path)
+    return spark.read.parquet(*[f"{path}/status/{v}/bucket={b}" for b, v in sorted(folders.items())]) if folders else None
 
 
 def upsert_status(batch: DataFrame, batch_id: int, path: str) -> None:
     """For foreachBatch: add a batch's messages and bring the status of the videos it touches up to date.
 
-    Messages are kept once per (video_id, event_type, event_index) in batch folders, which a repeated
-    batch overwrites; a new version of the status table is written beside the old one, and then a pointer
-    is switched. So a batch that runs twice, or breaks off half-way, changes nothing.
+    Messages are kept once per (video_id, event_type, event_index) in folders of bucket and batch, which a
+    repeated batch overwrites. The status of each bucket that the batch touches is written anew beside the old
+    one, and then one pointer to the folders of all buckets is switched. So a batch that runs twice, or
+    breaks off half-way, changes nothing, and no batch reads more than the buckets of its videos.
     """
     spark = batch.sparkSession
-    columns = ["video_id", "event_type", "event_index", "total_events", "Timestamp", "MessageId"]
-    rows = upsert_events(batch.select(columns), ("video_id", "event_type", "event_index"))
-    rows.write.mode("overwrite").parquet(f"{path}/messages/batch={batch_id}")
-    touched = spark.read.parquet(f"{path}/messages/batch={batch_id}").select("video_id").distinct()
-    history = spark.read.parquet(f"{path}/messages").where(F.col("batch") <= batch_id).join(touched, "video_id", "left_semi")
-    new = video_status(upsert_events(history.select(columns), ("video_id", "event_type", "event_index")))
-    stamps = history.groupBy("video_id").agg(F.min("Timestamp").alias("created_at"), F.max("Timestamp").alias("updated_at"))
-    new = new.join(stamps, "video_id").withColumn("finalized", F.coalesce(F.expr("completion_received and received_count >= expected_total"), F.lit(False)))
-    old = read_status(spark, path)
-    if old is not None:
-        new = old.join(touched, "video_id", "left_anti").unionByName(new)
+    rows = upsert_events(batch.select(*KEY, "total_events", "completion", "Timestamp", "MessageId"), KEY)
+    rows = rows.withColumns({"bucket": F.pmod(F.xxhash64("video_id"), F.lit(BUCKETS)).cast("int"), "batch": F.lit(batch_id)})
+    messages = f"{path}/messages"
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(messages)
+    kept = spark.read.schema(rows.schema).parquet(messages)
+    hit = sorted(r["bucket"] for r in kept.where(F.col("batch") == batch_id).select("bucket").distinct().collect())
+    if not hit:
+        return
+    history = kept.where(F.col("bucket").isin(hit) & (F.col("batch") <= batch_id))
+    new = video_status(upsert_events(history.drop("bucket", "batch"), KEY))
+    new = new.withColumn("finalized", F.coalesce(F.expr("completion_received and received_count >= expected_total"), F.lit(False)))
+    new = new.withColumn("bucket", F.pmod(F.xxhash64("video_id"), F.lit(BUCKETS)).cast("int"))
     version = f"batch-{batch_id}-{uuid.uuid4().hex}"
-    new.write.parquet(f"{path}/status/{version}")
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    new.repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/status/{version}")
+    folders = _current(spark, path) | {str(b): version for b in hit}
+    spark.createDataFrame([(json.dumps(folders),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
 
 
 def run_status_stream(messages: DataFrame, path: str, checkpoint: str) -> None:

@@ -19,17 +19,21 @@ def test_tracking_round_trip(spark, tmp_path):
     assert row.video_id == "abc" and row.frames[0].athletes[0].box == [1.0, 2.0, 3.0, 4.0] and row.frames[1].athletes == []
     sinks.write_tracking(got, str(tmp_path / "out"))
     text = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
-    assert text["frames"][0]["athletes"][0]["mask_area"] == 9 and text["num_objects"] == 1
+    assert text["frames"][0]["athletes"][0]["mask_area"] == 9 and text["num_objects"] == 1 and text["video"] == "v"
+    assert readers.read_tracking(spark, str(tmp_path / "out"), lines=True).first().video_id == "abc"
 
 
 def test_detections_round_trip(spark, tmp_path):
-    doc = {"video": "v", "frame_idx": 3, "video_size": [10, 10], "persons": [{"box": [1, 2, 3, 4], "confidence": 0.5, "track_id": 1}]}
+    doc = {"video": "v", "frame_idx": 3, "video_size": [10, 20], "persons": [{"box": [1, 2, 3, 4], "confidence": 0.5, "track_id": 1}]}
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.json").write_text(json.dumps(doc))
     rows = readers.explode_persons(readers.read_detections(spark, str(tmp_path / "in")))
     assert rows.first().det_idx == 0
     sinks.write_detections(rows, str(tmp_path / "out"))
     assert json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])["persons"][0]["confidence"] == 0.5
+    sinks.write_detections(rows.withColumns({"video": F.lit("v.mp4"), "video_size": F.array(F.lit(10), F.lit(20))}), str(tmp_path / "named"))
+    again = readers.read_detections(spark, str(tmp_path / "named"), lines=True).first()
+    assert (again.video, again.video_size, again.video_id, again.frame_idx) == ("v.mp4", [10, 20], "x", 3)
 
 
 def test_raw_log_and_result(spark, tmp_path):
@@ -59,8 +63,8 @@ def test_messages_and_requests(spark, tmp_path):
 
 def envelope(video, index, total, at):
     done = index is None
-    body = {"video_id": video, "job_id": "j", "total_event_count": total} if done else {"id": f"{video}-{index}", "video_id": video, "start_time": "00:00:00", "end_time": "00:00:01", "event_candidates": []}
-    attrs = {"event_type": "analysis_complete", "total_events": str(total)} if done else {"event_type": "bjj_event_detected", "event_index": str(index), "total_events": str(total), "category": "X"}
+    body = {"video_id": video, "job_id": "j", "total_event_count": total, "result_s3_uri": None} if done else {"id": f"{video}-{index}", "video_id": video, "start_time": "00:00:00", "end_time": "00:00:01", "event_candidates": []}
+    attrs = {"event_type": "analysis_complete"} if done else {"event_type": "bjj_event_detected", "event_index": str(index), "total_events": str(total), "category": "X"}
     return {"Type": "Notification", "MessageId": f"{video}-{index}-{at}", "TopicArn": "t", "Message": json.dumps(body), "MessageAttributes": {k: {"Type": "String", "Value": v} for k, v in attrs.items()}, "Timestamp": f"2024-01-01T00:00:{at:02d}Z"}
 
 
@@ -81,6 +85,7 @@ def test_status_stream_equals_batch(spark, tmp_path):
     batch = events.video_status(events.parse_envelope(readers.read_messages(spark, str(tmp_path / "in"))))
     assert {x.video_id: x.received_count for x in batch.collect()} == {v: g[0] for v, g in got.items()}
     assert {x.video_id for x in events.finalise(batch).collect()} == {"a", "d"}
+    assert {x.video_id: x.job_id for x in batch.collect()} == {"a": "j", "b": "j", "c": None, "d": "j"}
     # the same batch once more changes nothing
     status.upsert_status(events.parse_envelope(readers.read_messages(spark, str(tmp_path / "in"))), 0, str(tmp_path / "out"))
     assert status.read_status(spark, str(tmp_path / "out")).where("finalized").count() == 2

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import frame_to_timestamp, hist_correlation, l2_normalize
+from reelspark.schemas import REQUIRED
 from reelspark.operators import clips, detections, events, frames, geometry, jobs, reid, responses, windows
 
 
@@ -153,9 +154,16 @@ def test_policies(spark):
 def test_requests(spark):
     good = "00000000-0000-0000-0000-00000000000A"
     rows = [(good, "1", None, None), (good, "0", "both", "x"), ("bad", "1.5", "multi", None), (None, None, None, None)]
-    got = jobs.validate_requests(spark.createDataFrame(rows, "video_id string, sampling_rate string, analyzer_mode string, method string")).collect()
+    places = [F.lit("x").alias(c) for c in REQUIRED[1:]]
+    df = spark.createDataFrame(rows, "video_id string, sampling_rate string, analyzer_mode string, method string")
+    got = jobs.validate_requests(df.select("*", *places)).collect()
     assert [x.errors for x in got] == [[], ["sampling_rate", "analyzer_mode"], ["video_id not a uuid", "sampling_rate"], ["video_id missing"]]
     assert (got[0].video_id, got[0].method, got[3].sampling_rate) == (good.lower(), "esrgan", 1)
+    # absent columns are missing in every row
+    assert jobs.validate_requests(df.limit(1)).first().errors == [f"{c} missing" for c in REQUIRED[1:]]
+    forms = [good.replace("-", ""), "{" + good + "}", "urn:uuid:" + good, good[:-1], "x" + good]
+    got = jobs.validate_requests(spark.createDataFrame([(x,) for x in forms], "video_id string").select("*", *places)).collect()
+    assert [x.errors for x in got] == [[]] * 3 + [["video_id not a uuid"]] * 2 and {x.video_id for x in got[:3]} == {good.lower()}
 
 
 def test_picks_need_two(spark):
