@@ -2,7 +2,7 @@
 
 A bounded sample of vectors serves as reference points (pivots). Each vector is described by its nearest
 pivots in order; an inverted list holds, for a pivot, the vectors that have it among their nearest.
-Vectors of one list that share enough pivots are compared exactly.
+Within a list shared pivots are counted first, and only vectors that share enough of them are compared exactly.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from reelspark.llm.components import connected_components
 
 #: Rows of one block of an inverted list; a longer list is worked on as pairs of blocks.
 BLOCK = 1024
+#: Pivots at least and at most; in between, four times the square root of the number of different vectors.
+PIVOTS = (128, 2048)
 
 
 def usable(vec: str = "embedding"):
@@ -25,20 +27,37 @@ def usable(vec: str = "embedding"):
     return F.col(vec).isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def fit_pivots(classes: DataFrame, n_pivots: int, sample: int = 8, apart: float = 0.7) -> np.ndarray:
+def pivots_for(n: int) -> int:
+    """How many pivots an index of n vectors gets: lists grow with the square root of n only, up to the largest number of pivots."""
+    return int(min(PIVOTS[1], max(PIVOTS[0], 4 * n**0.5)))
+
+
+def fit_pivots(classes: DataFrame, n_pivots: int, sample: int = 8, apart: float = 0.9) -> np.ndarray:
     """Unit pivots from a bounded sample: the `sample * n_pivots` distinct vectors with the smallest hashes.
 
     Of these, one after the other is taken, up to `n_pivots`, unless its cosine with a pivot is `apart` or
-    more: a large group of near copies gives one pivot, whose place in a vector's order noise can't change.
+    more: a large group of near copies gives few pivots, whose places in a vector's order noise can't change.
     """
     got = classes.select("vec").where(F.size("vec") > 0).orderBy(F.xxhash64("vec"), "vec").limit(sample * n_pivots).collect()
     width = max((len(r["vec"]) for r in got), default=0)
     x = np.array([r["vec"] for r in got if len(r["vec"]) == width], dtype=np.float64)
-    pivots = np.zeros((0, width))
+    pivots, n = np.zeros((n_pivots, width)), 0
     for v in _unit(x) if len(x) else x:
-        if len(pivots) < n_pivots and (pivots @ v < apart).all():
-            pivots = np.vstack([pivots, v])
-    return pivots
+        if n < n_pivots and (pivots[:n] @ v < apart).all():
+            pivots[n], n = v, n + 1
+    return pivots[:n]
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """The numbers of the k nearest pivots of each unit vector, in order."""
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
+
+
+def candidates(near: np.ndarray, n_pivots: int, need: int, pivot: int = 0) -> np.ndarray:
+    """Which vectors share at least `need` of their nearest pivots, and none with a number below `pivot`."""
+    has = np.zeros((len(near), n_pivots), dtype=np.float32)
+    has[np.arange(len(near))[:, None], near] = 1
+    return (has @ has.T >= need) & (has[:, :pivot] @ has[:, :pivot].T == 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -61,9 +80,9 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def embedding_groups(
     vectors: DataFrame,
     threshold: float = 0.93,
-    n_pivots: int = 128,
+    n_pivots: int | None = None,
     nearest: int = 8,
-    shared: int = 2,
+    shared: int = 3,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     label_col: str = "label",
@@ -77,8 +96,8 @@ def embedding_groups(
 
     Equal vectors of a label are one class, counted with its size, so a third of all rows being one
     vector makes one index entry. A class stands in the lists of its `nearest` pivots; two classes are
-    candidates if they share at least `shared` pivots, and are compared in the list of the first pivot
-    they share. A list longer than a block is dealt as pairs of blocks, so no task grows with it. In each
+    candidates if they share at least `shared` pivots, which is counted before anything else, and are compared in
+    the list of the first pivot they share. A list longer than a block is dealt as pairs of blocks, so no task grows with it. In each
     block pair links are counted and only a spanning forest of them leaves the task. A pair whose nearest
     pivots differ too much is not found: that is the index's recall.
     """
@@ -87,7 +106,7 @@ def embedding_groups(
     # -0.0 and 0.0 are one number here
     ok = ok.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     classes = stored(ok.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "embed-classes")
-    pivots = fit_pivots(classes, n_pivots)
+    pivots = fit_pivots(classes, n_pivots or pivots_for(classes.count()))
     k = min(nearest, len(pivots))
     need = min(shared, k)
 
@@ -97,9 +116,8 @@ def embedding_groups(
             for n in sorted(width.unique()):
                 part = pdf[width == n]
                 x = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-                sim = x @ pivots.T if n == pivots.shape[1] else np.zeros((len(x), len(pivots)))
-                order = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"label": part["label"], "dims": int(n), "rep": part["rep"], "copies": part["copies"], "near": list(order.astype(np.int32)), "unit": list(x)})
+                near = nearest_pivots(x if n == pivots.shape[1] else np.zeros((len(x), pivots.shape[1])), pivots, k)
+                yield pd.DataFrame({"label": part["label"], "dims": int(n), "rep": part["rep"], "copies": part["copies"], "near": list(near), "unit": list(x)})
 
     kind = dict(rows.dtypes)["label"]
     described = classes.mapInPandas(describe, f"label {kind}, dims int, rep long, copies long, near array<int>, unit array<double>")
@@ -117,13 +135,18 @@ def embedding_groups(
         pdf = pdf.sort_values("rep", kind="stable")
         n, p = len(pdf), int(pdf["pivot"].iloc[0])
         x = np.stack(pdf["unit"].to_numpy())
-        has = np.zeros((n, len(pivots)), dtype=np.float32)
-        has[np.arange(n)[:, None], np.stack(pdf["near"].to_numpy())] = 1
         rep, copies, block = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        linked = (x @ x.T >= threshold) & (has @ has.T >= need) & (has[:, :p] @ has[:, :p].T == 0)
+        linked = candidates(np.stack(pdf["near"].to_numpy()), len(pivots), need, p)
         linked[np.arange(n), np.arange(n)] = False
         if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
             linked &= block[:, None] != block[None, :]  # pairs within one block belong to that block's own group
+        if linked.mean() > 0.1:
+            linked &= x @ x.T >= threshold
+        else:
+            a, b = np.nonzero(np.triu(linked))
+            ok = np.concatenate([np.einsum("ij,ij->i", x[a[i : i + 8192]], x[b[i : i + 8192]]) >= threshold for i in range(0, len(a), 8192)] or [np.zeros(0, dtype=bool)])
+            linked[:] = False
+            linked[a[ok], b[ok]] = linked[b[ok], a[ok]] = True
         links, root = linked @ copies, rep[_roots(linked)]
         keep = links > 0
         return pd.DataFrame({"rep": rep[keep], "links": links[keep], "root": root[keep]})

@@ -243,6 +243,23 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
 
 
+def test_few_vectors_are_compared(spark, sf):
+    """Over whole tables, sharing pivots leaves less than a tenth of all pairs of a label to compare, and all but few links."""
+    frame = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").where(F.col("label").isNotNull() & embedding_dedup.usable()).select("label", F.col("embedding").cast("array<double>").alias("vec"))
+    rows = frame.distinct().toPandas()
+    pivots = embedding_dedup.fit_pivots(frame.distinct(), embedding_dedup.pivots_for(len(rows)))
+    compared = pairs = links = found = 0
+    noise = np.random.default_rng(0)
+    for label in sorted(set(rows.label)):
+        x = embedding_dedup._unit(np.stack(rows.vec[rows.label == label]))
+        x = np.concatenate([x, embedding_dedup._unit(x + noise.normal(size=x.shape) * 0.04 * np.abs(x).max())])
+        near = embedding_dedup.nearest_pivots(x, pivots, 8)
+        ask, link = embedding_dedup.candidates(near, len(pivots), 3), x @ x.T >= 0.93
+        up = np.triu_indices(len(x), 1)
+        compared, pairs, links, found = compared + ask[up].sum(), pairs + len(up[0]), links + link[up].sum(), found + (ask & link)[up].sum()
+    assert compared < 0.1 * pairs and links > 1000 and found >= 0.9 * links
+
+
 def test_embedding_lists_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(8)
     base = r.normal(size=8)
