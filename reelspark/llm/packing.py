@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -73,7 +74,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col
 
     def run(batches):
         enc = encoder(path, kind)
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
             out: list[tuple] = []
             docs, rows, texts = (c.to_pylist() for c in batch.columns)
             for doc, row, x in zip(docs, rows, enc.encode_all([t or "" for t in texts]), strict=True):
@@ -90,25 +91,42 @@ def packed(cut: DataFrame, size: int, group_rows: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to rows with a length of 1 to `size`.
 
     The rows (lengths and keys only, no ids) are dealt by a hash of all their columns into groups of
-    about `group_rows`, each with the mix of lengths of the whole. Every group is packed by itself, so no
-    task grows with the input; each can leave at most a few sequences fuller or emptier than one single
-    packing would. Groups are packed in one pass each over at most some `group_rows` rows.
+    about `group_rows`, each with the mix of lengths of the whole, so no task grows with the input. Then the rows
+    of all sequences with more than 1/64 of room are taken out and packed anew, in fewer groups, and so on while
+    that at least halves the groups: what groups leave over meets in the end in one group.
     """
-    n = max(1, -(-cut.count() // group_rows))
+    out, turn, groups = [], 0, max(1, -(-cut.count() // group_rows))
+    while True:
+        got = stored(_packed_once(cut, size, groups, turn), f"packed-{turn}")
+        left = got.where("open")
+        fewer = max(1, -(-left.count() // group_rows))
+        if groups == 1 or 2 * fewer > groups:
+            out.append(got.drop("open"))
+            return functools.reduce(DataFrame.unionByName, out)
+        out.append(got.where("not open").drop("open"))
+        cut, turn, groups = left.drop("open", "sequence_id", "offset"), turn + 1, fewer
+
+
+def _packed_once(cut: DataFrame, size: int, groups: int, turn: int) -> DataFrame:
+    """Each group packed by itself; open tells whether a row's sequence has more than 1/64 of room."""
 
     def run(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         got = pa.Table.from_batches(got).sort_by([(c, "ascending") for c in ("length", "doc_id", "row", "piece")])
-        bins, offsets = best_fit(got["length"].to_numpy(), size)
-        part = got["part"].to_numpy().astype(np.int64)
-        got = got.drop_columns(["part"]).append_column("sequence_id", pa.array((part << 40) + bins)).append_column("offset", pa.array(offsets))
+        lengths, part = got["length"].to_numpy(), got["part"].to_numpy().astype(np.int64)
+        bins, offsets = best_fit(lengths, size)
+        room = size - np.bincount(bins, weights=lengths)
+        # numbers of rounds, groups and sequences side by side
+        number = (turn << 56) + (part << 24) + bins
+        got = got.drop_columns(["part"])
+        for name, values in (("sequence_id", number), ("offset", offsets), ("open", room[bins] * 64 > size)):
+            got = got.append_column(name, pa.array(values))
         yield from got.to_batches(max_chunksize=10_000)
 
-    fields = PIECES + ", sequence_id long, offset long"
-    dealt = cut.repartition(n, F.xxhash64("doc_id", "row", "piece")).withColumn("part", F.spark_partition_id())
-    return dealt.mapInArrow(run, fields)
+    dealt = cut.repartition(groups, F.xxhash64("doc_id", "row", "piece", F.lit(turn))).withColumn("part", F.spark_partition_id())
+    return dealt.mapInArrow(run, PIECES + ", sequence_id long, offset long, open boolean")
 
 
 def pack_documents(
