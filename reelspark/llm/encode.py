@@ -41,34 +41,18 @@ def byte_names() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
 
-class Encoder:
-    """kind: "byte" (byte-level pieces as they are) or "word" (NFC, lower case, white space dropped)."""
-
-    def __init__(self, path: str, kind: str, cache_words: int = 500_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+class WordTable:
+    """Ids of words, one after the other in one array."""
 
-        self.library = Tokenizer.from_file(path)
-        self.kind, self.most = kind, cache_words
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        vocabulary = self.library.get_vocab()
-        #: Bytes of text that each id stands for: one for each character of its byte-level name.
-        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
-        for name, i in vocabulary.items():
-            self.width[i] = len(name.removesuffix("</w>") if kind == "word" else name)
-        if kind == "byte":
-            #: The library on pieces that are cut already and stand between spaces.
-            self.merges = Tokenizer.from_file(path)
-            self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-            self.pieces = regex.compile(BYTE_PIECES).findall
-            self.names = byte_names()
+    def __init__(self, most: int):
+        self.most = most
         #: Place of each known word among the three arrays: where its ids start, how many they are, how often texts had it.
         self.known: dict[str, int] = {}
         self.start, self.size, self.seen = (np.zeros(1024, dtype=np.int64) for _ in range(3))
         self.ids, self.used = np.zeros(4096, dtype=np.uint32), 0
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
 
     def add(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
         """Remember words, each with its part of `ids` up to its end."""
@@ -99,6 +83,48 @@ class Encoder:
         ends = np.cumsum(size)
         return self.ids[np.repeat(self.start[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
+    def looked_up(self, words: pa.ListArray) -> list[np.ndarray]:
+        """The ids of each text from its words; those that are new are learned first."""
+        coded = words.flatten().dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        if len(self.known) + len(distinct) > self.most:
+            self.forget()
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self.learn(new)
+        places = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.seen[places] += np.bincount(index, minlength=len(distinct))
+        ids, ends = self.gather(places[index])
+        cuts = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+class Encoder(WordTable):
+    """kind: "byte" (byte-level pieces as they are) or "word" (NFC, lower case, white space dropped)."""
+
+    def __init__(self, path: str, kind: str, cache_words: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library = Tokenizer.from_file(path)
+        super().__init__(cache_words)
+        self.kind = kind
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        #: Bytes of text that each id stands for: one for each character of its byte-level name.
+        self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for name, i in vocabulary.items():
+            self.width[i] = len(name.removesuffix("</w>") if kind == "word" else name)
+        if kind == "byte":
+            #: The library on pieces that are cut already and stand between spaces.
+            self.merges = Tokenizer.from_file(path)
+            self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+            self.pieces = regex.compile(BYTE_PIECES).findall
+            self.names = byte_names()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
     def split(self, ids: np.ndarray, widths: np.ndarray) -> np.ndarray | None:
         """Where the ids of parts of so many bytes end; None if they don't end between ids."""
         place, ends = np.concatenate(([0], np.cumsum(self.width[ids]))), np.cumsum(widths)
@@ -168,21 +194,6 @@ class Encoder:
             words = pa.array(words, pa.list_(pa.string()))
         return words
 
-    def group(self, texts: list[str]) -> list[np.ndarray]:
-        words = self.cut(texts)
-        coded = words.flatten().dictionary_encode()
-        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        if len(self.known) + len(distinct) > self.most:
-            self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
-            self.learn(new)
-        places = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        self.seen[places] += np.bincount(index, minlength=len(distinct))
-        ids, ends = self.gather(places[index])
-        cuts = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers, without special tokens of its own."""
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -194,7 +205,7 @@ class Encoder:
                 some.append(i)
                 chars += len(t)
             if some and (chars >= GROUP_CHARS or i + 1 == len(texts)):
-                for k, ids in zip(some, self.group([texts[k] for k in some]), strict=True):
+                for k, ids in zip(some, self.looked_up(self.cut([texts[k] for k in some])), strict=True):
                     out[k] = ids
                 some, chars = [], 0
         return out

@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
 Words of equal length advance together; the hash of every substring is looked up among the sorted hashes
-of all pieces, and each position keeps a backpointer to the best way to reach it.
+of all pieces, and each position keeps the largest sum of scores of a way to reach it and a backpointer to that way.
 
 The model files at hand are of the merging kind (BPE), whose ids are not those of the largest sum of
-scores. Every beginning of a merged text is itself merged, so the search is over pairs instead: a piece
-may follow another only if merging their joint text gives just these two. One way to each position is
-left, and it is the library's.
+scores over all ways. Every beginning of a merged text is itself merged, so ways are ruled out by pairs: a piece
+may follow another only if merging their joint text gives just these two. Other steps count as minus infinity in
+the maxima, and what is left is the library's way.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm.encode import WordTable
 from reelspark.llm.shingles import mix
 
 SPACE = "▁"
@@ -31,12 +33,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 CELLS = 1 << 20
 
 
-class Codec:
-    """Reads pieces, scores and byte pieces from a BPE model file that keeps white space as it is (identity normalizer)."""
+#: Stands between words when many texts are cut at once; texts that hold it are cut one by one.
+LINE = "\0"
+#: Substrings whose hash marks no bit here are no pieces.
+MARKS = 1 << 21
 
-    def __init__(self, path: str, cache_words: int = 700_000):
+
+class Codec(WordTable):
+    """Reads pieces, scores and byte pieces from a BPE model file that keeps white space as it is (identity normalizer); refuses others."""
+
+    def __init__(self, path: str, cache_words: int = 500_000):
         import sentencepiece
 
+        super().__init__(cache_words)
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         text = [sp.id_to_piece(i) for i in ids]
@@ -48,15 +57,16 @@ class Codec:
         self.id_of = {text[i]: i for i in plain}
         # Numbers in the order of creation: characters, then merged pieces by falling score. Pieces that merging never makes are left out.
         self.parts: list[tuple[int, int]] = []
-        self.ids: list[int] = []
+        id_of: list[int] = []
         number: dict[str, int] = {}
         for i in sorted((i for i in plain if SPACE * 2 not in text[i]), key=lambda i: (len(text[i]) > 1, -self.score[text[i]], i)):
             made = self.merge(text[i])
             if len(made) == 1:
-                number[text[i]] = len(self.ids)
-                self.ids.append(i)
+                number[text[i]] = len(id_of)
+                id_of.append(i)
                 self.parts.append(tuple(number[p] for p in made[0][1]) if len(text[i]) > 1 else (number[text[i]],) * 2)
-        self.number = number
+        self.number, self.piece_ids = number, np.array(id_of, dtype=np.uint32)
+        self.piece_scores = np.array([self.score[t] for t in number])
         self.text_of = list(number)
         self.longest = max(map(len, number))
         keys = np.array([self._key(t) for t in number], dtype=np.uint64)
@@ -67,10 +77,15 @@ class Codec:
         self.bytes = [b"" if special[i] else text[i].encode() for i in ids]
         for b, i in self.byte_ids.items():
             self.bytes[i] = bytes([b])
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, bool] = {}
-        self.most = cache_words
+        self.marks = np.zeros(MARKS, dtype=bool)
+        self.marks[(self.keys & np.uint64(MARKS - 1)).astype(np.int64)] = True
+        #: Pairs of pieces that were asked for, in order, and whether the second may follow the first.
+        self.pairs, self.fits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
         self.words = regex.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        names = [t.replace(SPACE, " ") for t in self.text_of]
+        probes = ["".join(names[i : i + 3]) for i in range(0, len(names), max(1, len(names) // 300))] + ["  a  b ", "\uff21 \t\u00e9"]
+        if any(ids.tolist() != sp.encode(t) for ids, t in zip(self.encode(probes), probes, strict=True)):
+            raise ValueError("not a BPE model that keeps white space and characters as they are")
 
     @staticmethod
     def _key(s: str) -> np.uint64:
@@ -127,79 +142,108 @@ class Codec:
                 j -= 1
 
     def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair, back = np.unique(a * np.int64(len(self.ids)) + b, return_inverse=True)
-        out = np.zeros(len(pair), dtype=bool)
-        for k, p in enumerate(pair.tolist()):
-            ok = self.pairs.get(p)
-            if ok is None:
-                ok = self.pairs[p] = self.may_follow(*divmod(p, len(self.ids)))
-            out[k] = ok
-        return out[back]
-
-    def viterbi(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of words of one length."""
-        m, n = len(words), len(words[0])
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
-        most = min(n, self.longest)
-        piece = np.full((m, n, most), -1, dtype=np.int64)
-        h = np.zeros((m, n), dtype=np.uint64)
-        for size in range(1, most + 1):
+        pair, back = np.unique(a * np.int64(len(self.piece_ids)) + b, return_inverse=True)
+        at = np.searchsorted(self.pairs, pair)
+        new = pair[self.pairs[np.minimum(at, len(self.pairs) - 1)] != pair] if len(self.pairs) else pair
+        if len(new):
+            fits = np.array([self.may_follow(*divmod(p, len(self.piece_ids))) for p in new.tolist()])
+            order = np.argsort(np.concatenate((self.pairs, new)), kind="stable")
+            self.pairs, self.fits = np.concatenate((self.pairs, new))[order], np.concatenate((self.fits, fits))[order]
+            at = np.searchsorted(self.pairs, pair)
+        return self.fits[at][back]
+
+    def _numbers(self, code: np.ndarray, begin: int, end: int, most: int) -> np.ndarray:
+        """[word, character from `begin` to `end`, size - 1]: the number of the piece of that size that ends with the character, or -1."""
+        low = max(0, begin - most + 1)
+        out = np.full((len(code), end - low, most), -1, dtype=np.int32)
+        part, h = code[:, low:end], np.zeros((len(code), end - low), dtype=np.uint64)
+        for size in range(1, min(most, end - low) + 1):
             # of the substrings of this size by their first character
-            h = h[:, : n - size + 1] * _BASE + code[:, size - 1 :]
+            h = h[:, : end - low - size + 1] * _BASE + part[:, size - 1 :]
             key = mix(h + np.uint64(size))
+            row, col = np.nonzero(self.marks[(key & np.uint64(MARKS - 1)).astype(np.int64)])
+            key = key[row, col]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            piece[:, size - 1 :, size - 1] = np.where(self.keys[at] == key, self.of_key[at], -1)
+            out[row, col + size - 1, size - 1] = np.where(self.keys[at] == key, self.of_key[at], -1)
+        return out[:, begin - low :]
+
+    def viterbi(self, words: list[str]) -> None:
+        """Learn words of one length. Pieces are looked up for some characters at a time, so that one very long word needs no more memory than its backpointers."""
+        m, n = len(words), len(words[0])
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").reshape(m, n).astype(np.uint64) + np.uint64(1)
+        most, row = min(n, self.longest), np.arange(m)
+        step = max(1, CELLS // (m * most))
         # -2: nothing before, -1: a character that is no piece; neither ever merges with what follows
-        last = np.full((m, n + 1), -2, dtype=np.int64)
-        back = np.ones((m, n + 1), dtype=np.int64)
+        last = np.full((m, n + 1), -2, dtype=np.int32)
+        back = np.ones((m, n + 1), dtype=np.int8 if most < 128 else np.int32)
+        best = np.zeros((m, n + 1))
         for end in range(1, n + 1):
+            if (end - 1) % step == 0:
+                piece, first = self._numbers(code, end - 1, min(n, end - 1 + step), most), end - 1
             few = min(end, most)
-            now = piece[:, end - 1, :few]
-            prior = last[:, end - few : end][:, ::-1]
-            reach = now >= 0
-            ask = reach & (prior >= 0)
-            reach[ask] = self._fit(prior[ask], now[ask])
-            size = reach.argmax(axis=1)
-            row = np.arange(m)
-            some = reach[row, size]
+            now = piece[:, end - 1 - first, :few]
+            i, size = np.nonzero(now >= 0)
+            of, prior = now[i, size].astype(np.int64), last[i, end - 1 - size].astype(np.int64)
+            ask = prior >= 0
+            ok = np.ones(len(i), dtype=bool)
+            ok[ask] = self._fit(prior[ask], of[ask])
+            value = np.full((m, few), -np.inf)
+            value[i[ok], size[ok]] = best[i[ok], end - 1 - size[ok]] + self.piece_scores[of[ok]]
+            size = value.argmax(axis=1)
+            top = value[row, size]
+            some = top > -np.inf
+            best[:, end] = np.where(some, top, best[:, end - 1])
             back[:, end] = np.where(some, size + 1, 1)
             last[:, end] = np.where(some, now[row, size], -1)
-        out = []
-        for i, word in enumerate(words):
+        ends, steps = np.full(m, n), []
+        while (ends > 0).any():
+            steps.append(np.where(ends > 0, last[row, ends], -2))
+            ends = np.maximum(0, ends - back[row, ends])
+        path = np.stack(steps[::-1], axis=1)
+        plain = (path != -1).all(axis=1)
+        made = path[plain]
+        self.add([words[i] for i in np.flatnonzero(plain).tolist()], self.piece_ids[made[made >= 0]], np.cumsum((made >= 0).sum(axis=1)))
+        for i in np.flatnonzero(~plain).tolist():
             ids, end = [], n
             while end:
                 p = int(last[i, end])
-                ids.append([self.ids[p]] if p >= 0 else [self.byte_ids.get(b, self.unknown) for b in word[end - 1].encode("utf-8", "replace")])
+                ids.append([int(self.piece_ids[p])] if p >= 0 else [self.byte_ids.get(b, self.unknown) for b in words[i][end - 1].encode("utf-8", "replace")])
                 end -= int(back[i, end])
-            out.append(tuple(chain.from_iterable(reversed(ids))))
-        return out
+            flat = np.fromiter(chain.from_iterable(reversed(ids)), dtype=np.uint32)
+            self.add([words[i]], flat, np.array([len(flat)]))
 
     def spaced(self, word: str) -> tuple[int, ...]:
         """Ids of a word with several spaces in a row: their pieces share one score, so that place alone decides."""
         made = [p for p, _ in self.merge(word)]
         return tuple(chain.from_iterable([self.id_of[p]] if p in self.id_of else [self.byte_ids.get(b, self.unknown) for b in p.encode("utf-8", "replace")] for p in made))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; a text begins with a space of its own unless it is empty."""
-        cut = [self.words(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        if len(self.pairs) > 4 * self.most:
-            self.pairs.clear()
+    def learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = defaultdict(list)
-        for w in dict.fromkeys(chain.from_iterable(cut)):
-            if w not in self.known:
-                if SPACE * 2 in w:
-                    self.known[w] = self.spaced(w)
-                else:
-                    by_length[len(w)].append(w)
-        for n, words in by_length.items():
+        for w in words:
+            if SPACE * 2 in w or not w:
+                ids = np.array(self.spaced(w), dtype=np.uint32)
+                self.add([w], ids, np.array([len(ids)]))
+            else:
+                by_length[len(w)].append(w)
+        if len(self.pairs) > 4 * self.most:
+            self.pairs, self.fits = self.pairs[:0], self.fits[:0]
+        for n, some in by_length.items():
             step = max(1, CELLS // (n * min(n, self.longest)))
-            for at in range(0, len(words), step):
-                part = words[at : at + step]
-                self.known.update(zip(part, self.viterbi(part), strict=True))
-        get = self.known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(get, c)), dtype=np.int32) for c in cut]
+            for at in range(0, len(some), step):
+                self.viterbi(some[at : at + step])
+
+    def cut(self, texts: list[str]) -> pa.ListArray:
+        """The words of texts; a text begins with a space of its own unless it is empty."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        plain = [SPACE * 2 not in t and t[-1:] != SPACE and LINE not in t for t in marked]
+        words = pc.split_pattern(pa.array([t.replace(SPACE, LINE + SPACE)[1:] if ok else "" for t, ok in zip(marked, plain, strict=True)], pa.string()), LINE)
+        if all(plain):
+            return words
+        return pa.array([w if ok else self.words(t) for w, t, ok in zip(words.to_pylist(), marked, plain, strict=True)], pa.list_(pa.string()))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a text begins with a space of its own unless it is empty."""
+        return self.looked_up(self.cut(texts))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control ids and unknown ones give nothing."""

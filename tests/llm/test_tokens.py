@@ -109,6 +109,31 @@ def test_packing_in_groups(spark):
     assert len(rows) == 400 and len(by) <= tightest([r.length for r in rows], 128) + 1
 
 
+def test_sentencepiece_one_long_word(monkeypatch):
+    """A word longer than what is looked up at a time, against the library; ids do not hang on where it is cut."""
+    import sentencepiece
+
+    lib, r = sentencepiece.SentencePieceProcessor(model_file=SP), random.Random(3)
+    texts = ["".join(r.choice("abcdeinstrhoé漢9") for _ in range(3000)), "a" * 5000]
+    whole = [x.tolist() for x in sentencepiece_codec.Codec(SP).encode(texts)]
+    monkeypatch.setattr(sentencepiece_codec, "CELLS", 900)
+    assert whole == [x.tolist() for x in sentencepiece_codec.Codec(SP).encode(texts)] == [lib.encode(t) for t in texts]
+
+
+def test_sentencepiece_refuses_other_models(monkeypatch):
+    import sentencepiece
+
+    class Other(sentencepiece.SentencePieceProcessor):
+        """Gives ids that merging does not give."""
+
+        def encode(self, text):
+            return list(reversed(super().encode(text)))
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Other)
+    with pytest.raises(ValueError):
+        sentencepiece_codec.Codec(SP)
+
+
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
 
