@@ -40,6 +40,7 @@ def rotated_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     conversation are left out. A conversation is cut into chunks of 256 turn numbers, to be read in the
     order of chunk and slot, so that a conversation of a third of all rows is many rows: slot is 0 but
     where over 1024 different rows share a chunk, which is cut after each 1024 of them in that order. No rows give no rows; other columns are ignored.
+    The result has each turn once for every speaker of its conversation, as the method wants: it grows with their product.
     """
     name = F.coalesce(F.col(role_col).cast("string"), F.lit("unknown"))
     rows = turns.where(F.col(conv_col).isNotNull()).select(

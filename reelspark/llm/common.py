@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system; Python workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over Arrow batches, with `release` after each batch."""
+
+    def out(batches):
+        def each():
+            for batch in batches:
+                yield batch
+                del batch
+                release()
+
+        yield from run(each())
+        release()
+
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else; null counts as empty. Texts of ASCII alone take the faster built-in."""
     text = F.coalesce(text, F.lit(""))

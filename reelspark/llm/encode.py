@@ -31,7 +31,7 @@ BLANK = "\t\n\r\xa0 "
 #: Begins the key of what has no space before it; no text that is cut into words holds this character.
 BARE = "\0"
 #: Characters of texts that are cut into words together.
-GROUP_CHARS = 8 << 20
+GROUP_CHARS = 4 << 20
 
 
 def byte_names() -> dict[int, int]:

@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import BROADCAST_ROWS, shared_dir, stored
+from reelspark.llm.common import BROADCAST_ROWS, lean, shared_dir, stored
 from reelspark.llm.near_dedup import _grouped
 from reelspark.llm.shingles import mix, word_hashes
 
@@ -105,7 +105,7 @@ def chunks_of(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([_chunk(number, ids, flags, parts)], schema)
 
     path = shared_dir(spark, "lm-chunks")
-    got = rows.select("doc_id", "text", "target").mapInArrow(run, CHUNKS)
+    got = rows.select("doc_id", "text", "target").mapInArrow(lean(run), CHUNKS)
     got.write.options(**LARGE_ROWS).parquet(path)
     return spark.read.schema(got.schema).parquet(path)
 
@@ -145,7 +145,7 @@ def model_counts(chunks: DataFrame, blocks: int) -> DataFrame:
         words[0] = np.count_nonzero((every & PAIR == 0) & (every != START))
         return pa.table([rows["chunk"], rows["block"], *out, pa.array(words)], names=["chunk", "block", "target", "background", "n_words"])
 
-    dealt = chunks.mapInArrow(deal, "block long, chunk long, keys binary, target binary, background binary")
+    dealt = chunks.mapInArrow(lean(deal), "block long, chunk long, keys binary, target binary, background binary")
     return stored(dealt.groupBy("block").applyInArrow(count, "chunk long, block long, target binary, background binary, n_words long"), "lm-counts")
 
 

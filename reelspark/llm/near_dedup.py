@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import only_ids, stored, text_key, without
+from reelspark.llm.common import lean, only_ids, stored, text_key, without
 from reelspark.llm.components import connected_components
 from reelspark.llm.shingles import mix, shingle_sets
 
 #: A parity sketch has at least 4 bits for each shingle, within these bounds (powers of two). They change no result.
 SKETCH_BITS = (4096, 65536)
 #: Texts are worked on in groups of about so many bytes.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Members of a block; a larger bucket is compared as pairs of blocks.
 BLOCK = 1024
 #: Pairs that are tried first: of a node with its buckets' leaders, and of two components. What is left over is tried afterwards.
@@ -115,7 +115,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rows: int
                     names=["doc_id", "text_key", "n_shingles", "h1", "h2", "sig", "odd"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
@@ -134,7 +134,7 @@ def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
                 key = mix(mix(band[:, 0, :, None] + place) + band[:, 1, None, :] * np.uint64(0x9E3779B97F4A7C15))
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(place.reshape(-1).astype(np.int32), len(part))), pa.array(np.repeat(part, bands * bands))], names=["key", "place", "node"])
 
-    return classes.select("node", "sig").mapInArrow(run, "key long, place int, node long")
+    return classes.select("node", "sig").mapInArrow(lean(run), "key long, place int, node long")
 
 
 def verified(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int, name: str) -> DataFrame:
@@ -165,7 +165,7 @@ def verified(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int, nam
     texts = stored(texts_of(nodes), f"{name}-texts")
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def star_pairs(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -188,7 +188,7 @@ def star_pairs(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
                 keep = np.flatnonzero(same >= n * s - (n * s * (1 - s)) ** 0.5)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(keep)) for c in (0, 1)], pa.array(same[keep].astype(np.int32))], names=["a", "b", "same"])
 
-    agreeing = rows.mapInArrow(run, "a long, b long, same int")
+    agreeing = rows.mapInArrow(lean(run), "a long, b long, same int")
     # no more than there are tables
     ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("same")).alias("same"), "b"))), 1, FIRST)
     return agreeing.groupBy("a").agg(ranked.alias("best")).select("a", F.explode("best.b").alias("b"))
@@ -271,7 +271,7 @@ def across(placed: DataFrame, sig: DataFrame, rows: int, bands: int, percent: in
         if held is not None:
             yield met(held, np.arange(held.num_rows) == 0)
 
-    return wide.mapInArrow(run, "a long, b long, of_a long, of_b long, share double, more boolean")
+    return wide.mapInArrow(lean(run), "a long, b long, of_a long, of_b long, share double, more boolean")
 
 
 def _contracted(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:

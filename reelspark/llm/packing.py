@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import stored
+from reelspark.llm.common import lean, stored
 from reelspark.llm.encode import encoder
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES)
+    return rows.mapInArrow(lean(run), PIECES)
 
 
 def packed(cut: DataFrame, size: int, group_rows: int = 50_000) -> DataFrame:
@@ -126,7 +126,7 @@ def _packed_once(cut: DataFrame, size: int, groups: int, turn: int) -> DataFrame
         yield from got.to_batches(max_chunksize=10_000)
 
     dealt = cut.repartition(groups, F.xxhash64("doc_id", "row", "piece", F.lit(turn))).withColumn("part", F.spark_partition_id())
-    return dealt.mapInArrow(run, PIECES + ", sequence_id long, offset long, open boolean")
+    return dealt.mapInArrow(lean(run), PIECES + ", sequence_id long, offset long, open boolean")
 
 
 def pack_documents(

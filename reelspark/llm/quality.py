@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm.common import lean
+
 FEATURES = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digits", "signs", "repeated_signs", "spaces", "newlines", "wide",
     "byte_entropy", "distinct_words", "top_word", "signed_words", "capital_words", "lone_signs", "ended_words", "same_as_before",
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: st
             values = np.array([statistics(s) for s in t["text"]], dtype=np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([pa.array(t["id"], pa.int64()), pa.array(t["label"], pa.int32()), pa.array(t["hash"], pa.int64()), pa.array(list(values), pa.list_(pa.float64()))], names=["id", "label", "hash", "x"])
 
-    got = texts.select("id", "label", "text", "hash").mapInArrow(run, "id long, label int, hash long, x array<double>")
+    got = texts.select("id", "label", "text", "hash").mapInArrow(lean(run), "id long, label int, hash long, x array<double>")
     # Rows that repeat an id become one within each task already, so that the driver gets max_rows and not all of them.
     got = got.groupBy("id", "label").agg(F.min(F.struct("hash", "x")).alias("s")).select("id", "label", "s.x").toPandas().sort_values("id", kind="stable")
     x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, len(FEATURES)))
@@ -174,7 +176,7 @@ def quality_scores(docs: DataFrame, model: Trees, threshold: float = 0.3, id_col
             score = np.concatenate([model.scores(x[i : i + 2048]) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=schema.names)
 
-    out = spread.mapInArrow(run, schema)
+    out = spread.mapInArrow(lean(run), schema)
     return out.select(F.col("id").alias("doc_id"), F.col("out").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c != "doc_id"])
 
 

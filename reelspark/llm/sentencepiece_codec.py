@@ -24,6 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelspark.llm.common import lean
 from reelspark.llm.encode import WordTable
 from reelspark.llm.shingles import mix
 
@@ -268,7 +269,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             for at in range(0, len(texts), 256):
                 yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(codec(path).encode(texts[at : at + 256]), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -279,7 +280,7 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
             texts = [codec(path).decode(np.array(x or [], dtype=np.int32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return coded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,4 +310,4 @@ def round_trips(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")
+    return rows.mapInArrow(lean(run), "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, same boolean")

@@ -11,7 +11,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes hashed at a time; a single longer word is still hashed whole.
-_PIECE = 1 << 21
+_PIECE = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from reelspark.llm.chat import CHUNK_ROWS, CHUNK_TURNS
 from reelspark.llm.license_scan import APART, BASE, GRAM, OTHERS, WORD
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -53,12 +54,14 @@ select d.doc_id, cast(any_value(len(d.w)) as bigint) as n_words, count(*) filter
  coalesce(string_agg(distinct label, ',' order by label) filter (where place), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label) filter (where found), '') as labels, coalesce(max(share), 0) as score
 from d left join found f on f.doc_id = d.doc_id group by d.doc_id"""
 
-CHATS = """
+CHATS = f"""
 with r as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+ c as (select *, cast(coalesce(floor(turn / {CHUNK_TURNS}), -1) as bigint) as chunk from r),
+ o as (select *, cast((row_number() over (partition by conv_id, chunk order by turn nulls first, role, text) - 1) // {CHUNK_ROWS} as integer) as slot from c),
  s as (select distinct conv_id, role as speaker from r),
- p as (select r.conv_id, speaker, cast(coalesce(floor(turn / 256), -1) as bigint) as chunk, turn, role, text, role = speaker as own,
-  case when role = speaker then '<|assistant|>' || chr(10) else '<|user name=' || replace(role, '<|', '< |') || '|>' || chr(10) end as head, replace(text, '<|', '< |') || '<|end|>' as body from r join s on r.conv_id = s.conv_id),
- q as (select *, cast(coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, chunk order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) + length(head) as place from p)
-select conv_id, speaker, chunk, 0 as slot, count(*) as n_turns, count(*) filter (where own) as n_own, string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
+ p as (select o.conv_id, speaker, chunk, slot, turn, role, text, role = speaker as own,
+  case when role = speaker then '<|assistant|>' || chr(10) else '<|user name=' || replace(role, '<|', '< |') || '|>' || chr(10) end as head, replace(text, '<|', '< |') || '<|end|>' as body from o join s on o.conv_id = s.conv_id),
+ q as (select *, cast(coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, speaker, chunk, slot order by turn nulls first, role, text rows between unbounded preceding and 1 preceding), 0) as bigint) + length(head) as place from p)
+select conv_id, speaker, chunk, slot, count(*) as n_turns, count(*) filter (where own) as n_own, string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
  coalesce(string_agg(cast(place as varchar) || '-' || cast(place + length(body) as varchar), ',' order by turn nulls first, role, text) filter (where own), '') as mask
-from q group by conv_id, speaker, chunk"""
+from q group by conv_id, speaker, chunk, slot"""

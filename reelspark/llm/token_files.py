@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelspark.llm.common import shared_dir, text_key
+from reelspark.llm.common import lean, shared_dir, text_key
 from reelspark.llm.encode import encoder
 
 HEADER = struct.Struct("<4sIIQ")
@@ -95,7 +95,7 @@ def write_token_files(
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, -1, None, total.astype("<i8").tobytes()), fields.values(), strict=True)], names=list(fields))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    plain = rows.mapInArrow(encode, "doc_id long, key long, row long, n int, ids binary, counts binary")
+    plain = rows.mapInArrow(lean(encode), "doc_id long, key long, row long, n int, ids binary, counts binary")
     schema = plain.schema
     plain.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.enable.dictionary": "false"}).parquet(f"{folder}/plain")
     plain = spark.read.schema(schema).parquet(f"{folder}/plain")
@@ -112,7 +112,7 @@ def write_token_files(
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["id", "n"])
 
-    counts = plain.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = plain.where("counts is not null").select("counts").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = counts.toArrow().sort_by([("n", "descending"), ("id", "ascending")])["id"].to_numpy()
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ranked)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(int(ranked.max()) + 1 if len(ranked) else 1, np.uint32)
@@ -144,7 +144,7 @@ def write_token_files(
 
     order = ["doc_id", "key", "row"]
     dealt = plain.where("n >= 0").select(*order, "n", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
-    pages = dealt.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(pack, "part int, page int, before long, n_tokens long, blob binary")
+    pages = dealt.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(lean(pack), "part int, page int, before long, n_tokens long, blob binary")
     pages.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/pages")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/plain")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
@@ -183,7 +183,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     # One row for each part that was written: no more than the partitions of one shuffle.
     placed = pages.join(F.broadcast(parts), "part").select((F.col("part_start") + F.col("before")).alias("start"), "blob")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
 def token_files(docs: DataFrame, path: str, kind: str = "byte", end_id: int = 0, **how) -> DataFrame:

@@ -210,26 +210,107 @@ def test_flat_trees_are_the_trees():
     assert np.allclose(model.scores(x), want) and ((model.scores(x) > 0.5) == y).mean() > 0.95
 
 
+def naive_best_split(x, y, base, least):
+    """The best (gain, feature, threshold) of one split on the logistic loss, over all values of all features."""
+    p = 1 / (1 + np.exp(-base))
+    g, h, best = y - p, p * (1 - p), (0, None, None)
+    for f in range(x.shape[1]):
+        for t in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= t
+            if min(left.sum(), (~left).sum()) >= least:
+                gain = sum(g[m].sum() ** 2 / (h * m.sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h * len(y) + 1)
+                best = max(best, (gain, f, t), key=lambda b: b[0])
+    return best
+
+
+def test_fit_finds_the_best_split():
+    """With fewer values than bins, one tree of depth 1 is the best split of all, and its leaves the Newton steps."""
+    for seed in range(5):
+        r = np.random.default_rng(seed)
+        x = r.integers(0, 20, (300, 4)).astype(float)
+        y = (x[:, seed % 4] + r.normal(size=300) * 3 > 9).astype(float)
+        model = quality.fit(x, y, trees=1, depth=1, rate=1.0)
+        gain, f, t = naive_best_split(x, y, model.base, 12)
+        root = model.roots[0]
+        went = x[:, model.feature[root]] <= model.threshold[root]
+        assert model.feature[root] == f and np.array_equal(went, x[:, f] <= t)
+        p = 1 / (1 + np.exp(-model.base))
+        for side, node in ((went, model.left[root]), (~went, model.left[root] + 1)):
+            assert model.value[node] == pytest.approx((y[side] - p).sum() / (p * (1 - p) * side.sum() + 1))
+
+
+def test_statistics_by_hand():
+    got = dict(zip(quality.FEATURES, quality.statistics("Ab ab ab, 12\n\n!! x"), strict=True))
+    want = {"log_bytes": np.log1p(18), "log_words": np.log1p(6), "word_length": 2, "upper": 1 / 18, "digits": 2 / 18, "signs": 2 / 18, "repeated_signs": 1 / 18, "spaces": 4 / 18, "newlines": 2 / 18, "wide": 0, "distinct_words": 1, "top_word": 1 / 6, "ended_words": 1 / 6, "lone_signs": 1 / 6, "distinct_lines": 1, "longest_word": np.log1p(3), "lines_cut": 1}
+    assert {k: got[k] for k in want} == {k: pytest.approx(v) for k, v in want.items()}
+    assert quality.statistics(None) == quality.statistics("") and len(quality.statistics("")) == len(quality.FEATURES)
+
+
+def near_components(texts, k=5):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set()))
+    low = list(range(len(texts)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    while True:
+        before = list(low)
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            return low
+
+
 def test_pipeline_by_stages(spark, sf):
-    """Each stage against its operator's own rule, and the whole against the stages one by one."""
+    """Each stage against brute force over its own input, and the whole against the stages one by one."""
     import corpus_pipeline as p
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    frame = spark.read.parquet(f"{sf}/documents.parquet")
-    columns, before = frame.columns, frame
+    before = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, labels = before.columns, spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.learn(before, labels)
     for name, stage in p.STAGES[:-1]:
         after = p.stored(stage(spark, before, sf), name)
-        assert after.columns == columns and after.count() <= before.count()
-        texts = [lower(x.text) for x in after.collect()]
-        if name != "quality_classifier":
-            assert len(set(texts)) == len(texts)
-        if name == "exact_dedup":
-            assert set(texts) == {lower(x.text) for x in before.collect()}
+        rows = sorted(before.collect(), key=lambda x: x.doc_id)
+        if name == "quality_classifier":
+            want = {x.doc_id for x in rows if model.scores(np.array([quality.statistics(x.text)]))[0] >= 0.3}
+        elif name == "exact_dedup":
+            want = set({lower(x.text): x.doc_id for x in rows}.values())
+        else:
+            want = {rows[i].doc_id for i in set(near_components([x.text for x in rows]))}
+        assert after.columns == columns and {x.doc_id for x in after.collect()} == want and after.count() == len(want)
         before = after
-    rows = p.run(spark, sf).collect()
-    assert {x.doc_id for x in rows} == {x.doc_id for x in before.collect()} and len([n for n, _ in p.STAGES]) == 4
-    labels = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    good = [x.doc_id for x in p.quality_stage(spark, frame, sf).collect()]
-    assert sum(labels.get(i) == 0 for i in good) <= 2
+    rows, lib = p.run(spark, sf).collect(), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    kept = {x.doc_id: len(lib.encode(x.text or "", add_special_tokens=False).ids) + 1 for x in before.collect()}
+    assert Counter({i: n for i, n in kept.items()}) == sum((Counter({x.doc_id: x.length}) for x in rows), Counter())
+    room = Counter()
+    for x in rows:
+        room[x.sequence_id] += x.length
+    assert max(room.values()) <= 4096 and len(room) <= -(-sum(kept.values()) // 4096) * 1.02 + 1
+    good = {x.doc_id: x.quality for x in labels.collect()}
+    assert sum(good.get(i) == 0 for i in kept) <= 2
+
+
+def test_pipeline_borders(spark, sf, tmp_path):
+    """Nulls in every column, repeated ids and rows, columns whose names clash with those inside, and an empty table."""
+    import corpus_pipeline as p
+
+    words = " ".join(f"word{i}" for i in range(60)) + "."
+    rows = [(1, words), (1, words + " And more."), (2, words), (None, words), (None, None), (3, ""), (3, ""), (4, None), (5, "Some other words, quite different. " * 20), (5, "Some other words, quite different. " * 20)]
+    frame = spark.createDataFrame([(i, t, None, "s", None, 1, "c", 2) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, component_id string, row int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in p.STAGES[1:3]:
+        frame = p.stored(stage(spark, frame, str(tmp_path)), "borders")
+    got = sorted((x.doc_id or 0, (x.text or "")[:5], len(x.text or "")) for x in frame.collect())
+    assert got == [(1, "word0", len(words) + 10), (4, "", 0), (5, "Some ", 700), (5, "Some ", 700)]
+    assert frame.columns[-3:] == ["kept", "component_id", "row"]
+    p.run(spark, str(tmp_path)).collect()
+    (tmp_path / "none").mkdir()
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{t}.parquet")
+    assert p.run(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_queries_are_complete():
