@@ -145,7 +145,7 @@ def write_token_files(
     order = ["doc_id", "key", "row"]
     dealt = plain.where("n >= 0").select(*order, "n", "ids").repartitionByRange(*order).sortWithinPartitions(*order)
     pages = dealt.select("doc_id", F.spark_partition_id().alias("part"), "n", "ids").mapInArrow(lean(pack), "part int, page int, before long, n_tokens long, blob binary")
-    pages.write.options(**{"compression": "none", "parquet.enable.dictionary": "false"}).parquet(f"{folder}/pages")
+    pages.write.options(**{"compression": "zstd", "parquet.compression.codec.zstd.level": 1, "parquet.enable.dictionary": "false"}).parquet(f"{folder}/pages")
     gone = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/plain")
     gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
