@@ -70,7 +70,7 @@ def license_scan(
     span = F.slice("words", F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("t_words"))
     # A diagonal may begin before the text; its words are then moved along by as many empty places.
     shift = F.greatest(-F.col("diagonal"), F.lit(0))
-    equal = F.size(F.filter(F.transform("t_words", lambda w, i: F.get("span", i - F.col("shift")).eqNullSafe(w)), lambda x: x))
+    equal = F.filter(F.transform("t_words", lambda w, i: F.when(F.get("span", i - F.col("shift")).eqNullSafe(w), i)), lambda i: i.isNotNull())
     hits = (
         grams.join(F.broadcast(t.union(mark)), "gram")
         .where("(at = 0) = (template = -1) and (at = 0 or at <= n_words - 2)")
@@ -78,16 +78,16 @@ def license_scan(
         .select("doc_id", "row", "n_words", "template", "label", "base", "t_words", "diagonal", F.size("t_words").alias("size"), F.when(F.col("at") > 0, span).alias("span"))
         .repartition("row")
         .withColumn("shift", shift)
-        .withColumn("agree", equal)
+        .withColumn("equal", equal)
     )
     key = ["doc_id", "row", "n_words", "template", "label", "base", "size"]
-    voted = hits.groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.max("agree").alias("agree"))
+    voted = hits.groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("votes"), F.max("equal").alias("equal"))
     by = Window.partitionBy("row", "template").orderBy("diagonal")
     near = F.col("diagonal") - F.lag("diagonal").over(by) <= APART
     islands = voted.withColumn("island", F.sum(F.when(near & ~F.col("base"), 0).otherwise(1)).over(by))
-    spans = islands.groupBy(*key, "island").agg(F.min("diagonal").alias("start"), F.max("diagonal").alias("last"), F.sum("votes").alias("votes"), F.max("agree").alias("agree"), F.sum("agree").alias("all_agree"))
-    # Words that agree on neighbouring diagonals add up, to no more than the template has.
-    share = F.least(F.col("all_agree"), F.col("size")) / F.col("size")
+    spans = islands.groupBy(*key, "island").agg(F.min("diagonal").alias("start"), F.max("diagonal").alias("last"), F.sum("votes").alias("votes"), F.max(F.size("equal")).alias("agree"), F.collect_list("equal").alias("equal"))
+    # Words that agree on neighbouring diagonals add up, each word of the template once.
+    share = F.size(F.array_distinct(F.flatten("equal"))) / F.col("size")
     spans = spans.withColumn("share", F.when(F.col("template") >= 0, share).otherwise(0.0)).withColumn("place", F.col("base") & (F.col("agree") == F.col("size")))
     found = F.col("place") | (~F.col("base") & (F.col("share") >= least))
     start = F.when(F.col("place"), F.col("start").cast("long"))

@@ -48,6 +48,13 @@ def test_license_spans_survive_changed_words(spark):
     assert got[0].score == 1.0 and 0.7 <= got[1].score < 1 and got[5].spans[0].first == 6 and got[5].n_base == 0
 
 
+def test_each_word_of_a_template_counts_once(spark):
+    """Half of a text said twice, two words apart, is still half of it."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    x = license_scan.license_scan(docs(spark, [" ".join(mit[:4] + ["and", "so"] + mit[4:8] + ["and"] + mit[4:8])])).first()
+    assert x.score == 8 / 16 and x.labels == ""
+
+
 def test_license_borders(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
     assert license_scan.license_scan(docs(spark, ["a", "a", "cc by nc"], [1, 1, None])).count() == 3
