@@ -84,12 +84,16 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_R
     return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """`docs` less the rows whose `keys`, by their names in `gone`, are all equal to a row's there; null equals null. Same columns."""
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """`docs` less the rows whose `keys`, by their names in `gone`, are all equal to a row's there; null equals null. Same columns.
+
+    `gone` is broadcast if a count proves it small, so that no text is shuffled; otherwise both sides are.
+    """
     taken = {c.lower() for c in docs.columns}
     free = {k: next(n for n in (f"{k}_{i}" for i in range(len(taken) + 1)) if n.lower() not in taken) for k in keys}
     marked = docs.withColumns({free[k]: c for k, c in keys.items()})
-    gone = gone.select(*[F.col(k).alias(f"gone_{i}") for i, k in enumerate(keys)])
+    gone = stored(gone.select(*[F.col(k).alias(f"gone_{i}") for i, k in enumerate(keys)]), "gone")
+    gone = F.broadcast(gone) if gone.limit(limit + 1).count() <= limit else gone
     same = [F.col(f"d.{free[k]}").eqNullSafe(F.col(f"g.gone_{i}")) for i, k in enumerate(keys)]
     return marked.alias("d").join(gone.alias("g"), same, "left_anti").drop(*free.values())
 

@@ -47,6 +47,8 @@ def fold_stream(log: DataFrame, state_dir: str, partitions: int | None = None) -
     # A store is closed as soon as its part of a batch is committed: each open one holds some 4 MB of disk.
     store = "spark.sql.streaming.stateStore"
     keys = {f"{store}.providerClass": PROVIDER, f"{store}.unloadOnCommit": "true", f"{store}.rocksdb.boundedMemoryUsage": "true", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"}
+    # All stores of an executor share so much memory; what is beyond goes to disk.
+    keys |= {f"{store}.rocksdb.maxMemoryUsageMB": "128", f"{store}.rocksdb.writeBufferSizeMB": "8"}
     if partitions:
         keys["spark.sql.shuffle.partitions"] = str(partitions)
     before = {k: spark.conf.get(k, None) for k in keys}
