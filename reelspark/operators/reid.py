@@ -30,7 +30,7 @@ def build_gallery(appearance: DataFrame, order: str = "seq") -> DataFrame:
 def score_matrix(cands: DataFrame, gallery: DataFrame) -> DataFrame:
     """Every gallery entry of a video against each of its candidates: (video_id, frame, cand_idx, track_id, score)."""
     g = gallery.select("video_id", "track_id", F.col("features").alias("gf"), F.col("histogram").alias("gh"))
-    rows = cands.join(small(g, 20_000), "video_id")
+    rows = cands.join(small(g), "video_id")
     return rows.select("video_id", "frame", "cand_idx", "track_id", appearance_score("features", "histogram", "gf", "gh").alias("score"))
 
 
@@ -68,7 +68,7 @@ def detect_swaps(boxes: DataFrame, gallery: DataFrame) -> DataFrame:
     frames = frames.where("n = 2").drop("n")
     many = gallery.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("video_id")
     frames = frames.join(small(many), "video_id", "left_semi")
-    g = small(gallery.select("video_id", "track_id", F.struct("features", "histogram").alias("g")), 20_000)
+    g = small(gallery.select("video_id", "track_id", F.struct("features", "histogram").alias("g")))
     for n in ("a", "b"):
         frames = frames.join(g.withColumnsRenamed({"track_id": f"t{n}", "g": f"g{n}"}), ["video_id", f"t{n}"], "left")
     score = lambda x, y: F.when(F.col(f"g{y}").isNull(), 0.0).otherwise(appearance_score(F.col(f"v{x}.features"), F.col(f"v{x}.histogram"), F.col(f"g{y}.features"), F.col(f"g{y}.histogram")))

@@ -654,14 +654,14 @@ def gallery_and_candidates(spark, sf_dir):
 @query("select frame, cand_idx, track_id, round(cosine, 6) as score from scores", **LOOKS)
 def cosine_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(small(g.withColumnRenamed("features", "gf").drop("histogram"), 20_000), "video_id")
+    rows = c.join(small(g.withColumnRenamed("features", "gf").drop("histogram")), "video_id")
     return rows.select("frame", "cand_idx", "track_id", F.round(cosine01("features", "gf"), 6).alias("score"))
 
 
 @query("select frame, cand_idx, track_id, round(hist, 6) as score from scores", **LOOKS)
 def hist_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(small(g.withColumnRenamed("histogram", "gh").drop("features"), 20_000), "video_id")
+    rows = c.join(small(g.withColumnRenamed("histogram", "gh").drop("features")), "video_id")
     return rows.select("frame", "cand_idx", "track_id", F.round(hist_correlation("histogram", "gh"), 6).alias("score"))
 
 

@@ -8,13 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if a count proves that it has no more rows than this.
-SMALL_ROWS = 200_000
+#: A side is broadcast only if the optimizer's bound of its size, from the sizes of the files below, is no more than this.
+SMALL_BYTES = 16 << 20
 
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """`df` with a broadcast hint if it is proven small; else as it is, to be joined by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
+    """`df` with a broadcast hint if it is proven small; else as it is, to be joined by what its size turns out to be.
+
+    Nothing is run for this: filters and aggregates count with the size of what they read, joins with the product.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
 
 
 def scratch(spark: SparkSession, name: str) -> str:
