@@ -72,8 +72,7 @@ def test_copies_leave_by_id_and_text(spark):
     assert sorted((x.doc_id or 0, x.text) for x in kept) == [(0, "b"), (1, "unique"), (2, "a"), (3, ""), (3, "")]
 
 
-@pytest.mark.parametrize("digest", [None, lambda: F.lit("same")])
-@pytest.mark.parametrize("own_files", [False, True])
+@pytest.mark.parametrize("digest,own_files", [(None, True), (lambda: F.lit("same"), False)])
 def test_exact_calls_go_on(spark, tmp_path, digest, own_files):
     """Later calls know earlier rows; a digest that covers different texts joins nothing across calls either."""
     state, every = f"file://{tmp_path}/state", {}
