@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from reelspark.llm import chat, embedding_dedup, exact_dedup, license_scan, lm_scoring, near_dedup, packing, quality, sentencepiece_codec, sql, token_files
+from reelspark.llm import chat, embedding_dedup, exact_dedup, lexical_search, license_scan, lm_scoring, near_dedup, packing, quality, sentencepiece_codec, source_audit, sql, token_files, topk_search
 from reelspark.llm.common import table
 
 
@@ -49,11 +49,24 @@ def op10_quality_classifier(spark, sf_dir):
     return quality.quality_scores(docs, quality.learn(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_source_audit(spark, sf_dir):
+    return source_audit.source_audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op13_topk_search(spark, sf_dir):
+    return topk_search.top_products(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_exact_dedup, op3_embedding_near_dedup, op4_sentencepiece, op5_chat_rotation,
         op6_lm_scoring, op7_token_files, op8_minhash_near_dedup, op9_best_fit_packing, op10_quality_classifier,
+        op11_lexical_search, op12_source_audit, op13_topk_search,
     )
 }
 
@@ -64,4 +77,7 @@ ORACLE = {
     "op3_embedding_near_dedup": sql.EMBEDDINGS,
     "op5_chat_rotation": sql.CHATS,
     "op8_minhash_near_dedup": sql.NEAR,
+    "op11_lexical_search": sql.RANKED,
+    "op12_source_audit": sql.AUDIT,
+    "op13_topk_search": sql.TOP_PRODUCTS,
 }

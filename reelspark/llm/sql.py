@@ -65,3 +65,38 @@ with r as (select distinct conv_id, turn, coalesce(role, 'unknown') as role, coa
 select conv_id, speaker, chunk, slot, count(*) as n_turns, count(*) filter (where own) as n_own, string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
  coalesce(string_agg(cast(place as varchar) || '-' || cast(place + length(body) as varchar), ',' order by turn nulls first, role, text) filter (where own), '') as mask
 from q group by conv_id, speaker, chunk, slot"""
+
+RANKED = f"""
+with d as (select doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+ whole as (select count(*) as n_docs, cast(sum(len(w)) as bigint) as n_all from d where len(w) > 0),
+ b as (select distinct item_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark where item_id is not null),
+ tf as (select doc_id, any_value(n) as n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from b) group by doc_id, term),
+ idf as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from tf, whole group by term, n_docs),
+ s as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_all)))) as bigint) as score from b join tf using (term) join idf using (term), whole where doc_id is not null group by item_id, doc_id),
+ r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50"""
+
+_SHARE = lambda n, total, v: f"(1 + (1000000000 * ({n} + 5)) // ({total} + 5 * {v}))"
+
+AUDIT = f"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+ g as (select distinct lang, source from d),
+ t as (select lang, source, doc_id, unnest(w) as term from d),
+ kept as (select lang, term from t group by lang, term having count(distinct doc_id) >= 30),
+ size as (select lang, (select count(*) from kept k where k.lang = l.lang) as v from (select distinct lang from g) l),
+ own as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by lang, source, term),
+ c as (select g.lang, g.source, k.term, coalesce(o.n, 0) as n from g join kept k on k.lang = g.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+ p as (select c.*, cast({_SHARE("n", "sum(n) over (partition by c.lang, source)", "v")} as bigint) as p from c join size on size.lang = c.lang),
+ lc as (select lang, term, sum(n) as n from own group by lang, term),
+ q as (select lc.lang, term, cast({_SHARE("n", "sum(n) over (partition by lc.lang)", "v")} as bigint) as q from lc join size on size.lang = lc.lang),
+ diff as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by 1, 2, 3),
+ pairs as (select x.lang, x.source, 'pair' as part, y.source as item, cast(coalesce(value, 0) as bigint) as value from g x join g y on x.lang = y.lang and x.source <> y.source left join diff d on d.lang = x.lang and d.source = x.source and d.item = y.source),
+ more as (select p.lang, p.source, 'term' as part, p.term as item, p.p - q.q as value from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p.p > q.q),
+ r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from (select * from pairs union all select * from more))
+select * from r where part = 'pair' or rank <= 50"""
+
+TOP_PRODUCTS = """
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+ s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 20 = 0),
+ r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s)
+select * from r where rank <= 20"""
