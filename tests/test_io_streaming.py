@@ -3,10 +3,11 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import events
-from reelspark.sources import readers, sinks
+from reelspark.sources import commits, readers, sinks
 from reelspark.streaming import status
 
 
@@ -99,3 +100,95 @@ def test_stream_dedupe(spark, tmp_path):
     q = once.writeStream.format("memory").queryName("once").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 1
+
+
+def feed_rows(spark, rows):
+    """Parsed messages from (video, index or None for completion, total, second)."""
+    values = [(json.dumps(envelope(*r)),) for r in rows]
+    from reelspark.schemas import ENVELOPE
+
+    return events.parse_envelope(spark.createDataFrame(values, "value string").select(F.from_json("value", ENVELOPE).alias("e")).select("e.*"))
+
+
+def as_status(rows):
+    got = {}
+    for v, i, n, _ in rows:
+        seen, done, total = got.get(v, (set(), False, 0))
+        got[v] = (seen | ({i} if i is not None else set()), done or i is None, n)
+    return {v: (len(s), d, d and len(s) >= n) for v, (s, d, n) in got.items()}
+
+
+def table_of(spark, path):
+    t = status.read_status(spark, path)
+    return {} if t is None else {x.video_id: (x.received_count, x.completion_received, x.finalized) for x in t.collect()}
+
+
+def test_status_survives_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    """Whatever call a batch breaks off at, before it or after it, the table is as it was or as it is to be."""
+    path = str(tmp_path / "t")
+    first = [(f"v{i}", 1, 2, 1) for i in range(5)]
+    second = [("v1", 2, 2, 2), ("v1", None, 2, 3), ("new", None, 0, 4)]
+    status.upsert_status(feed_rows(spark, first), 0, path)
+    before, after = as_status(first), as_status(first + second)
+
+    class Stop(Exception):
+        pass
+
+    for name in ("_staged", "_merged", "newest", "commit", "_rename", "remove", "clean"):
+        for late in (False, True):
+            with monkeypatch.context() as m:
+                owner = status if hasattr(status, name) else commits.Versions
+                whole = getattr(owner, name)
+
+                def broken(*a, whole=whole, late=late):
+                    if late:
+                        whole(*a)
+                    raise Stop
+
+                m.setattr(owner, name, broken)
+                with pytest.raises(Stop):
+                    status.upsert_status(feed_rows(spark, second), 1, path)
+            assert table_of(spark, path) in (before, after)
+    status.upsert_status(feed_rows(spark, second), 1, path)
+    assert table_of(spark, path) == after
+    # a version that was cut off while it was written is passed over
+    (tmp_path / "t" / "versions" / f"{10**6:020d}.json").write_text("12ab\n{")
+    assert table_of(spark, path) == after
+    status.upsert_status(feed_rows(spark, [("v2", None, 2, 9)]), 2, path)
+    assert table_of(spark, path) == as_status([*first, *second, ("v2", None, 2, 9)])
+
+
+def test_status_parts_split_and_few_are_read(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(status, "PART_ROWS", 8)
+    path = str(tmp_path / "t")
+    rows = [(f"v{i}", k, 2, k) for i in range(60) for k in (1, 2)]
+    for k in range(3):
+        status.upsert_status(feed_rows(spark, rows[k::3]), k, path)
+    v = commits.Versions(spark, path)
+    parts = v.newest()["parts"]
+    assert sum(p["rows"] for p in parts.values()) == 120 and max(p["rows"] for p in parts.values()) <= 16 and len(parts) >= 10
+    assert sum(2.0 ** -int(n.split("-")[0]) for n in parts) == 1.0  # they share all hashes out among them
+    status.upsert_status(feed_rows(spark, [("v7", None, 2, 9)]), 3, path)
+    assert len([n for n, p in v.newest()["parts"].items() if parts.get(n) != p]) <= 2
+    assert table_of(spark, path) == as_status([*rows, ("v7", None, 2, 9)])
+    # files of old versions have gone
+    status.upsert_status(feed_rows(spark, [("v7", 1, 2, 10)]), 4, path)
+    named = {x for p in parts.values() for x in p.values() if isinstance(x, str)}
+    now = {x for n in v._numbers() for p in v._read(n)["parts"].values() for x in p.values() if isinstance(x, str)}
+    assert len(v._numbers()) == commits.KEPT and not any((tmp_path / "t" / x).exists() for x in named - now) and all((tmp_path / "t" / x).exists() for x in now)
+
+
+def test_status_of_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that another overtook merges its batch again."""
+    path, whole, done = str(tmp_path / "t"), status._merged, []
+
+    def overtaken(staged, v, base):
+        out = whole(staged, v, base)
+        if not done:
+            done.append(1)
+            status.upsert_status(feed_rows(spark, [("a", 1, 2, 1)]), 0, path)
+        return out
+
+    monkeypatch.setattr(status, "_merged", overtaken)
+    status.upsert_status(feed_rows(spark, [("a", 2, 2, 2), ("b", None, 0, 1)]), 0, path)
+    assert table_of(spark, path) == {"a": (2, False, False), "b": (0, True, True)}
