@@ -19,8 +19,8 @@ from reelspark.llm.common import lean, stored
 from reelspark.llm.terms import LETTERS_ONLY, terms
 
 SCALE, PRIOR = 1_000_000_000, 5
-#: Different terms of sources that a task counts before it gives them on; cells (rows by sources) of one tree.
-HELD, CELLS = 1 << 18, 1 << 20
+#: Different terms of sources that a task counts before it gives them on; cells (rows by sources) of one tree, which has eight rows for each source at least.
+HELD, CELLS = 1 << 18, 1 << 16
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -113,7 +113,8 @@ def tree_differences(source: np.ndarray, count: np.ndarray, offsets: np.ndarray,
 
 def _pair_sums(kept: DataFrame, info: DataFrame) -> DataFrame:
     """(lang, source, item, value): the summed difference of every two sources of a language, from trees of bounded size."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("v") * F.size("sources") / CELLS)).cast("int")
+    k = F.size("sources")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("v") / F.greatest(F.lit(CELLS) / k, 8 * k))).cast("int")
     info = info.withColumn("parts", parts)
     left = kept.join(info.select("lang", "parts"), "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"), "row.source", "row.n")
     right = info.select("lang", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "sources", "totals", "v")

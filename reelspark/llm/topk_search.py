@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import lean, stored
 
 #: Routing vectors at most, and vectors for one of them; the sample they come from has so many times as many vectors.
-ROUTES, PER_ROUTE, SAMPLE = 1024, 512, 4
+ROUTES, PER_ROUTE, SAMPLE = 1024, 2048, 4
 #: Vectors of a block at most, on average, and of a page; queries that are set against a block at once.
-BLOCK, PAGE, QUERIES = 8192, 128, 1024
+BLOCK, PAGE, QUERIES = 8192, 256, 1024
+#: Regions in which a query is searched first, to know what its best scores are worth.
+FIRST = 3
 #: Squared norms from here on can't be multiplied in 64 bits; sums below the second are exact in doubles in whatever order.
 LARGEST, EXACT = 2.0**62, 2.0**53
 
@@ -39,11 +41,9 @@ def scaled(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFra
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), floors.alias("vec"), norm.alias("norm")).where(F.col("norm") < LARGEST).drop("norm")
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole numbers, rows of `a` by rows of `b`."""
-    if a.size and b.size and float((a.astype(np.float64) ** 2).sum(axis=1).max()) * float((b.astype(np.float64) ** 2).sum(axis=1).max()) < EXACT**2:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+def numbers(x: np.ndarray, most: float) -> np.ndarray:
+    """Whole numbers of vectors with squared norms up to `most` in a form whose inner products are exact: doubles, where those hold every sum."""
+    return x.astype(np.float64 if most < EXACT else np.int64)
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -92,30 +92,31 @@ def pages(least: np.ndarray, x: np.ndarray, most: float) -> Iterator[dict]:
 class Tree:
     """The pages of a block, in memory."""
 
-    def __init__(self, pdf: pd.DataFrame):
-        pdf = pdf.sort_values("page", kind="stable")
+    def __init__(self, pdf: pd.DataFrame, most: float):
+        pdf, self.most = pdf.sort_values("page", kind="stable"), most
         whole = lambda b: np.frombuffer(b, dtype=np.int64)
-        self.center = np.stack([whole(b) for b in pdf["center"]])
+        self.center = numbers(np.stack([whole(b) for b in pdf["center"]]), most)
         self.radius, self.up, self.least = (pdf[c].to_numpy() for c in ("radius", "up", "least"))
         dims = self.center.shape[1]
         leaves = zip(pdf["leasts"], pdf["nodes"], pdf["rows"], pdf["apart"], strict=True)
-        self.leaves = [(whole(i), whole(n), whole(r).reshape(len(whole(i)), dims), np.frombuffer(d, dtype=np.float64)) if i is not None else None for i, n, r, d in leaves]
+        self.leaves = [(whole(i), whole(n), numbers(whole(r).reshape(len(whole(i)), dims), most), np.frombuffer(d, dtype=np.float64)) if i is not None else None for i, n, r, d in leaves]
         parent = pdf["parent"].to_numpy()
         order = np.argsort(parent, kind="stable")
         cuts = np.searchsorted(parent[order], np.arange(len(parent) + 1))
         self.below = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.computed = 0
 
-    def search(self, q: np.ndarray, most: float, k: int, floor: int | None = None) -> list[tuple[int, int, int]]:
+    def search(self, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int, int]]:
         """The k best (score, -smallest id, node), as a heap; those below `floor` aren't needed. Best first: the page with the highest bound is next."""
-        q2, best = float(norms(q[None, :])[0]), []
+        q2, most, best = float(norms(q[None, :])[0]), self.most, []
+        q = numbers(q, most)
 
         def hopeless(bound: float, least: int) -> bool:
             if len(best) == k:
                 return bound < best[0][0] or (math.floor(bound), -least) < best[0][:2]
             return floor is not None and bound < floor
 
-        to = from_query(products(q[None, :], self.center[:1])[0], q2, most)
+        to = from_query(self.center[:1] @ q, q2, most)
         queue = [(-float(score_bound(to - self.radius[:1], q2, most)[0]), 0, float(to[0]))]
         self.computed += 1
         while queue:
@@ -128,7 +129,7 @@ class Tree:
                 bound = score_bound(np.abs(d - self.up[below]) - self.radius[below], q2, most)
                 below = below[[not hopeless(b, i) for b, i in zip(bound.tolist(), self.least[below].tolist(), strict=True)]]
                 if len(below):
-                    to = from_query(products(q[None, :], self.center[below])[0], q2, most)
+                    to = from_query(self.center[below] @ q, q2, most)
                     self.computed += len(below)
                     bound = score_bound(to - self.radius[below], q2, most)
                     for b, p, x in zip(bound.tolist(), below.tolist(), to.tolist(), strict=True):
@@ -139,10 +140,10 @@ class Tree:
             if worst is not None:
                 near = np.flatnonzero(score_bound(np.abs(d - apart), q2, most) >= worst)
                 leasts, nodes, rows = leasts[near], nodes[near], rows[near]
-            scores = products(q[None, :], rows)[0]
+            scores = rows @ q
             self.computed += len(scores)
             good = np.flatnonzero(scores >= worst) if worst is not None else np.arange(len(scores))
-            for found in zip(scores[good].tolist(), (-leasts[good]).tolist(), nodes[good].tolist(), strict=True):
+            for found in zip(map(int, scores[good].tolist()), (-leasts[good]).tolist(), nodes[good].tolist(), strict=True):
                 if len(best) < k:
                     heapq.heappush(best, found)
                 elif found > best[0]:
@@ -208,45 +209,66 @@ def _pages(placed: DataFrame, most: float) -> DataFrame:
     return placed.select("node", "vec", "least", "dims", "region", "block").groupBy("dims", "region", "block").applyInArrow(build, schema)
 
 
-def _searched(queries: DataFrame, tree: DataFrame, keys: list[str], most: float, k: int) -> DataFrame:
-    """(asker, node, score): the k best of each query in the block it is dealt to; `queries` has asker, vec, floor and the keys."""
+def _searched(queries: DataFrame, tree: DataFrame, most: float, k: int, name: str) -> DataFrame:
+    """(asker, node, least, score): the k best of each query in the blocks it is dealt to; `queries` is stored and has asker, vec, floor and the block.
+
+    A block's queries are cut into slices of about QUERIES, by counts; its pages go to each slice.
+    """
+    block = ["dims", "region", "block"]
+    slices = queries.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("slices"))
+    slices = stored(slices, f"{name}-slices")
+    cut = queries.join(slices, block).withColumn("slice", F.pmod(F.xxhash64("asker"), F.col("slices")).cast("int"))
+    pages_of = tree.join(slices, block).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    keys = [*block, "slice"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            t = Tree(right)
+            t = Tree(right, most)
             for asker, vec, floor in zip(left["asker"], left["vec"], left["floor"], strict=True):
-                out += [(asker, node, score) for score, _, node in t.search(np.asarray(vec, dtype=np.int64), most, k, None if pd.isna(floor) else int(floor))]
-        return pd.DataFrame(out, columns=["asker", "node", "score"]).astype("int64")
+                out += [(asker, node, -least, score) for score, least, node in t.search(np.asarray(vec, dtype=np.int64), k, None if pd.isna(floor) else int(floor))]
+        return pd.DataFrame(out, columns=["asker", "node", "least", "score"]).astype("int64")
 
-    held = queries.select("asker", "vec", F.col("floor").cast("string").alias("floor"), *keys)
-    return held.groupBy(*keys).cogroup(tree.groupBy(*keys)).applyInPandas(run, "asker long, node long, score long")
+    held = cut.select("asker", "vec", F.col("floor").cast("string").alias("floor"), *[F.col(c).alias(c) for c in keys])
+    return held.groupBy(*keys).cogroup(pages_of.drop("slices").groupBy(*keys)).applyInPandas(run, "asker long, node long, least long, score long")
 
 
-def _elsewhere(queries: DataFrame, regions: DataFrame, routes: dict[int, np.ndarray], most: float) -> DataFrame:
-    """`queries` with the blocks other than their own whose region may hold scores of `floor` or more."""
+def _dealt(queries: DataFrame, regions: DataFrame, routes: dict[int, np.ndarray], most: float, first: int | None) -> DataFrame:
+    """`queries` (asker, vec, floor, dims) with the blocks in which they are searched.
+
+    With `first`: of each of the so many regions whose routing vectors are nearest one block, by a hash of the query. Without: the other
+    blocks of all regions that may hold scores of `floor` or more.
+    """
     radius = {d: np.zeros(len(r)) for d, r in routes.items()}
     for r in regions.where(F.col("dims").isin(list(routes))).collect():  # one for each routing vector at most
         radius[r["dims"]][r["region"]] = r["radius"]
+    routing = {d: numbers(r, most) for d, r in routes.items()}
 
     def run(batches):
         for batch in batches:
-            vecs, dims, floors = batch.column("vec"), batch.column("dims").to_pylist(), batch.column("floor").to_pylist()
-            to = []
+            vecs, dims, floors = batch.column(1), batch.column(3).to_pylist(), batch.column(2).to_pylist()
+            near, to = [], []
             for i, (d, floor) in enumerate(zip(dims, floors, strict=True)):
-                if d not in routes:
+                if d not in routing:
+                    near.append([0])
                     to.append([0])
                     continue
-                q = _matrix(vecs.slice(i, 1), d)
-                q2 = float(norms(q)[0])
-                bound = score_bound(from_query(products(q, routes[d])[0], q2, most) - radius[d], q2, most)
+                q = _matrix(vecs.slice(i, 1), d)[0]
+                q2 = float(norms(q[None, :])[0])
+                apart = from_query(routing[d] @ numbers(q, most), q2, most)
+                bound = score_bound(apart - radius[d], q2, most)
+                near.append(np.argsort(apart, kind="stable")[:FIRST].tolist())
                 to.append((np.flatnonzero(bound >= floor) if floor is not None else np.arange(len(bound))).tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(to, pa.list_(pa.int32()))], names=[*batch.schema.names, "to"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.list_(pa.int32())) for x in (near, to)]], names=[*batch.schema.names, "near", "to"])
 
-    rows = queries.select("asker", "vec", "floor", "dims", "region", "block").mapInArrow(lean(run), "asker long, vec array<long>, floor long, dims int, region int, block int, to array<int>")
-    rows = rows.select("asker", "vec", "floor", "dims", F.col("region").alias("own"), F.col("block").alias("own_block"), F.explode("to").alias("region"))
-    rows = rows.join(regions.select("dims", "region", "blocks"), ["dims", "region"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.where((F.col("region") != F.col("own")) | (F.col("block") != F.col("own_block")))
+    rows = queries.select("asker", "vec", "floor", "dims").mapInArrow(lean(run), "asker long, vec array<long>, floor long, dims int, near array<int>, to array<int>")
+    rows = rows.select("asker", "vec", "floor", "dims", "near", F.explode("near" if first else "to").alias("region"))
+    rows = rows.join(regions.select("dims", "region", "blocks"), ["dims", "region"])
+    own = F.pmod(F.xxhash64("asker"), F.col("blocks")).cast("int")  # as the class itself is dealt
+    if first:
+        return rows.withColumn("block", own).drop("near", "blocks")
+    rows = rows.withColumns({"own": own, "block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return rows.where((F.col("block") != F.col("own")) | ~F.array_contains("near", F.col("region"))).drop("near", "own", "blocks")
 
 
 def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vec_col: str = "embedding", n_routes: int | None = None) -> DataFrame:
@@ -261,7 +283,7 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     are ignored; an empty table gives no rows.
 
     Equal vectors are one class, of which the k + 1 smallest ids are kept: no others can be among a query's best. A
-    class that is asked for is first searched in the block where it stands itself; its worst score then rules out whole
+    class that is asked for is first searched in one block each of the regions nearest to it; its worst score then rules out whole
     regions by their covering radius, and only what is left is searched, in blocks of bounded size.
     """
     spark = vectors.sparkSession
@@ -285,19 +307,19 @@ def top_products(vectors: DataFrame, k: int = 20, every: int = 20, scale: int =
     placed = stored(placed, "topk-blocks")
     tree = stored(_pages(placed, most), "topk-pages")
 
-    keys = ["dims", "region", "block"]
-    queries = placed.where("asked").select(F.col("node").alias("asker"), "vec", *keys)
-    home = stored(_searched(queries.withColumn("floor", F.lit(None).cast("long")), tree, keys, most, k + 1), "topk-home")
-    worst = home.groupBy("asker").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
-    away = stored(_elsewhere(queries.join(worst, "asker", "left"), regions, routes, most), "topk-away")
-    # queries that stand together are dealt together, so that a block is read for few slices of them
-    slices = max(1, -(-seen["asked"] // QUERIES))
-    away = away.withColumn("slice", F.pmod(F.xxhash64("own", "own_block"), F.lit(slices)).cast("int"))
-    needed = stored(away.select(*keys, "slice").distinct(), "topk-needed")
-    rest = stored(_searched(away, tree.join(needed, keys), [*keys, "slice"], most, k + 1), "topk-rest")
-
-    by_class = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id")
-    found = home.unionByName(rest).join(classes.select("node", F.explode("ids").alias("vec_id")), "node")
+    queries = placed.where("asked").select(F.col("node").alias("asker"), "vec", "dims")
+    near = stored(_dealt(queries.withColumn("floor", F.lit(None).cast("long")), regions, routes, most, FIRST), "topk-near")
+    first = stored(_searched(near, tree, most, k + 1, "topk-near"), "topk-first")
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "least", "node")
+    first = first.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1).drop("nth")
+    first = stored(first, "topk-first-best")
+    worst = first.groupBy("asker").agg(F.when(F.count(F.lit(1)) > k, F.min("score")).alias("floor"))
+    away = _dealt(queries.join(worst, "asker", "left"), regions, routes, most, None)
+    rest = stored(_searched(stored(away, "topk-away"), tree, most, k + 1, "topk-away"), "topk-rest")
+
+    found = first.unionByName(rest).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
+    by_class = Window.partitionBy("asker").orderBy(F.desc("score"), "vec_id", "node")
+    found = found.select("asker", "node", "score").join(classes.select("node", F.explode("ids").alias("vec_id")), "node")
     found = found.withColumn("nth", F.row_number().over(by_class)).where(F.col("nth") <= k + 1)
     found = found.groupBy("asker").agg(F.array_sort(F.collect_list(F.struct("nth", "node", "vec_id", "score"))).alias("found"))
     named = asked.withColumnRenamed("vec_id", "query_id").join(classes.where("asked").select("vec", F.col("node").alias("asker")), "vec").select("query_id", "asker")

@@ -231,9 +231,9 @@ def test_bounds_save_products():
         apart = p.pop("apart")
         leaf = at is not None
         rows.append(p | {"center": p["center"].tobytes(), "rows": x[at].tobytes() if leaf else None, "leasts": ids[at].tobytes() if leaf else None, "nodes": ids[at].tobytes() if leaf else None, "apart": apart.tobytes() if leaf else None})
-    tree = topk_search.Tree(pd.DataFrame(rows))
+    tree = topk_search.Tree(pd.DataFrame(rows), most)
     for q in range(0, 200, 10):
-        got = sorted(tree.search(x[q], most, 10), reverse=True)
+        got = sorted(tree.search(x[q], 10), reverse=True)
         scores = x @ x[q]
         assert [(s, -i) for s, i, _ in got] == sorted(zip(scores.tolist(), ids.tolist(), strict=True), key=lambda t: (-t[0], t[1]))[:10]
     assert tree.computed < 0.5 * 20 * len(x)
