@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import lean, stored
 
 #: Routing vectors at most, and vectors for one of them; the sample they come from has so many times as many vectors.
-ROUTES, PER_ROUTE, SAMPLE = 1024, 2048, 4
+ROUTES, PER_ROUTE, SAMPLE = 1024, 4096, 4
 #: Vectors of a block at most, on average, and of a page; queries that are set against a block at once.
-BLOCK, PAGE, QUERIES = 8192, 256, 1024
+BLOCK, PAGE, QUERIES = 8192, 512, 1024
 #: Regions in which a query is searched first, to know what its best scores are worth.
 FIRST = 3
 #: Squared norms from here on can't be multiplied in 64 bits; sums below the second are exact in doubles in whatever order.
@@ -62,22 +62,22 @@ def from_query(dot: np.ndarray, q2: float, most: float) -> np.ndarray:
     return np.sqrt(np.maximum(q2 + most - 2.0 * dot, 0))
 
 
-def score_bound(distance: np.ndarray, q2: float, most: float) -> np.ndarray:
-    """The largest inner product that a lifted vector at `distance` or more can have; rounding is allowed for."""
-    low = np.maximum(distance - 1e-6 * np.sqrt(q2 + most), 0)
-    return (q2 + most - low**2) / 2 + 1e-9 * (q2 + most)
+def reach_of(score: int, q2: float, most: float) -> float:
+    """The largest distance that a lifted vector with this inner product or more can have; rounding is allowed for."""
+    whole = q2 + most
+    return math.sqrt(max(whole - 2.0 * score + 2e-9 * whole, 0.0)) + 1e-6 * math.sqrt(whole)
 
 
-def pages(least: np.ndarray, x: np.ndarray, most: float) -> Iterator[dict]:
-    """The pages of one block, parents before children; `least` has the smallest id of each vector.
+def pages(x: np.ndarray, most: float) -> Iterator[dict]:
+    """The pages of one block, parents before children.
 
     A page of more than PAGE vectors is split around some of them, each vector going to the nearest.
     """
-    rng, todo, number = np.random.default_rng(0), [(np.arange(len(least)), -1, 0, 0.0)], 0
+    rng, todo, number = np.random.default_rng(0), [(np.arange(len(x)), -1, 0, 0.0)], 0
     while todo:
         at, parent, route, up = todo.pop()
         d = distances(x[at], x[route][None, :], most)[:, 0]
-        page = {"page": number, "parent": parent, "center": x[route], "radius": float(d.max()), "up": up, "least": int(least[at].min()), "at": None, "apart": None}
+        page = {"page": number, "parent": parent, "center": x[route], "radius": float(d.max()), "up": up, "at": None, "apart": None}
         if len(at) > PAGE:
             chosen = rng.choice(len(at), min(PAGE, -(-2 * len(at) // PAGE)), replace=False)
             own = distances(x[at], x[at[chosen]], most).argmin(axis=1)
@@ -96,7 +96,7 @@ class Tree:
         pdf, self.most = pdf.sort_values("page", kind="stable"), most
         whole = lambda b: np.frombuffer(b, dtype=np.int64)
         self.center = numbers(np.stack([whole(b) for b in pdf["center"]]), most)
-        self.radius, self.up, self.least = (pdf[c].to_numpy() for c in ("radius", "up", "least"))
+        self.radius, self.up = (pdf[c].to_numpy() for c in ("radius", "up"))
         dims = self.center.shape[1]
         leaves = zip(pdf["leasts"], pdf["nodes"], pdf["rows"], pdf["apart"], strict=True)
         self.leaves = [(whole(i), whole(n), numbers(whole(r).reshape(len(whole(i)), dims), most), np.frombuffer(d, dtype=np.float64)) if i is not None else None for i, n, r, d in leaves]
@@ -107,38 +107,31 @@ class Tree:
         self.computed = 0
 
     def search(self, q: np.ndarray, k: int, floor: int | None = None) -> list[tuple[int, int, int]]:
-        """The k best (score, -smallest id, node), as a heap; those below `floor` aren't needed. Best first: the page with the highest bound is next."""
-        q2, most, best = float(norms(q[None, :])[0]), self.most, []
-        q = numbers(q, most)
-
-        def hopeless(bound: float, least: int) -> bool:
-            if len(best) == k:
-                return bound < best[0][0] or (math.floor(bound), -least) < best[0][:2]
-            return floor is not None and bound < floor
-
+        """The k best (score, -smallest id, node), as a heap; those below `floor` aren't needed. Best first: the nearest page is next."""
+        q2, most, best, queue = float(norms(q[None, :])[0]), self.most, [], []
+        q, reach, worst = numbers(q, most), math.inf, None
+        if floor is not None:
+            reach, worst = reach_of(floor, q2, most), floor
         to = from_query(self.center[:1] @ q, q2, most)
-        queue = [(-float(score_bound(to - self.radius[:1], q2, most)[0]), 0, float(to[0]))]
+        heapq.heappush(queue, (float(to[0] - self.radius[0]), 0, float(to[0])))
         self.computed += 1
         while queue:
-            minus, page, d = heapq.heappop(queue)
-            if hopeless(-minus, int(self.least[page])):
-                continue
+            nearest, page, d = heapq.heappop(queue)
+            if nearest > reach:
+                break
             if self.leaves[page] is None:
                 below = self.below[page]
                 # stored distances first: what they rule out needs no product
-                bound = score_bound(np.abs(d - self.up[below]) - self.radius[below], q2, most)
-                below = below[[not hopeless(b, i) for b, i in zip(bound.tolist(), self.least[below].tolist(), strict=True)]]
-                if len(below):
-                    to = from_query(self.center[below] @ q, q2, most)
-                    self.computed += len(below)
-                    bound = score_bound(to - self.radius[below], q2, most)
-                    for b, p, x in zip(bound.tolist(), below.tolist(), to.tolist(), strict=True):
-                        heapq.heappush(queue, (-b, p, x))
+                below = below[np.abs(d - self.up[below]) - self.radius[below] <= reach]
+                to = from_query(self.center[below] @ q, q2, most)
+                self.computed += len(below)
+                for low, p, x in zip((to - self.radius[below]).tolist(), below.tolist(), to.tolist(), strict=True):
+                    if low <= reach:
+                        heapq.heappush(queue, (low, p, x))
                 continue
             leasts, nodes, rows, apart = self.leaves[page]
-            worst = best[0][0] if len(best) == k else floor
             if worst is not None:
-                near = np.flatnonzero(score_bound(np.abs(d - apart), q2, most) >= worst)
+                near = np.flatnonzero(np.abs(d - apart) <= reach)
                 leasts, nodes, rows = leasts[near], nodes[near], rows[near]
             scores = rows @ q
             self.computed += len(scores)
@@ -148,6 +141,9 @@ class Tree:
                     heapq.heappush(best, found)
                 elif found > best[0]:
                     heapq.heapreplace(best, found)
+            if len(best) == k and (worst is None or best[0][0] > worst):
+                worst = best[0][0]
+                reach = reach_of(worst, q2, most)
         return best
 
 
@@ -196,16 +192,16 @@ def _pages(placed: DataFrame, most: float) -> DataFrame:
         dims = t["dims"][0].as_py()
         node, least = (t[c].to_numpy() for c in ("node", "least"))
         x, out = _matrix(t["vec"].combine_chunks(), dims), []
-        for p in pages(least, x, most):
+        for p in pages(x, most):
             at, leaf = p["at"], p["at"] is not None
             held = [x[at].tobytes(), least[at].tobytes(), node[at].tobytes(), p["apart"].tobytes()] if leaf else [None] * 4
-            out.append((p["page"], p["parent"], p["center"].tobytes(), p["radius"], p["up"], p["least"], *held))
+            out.append((p["page"], p["parent"], p["center"].tobytes(), p["radius"], p["up"], *held))
         same = [pa.array([t[c][0].as_py()] * len(out), pa.int32()) for c in ("dims", "region", "block")]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), pa.int64(), *[pa.binary()] * 4]
-        names = ["page", "parent", "center", "radius", "up", "least", "rows", "leasts", "nodes", "apart", "dims", "region", "block"]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.float64(), pa.float64(), *[pa.binary()] * 4]
+        names = ["page", "parent", "center", "radius", "up", "rows", "leasts", "nodes", "apart", "dims", "region", "block"]
         return pa.Table.from_arrays([*[pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], *same], names=names)
 
-    schema = "page int, parent int, center binary, radius double, up double, least long, rows binary, leasts binary, nodes binary, apart binary, dims int, region int, block int"
+    schema = "page int, parent int, center binary, radius double, up double, rows binary, leasts binary, nodes binary, apart binary, dims int, region int, block int"
     return placed.select("node", "vec", "least", "dims", "region", "block").groupBy("dims", "region", "block").applyInArrow(build, schema)
 
 
@@ -256,9 +252,8 @@ def _dealt(queries: DataFrame, regions: DataFrame, routes: dict[int, np.ndarray]
                 q = _matrix(vecs.slice(i, 1), d)[0]
                 q2 = float(norms(q[None, :])[0])
                 apart = from_query(routing[d] @ numbers(q, most), q2, most)
-                bound = score_bound(apart - radius[d], q2, most)
                 near.append(np.argsort(apart, kind="stable")[:FIRST].tolist())
-                to.append((np.flatnonzero(bound >= floor) if floor is not None else np.arange(len(bound))).tolist())
+                to.append((np.flatnonzero(apart - radius[d] <= reach_of(floor, q2, most)) if floor is not None else np.arange(len(apart))).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, pa.list_(pa.int32())) for x in (near, to)]], names=[*batch.schema.names, "near", "to"])
 
     rows = queries.select("asker", "vec", "floor", "dims").mapInArrow(lean(run), "asker long, vec array<long>, floor long, dims int, near array<int>, to array<int>")

@@ -219,14 +219,15 @@ def test_top_products_borders(spark):
     assert [tuple(x) for x in got.orderBy("rank").collect()] == [(0, 1, 3, 64 * 256), (0, 2, 3, 64 * 128)]
 
 
-def test_bounds_save_products():
+def test_bounds_save_products(monkeypatch):
     """Near queries are answered from few of a block's vectors."""
+    monkeypatch.setattr(topk_search, "PAGE", 64)
     r = np.random.default_rng(6)
     x = (64 * (r.normal(size=(40, 16))[r.integers(0, 40, 4000)] + 0.05 * r.normal(size=(4000, 16)))).astype(np.int64)
     most = float(topk_search.norms(x).max())
     ids = np.arange(len(x))
     rows = []
-    for p in topk_search.pages(ids, x, most):
+    for p in topk_search.pages(x, most):
         at = p.pop("at")
         apart = p.pop("apart")
         leaf = at is not None
