@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-FIELDS = ("category", "specific_technique", "role", "reasoning", "confidence")
+FIELDS = ("category", "specific_technique", "role", "reasoning", "confidence", "clip")
 
 
 def explode_clips(parsed: DataFrame) -> DataFrame:
-    """One row per clip; pos orders clips by window and place."""
-    rows = parsed.where("parse_ok").select("video_id", "is_final", "window_no", F.posexplode("analysis.clips").alias("idx", "clip"))
-    return rows.select("video_id", F.struct("is_final", "window_no", "idx").alias("pos"), "clip.*")
+    """One row per clip; pos orders clips by window and place; clip is all of it as the model gave it (VARIANT).
+
+    A field of another type than expected is null beside it. Without a column body, clip is made of the typed fields.
+    """
+    good = parsed.where("parse_ok")
+    typed = F.coalesce("analysis.clips", F.array().cast(parsed.schema["analysis"].dataType["clips"].dataType))
+    if "body" in parsed.columns:
+        whole = F.try_variant_get(F.try_parse_json("body"), "$.clips", "array<variant>")
+        both = F.arrays_zip(typed.alias("typed"), whole.alias("whole"))
+        rows = good.select("video_id", "is_final", "window_no", F.posexplode(F.transform(both, lambda x: F.struct(x["typed"].alias("t"), x["whole"].alias("w")))).alias("idx", "c"))
+        rows = rows.select("video_id", "is_final", "window_no", "idx", F.col("c.t").alias("t"), F.col("c.w").alias("w"))
+    else:
+        rows = good.select("video_id", "is_final", "window_no", F.posexplode(typed).alias("idx", "t")).withColumn("w", F.to_variant_object(F.col("t")))
+    return rows.select("video_id", F.struct("is_final", "window_no", "idx").alias("pos"), "t.*", F.col("w").alias("clip"))
 
 
 def quarantine_clips(clips: DataFrame, mode: str = "SPLIT") -> tuple[DataFrame, DataFrame]:
@@ -31,7 +42,8 @@ def merge_clips(clips: DataFrame, gap: int = 30) -> DataFrame:
 
     Columns video_id, pos, start_frame, end_frame and those of FIELDS that exist; the result has clip_no
     (from 1 by start) and n_clips. The other fields come from the clip with the greatest confidence (null
-    counts as 0), the earliest of equals. One exchange: all windows and the grouping stay within a video.
+    counts as 0), the earliest of equals; among them clip, with every key that the model gave it. One exchange: all
+    windows and the grouping stay within a video.
     """
     fields = [f for f in FIELDS if f in clips.columns]
     w = Window.partitionBy("video_id").orderBy("start_frame", "pos")
@@ -46,11 +58,28 @@ def merge_clips(clips: DataFrame, gap: int = 30) -> DataFrame:
     return merged.select("video_id", F.col("island").alias("clip_no"), "start_frame", "end_frame", *[F.col(f"best.{f}").alias(f) for f in fields], "n_clips")
 
 
+def whole_clip(start: Column, end: Column, clip: Column) -> Column:
+    """A clip's keys and values as the model gave them, with the frames of the merged clip: map<string, variant>."""
+    given = F.map_filter(F.try_variant_get(clip, "$", "map<string,variant>"), lambda k, v: ~k.isin("start_frame", "end_frame"))
+    frames = F.create_map(F.lit("start_frame"), start.cast("variant"), F.lit("end_frame"), end.cast("variant"))
+    return F.map_concat(frames, F.coalesce(given, F.create_map().cast("map<string,variant>")))
+
+
 def result_document(merged: DataFrame, videos: DataFrame, mode: str = "single") -> DataFrame:
-    """One row per video: match_summary, its clips in order (possibly none) and fps."""
+    """One row per video: match_summary, its clips in order (possibly none) and fps.
+
+    Where `merged` has clip, clips are maps of all keys that the models gave; else structs of the columns there are.
+    """
     cols = [c for c in ("start_frame", "end_frame", *FIELDS) if c in merged.columns]
-    item = F.struct("clip_no", *cols)
-    grouped = merged.groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("c")).select("video_id", F.transform("c", lambda x: F.struct(*[x[f].alias(f) for f in cols])).alias("clips"))
+    if "clip" in cols:
+        merged, cols = merged.withColumn("clip", whole_clip(F.col("start_frame"), F.col("end_frame"), F.col("clip"))), ["clip"]
+    item = F.struct(F.col("clip_no").alias("clip_no"), F.struct(*cols).alias("c"))
+    grouped = merged.groupBy("video_id").agg(F.collect_list(item).alias("c"))
+    # maps and variants have no order, so places are sorted and clips fetched by them
+    place = F.array_sort(F.transform("c", lambda x, i: F.struct(x["clip_no"].alias("clip_no"), i.alias("i"))))
+    grouped = grouped.withColumn("place", place)
+    one = (lambda c: c["clip"]) if cols == ["clip"] else (lambda c: c)
+    grouped = grouped.select("video_id", F.transform("place", lambda p: one(F.get("c", p["i"])["c"])).alias("clips"))
     rows = videos.join(grouped, "video_id", "left")
     summary = "Analysis generated via Multi-Agent" if mode == "multi" else "Analysis generated via Single-Agent"
     none = F.array().cast(grouped.schema["clips"].dataType)

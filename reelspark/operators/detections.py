@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.sources.tables import small
-
 
 def filter_persons(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Persons (class 0) with confidence at or above the threshold; box to 1 decimal, confidence to 4."""
@@ -26,5 +24,5 @@ def apply_picks(dets: DataFrame, picks: DataFrame) -> DataFrame:
     """
     first = picks.groupBy("video_id", "det_idx").agg(F.min("pick_no").alias("pick_no"))
     w = Window.partitionBy("video_id")
-    rows = dets.join(small(first), ["video_id", "det_idx"]).withColumns({"track_id": F.row_number().over(w.orderBy("pick_no", "det_idx")), "n": F.count(F.lit(1)).over(w)})
+    rows = dets.join(first, ["video_id", "det_idx"]).withColumns({"track_id": F.row_number().over(w.orderBy("pick_no", "det_idx")), "n": F.count(F.lit(1)).over(w)})
     return rows.where("n >= 2 and track_id <= 2").withColumn("box", F.transform("box", lambda x: F.bround(x, 1))).drop("n", "pick_no")

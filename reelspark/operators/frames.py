@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.sources.tables import small
-
 
 def explode_frames(tracking: DataFrame) -> DataFrame:
-    """(video_id, frame, athletes); of a frame that stands twice in a document the last one counts."""
-    rows = tracking.select("video_id", F.posexplode("frames").alias("pos", "f")).select("video_id", F.col("f.frame").alias("frame"), "pos", F.col("f.athletes").alias("athletes"))
+    """(video_id, frame, athletes); of a frame that stands twice in a document the last one counts.
+
+    Settled within the row: frames are sorted by number and place, and each but the last of equal numbers goes.
+    """
+    keyed = F.transform("frames", lambda f, i: F.struct(f["frame"].alias("frame"), i.alias("pos"), f["athletes"].alias("athletes")))
+    rows = tracking.select("video_id", F.array_sort(keyed).alias("f")).where("f is not null")
+    after = F.concat(F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))), F.array(F.get(F.slice("f", 1, 1), F.lit(1))))
+    last = F.zip_with("f", after, lambda x, y: F.when(y.isNull() | ~x["frame"].eqNullSafe(y["frame"]), x))
+    return rows.select("video_id", F.explode(F.filter(last, lambda x: x.isNotNull())).alias("f")).select("video_id", "f.frame", "f.athletes")
+
+
+def last_frames(rows: DataFrame) -> DataFrame:
+    """As explode_frames for frames that are rows already (video_id, pos, frame, athletes), as of a document that was read in pieces."""
     return rows.groupBy("video_id", "frame").agg(F.max_by("athletes", "pos").alias("athletes"))
 
 
@@ -33,7 +42,7 @@ def limit_frames(df: DataFrame, max_frames: int | None) -> DataFrame:
 
 def readable_prefix(df: DataFrame, videos: DataFrame) -> DataFrame:
     """Frames up to the first that can't be read: those within the video's length."""
-    return df.join(small(videos.select("video_id", "total_frames")), "video_id").where("frame >= 0 and frame < total_frames").drop("total_frames")
+    return df.join(videos.select("video_id", "total_frames"), "video_id").where("frame >= 0 and frame < total_frames").drop("total_frames")
 
 
 def drop_empty_frames(df: DataFrame) -> DataFrame:

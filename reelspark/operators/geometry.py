@@ -13,11 +13,6 @@ def union_box(df: DataFrame) -> DataFrame:
     return boxes.where("x1 is not null").drop("athletes")
 
 
-def union_box_flat(boxes: DataFrame) -> DataFrame:
-    """As union_box for a table with one row per box."""
-    return boxes.groupBy("video_id", "frame").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-
-
 def square_crop(df: DataFrame, padding: float = 0.2, bounded: bool = True) -> DataFrame:
     """Padded square around a box: moved into the image right, down, left, up, then truncated and clamped.
 
@@ -82,6 +77,42 @@ def mask_bbox(pixels: DataFrame) -> DataFrame:
     )
 
 
+def mask_runs(pixels: DataFrame, width: int) -> DataFrame:
+    """Masks as runs (video_id, frame, track_id, width, starts, lengths) from a row per set pixel (x, y), counted row by row from 0.
+
+    Pixels that repeat count once; a pixel outside of its row is an error of the input and stays out.
+    """
+    keys = ("video_id", "frame", "track_id")
+    at = F.array_sort(F.collect_set((F.col("y") * width + F.col("x")).cast("long")))
+    rows = pixels.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0)).groupBy(*keys).agg(at.alias("at"))
+    # place less rank is equal within a run
+    rows = rows.select(*keys, F.posexplode("at").alias("rank", "place")).groupBy(*keys, (F.col("place") - F.col("rank")).alias("run"))
+    runs = rows.agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("length")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("r"))
+    return runs.select(*keys, F.lit(width).alias("width"), F.col("r.start").alias("starts"), F.col("r.length").alias("lengths"))
+
+
+def mask_bbox_runs(masks: DataFrame) -> DataFrame:
+    """As mask_bbox from masks as runs (starts, lengths, width): box and area within the row, without a shuffle.
+
+    A run that goes on in the next row touches both sides of the image. Runs without length don't count; those of
+    a mask mustn't overlap.
+    """
+    runs = F.filter(F.arrays_zip(F.col("starts").alias("starts"), F.col("lengths").alias("lengths")), lambda r: r["lengths"] > 0)
+    width, end = F.col("width"), lambda r: r["starts"] + r["lengths"] - 1
+    row = lambda at: F.floor(at / width)
+    wraps = lambda r: row(r["starts"]) != row(end(r))
+    rows = masks.withColumn("runs", runs).where("size(runs) > 0")
+    of = lambda f: F.transform("runs", f)
+    box = {
+        "x1": F.array_min(of(lambda r: F.when(wraps(r), 0).otherwise(F.pmod(r["starts"], width)))),
+        "y1": F.array_min(of(lambda r: row(r["starts"]))),
+        "x2": F.array_max(of(lambda r: F.when(wraps(r), width - 1).otherwise(F.pmod(end(r), width)))),
+        "y2": F.array_max(of(lambda r: row(end(r)))),
+        "mask_area": F.aggregate(of(lambda r: r["lengths"].cast("long")), F.lit(0).cast("long"), lambda s, n: s + n),
+    }
+    return rows.select("video_id", "frame", "track_id", *[v.cast("long").alias(k) for k, v in box.items()])
+
+
 def tile_plan(images: DataFrame, tile: int = 400, pad: int = 10, scale: int = 4) -> DataFrame:
     """One row per tile: input bounds, padded bounds, output bounds and the offset of the tile in its padded output.
 

@@ -5,33 +5,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.schemas import REQUIRED
+from reelspark.schemas import REQUEST_FIELDS, REQUIRED
 
 _DASHED = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 #: With and without hyphens, in braces, or as a URN.
 UUID = rf"^(?i)(?:[0-9a-f]{{32}}|{_DASHED}|\{{{_DASHED}\}}|urn:uuid:{_DASHED})$"
 
 
+#: Numbers and texts that are whole numbers, "2.0" included.
+WHOLE = r"^\s*[+]?0*[0-9]{1,18}(?:\.0*)?\s*$"
+
+
+def _from_columns(df: DataFrame) -> dict[str, tuple]:
+    """(text, is it there, is it null, is it of a kind that will do) of each field, from text columns, where null counts as absent."""
+    c = {n: F.col(n).cast("string") if n in df.columns else F.lit(None).cast("string") for n in REQUEST_FIELDS}
+    return {n: (v, v.isNotNull(), F.lit(False), F.lit(True)) for n, v in c.items()}
+
+
+def _from_request(df: DataFrame) -> dict[str, tuple]:
+    """As _from_columns, from the values of `request`, by their kinds."""
+    out = {}
+    for n in REQUEST_FIELDS:
+        value = F.variant_get("request", f"$.{n}", "variant")
+        kind = F.schema_of_variant(value)
+        number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)") | (kind == "STRING") if n == "sampling_rate" else kind == "STRING"
+        text = F.try_variant_get("request", f"$.{n}", "string")
+        if n == "sampling_rate":
+            text = F.when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).when(kind.rlike("^(DOUBLE|FLOAT)"), F.try_variant_get("request", f"$.{n}", "double").cast("decimal(38,6)").cast("string")).otherwise(text)
+        out[n] = text, value.isNotNull(), F.coalesce(kind == "VOID", F.lit(False)), F.coalesce(number, F.lit(False))
+    return out
+
+
 def validate_requests(df: DataFrame) -> DataFrame:
-    """Adds errors (names of what is wrong, in order) and fills in defaults; all columns come as text.
+    """Adds errors (names of what is wrong, in order) and fills in defaults.
 
-    A column that is absent counts as null in every row. Valid video ids come in lower case with hyphens.
+    With a column `request` (of `read_job_requests`) an absent field is told from null, and text from numbers: null is an error
+    but for sns_topic_arn, as is a number where text is due; a sampling rate may be a whole number, 2.0, true or such a number as
+    text. Without it all columns come as text, and null or no column counts as absent. Valid video ids come in lower case
+    with hyphens. A line that is no JSON object has the one error "not json".
     """
-    c = F.col
-    have = set(df.columns)
-    out = df.withColumns({n: F.lit(None).cast("string") for n in (*REQUIRED, "sampling_rate", "analyzer_mode", "method", "sns_topic_arn") if n not in have})
-    rate = F.try_to_number(F.when(c("sampling_rate").rlike(r"^\s*[0-9]{1,9}\s*$"), F.trim("sampling_rate")), F.lit("999999999")).cast("int")
-    bad = [F.when(c(n).isNull(), F.lit(f"{n} missing")) for n in REQUIRED]
-    bad.append(F.when(c("video_id").isNotNull() & ~c("video_id").rlike(UUID), F.lit("video_id not a uuid")))
-    bad.append(F.when(c("sampling_rate").isNotNull() & ~F.coalesce(rate >= 1, F.lit(False)), F.lit("sampling_rate")))
-    bad.append(F.when(c("analyzer_mode").isNotNull() & ~c("analyzer_mode").isin("single", "multi"), F.lit("analyzer_mode")))
-    if "_corrupt_record" in have:
-        bad.append(F.when(c("_corrupt_record").isNotNull(), F.lit("not json")))
-    out = out.withColumn("errors", F.filter(F.array(*bad), lambda x: x.isNotNull()))
-    filled = {"sampling_rate": F.when(c("sampling_rate").isNull(), F.lit(1)).otherwise(rate), "analyzer_mode": F.coalesce("analyzer_mode", F.lit("single")), "method": F.coalesce("method", F.lit("esrgan"))}
-    plain = F.regexp_replace(F.lower("video_id"), "^urn:uuid:|[{}-]", "")
+    fields = _from_request(df) if "request" in df.columns else _from_columns(df)
+    out = df.withColumns({f"{p}_{n}": x for n, f in fields.items() for p, x in zip("vhnk", f, strict=True)})
+    of = lambda p, n: F.col(f"{p}_{n}")
+    text = {n: F.when(of("k", n), of("v", n)) for n in fields}
+    rate = F.when(text["sampling_rate"].rlike(WHOLE), F.regexp_replace(F.trim(F.regexp_replace(text["sampling_rate"], r"^\s+|\s+$", "")), r"^[+]|\.0*$", "")).cast("long")
+    bad = [F.when(~of("h", n) | of("n", n), F.lit(f"{n} missing")).when(~of("k", n), F.lit(f"{n} not text")) for n in REQUIRED]
+    bad.append(F.when(text["video_id"].isNotNull() & ~text["video_id"].rlike(UUID), F.lit("video_id not a uuid")))
+    bad.append(F.when(of("h", "sns_topic_arn") & ~of("n", "sns_topic_arn") & ~of("k", "sns_topic_arn"), F.lit("sns_topic_arn")))
+    bad.append(F.when(of("h", "sampling_rate") & ~F.coalesce(rate >= 1, F.lit(False)), F.lit("sampling_rate")))
+    bad.append(F.when(of("h", "analyzer_mode") & ~F.coalesce(text["analyzer_mode"].isin("single", "multi"), F.lit(False)), F.lit("analyzer_mode")))
+    bad.append(F.when(of("h", "method") & text["method"].isNull(), F.lit("method")))
+    errors = F.filter(F.array(*bad), lambda x: x.isNotNull())
+    if "_corrupt_record" in df.columns:
+        errors = F.when(F.col("_corrupt_record").isNotNull(), F.array(F.lit("not json"))).otherwise(errors)
+    plain = F.regexp_replace(F.lower(text["video_id"]), "^urn:uuid:|[{}-]", "")
     dashed = F.concat_ws("-", *[F.substring(plain, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    return out.withColumns(filled).withColumn("video_id", F.when(F.col("video_id").rlike(UUID), dashed).otherwise(F.lower("video_id")))
+    filled = {n: text[n] for n in (*REQUIRED[1:], "sns_topic_arn")} | {
+        "sampling_rate": F.when(of("h", "sampling_rate"), rate).otherwise(F.lit(1)).cast("long"),
+        "analyzer_mode": F.when(of("h", "analyzer_mode"), text["analyzer_mode"]).otherwise(F.lit("single")),
+        "method": F.when(of("h", "method"), text["method"]).otherwise(F.lit("esrgan")),
+        "video_id": F.when(text["video_id"].rlike(UUID), dashed).otherwise(F.lower(text["video_id"])),
+        "errors": errors,
+    }
+    return out.withColumns(filled).drop(*[f"{p}_{n}" for n in fields for p in "vhnk"])
 
 
 def job_state(jobs: DataFrame, updates: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import appearance_score
-from reelspark.sources.tables import small
+
+#: Entries of a block of a video's gallery, and candidates of a block, on average.
+GALLERY_BLOCK, CANDIDATE_BLOCK = 256, 1 << 16
 
 
 def hs_histogram(pixels: DataFrame, keys: tuple[str, ...] = ("video_id", "frame", "cand_idx")) -> DataFrame:
@@ -27,11 +29,28 @@ def build_gallery(appearance: DataFrame, order: str = "seq") -> DataFrame:
     return appearance.groupBy("video_id", "track_id").agg(best).select("video_id", "track_id", "s.*").drop(order)
 
 
+def in_blocks(cands: DataFrame, gallery: DataFrame, entry: tuple[str, ...], entries: int = GALLERY_BLOCK, rows: int = CANDIDATE_BLOCK) -> DataFrame:
+    """Every gallery entry of a video beside each of its candidates: the columns of `cands`, and `entry` of the gallery as g.
+
+    A video's entries are packed into blocks of about `entries`, its candidates into blocks of about `rows`, both by counts; a block of candidates
+    meets each block of entries in a task of its own. So neither a large gallery nor a video with most of all candidates
+    makes a large task, and nothing is broadcast but what turns out small when it has been made.
+    """
+    n = cands.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("n"))
+    m = gallery.groupBy("video_id").agg(F.ceil(F.count(F.lit(1)) / entries).cast("int").alias("m"))
+    size = n.join(m, "video_id")
+    deal = lambda c: F.pmod(F.xxhash64("track_id"), F.col(c)).cast("int")
+    packed = gallery.join(size, "video_id").withColumn("block", deal("m")).groupBy("video_id", "block", "n").agg(F.collect_list(F.struct(*entry)).alias("entries"))
+    packed = packed.select("video_id", "block", "entries", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"))
+    dealt = cands.join(size, "video_id").withColumn("salt", F.pmod(F.xxhash64("frame", "cand_idx"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).drop("n", "m")
+    return dealt.join(packed, ["video_id", "block", "salt"]).drop("block", "salt").withColumn("g", F.explode("entries")).drop("entries")
+
+
 def score_matrix(cands: DataFrame, gallery: DataFrame) -> DataFrame:
     """Every gallery entry of a video against each of its candidates: (video_id, frame, cand_idx, track_id, score)."""
-    g = gallery.select("video_id", "track_id", F.col("features").alias("gf"), F.col("histogram").alias("gh"))
-    rows = cands.join(small(g), "video_id")
-    return rows.select("video_id", "frame", "cand_idx", "track_id", appearance_score("features", "histogram", "gf", "gh").alias("score"))
+    rows = in_blocks(cands.select("video_id", "frame", "cand_idx", "features", "histogram"), gallery, ("track_id", "features", "histogram"))
+    return rows.select("video_id", "frame", "cand_idx", "g.track_id", appearance_score("features", "histogram", "g.features", "g.histogram").alias("score"))
 
 
 def greedy_assign(scores: DataFrame, cands: DataFrame, min_score: float = 0.4) -> DataFrame:
@@ -67,8 +86,8 @@ def detect_swaps(boxes: DataFrame, gallery: DataFrame) -> DataFrame:
     )
     frames = frames.where("n = 2").drop("n")
     many = gallery.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("video_id")
-    frames = frames.join(small(many), "video_id", "left_semi")
-    g = small(gallery.select("video_id", "track_id", F.struct("features", "histogram").alias("g")))
+    frames = frames.join(many, "video_id", "left_semi")
+    g = gallery.select("video_id", "track_id", F.struct("features", "histogram").alias("g"))
     for n in ("a", "b"):
         frames = frames.join(g.withColumnsRenamed({"track_id": f"t{n}", "g": f"g{n}"}), ["video_id", f"t{n}"], "left")
     score = lambda x, y: F.when(F.col(f"g{y}").isNull(), 0.0).otherwise(appearance_score(F.col(f"v{x}.features"), F.col(f"v{x}.histogram"), F.col(f"g{y}.features"), F.col(f"g{y}.histogram")))

@@ -45,7 +45,12 @@ def carry_context(parsed: DataFrame) -> DataFrame:
 
 
 def raw_records(parsed: DataFrame) -> DataFrame:
-    """Rows of the raw log: window, frames and analysis, or window and raw_error."""
+    """Rows of the raw log: window, frames and analysis, or window and raw_error.
+
+    analysis_json is the analysis as the model wrote it, with all its keys, nulls and values of other types than expected;
+    analysis has the fields that operators use.
+    """
     window = F.when(F.col("is_final"), "final").otherwise(F.col("window_no").cast("string"))
     frames = F.when(F.col("parse_ok"), F.col("frames")) if "frames" in parsed.columns else F.lit(None).cast("array<bigint>")
-    return parsed.select("video_id", "window_no", "is_final", window.alias("window"), frames.alias("frames"), "analysis", "raw_error")
+    text = F.when(F.col("parse_ok"), F.col("body"))
+    return parsed.select("video_id", "window_no", "is_final", window.alias("window"), frames.alias("frames"), "analysis", text.alias("analysis_json"), "raw_error")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from reelspark.functions.columns import cosine01, hist_correlation, l2_normalize, result_uri
 from reelspark.operators import clips, detections, events, frames, geometry, jobs, reid, responses, tracking, windows
 from reelspark.plans.views import view, with_views
-from reelspark.sources import readers, sinks
-from reelspark.sources.tables import scratch, small
-from reelspark.streaming import status
+from reelspark.sources import packed, readers, sinks
+from reelspark.sources.tables import scratch
+from reelspark.streaming import finalised, status
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -276,6 +276,28 @@ def mask_bbox(spark, sf_dir):
     return geometry.mask_bbox(rows)
 
 
+@query("select cast(floor(l_orderkey / 64) as bigint) as video_id, l_orderkey as frame, l_linenumber as track_id, min(l_partkey % 640) as x1, min(l_suppkey % 360) as y1, max(l_partkey % 640) as x2, max(l_suppkey % 360) as y2, count(distinct (l_suppkey % 360) * 640 + l_partkey % 640) as mask_area from lineitem group by 1, 2, 3")
+def mask_runs(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 64).alias("video_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"), (F.col("l_partkey") % 640).alias("x"), (F.col("l_suppkey") % 360).alias("y")
+    )
+    return geometry.mask_bbox_runs(geometry.mask_runs(rows, 640))
+
+
+RUN_PIXELS = "select l_orderkey as frame, l_linenumber as track_id, (l_suppkey % 360) * 640 + l_partkey % 640 as s, cast(l_quantity as bigint) as n from lineitem"
+
+
+@query(
+    """select cast(floor(frame / 64) as bigint) as video_id, frame, track_id, min(p % 640) as x1, min(p // 640) as y1, max(p % 640) as x2, max(p // 640) as y2, count(*) as mask_area from runs, unnest(range(s, s + n)) t(p) group by 1, 2, 3""",
+    runs=RUN_PIXELS,
+)
+def mask_bbox_runs(spark, sf_dir):
+    start = (F.col("l_suppkey") % 360) * 640 + F.col("l_partkey") % 640
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 64).alias("video_id"), F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("track_id"))
+    runs = rows.agg(F.collect_list(F.struct(start.cast("long").alias("s"), F.col("l_quantity").cast("long").alias("n"))).alias("r"))
+    return geometry.mask_bbox_runs(runs.select("video_id", "frame", "track_id", F.lit(640).alias("width"), F.col("r.s").alias("starts"), F.col("r.n").alias("lengths")))
+
+
 @query(
     """select image_id, cast(ty as integer) as tile_y, cast(tx as integer) as tile_x, x1, y1, x2, y2, greatest(x1 - p, 0) as pad_x1, greatest(y1 - p, 0) as pad_y1, least(x2 + p, width) as pad_x2, least(y2 + p, height) as pad_y2,
  x1 * 4 as out_x1, y1 * 4 as out_y1, x2 * 4 as out_x2, y2 * 4 as out_y2, (x1 - greatest(x1 - p, 0)) * 4 as in_x, (y1 - greatest(y1 - p, 0)) * 4 as in_y
@@ -342,13 +364,18 @@ def tracking_document(spark, sf_dir):
     return docs.select("video_id", "video", "fps", F.size("frames").cast("long").alias("n_frames"), n.alias("n_athletes"), F.col("num_objects").cast("long").alias("num_objects"), text.alias("frames"))
 
 
-def tracked(spark, sf_dir):
-    # the frame's own number serves as its local index
+def tracked_parts(spark, sf_dir):
+    """Frames, tracks and videos; the frame's own number serves as its local index."""
     rows = view(spark, sf_dir, "v_frames").select("video_id", F.col("frame").alias("local_idx"), F.lit(None).cast("long").alias("frame"))
     tracks = view(spark, sf_dir, "v_athletes").select(
         "video_id", F.col("frame").alias("local_idx"), F.col("det_idx").cast("int").alias("track_id"), F.array("x1", "y1", "x2", "y2").alias("box"), F.lit(0).cast("long").alias("mask_area")
     )
     videos = view(spark, sf_dir, "v_videos").withColumn("video", F.concat(F.lit("m"), F.col("video_id").cast("string")))
+    return rows, tracks, videos
+
+
+def tracked(spark, sf_dir):
+    rows, tracks, videos = tracked_parts(spark, sf_dir)
     return tracking.tracking_document(tracks, rows, videos)
 
 
@@ -439,16 +466,6 @@ def carry_context(spark, sf_dir):
     return responses.carry_context(parsed(spark, sf_dir)).select("video_id", "window_no", "context")
 
 
-@query(
-    "select video_id, window_no, case when is_final then 'final' else cast(window_no as varchar) end as \"window\", parse_ok as has_analysis, case when not parse_ok then response end as raw_error from parsed where parse_ok or not is_final",
-    body=BODY,
-    parsed=PARSED,
-)
-def raw_records(spark, sf_dir):
-    rows = responses.raw_records(parsed(spark, sf_dir))
-    return rows.select("video_id", "window_no", "window", F.col("analysis").isNotNull().alias("has_analysis"), "raw_error")
-
-
 # ---- the consumer's side
 
 @query("select video_id, event_type, event_index, category from v_messages where event_type = 'bjj_event_detected' and category in ('click', 'view') union all select video_id, event_type, event_index, category from v_messages where category is null")
@@ -553,22 +570,51 @@ def upsert_status(spark, sf_dir):
     return status.read_status(spark, path).drop("created_at", "updated_at")
 
 
+@query("select video_id, received_count, expected_total, job_id, result_s3_uri from status where finalized", **STREAM, status=FEED_STATUS)
+def finalised_stream(spark, sf_dir):
+    feed, path = delivered(spark, sf_dir), scratch(spark, "finalised")
+    finalised.run_finalised_stream(events.parse_envelope(readers.read_messages(spark, feed, streaming=True)), path, f"{path}-checkpoint")
+    return spark.read.schema(finalised.OUTPUT).parquet(path)
+
+
 # ---- sources and sinks: what is written and read again
 
 @query("select f.video_id, 'm' || cast(f.video_id as varchar) as video, f.frame, count(a.frame) as n_athletes, coalesce(sum(a.x1), 0.0) as x1 from v_frames f left join v_athletes a on f.video_id = a.video_id and f.frame = a.frame group by f.video_id, f.frame")
 def write_tracking(spark, sf_dir):
     path = scratch(spark, "tracking")
     sinks.write_tracking(tracked(spark, sf_dir), path)
-    docs = readers.read_tracking(spark, path, lines=True).select(F.col("video_id").cast("long").alias("video_id"), "video", F.explode("frames").alias("f"))
+    docs = readers.read_tracking(spark, path, packed=True).select(F.col("video_id").cast("long").alias("video_id"), "video", F.explode("frames").alias("f"))
     return docs.select("video_id", "video", "f.frame", F.size("f.athletes").cast("long").alias("n_athletes"), F.aggregate("f.athletes", F.lit(0.0), lambda s, a: s + F.get(a["box"], F.lit(0))).alias("x1"))
 
 
+def frame_columns(rows):
+    return rows.select(F.col("video_id").cast("long").alias("video_id"), "frame", F.size("athletes").cast("long").alias("n_athletes"), F.aggregate("athletes", F.lit(0.0), lambda s, a: s + F.get(a["box"], F.lit(0))).alias("x1"))
+
+
+@query("select f.video_id, f.frame, count(a.frame) as n_athletes, coalesce(sum(a.x1), 0.0) as x1 from v_frames f left join v_athletes a on f.video_id = a.video_id and f.frame = a.frame group by f.video_id, f.frame")
+def tracking_fragments(spark, sf_dir):
+    path = scratch(spark, "fragments")
+    rows, tracks, videos = tracked_parts(spark, sf_dir)
+    sinks.write_tracking(tracking.tracking_fragments(tracks, rows, videos), path)
+    return frame_columns(readers.read_tracking_frames(spark, path, packed=True))
+
+
+@query("select floor(f.video_id / 256) as video_id, f.frame, count(a.frame) as n_athletes, coalesce(sum(a.x1), 0.0) as x1 from v_frames f left join v_athletes a on f.video_id = a.video_id and f.frame = a.frame group by floor(f.video_id / 256), f.frame")
+def read_tracking_frames(spark, sf_dir):
+    path, long = scratch(spark, "long"), F.floor(F.col("video_id") / 256).alias("video_id")
+    rows, tracks, videos = tracked_parts(spark, sf_dir)
+    rows, tracks = (x.withColumn("video_id", long) for x in (rows, tracks))
+    docs = tracking.tracking_document(tracks, rows, videos.select(long, "width", "height", "fps").dropDuplicates(["video_id"]))
+    docs.select("video_id", F.to_json(F.struct("video", "model", "fps", "video_size", "num_objects", "frames")).alias("value")).write.partitionBy("video_id").text(path)
+    return frame_columns(frames.last_frames(readers.read_tracking_frames(spark, path)))
+
+
 @query("select video_id, 'm' || cast(video_id as varchar) as video, '1920x1080' as video_size, frame_idx, row_number() over (partition by video_id, frame_idx order by det_idx) as track_id, round(x2, 1) as x2, round(confidence, 4) as confidence from dets where class_id = 0 and confidence >= 0.5", dets=DETS)
 def write_detections(spark, sf_dir):
     path = scratch(spark, "detections")
     rows = detections.number_tracks(detections.filter_persons(raw_detections(spark, sf_dir)))
     sinks.write_detections(rows.withColumns({"video": F.concat(F.lit("m"), F.col("video_id").cast("string")), "video_size": F.array(F.lit(1920), F.lit(1080))}), path)
-    docs = readers.read_detections(spark, path, lines=True)
+    docs = readers.read_detections(spark, path, packed=True)
     size = F.array_join(F.col("video_size").cast("array<string>"), "x")
     people = readers.explode_persons(docs).join(docs.select("video_id", "frame_idx", "video", size.alias("video_size")), ["video_id", "frame_idx"])
     return people.select(F.col("video_id").cast("long").alias("video_id"), "video", "video_size", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("track_id").cast("long").alias("track_id"), corner(2).alias("x2"), "confidence")
@@ -588,31 +634,86 @@ def read_job_requests(spark, sf_dir):
     return readers.read_job_requests(spark, path).select("video_id", "sampling_rate", "analyzer_mode", "method", "video_s3_bucket", "output_s3_key")
 
 
+#: Answers with keys that nobody asked for, a null and values of other types than expected; ids of one digit more than JSON texts of equal length.
+KEYED_RESPONSES = """select video_id, window_no, is_final, response, case when parse_ok then replace(body, '"clips":[{', '"mood":{"calm":[true,null,' || cast(window_no as varchar) || ']},"note":null,"clips":[{"score_delta":' || cast(window_no % 7 as varchar) || ',"role":null,"reasoning":5,') else body end as body, parse_ok from parsed"""
+
+
+def keyed_responses(spark, sf_dir):
+    """The parsed answers with more keys in them and in their clips."""
+    n = F.col("window_no").cast("string")
+    more = F.concat(F.lit('"mood":{"calm":[true,null,'), n, F.lit(']},"note":null,"clips":[{"score_delta":'), (F.col("window_no") % 7).cast("string"), F.lit(',"role":null,"reasoning":5,'))
+    last = F.max("window_no").over(Window.partitionBy("video_id"))
+    rows = view(spark, sf_dir, "v_responses").withColumn("is_final", F.col("window_no") == last)
+    good = F.col("window_no") == F.col("window_no")
+    return responses.parse_responses(rows.withColumn("response", F.when(good, F.replace("response", F.lit('"clips":[{'), more))))
+
+
+#: An answer's values under their keys, as one text in which every value shows its kind.
+ANSWER = """json_extract_string(a, '$.current_context_summary') as summary, json_type(a, '$.current_context_summary') as summary_kind, cast(json_extract(a, '$.mood') as varchar) as mood, json_type(a, '$.note') as note_kind,
+ cast(json_extract(a, '$.clips[0].score_delta') as bigint) as score_delta, json_type(a, '$.clips[0].role') as role_kind, cast(json_extract(a, '$.clips[0].reasoning') as bigint) as reasoning, json_extract_string(a, '$.clips[0].category') as category, cast(json_extract(a, '$.clips[0].confidence') as double) as confidence, cast(json_array_length(a, '$.clips') as bigint) as n_clips"""
+
+
+def answer_columns(a):
+    """The same from a VARIANT."""
+    at = lambda path, kind: F.try_variant_get(a, path, kind)
+    kind = lambda path: F.schema_of_variant(F.variant_get(a, path, "variant"))
+    named = lambda k: F.when(k == "VOID", "NULL").when(k == "STRING", "VARCHAR").otherwise(k)
+    n = F.size(at("$.clips", "array<variant>")).cast("long")
+    return {
+        "summary": at("$.current_context_summary", "string"), "summary_kind": named(kind("$.current_context_summary")), "mood": F.to_json(F.variant_get(a, "$.mood", "variant")), "note_kind": named(kind("$.note")),
+        "score_delta": at("$.clips[0].score_delta", "long"), "role_kind": named(kind("$.clips[0].role")), "reasoning": at("$.clips[0].reasoning", "long"), "category": at("$.clips[0].category", "string"),
+        "confidence": at("$.clips[0].confidence", "double"), "n_clips": F.when(at("$.clips", "array<variant>").isNotNull(), n),
+    }
+
+
 @query(
-    "select video_id, count(*) as n_windows, string_agg(case when is_final then 'final' else cast(window_no as varchar) end, ',' order by is_final, window_no) as windows, count(*) filter (where not parse_ok) as n_errors from parsed where parse_ok or not is_final group by video_id",
+    f"""select video_id, case when is_final then 'final' else cast(window_no as varchar) end as "window", case when not parse_ok then replace(response, '"clips":[{{', {"'" + '"mood":{"calm":[true,null,' + "'"} || cast(window_no as varchar) || ']}},"note":null,"clips":[{{"score_delta":' || cast(window_no % 7 as varchar) || ',"role":null,"reasoning":5,') end as raw_error, {ANSWER}
+ from (select *, case when parse_ok then cast(body as json) end as a from keyed_responses) where parse_ok or not is_final""",
     body=BODY,
     parsed=PARSED,
+    keyed_responses=KEYED_RESPONSES,
 )
 def write_raw(spark, sf_dir):
     path = scratch(spark, "raw")
-    sinks.write_raw(responses.raw_records(parsed(spark, sf_dir)), path)
-    log = F.from_json("value", "array<struct<window: string, raw_error: string>>")
-    rows = spark.read.text(path).select(F.col("video_id").cast("long").alias("video_id"), log.alias("log"))
-    return rows.select("video_id", F.size("log").cast("long").alias("n_windows"), F.array_join("log.window", ",").alias("windows"), F.size(F.filter("log.raw_error", lambda e: e.isNotNull())).cast("long").alias("n_errors"))
+    sinks.write_raw(responses.raw_records(keyed_responses(spark, sf_dir)), path)
+    log = packed.read_packed(spark, path).select(F.col("video_id").cast("long").alias("video_id"), F.explode(F.variant_get(F.parse_json("document"), "$", "array<variant>")).alias("r"))
+    whole = {"window": F.variant_get("r", "$.window", "string"), "raw_error": F.variant_get("r", "$.raw_error", "string")}
+    return log.select("video_id", *[v.alias(k) for k, v in (whole | answer_columns(F.variant_get("r", "$.analysis", "variant"))).items()])
 
 
 @query(
-    """select v.video_id, 'Analysis generated via Single-Agent' as match_summary, fps, count(m.video_id) as n_clips, coalesce(string_agg(cast(start_frame as varchar) || '-' || cast(end_frame as varchar), ',' order by clip_no), '') as clips
- from v_videos v left join merged m on v.video_id = m.video_id group by v.video_id, fps""",
-    **MERGE,
+    f"""select video_id, window_no, case when is_final then 'final' else cast(window_no as varchar) end as "window", parse_ok as has_analysis, {ANSWER} from (select *, case when parse_ok then cast(body as json) end as a from keyed_responses) where parse_ok or not is_final""",
+    body=BODY,
+    parsed=PARSED,
+    keyed_responses=KEYED_RESPONSES,
+)
+def raw_records(spark, sf_dir):
+    rows = responses.raw_records(keyed_responses(spark, sf_dir)).withColumn("a", F.parse_json("analysis_json"))
+    return rows.select("video_id", "window_no", "window", F.col("analysis").isNotNull().alias("has_analysis"), *[v.alias(k) for k, v in answer_columns(F.col("a")).items()])
+
+
+#: Clips as models give them, with keys of their own.
+FREE_CLIPS = """select video_id, pos, start_frame, end_frame, category, confidence, '{"start_frame":' || cast(start_frame as varchar) || ',"end_frame":' || cast(end_frame as varchar) || ',"category":"' || category || '","pos":' || cast(pos as varchar) || ',"why":null,"tags":["a",' || cast(pos % 3 as varchar) || ']}' as clip from v_clips"""
+
+
+@query(
+    """select v.video_id, 'Analysis generated via Single-Agent' as match_summary, fps, clip_no, m.start_frame, m.end_frame, m.category, cast(m.pos as bigint) as pos, case when m.pos is not null then 'NULL' end as why_kind, case when m.pos is not null then '["a",' || cast(m.pos % 3 as varchar) || ']' end as tags
+ from v_videos v left join (select video_id, cast(island as bigint) as clip_no, min(start_frame) as start_frame, max(end_frame) as end_frame, first(category order by coalesce(confidence, 0) desc, rk) as category, first(pos order by coalesce(confidence, 0) desc, rk) as pos from islands group by video_id, island) m on v.video_id = m.video_id""",
+    **{k: v for k, v in MERGE.items() if k != "merged"},
 )
 def write_result(spark, sf_dir):
     path = scratch(spark, "results")
-    sinks.write_result(clips.result_document(merged(spark, sf_dir), view(spark, sf_dir, "v_videos")), path)
-    doc = F.from_json("value", "match_summary string, clips array<struct<start_frame: bigint, end_frame: bigint>>, fps double").alias("d")
-    rows = spark.read.text(path).select(F.col("video_id").cast("long").alias("video_id"), doc).select("video_id", "d.*")
-    text = F.transform("clips", lambda c: F.concat_ws("-", c["start_frame"].cast("string"), c["end_frame"].cast("string")))
-    return rows.select("video_id", "match_summary", "fps", F.size("clips").cast("long").alias("n_clips"), F.array_join(text, ",").alias("clips"))
+    text = F.concat(
+        F.lit('{"start_frame":'), F.col("start_frame").cast("string"), F.lit(',"end_frame":'), F.col("end_frame").cast("string"), F.lit(',"category":"'), F.col("category"),
+        F.lit('","pos":'), F.col("pos").cast("string"), F.lit(',"why":null,"tags":["a",'), (F.col("pos") % 3).cast("string"), F.lit("]}"),
+    )
+    free = view(spark, sf_dir, "v_clips").withColumn("clip", F.parse_json(text))
+    sinks.write_result(clips.result_document(clips.merge_clips(free), view(spark, sf_dir, "v_videos")), path)
+    doc = packed.read_packed(spark, path).select(F.col("video_id").cast("long").alias("video_id"), F.parse_json("document").alias("d"))
+    doc = doc.select("video_id", F.variant_get("d", "$.match_summary", "string").alias("match_summary"), F.variant_get("d", "$.fps", "double").alias("fps"), F.posexplode_outer(F.variant_get("d", "$.clips", "array<variant>")).alias("at", "c"))
+    at = lambda k, kind: F.variant_get("c", f"$.{k}", kind).alias(k)
+    kind = F.schema_of_variant(F.variant_get("c", "$.why", "variant"))
+    return doc.select("video_id", "match_summary", "fps", (F.col("at") + 1).cast("long").alias("clip_no"), at("start_frame", "long"), at("end_frame", "long"), at("category", "string"), at("pos", "long"), F.when(kind == "VOID", "NULL").alias("why_kind"), F.to_json(F.variant_get("c", "$.tags", "variant")).alias("tags"))
 
 
 @query(f"select cast(video_id as varchar) as key, {UUID5(KEY)} as id, category, cast(event_index as varchar) as event_index from ev", **MERGE, ev=EVENTS)
@@ -646,7 +747,7 @@ def looks(spark, sf_dir):
 def gallery_and_candidates(spark, sf_dir):
     rows = looks(spark, sf_dir)
     entries = reid.build_gallery(rows.select(video_of_vector().alias("video_id"), F.col("label").alias("track_id"), "features", "histogram", (-F.col("vec_id")).alias("seq"), "vec_id"))
-    cands = rows.join(small(entries.select("vec_id")), "vec_id", "left_anti")
+    cands = rows.join(entries.select("vec_id"), "vec_id", "left_anti")
     cands = cands.select(video_of_vector().alias("video_id"), F.floor(F.col("vec_id") / 4).alias("frame"), (F.col("vec_id") % 4).alias("cand_idx"), "features", "histogram", "label", "vec_id")
     return entries.drop("vec_id"), cands
 
@@ -654,15 +755,15 @@ def gallery_and_candidates(spark, sf_dir):
 @query("select frame, cand_idx, track_id, round(cosine, 6) as score from scores", **LOOKS)
 def cosine_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(small(g.withColumnRenamed("features", "gf").drop("histogram")), "video_id")
-    return rows.select("frame", "cand_idx", "track_id", F.round(cosine01("features", "gf"), 6).alias("score"))
+    rows = reid.in_blocks(c, g, ("track_id", "features"))
+    return rows.select("frame", "cand_idx", "g.track_id", F.round(cosine01("features", "g.features"), 6).alias("score"))
 
 
 @query("select frame, cand_idx, track_id, round(hist, 6) as score from scores", **LOOKS)
 def hist_scores(spark, sf_dir):
     g, c = gallery_and_candidates(spark, sf_dir)
-    rows = c.join(small(g.withColumnRenamed("histogram", "gh").drop("features")), "video_id")
-    return rows.select("frame", "cand_idx", "track_id", F.round(hist_correlation("histogram", "gh"), 6).alias("score"))
+    rows = reid.in_blocks(c, g, ("track_id", "histogram"))
+    return rows.select("frame", "cand_idx", "g.track_id", F.round(hist_correlation("histogram", "g.histogram"), 6).alias("score"))
 
 
 @query("select frame, cand_idx, track_id, round(0.5 * cosine + 0.5 * hist, 6) as score from scores", **LOOKS)
@@ -729,6 +830,25 @@ def validate_requests(spark, sf_dir):
     return out.select("job_id", "video_id", F.col("sampling_rate").cast("long").alias("sampling_rate"), "analyzer_mode", "method", F.array_join("errors", ",").alias("errors"))
 
 
+TYPED = """select job_id, r, json_type(r, '$.video_id') as video_kind, json_extract_string(r, '$.video_id') as video, json_type(r, '$.video_s3_bucket') as bucket_kind, json_type(r, '$.sampling_rate') as rate_kind,
+ json_type(r, '$.analyzer_mode') as mode_kind, json_type(r, '$.method') as method_kind, json_type(r, '$.sns_topic_arn') as topic_kind, try_cast(json_extract_string(r, '$.sampling_rate') as double) as rate from (select job_id, cast(request as json) as r from v_request_texts)"""
+
+
+@query(
+    """select job_id, case when video_kind = 'VARCHAR' then lower(replace(replace(video, '{', ''), '}', '')) end as video_id, case when rate_kind is null then 1 when rate = floor(rate) then cast(rate as bigint) end as sampling_rate,
+ case when mode_kind is null then 'single' when mode_kind = 'VARCHAR' then json_extract_string(r, '$.analyzer_mode') end as analyzer_mode, case when method_kind is null then 'esrgan' when method_kind = 'VARCHAR' then json_extract_string(r, '$.method') end as method,
+ concat_ws(',', case when video_kind = 'NULL' then 'video_id missing' when video_kind <> 'VARCHAR' then 'video_id not text' end, case when coalesce(bucket_kind, 'NULL') = 'NULL' then 'video_s3_bucket missing' when bucket_kind <> 'VARCHAR' then 'video_s3_bucket not text' end,
+ case when video = 'bad-id' then 'video_id not a uuid' end, case when topic_kind not in ('NULL', 'VARCHAR') then 'sns_topic_arn' end, case when rate_kind is not null and not coalesce(rate = floor(rate) and rate >= 1, false) then 'sampling_rate' end,
+ case when mode_kind is not null and not (mode_kind = 'VARCHAR' and json_extract_string(r, '$.analyzer_mode') in ('single', 'multi')) then 'analyzer_mode' end, case when method_kind is not null and method_kind <> 'VARCHAR' then 'method' end) as errors from typed""",
+    typed=TYPED,
+)
+def request_kinds(spark, sf_dir):
+    path = scratch(spark, "texts")
+    view(spark, sf_dir, "v_request_texts").select(F.col("request").alias("value")).write.text(path)
+    out = jobs.validate_requests(readers.read_job_requests(spark, path).withColumn("job_id", F.variant_get("request", "$.job", "long")))
+    return out.select("job_id", "video_id", "sampling_rate", "analyzer_mode", "method", F.array_join("errors", ",").alias("errors"))
+
+
 STATE = """select j.job_id, coalesce(u.status, 'queued') as status, coalesce(u.progress, 0.0) as progress, coalesce(u.message, '') as message, u.error from (select video_id as job_id from v_videos where video_id % 3 <> 0 union all select -1) j
  left join (select job_id, arg_max(status, seq) as status, arg_max(progress, seq) as progress, arg_max(message, seq) as message, arg_max(error, seq) as error from v_updates group by job_id) u on j.job_id = u.job_id"""
 

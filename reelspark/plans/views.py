@@ -45,6 +45,12 @@ select o_orderkey as job_id, case when o_orderkey % 17 = 0 then 'bad-id' else '0
  case o_orderkey % 4 when 0 then 'swinir' when 1 then 'hat' when 2 then 'diffusion' end as method,
  case when o_orderkey % 19 <> 0 then 'in' end as video_s3_bucket, 'v' || cast(o_orderkey as string) as video_s3_key, 'in' as tracking_json_s3_bucket, case when o_orderkey % 23 <> 0 then 't' end as tracking_json_s3_key,
  'out' as output_s3_bucket, 'r/' || cast(o_orderkey as string) as output_s3_key from orders""",
+    "v_request_texts": r"""
+select o_orderkey as job_id, '{"video_id":' || case o_orderkey % 17 when 0 then '"bad-id"' when 1 then '5' when 2 then 'null' when 3 then '"{00000000-0000-0000-0000-00000000000A}"' else '"00000000-0000-0000-0000-' || lpad(cast(o_custkey as string), 12, '0') || '"' end
+ || case o_orderkey % 19 when 0 then '' when 1 then ',"video_s3_bucket":7' when 2 then ',"video_s3_bucket":null' else ',"video_s3_bucket":"in"' end || ',"video_s3_key":"v","tracking_json_s3_bucket":"in","tracking_json_s3_key":"t","output_s3_bucket":"out","output_s3_key":"r"'
+ || case o_orderkey % 8 when 0 then '' when 1 then ',"sampling_rate":null' when 2 then ',"sampling_rate":2.0' when 3 then ',"sampling_rate":"3"' when 4 then ',"sampling_rate":2.5' when 5 then ',"sampling_rate":0' when 6 then ',"sampling_rate":"x"' else ',"sampling_rate":4' end
+ || case o_orderkey % 5 when 0 then '' when 1 then ',"analyzer_mode":null' when 2 then ',"analyzer_mode":"multi"' when 3 then ',"analyzer_mode":1' else ',"analyzer_mode":"both"' end
+ || case o_orderkey % 6 when 0 then '' when 1 then ',"method":null' when 2 then ',"method":3' else ',"method":"hat"' end || case o_orderkey % 7 when 0 then ',"sns_topic_arn":null' when 1 then ',"sns_topic_arn":[]' when 2 then ',"sns_topic_arn":"arn"' else '' end || ',"job":' || cast(o_orderkey as string) || ',"more":{"a":1}}' as request from orders""",
 }
 TABLES = ("orders", "lineitem", "events", "customer")
 

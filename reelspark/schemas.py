@@ -10,4 +10,4 @@ ENVELOPE = "Type string, MessageId string, TopicArn string, Message string, Mess
 EVENT_BODY = "id string, video_id string, start_time string, end_time string, event_candidates array<struct<id: string, role: string, skill_name: string, category: string, confidence: double>>"
 COMPLETION_BODY = "video_id string, job_id string, total_event_count int, result_s3_uri string"
 REQUIRED = ("video_id", "video_s3_bucket", "video_s3_key", "tracking_json_s3_bucket", "tracking_json_s3_key", "output_s3_bucket", "output_s3_key")
-REQUEST = ", ".join(f"{c} string" for c in (*REQUIRED, "sns_topic_arn", "sampling_rate", "analyzer_mode", "method", "_corrupt_record"))
+REQUEST_FIELDS = (*REQUIRED, "sns_topic_arn", "sampling_rate", "analyzer_mode", "method")

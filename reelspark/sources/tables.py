@@ -1,31 +1,17 @@
-"""Tables that dimension joins use."""
+"""Folders for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side is broadcast only if the optimizer's bound of its size, from the sizes of the files below, is no more than this.
-SMALL_BYTES = 16 << 20
-
-
-def small(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
-    """`df` with a broadcast hint if it is proven small; else as it is, to be joined by what its size turns out to be.
-
-    Nothing is run for this: filters and aggregates count with the size of what they read, joins with the product.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= most else df
-
+from pyspark.sql import SparkSession
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (`spark.checkpoint.dir`); a local session may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/reelspark/{name}-{uuid.uuid4().hex}"

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import events
-from reelspark.sources import commits, readers, sinks
-from reelspark.streaming import status
+from reelspark.operators import clips, frames, responses, tracking
+from reelspark.sources import commits, packed, readers, sinks
+from reelspark.streaming import finalised, status
 
 
 def test_tracking_round_trip(spark, tmp_path):
@@ -19,9 +20,9 @@ def test_tracking_round_trip(spark, tmp_path):
     row = got.first()
     assert row.video_id == "abc" and row.frames[0].athletes[0].box == [1.0, 2.0, 3.0, 4.0] and row.frames[1].athletes == []
     sinks.write_tracking(got, str(tmp_path / "out"))
-    text = json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])
+    text = json.loads(packed.read_packed(spark, str(tmp_path / "out")).first()["document"])
     assert text["frames"][0]["athletes"][0]["mask_area"] == 9 and text["num_objects"] == 1 and text["video"] == "v"
-    assert readers.read_tracking(spark, str(tmp_path / "out"), lines=True).first().video_id == "abc"
+    assert readers.read_tracking(spark, str(tmp_path / "out"), packed=True).first().video_id == "abc"
 
 
 def test_detections_round_trip(spark, tmp_path):
@@ -31,9 +32,9 @@ def test_detections_round_trip(spark, tmp_path):
     rows = readers.explode_persons(readers.read_detections(spark, str(tmp_path / "in")))
     assert rows.first().det_idx == 0
     sinks.write_detections(rows, str(tmp_path / "out"))
-    assert json.loads(spark.read.text(str(tmp_path / "out")).first()["value"])["persons"][0]["confidence"] == 0.5
+    assert json.loads(packed.read_packed(spark, str(tmp_path / "out")).first()["document"])["persons"][0]["confidence"] == 0.5
     sinks.write_detections(rows.withColumns({"video": F.lit("v.mp4"), "video_size": F.array(F.lit(10), F.lit(20))}), str(tmp_path / "named"))
-    again = readers.read_detections(spark, str(tmp_path / "named"), lines=True).first()
+    again = readers.read_detections(spark, str(tmp_path / "named"), packed=True).first()
     assert (again.video, again.video_size, again.video_id, again.frame_idx) == ("v.mp4", [10, 20], "x", 3)
 
 
@@ -41,11 +42,11 @@ def test_raw_log_and_result(spark, tmp_path):
     schema = "video_id long, window_no long, is_final boolean, window string, frames array<long>, analysis struct<current_context_summary:string>, raw_error string"
     df = spark.createDataFrame([(1, 2, True, "final", [4], ("b",), None), (1, 1, False, "1", [1, 2], ("a",), None), (1, 1, False, "1", None, None, "oops")], schema)
     sinks.write_raw(df, str(tmp_path / "raw"))
-    log = json.loads(spark.read.text(str(tmp_path / "raw")).first()["value"])
+    log = json.loads(packed.read_packed(spark, str(tmp_path / "raw")).first()["document"])
     assert sorted(str(x["window"]) for x in log) == ["1", "1", "final"] and log[0]["window"] == 1 and log[-1]["frames"] == [4]
     res = spark.createDataFrame([(1, "s", None)], "video_id long, match_summary string, fps double").withColumn("clips", F.array().cast("array<string>"))
     sinks.write_result(res, str(tmp_path / "res"))
-    assert json.loads(spark.read.text(str(tmp_path / "res")).first()["value"]) == {"match_summary": "s", "clips": [], "fps": None}
+    assert json.loads(packed.read_document(spark, str(tmp_path / "res"), 1)) == {"match_summary": "s", "clips": [], "fps": None}
 
 
 def test_messages_and_requests(spark, tmp_path):
@@ -192,3 +193,166 @@ def test_status_of_two_writers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(status, "_merged", overtaken)
     status.upsert_status(feed_rows(spark, [("a", 2, 2, 2), ("b", None, 0, 1)]), 0, path)
     assert table_of(spark, path) == {"a": (2, False, False), "b": (0, True, True)}
+
+
+# ---- documents of any number and length
+
+def test_packed_documents(spark, tmp_path):
+    """Files follow the bytes, not the videos, and each document is found by its bytes alone."""
+    path = str(tmp_path / "p")
+    texts = {f'v"{i}\\é': json.dumps({"n": i, "t": "é\n\u2028" * (i % 5)}, ensure_ascii=i % 2 == 0) for i in range(300)}
+    rows = spark.createDataFrame([*texts.items(), ("none", None)], "video_id string, value string")
+    packed.write_packed(rows, path, file_bytes=6000)
+    size = sum(len(t.encode()) for t in texts.values())
+    files = [f for f in (tmp_path / "p").rglob("part-*") if "lines" in str(f)]
+    assert size / 6000 / 2 < len(files) <= 2 + 3 * size / 6000 and len(files) < 30
+    got = {x.video_id: x.document for x in packed.read_packed(spark, path).collect()}
+    assert {k: json.loads(v) for k, v in got.items()} == {k: json.loads(v) for k, v in texts.items()}
+    for v in list(texts)[::29]:
+        assert packed.read_document(spark, path, v) == texts[v]
+    assert packed.read_document(spark, path, "none") is None
+    # written again, it is another table; its readers see the old one or the new one
+    packed.write_packed(rows.limit(1), path)
+    assert packed.read_packed(spark, path).count() == 1
+    packed.write_packed(rows.limit(0), path)
+    assert packed.read_packed(spark, path).count() == 0 and packed.read_manifest(spark, path).count() == 0
+
+
+def test_a_sink_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([("a", "{}"), ("b", "[1]")], "video_id string, value string")
+    packed.write_packed(rows, path)
+    monkeypatch.setattr(commits.Versions, "_rename", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        packed.write_packed(rows.where("video_id = 'a'"), path)
+    assert {x.video_id for x in packed.read_packed(spark, path).collect()} == {"a", "b"}
+
+
+def tracking_tables(spark, n):
+    frame_map = [("v", i, i * 2 if i % 3 else None) for i in range(n)] + [("w", 5, None)]
+    tracks = [("v", i, t, [1.0 * i, 2.0, 3.0, 4.0 + t], i + t) for i in range(2, n) for t in range(1, 1 + i % 3)]
+    videos = spark.createDataFrame([("v", 1920, 1080, 30.0), ("w", 10, 20, None), ("x", 1, 1, 1.0)], "video_id string, width int, height int, fps double")
+    return spark.createDataFrame(tracks, "video_id string, local_idx long, track_id int, box array<double>, mask_area long"), spark.createDataFrame(frame_map, "video_id string, local_idx long, frame long"), videos
+
+
+@pytest.mark.parametrize("per", [1000, 7])
+def test_fragments_are_the_document(spark, tmp_path, per):
+    tracks, frame_map, videos = tracking_tables(spark, 40)
+    whole = tracking.tracking_document(tracks, frame_map, videos)
+    sinks.write_tracking(whole, str(tmp_path / "whole"))
+    parts = tracking.tracking_fragments(tracks, frame_map, videos, per=per)
+    sinks.write_tracking(parts, str(tmp_path / "parts"))
+    for v in ("v", "w"):
+        a, b = (packed.read_document(spark, str(tmp_path / d), v) for d in ("whole", "parts"))
+        assert json.loads(a) == json.loads(b) and a == b
+    assert parts.where("video_id = 'v'").count() == (1 if per == 1000 else 7)
+    as_rows = lambda d: sorted((x.video_id, x.frame, [(a.track_id, a.box) for a in x.athletes]) for x in d.collect())
+    read = [readers.read_tracking_frames(spark, str(tmp_path / d), packed=True) for d in ("whole", "parts")]
+    assert as_rows(read[0]) == as_rows(read[1])
+    order = [x.frame for x in read[1].where("video_id = 'v'").orderBy("pos").collect()]
+    assert order == [i * 2 if i % 3 else i for i in range(40)]
+
+
+def test_long_documents_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    """As json.dump writes them, with or without indentation; one file by several tasks, with the rows that a whole reading gives."""
+    docs = {}
+    for name, indent, n in (("plain", None, 400), ("wide", 2, 400), ("one", 2, 1), ("none", 2, 0)):
+        items = [{"frame": i % 350, "timestamp": i / 30, "athletes": [{"track_id": t, "box": [i, 1.5, 2, 3], "mask_area": i} for t in range(i % 3)]} for i in range(n)]
+        docs[name] = {"video": 'a "frame": b', "model": "m", "fps": 30, "video_size": [4, 5], "num_objects": 2, "frames": items}
+        (tmp_path / f"{name}.json").write_text(json.dumps(docs[name], indent=indent))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        pieces = readers.read_tracking_frames(spark, str(tmp_path))
+        assert pieces.where("video_id = 'wide'").select(F.spark_partition_id()).distinct().count() > 3
+        got = sorted((x.video_id, x.frame, x.timestamp, len(x.athletes)) for x in pieces.collect())
+        assert got == sorted((v, f["frame"], f["timestamp"], len(f["athletes"])) for v, d in docs.items() for f in d["frames"])
+        for v in ("plain", "wide"):
+            assert [x.timestamp for x in pieces.where(F.col("video_id") == v).orderBy("pos").collect()] == [f["timestamp"] for f in docs[v]["frames"]]
+        key = lambda d: sorted((x.video_id, x.frame, len(x.athletes), [a.mask_area for a in x.athletes]) for x in d.collect())
+        assert key(frames.last_frames(pieces)) == key(frames.explode_frames(readers.read_tracking(spark, str(tmp_path))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.json").write_text('{"frames": [{"athletes": [], "frame": 1}]}')
+    with pytest.raises(Exception, match="begins with its number"):
+        readers.read_tracking_frames(spark, str(tmp_path / "odd")).collect()
+
+
+def test_last_frame_needs_no_exchange(spark):
+    df = spark.createDataFrame([("v", [(3, [1]), (1, [2]), (3, [4]), (None, [5]), (None, [6])]), ("w", []), ("x", None)], "video_id string, frames array<struct<frame: long, athletes: array<int>>>")
+    out = frames.explode_frames(df)
+    assert [(x.video_id, x.frame, x.athletes) for x in out.collect()] == [("v", None, [6]), ("v", 1, [2]), ("v", 3, [4])]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- answers and requests with values of any kind
+
+def test_answers_pass_through_whole(spark, tmp_path):
+    """Keys that nobody asked for, nulls and values of other types come out of the log and the result as they came in."""
+    clips_in = [{"start_frame": 5, "end_frame": 50, "category": "A", "confidence": 0.5, "role": None, "score_delta": {"a": [1, None, "x"]}}, {"start_frame": 60, "end_frame": 70, "category": "A", "confidence": 0.9, "reasoning": 7, "mood": True}, {"start_frame": 500, "end_frame": 510, "category": "B"}]
+    answers = [{"current_context_summary": 3, "clips": clips_in, "extra": [{"k": None}]}, {"error": None, "note": "a\nb"}, {"clips": [{"start_frame": "5", "end_frame": [1], "category": None}]}]
+    rows = [("v", i + 1, i == 2, json.dumps(a, indent=1)) for i, a in enumerate(answers)] + [("v", 4, False, "no")]
+    parsed = responses.parse_responses(spark.createDataFrame(rows, "video_id string, window_no long, is_final boolean, response string"))
+    sinks.write_raw(responses.raw_records(parsed), str(tmp_path / "raw"))
+    log = json.loads(packed.read_document(spark, str(tmp_path / "raw"), "v"))
+    assert [x.get("analysis") for x in log] == [answers[0], answers[1], None, answers[2]] and [x["window"] for x in log] == [1, 2, 4, "final"] and log[2]["raw_error"] == "no"
+    one = clips.explode_clips(parsed)
+    good, bad = clips.quarantine_clips(one)
+    assert bad.count() == 1
+    merged = clips.merge_clips(good)
+    sinks.write_result(clips.result_document(merged, spark.createDataFrame([("v", 30.0), ("w", None)], "video_id string, fps double")), str(tmp_path / "res"))
+    got = json.loads(packed.read_document(spark, str(tmp_path / "res"), "v"))
+    assert got["clips"] == [clips_in[1] | {"start_frame": 5, "end_frame": 70}, clips_in[2]]
+    assert json.loads(packed.read_document(spark, str(tmp_path / "res"), "w"))["clips"] == []
+    # without the answer's text, clips have the typed fields
+    assert clips.explode_clips(parsed.drop("body")).count() == 4
+
+
+def test_request_fields_have_kinds(spark, tmp_path):
+    from reelspark.operators import jobs
+    from reelspark.schemas import REQUIRED
+
+    good = {c: "x" for c in REQUIRED} | {"video_id": "00000000-0000-0000-0000-00000000000A"}
+    cases = [({}, []), ({"sampling_rate": None}, ["sampling_rate"]), ({"sampling_rate": 2.0}, []), ({"sampling_rate": 2.5}, ["sampling_rate"]), ({"sampling_rate": " +2 "}, []), ({"sampling_rate": True}, []), ({"sampling_rate": False}, ["sampling_rate"]), ({"sampling_rate": [1]}, ["sampling_rate"]), ({"sampling_rate": 1e3}, []), ({"sampling_rate": 2.00000000001}, ["sampling_rate"])]
+    cases += [({"analyzer_mode": None}, ["analyzer_mode"]), ({"analyzer_mode": 1}, ["analyzer_mode"]), ({"analyzer_mode": "multi"}, []), ({"method": None}, ["method"]), ({"method": 3}, ["method"]), ({"method": ""}, []), ({"sns_topic_arn": None}, []), ({"sns_topic_arn": 4}, ["sns_topic_arn"])]
+    cases += [({"output_s3_key": 5}, ["output_s3_key not text"]), ({"output_s3_key": None}, ["output_s3_key missing"]), ({"video_id": 7}, ["video_id not text"]), ({"video_id": {"a": 1}}, ["video_id not text"]), ({"more": {"x": None}}, [])]
+    lines = [json.dumps(good | c) for c, _ in cases] + ["[1]", "nope", '{"video_id": "a"', ""]
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text("\n".join(lines))
+    got = jobs.validate_requests(readers.read_job_requests(spark, str(tmp_path / "r")).coalesce(1)).collect()
+    assert [x.errors for x in got] == [e for _, e in cases] + [["not json"]] * 3
+    assert [got[i].sampling_rate for i in (0, 2, 4, 5, 8)] == [1, 2, 2, 1, 1000] and got[0].video_id.endswith("a") and got[0].method == "esrgan"
+
+
+# ---- videos as they become complete
+
+def test_finalised_once(spark, tmp_path):
+    """Whatever the order, repetitions and restarts: each complete video once, as the batch has them."""
+    r, feed = random.Random(2), []
+    for i in range(25):
+        n, lost, done = r.choice([0, 1, 3, 9000 if i == 3 else 4]), r.random() < 0.2, r.random() < 0.8
+        rows = [envelope(f"v{i}", k, n, k % 50) for k in ([1, 8191, 8192, 8193] if n == 9000 else range(1, n + 1)) if not (lost and k == 1)]
+        feed += rows + r.sample(rows, len(rows) // 2) + ([envelope(f"v{i}", None, 4 if n == 9000 else n, 50)] * 2 if done else [])
+    r.shuffle(feed)
+    (tmp_path / "in").mkdir()
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, feed[k::3] + feed[:10] * k)))
+        finalised.run_finalised_stream(events.parse_envelope(readers.read_messages(spark, str(tmp_path / "in"), streaming=True)), out, check)
+    got = [tuple(x) for x in spark.read.parquet(out).select("video_id", "received_count", "expected_total", "job_id").collect()]
+    batch = events.finalise(events.video_status(events.parse_envelope(readers.read_messages(spark, str(tmp_path / "in")))))
+    assert sorted(got) == sorted(tuple(x) for x in batch.select("video_id", "received_count", "expected_total", "job_id").collect()) and len(got) > 5
+    pages = spark.read.format("statestore").option("stateVarName", "pages").option("path", check).load()
+    assert not {x.key.video_id for x in pages.select("key").collect()} & {v for v, *_ in got}
+
+
+def test_marks_of_finished_videos_go(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    out, check = str(tmp_path / "out"), str(tmp_path / "check")
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps(envelope(f"v{k}", None, 0, 1)))
+        finalised.run_finalised_stream(events.parse_envelope(readers.read_messages(spark, str(tmp_path / "in"), streaming=True)), out, check, keep_ms=1)
+    assert spark.read.parquet(out).count() == 3
+    left = spark.read.format("statestore").option("stateVarName", "seen").option("path", check).load()
+    assert {x.key.video_id for x in left.select("key").collect()} <= {"v1", "v2"}

@@ -178,6 +178,33 @@ def test_vectors(spark):
     assert row.n == pytest.approx([0.6, 0.8]) and row.c == 1.0
 
 
+def test_runs_are_the_pixels(spark):
+    r, rows = random.Random(9), []
+    for t in range(30):
+        width = 13
+        cells = {(r.randrange(width), r.randrange(9)) for _ in range(r.choice([1, 5, 40, 200]))}
+        rows += [(1, 2, t, x, y) for x, y in cells for _ in range(1)]
+    pixels = spark.createDataFrame(rows, "video_id long, frame long, track_id int, x int, y int")
+    runs = geometry.mask_runs(pixels, 13)
+    assert runs.select(F.sum(F.size("starts"))).first()[0] < len(rows)
+    want = sorted(map(tuple, geometry.mask_bbox(pixels).select("track_id", "x1", "y1", "x2", "y2", "mask_area").collect()))
+    boxes = geometry.mask_bbox_runs(runs)
+    assert sorted(map(tuple, boxes.select("track_id", "x1", "y1", "x2", "y2", "mask_area").collect())) == want
+    odd = spark.createDataFrame([(1, 1, 1, 10, [25, 7], [12, 0]), (1, 1, 2, 10, [], []), (1, 1, 3, 10, None, None), (1, 1, 4, 10, [3], [0])], "video_id long, frame long, track_id int, width int, starts array<long>, lengths array<long>")
+    assert [tuple(x)[2:] for x in geometry.mask_bbox_runs(odd).collect()] == [(1, 0, 2, 9, 3, 12)]
+
+
+def test_score_blocks(spark, monkeypatch):
+    """A video with many entries and candidates is dealt in blocks, without loss and without a hint to broadcast."""
+    monkeypatch.setattr(reid.in_blocks, "__defaults__", (8, 16))
+    cands = spark.createDataFrame([(v, f, c, [float(f), 1.0], None) for v, n in ((1, 40), (2, 1)) for f in range(n) for c in range(2)], "video_id long, frame long, cand_idx int, features array<double>, histogram array<double>")
+    gallery = spark.createDataFrame([(v, t, [1.0, float(t)], None) for v, n in ((1, 60), (2, 1), (3, 5)) for t in range(n)], "video_id long, track_id int, features array<double>, histogram array<double>")
+    got = {(x.video_id, x.frame, x.cand_idx, x.track_id): x.score for x in reid.score_matrix(cands, gallery).collect()}
+    assert got == {(v, f, c, t): (f + t + 1) / 2 for v, n, m in ((1, 40, 60), (2, 1, 1)) for f in range(n) for c in range(2) for t in range(m)}
+    assert "strategy=broadcast" not in reid.score_matrix(cands, gallery)._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in frames.readable_prefix(spark.range(1).selectExpr("id as video_id", "id as frame"), spark.range(1).selectExpr("id as video_id", "explode(sequence(1, 5000)) as total_frames"))._jdf.queryExecution().analyzed().toString()
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "video_id long, frame long")
     assert windows.sliding_windows(none).count() == 0 and frames.evenly_spaced(none).count() == 0
