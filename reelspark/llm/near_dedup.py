@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from reelspark.llm.common import lean, only_ids, stored, text_key, without
 from reelspark.llm.components import connected_components
-from reelspark.llm.shingles import mix, shingle_sets
+from reelspark.llm.shingles import mix, shingle_sets, shingles
 
 #: A parity sketch has at least 4 bits for each shingle, within these bounds (powers of two). They change no result.
 SKETCH_BITS = (4096, 65536)
@@ -138,7 +138,10 @@ def tensored_keys(classes: DataFrame, rows: int, bands: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union; `texts_of` has node and text."""
+    """The pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union; `texts_of` has node and text.
+
+    Hashes of the shingles rule pairs out; what they leave is confirmed on the words themselves.
+    """
 
     def run(batches):
         for batch in batches:
@@ -157,7 +160,10 @@ def verified(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int, nam
                     y = last[1]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both) > 0:
-                        keep.append(i)
+                        words = [shingles(t or b"", size) for t in (texts[0][i], texts[1][i])]
+                        both = len(words[0] & words[1])
+                        if 100 * both >= percent * (len(words[0]) + len(words[1]) - both):
+                            keep.append(i)
                 at = end
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in ids], names=["a", "b"])
 

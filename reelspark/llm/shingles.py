@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes hashed at a time; a single longer word is still hashed whole.
 _PIECE = 1 << 19
+#: Words of up to so many bytes are hashed by a table of random numbers for byte and place, longer ones each by BLAKE2b.
+_SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,32 +22,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP, _DOWN = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
+#: A number for each place and byte, so that the sum over a word's bytes is a hash without structure: no pattern of bytes cancels out.
+_NUMBERS = mix(np.arange(1, _SHORT * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of every run of bytes other than white space."""
-    global _UP, _DOWN
     hashes, starts, at = [], [], 0
     while at < len(data):
         end = min(len(data), at + _PIECE)
         while end < len(data) and not _SPACE[data[end]]:
             end += 1
         x = np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
-        if len(_UP) < len(x) + 1:
-            _UP, _DOWN = _powers(_BASE, len(x) + 1), _powers(_INVERSE, len(x) + 1)
-        edge = np.diff(np.concatenate(([0], (~_SPACE[x]).view(np.int8), [0])))
+        inside = ~_SPACE[x]
+        edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        total = np.zeros(len(x) + 1, dtype=np.uint64)
-        np.cumsum((x.astype(np.uint64) + np.uint64(1)) * _UP[: len(x)], out=total[1:])
-        h = (total[last] - total[first]) * _DOWN[first]
-        hashes.append(mix(h + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        size = last - first
+        # of each byte in a word its place there; those beyond a short word's length come from long ones, whose sums are replaced
+        place = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(np.cumsum(size) - size, size)
+        total = np.zeros(len(place) + 1, dtype=np.uint64)
+        np.cumsum(_NUMBERS[(np.minimum(place, _SHORT - 1) << 8) | x[inside]], out=total[1:])
+        ends = np.cumsum(size)
+        h = mix(total[ends] - total[ends - size] + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for i in np.flatnonzero(size > _SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(data[at + first[i] : at + last[i]], digest_size=8).digest(), "little")
+        hashes.append(h)
         starts.append(first + at)
         at = end
     if not hashes:
@@ -54,6 +54,12 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
+def shingles(text: bytes, size: int) -> set[bytes]:
+    """The distinct shingles of a text themselves, by the rules of `shingle_sets`."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
 def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes.
 

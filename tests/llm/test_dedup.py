@@ -267,3 +267,43 @@ def test_embedding_lists_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
     assert embedding_dedup.embedding_groups(df, n_pivots=8, nearest=4).orderBy("vec_id").collect() == whole
     assert all(x.component_id == 0 for x in whole) and sum(x.n_links for x in whole) >= 0.9 * 90 * 89
+
+
+def thue_morse(n, a="a", b="b"):
+    out = a
+    while len(out) < n:
+        out += out.translate(str.maketrans(a + b, b + a))
+    return out
+
+
+@pytest.mark.parametrize("n", [32, 64, 128, 512, 1024, 4096, 8192])
+def test_words_of_a_pattern_are_told_apart(spark, n):
+    """A pattern of bytes and its complement, whose differences cancel out in polynomial hashes, share nothing."""
+    one, two = thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba"))
+    got = near_dedup.near_groups(docs(spark, [one, two, one + " x y z", two + " x y z", one.upper()]), size=4).orderBy("doc_id").collect()
+    assert [x.component_id for x in got] == [0, 1, 2, 3, 0]
+    assert [len(set(s.tolist())) for s in shingle_sets([f"{one} {two}".encode()], 1)] == [2]
+
+
+def test_shingles_by_hash_are_the_shingles():
+    from reelspark.llm.shingles import shingles
+
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["a", "bb", "é" * 40, "x" * 70, "Y", "\x00"]) for _ in range(r.randint(0, 30))).encode() for _ in range(200)]
+    for size in (1, 4, 5):
+        assert [len(s) for s in shingle_sets(texts, size)] == [len(shingles(t, size)) for t in texts]
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """Were all shingles one hash, texts of nothing in common would still not be linked."""
+    def same(texts, size):
+        for t in texts:
+            yield np.array([7], dtype=np.uint64) if t.split() else np.array([], dtype=np.uint64)
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    texts = spark.createDataFrame([(1, "a b c d e f"), (2, "u v w x y z"), (3, "A b c d e f")], "node long, text string")
+    out = near_dedup.verified(pairs, lambda nodes: texts, 4, 80, "t")
+    assert [tuple(x) for x in out.collect()] == [(1, 3)]
+    monkeypatch.setattr(near_dedup, "shingle_sets", same)
+    run = near_dedup.verified(pairs, lambda nodes: texts, 4, 80, "t")
+    assert {tuple(x) for x in run.collect()} <= {(1, 3)}
