@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.operators import scan
 
 FIELDS = ("category", "specific_technique", "role", "reasoning", "confidence", "clip")
 
@@ -37,22 +38,28 @@ def quarantine_clips(clips: DataFrame, mode: str = "SPLIT") -> tuple[DataFrame,
     return marked.where("reason is null").drop("reason"), marked.where("reason is not null")
 
 
-def merge_clips(clips: DataFrame, gap: int = 30) -> DataFrame:
+def _islands(clips: DataFrame, gap: int) -> DataFrame:
+    """`clips` with rank and island, by windows within a video."""
+    w = Window.partitionBy("video_id").orderBy("start_frame", "pos")
+    same = F.col("category").eqNullSafe(F.lag("category").over(w)) & (F.row_number().over(w) > 1)
+    rows = clips.withColumns({"change": F.when(same, 0).otherwise(1), "rank": F.row_number().over(w)})
+    rows = rows.withColumn("run", F.sum("change").over(w))
+    prev = F.max("end_frame").over(Window.partitionBy("video_id", "run").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("prev", prev).withColumn("breaks", F.when(F.col("prev").isNull() | (F.col("start_frame") - F.col("prev") >= gap), 1).otherwise(0))
+    return rows.withColumn("island", F.sum("breaks").over(Window.partitionBy("video_id").orderBy("rank")))
+
+
+def merge_clips(clips: DataFrame, gap: int = 30, pieces: int | None = None) -> DataFrame:
     """Merge neighbours in order of start_frame that share a category and lie less than `gap` frames apart.
 
     Columns video_id, pos, start_frame, end_frame and those of FIELDS that exist; the result has clip_no
     (from 1 by start) and n_clips. The other fields come from the clip with the greatest confidence (null
     counts as 0), the earliest of equals; among them clip, with every key that the model gave it. One exchange: all
-    windows and the grouping stay within a video.
+    windows and the grouping stay within a video. With `pieces` the table is cut into so many ranges instead
+    (`scan.islands`), for tables in which one video has a large part of all clips.
     """
     fields = [f for f in FIELDS if f in clips.columns]
-    w = Window.partitionBy("video_id").orderBy("start_frame", "pos")
-    same = F.col("category").eqNullSafe(F.lag("category").over(w)) & (F.row_number().over(w) > 1)
-    rows = clips.withColumns({"change": F.when(same, 0).otherwise(1), "rank": F.row_number().over(w)})
-    rows = rows.withColumn("run", F.sum("change").over(w))
-    prev = F.max("end_frame").over(Window.partitionBy("video_id", "run").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("prev", prev).withColumn("breaks", F.when(F.col("prev").isNull() | (F.col("start_frame") - F.col("prev") >= gap), 1).otherwise(0))
-    rows = rows.withColumn("island", F.sum("breaks").over(Window.partitionBy("video_id").orderBy("rank")))
+    rows = scan.islands(clips, gap, pieces) if pieces else _islands(clips, gap)
     best = F.max_by(F.struct(*fields), F.struct(F.coalesce("confidence", F.lit(0.0)), -F.col("rank")))
     merged = rows.groupBy("video_id", "island").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), best.alias("best"), F.count(F.lit(1)).alias("n_clips"))
     return merged.select("video_id", F.col("island").alias("clip_no"), "start_frame", "end_frame", *[F.col(f"best.{f}").alias(f) for f in fields], "n_clips")

@@ -6,22 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.columns import frame_to_timestamp, stable_id
+from reelspark.operators import scan
 from reelspark.schemas import COMPLETION_BODY, EVENT_BODY
 
 EVENT, COMPLETE = "bjj_event_detected", "analysis_complete"
 
 
-def clip_to_event(clips: DataFrame) -> DataFrame:
+def clip_to_event(clips: DataFrame, pieces: int | None = None) -> DataFrame:
     """video_id, event_index, total_events, times and one candidate's fields per clip, with defaults for what is missing.
 
-    Needs video_id, clip_no, fps and the clip's fields; event_index is the clip's place, from 1.
+    Needs video_id, clip_no, fps and the clip's fields; event_index is the clip's place, from 1. With `pieces` clips are numbered by
+    ranges (`scan.numbered`), so that a video with most of all clips is not one task.
     """
     w = Window.partitionBy("video_id")
     c = F.col
+    if pieces:
+        total = clips.groupBy("video_id").agg(F.count(F.lit(1)).alias("total_events"))
+        clips = scan.numbered(clips, ("clip_no",), pieces, "event_index").join(total, "video_id")
+    else:
+        clips = clips.withColumns({"event_index": F.row_number().over(w.orderBy("clip_no")), "total_events": F.count(F.lit(1)).over(w)})
     return clips.select(
         "video_id",
-        F.row_number().over(w.orderBy("clip_no")).cast("long").alias("event_index"),
-        F.count(F.lit(1)).over(w).alias("total_events"),
+        c("event_index").cast("long").alias("event_index"),
+        "total_events",
         frame_to_timestamp(F.coalesce("start_frame", F.lit(0)), F.coalesce("fps", F.lit(0.0))).alias("start_time"),
         frame_to_timestamp(F.coalesce("end_frame", F.lit(0)), F.coalesce("fps", F.lit(0.0))).alias("end_time"),
         F.coalesce(c("role"), F.lit("Unknown")).alias("role"),

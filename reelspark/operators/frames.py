@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.operators import scan
+
 
 def explode_frames(tracking: DataFrame) -> DataFrame:
     """(video_id, frame, athletes); of a frame that stands twice in a document the last one counts.
@@ -30,12 +32,17 @@ def sample_frames(df: DataFrame, n: int) -> DataFrame:
     return df.where(F.col("frame") % n == 0)
 
 
-def limit_frames(df: DataFrame, max_frames: int | None) -> DataFrame:
-    """The first frames of each video by number; None and 0 mean all."""
+def limit_frames(df: DataFrame, max_frames: int | None, pieces: int | None = None) -> DataFrame:
+    """The first frames of each video by number; None and 0 mean all.
+
+    With `pieces` frames are numbered by ranges (`scan.numbered`), so that one long video is not one task.
+    """
     if not max_frames:
         return df
     if max_frames < 0:
         raise ValueError("max_frames must not be negative")
+    if pieces:
+        return scan.numbered(df, ("frame",), pieces).where(F.col("rn") <= max_frames).drop("rn")
     w = Window.partitionBy("video_id").orderBy("frame")
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_frames).drop("rn")
 

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from reelspark.operators import scan
 
-def sliding_windows(frames: DataFrame, size: int = 30, stride: int = 15) -> DataFrame:
+
+def sliding_windows(frames: DataFrame, size: int = 30, stride: int = 15, pieces: int | None = None) -> DataFrame:
     """(video_id, window_no, is_final, frames): full windows and a final one with what stands past the last stride.
 
     A video of n frames has m = (n - size) // stride + 1 full windows (0 if n < size); the final window,
     number m + 1, has the frames from ordinal m * stride on, which the last full one may hold already.
-    Each frame is sent only to the windows it belongs to.
+    Each frame is sent only to the windows it belongs to. With `pieces` frames are numbered by ranges (`scan.numbered`) and counted
+    in parts, so that one long video is not one task.
     """
     if size < 1 or stride < 1:
         raise ValueError("size and stride must be 1 or more")
     s = min(stride, size)
     by = Window.partitionBy("video_id")
-    rows = frames.select("video_id", "frame").withColumns({"rn": F.row_number().over(by.orderBy("frame")) - 1, "n": F.count(F.lit(1)).over(by)})
+    rows = frames.select("video_id", "frame")
+    if pieces:
+        rows = scan.numbered(rows, ("frame",), pieces).withColumn("rn", F.col("rn") - 1)
+        rows = rows.join(frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), "video_id")
+    else:
+        rows = rows.withColumns({"rn": F.row_number().over(by.orderBy("frame")) - 1, "n": F.count(F.lit(1)).over(by)})
     rows = rows.withColumn("m", F.when(F.col("n") < size, 0).otherwise(F.floor((F.col("n") - size) / s) + 1).cast("int"))
     low = F.greatest(F.lit(0), F.floor((F.col("rn") - size) / s) + 1).cast("int")
     high = F.least(F.floor(F.col("rn") / s), F.col("m") - 1).cast("int")

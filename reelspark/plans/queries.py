@@ -69,6 +69,29 @@ def merge_clips(spark, sf_dir):
     return merged(spark, sf_dir)
 
 
+#: All clips, frames and events as of one video with two thirds of the rows and others with the rest.
+ONE_VIDEO = "case when video_id % 3 <> 0 then 0 else video_id end"
+GIANT = "select * replace (" + ONE_VIDEO + " as video_id) from v_clips"
+
+
+def giant(rows):
+    return rows.withColumn("video_id", F.expr(ONE_VIDEO).cast("long"))
+
+
+def in_pieces(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("select * from merged", **{"giant": GIANT, **MERGE, "ranked": RANKED.replace("v_clips", "giant")})
+def merge_giant(spark, sf_dir):
+    return clips.merge_clips(giant(view(spark, sf_dir, "v_clips")), pieces=in_pieces(spark))
+
+
+@query("select video_id, frame from (select *, row_number() over (partition by video_id order by frame) as rn from giant where frame % 2 = 0) where rn <= 1000", giant=GIANT.replace("v_clips", "v_frames"))
+def limit_giant(spark, sf_dir):
+    return frames.limit_frames(frames.sample_frames(giant(view(spark, sf_dir, "v_frames")), 2), 1000, pieces=in_pieces(spark))
+
+
 @query(
     """select v.video_id, 'Analysis generated via Single-Agent' as match_summary, fps, count(m.video_id) as n_clips,
  coalesce(string_agg(cast(start_frame as varchar) || '-' || cast(end_frame as varchar) || ':' || category, ',' order by clip_no), '') as clips

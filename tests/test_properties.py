@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions.columns import frame_to_timestamp, hist_correlation, l2_normalize
 from reelspark.schemas import REQUIRED
-from reelspark.operators import clips, detections, events, frames, geometry, jobs, reid, responses, windows
+from reelspark.operators import clips, detections, events, frames, geometry, jobs, reid, responses, scan, windows
 
 
 def fold(rows, gap):
@@ -38,6 +38,36 @@ def test_merge_clips_is_the_left_fold(spark):
         assert got.get(v, []) == fold([x for x in rows if x[0] == v], 30)
 
 
+@pytest.mark.parametrize("pieces", [1, 3, 16])
+def test_merge_by_ranges_is_the_left_fold(spark, pieces):
+    """One video with most of all clips, whose runs and islands go on over cuts, and many small ones."""
+    r = random.Random(13)
+    rows = [(0, p, r.randint(0, 4000), 0, r.choice(["A", "A", "A", "B", None]), r.choice([None, 0.0, 0.5, 0.9])) for p in range(300)]
+    rows += [(1, p, p, 5000 if p == 0 else p + 3, "A", 0.1) for p in range(80)]  # one island over many pieces
+    rows += [(v, p, r.randint(0, 150), 0, r.choice(["A", "B"]), 0.5) for v in range(2, 30) for p in range(r.randint(1, 4))]
+    rows = [(v, p, s, e or s + r.randint(-5, 40), c, k) for v, p, s, e, c, k in rows]
+    df = spark.createDataFrame(rows, "video_id long, pos long, start_frame long, end_frame long, category string, confidence double")
+    got = {}
+    for x in clips.merge_clips(df, 30, pieces=pieces).orderBy("video_id", "clip_no").collect():
+        got.setdefault(x.video_id, []).append((x.start_frame, x.end_frame, x.category, x.confidence))
+        assert x.clip_no == len(got[x.video_id])
+    for v in range(30):
+        assert got.get(v, []) == fold([x for x in rows if x[0] == v], 30)
+
+
+def test_giant_videos_are_cut(spark):
+    """Numbers, limits, windows and events by ranges are those by video, and no range has a giant video whole."""
+    rows = [(0, f * 3) for f in range(400)] + [(v, f) for v in range(1, 40) for f in range(v % 4)]
+    df = spark.createDataFrame(rows, "video_id long, frame long")
+    as_set = lambda d: sorted(map(str, d.collect()))
+    assert as_set(frames.limit_frames(df, 250, pieces=8)) == as_set(frames.limit_frames(df, 250))
+    assert as_set(windows.sliding_windows(df, 7, 3, pieces=8)) == as_set(windows.sliding_windows(df, 7, 3))
+    assert scan.dealt(df, ("frame",), 8).where("video_id = 0").groupBy("piece").count().agg(F.max("count")).first()[0] < 150
+    many = df.select("video_id", F.col("frame").alias("clip_no"), F.col("frame").alias("start_frame"), (F.col("frame") + 1).alias("end_frame"), F.lit(30.0).alias("fps"), *[F.lit("x").alias(c) for c in ("role", "specific_technique", "category")], F.lit(0.5).alias("confidence"))
+    assert as_set(events.clip_to_event(many, pieces=8)) == as_set(events.clip_to_event(many))
+    assert clips.merge_clips(spark.createDataFrame([], "video_id long, pos long, start_frame long, end_frame long, category string, confidence double"), pieces=4).count() == 0
+
+
 def test_merge_needs_one_exchange(spark):
     df = spark.createDataFrame([(1, 1, 0, 5, "A", 0.5)], "video_id long, pos long, start_frame long, end_frame long, category string, confidence double")
     plan = clips.merge_clips(df)._jdf.queryExecution().executedPlan().toString()
