@@ -19,6 +19,8 @@ from reelspark.llm.components import connected_components
 BLOCK = 1024
 #: Pivots at least and at most; in between, four times the square root of the number of different vectors.
 PIVOTS = (128, 2048)
+#: From so many different vectors on, lists are kept for pairs of pivots: two million instead of 2048. The candidates are the same.
+PAIRS_FROM = (PIVOTS[1] // 4) ** 2
 
 
 def usable(vec: str = "embedding"):
@@ -32,20 +34,30 @@ def pivots_for(n: int) -> int:
     return int(min(PIVOTS[1], max(PIVOTS[0], 4 * n**0.5)))
 
 
-def fit_pivots(classes: DataFrame, n_pivots: int, sample: int = 8, apart: float = 0.9) -> np.ndarray:
-    """Unit pivots from a bounded sample: the `sample * n_pivots` distinct vectors with the smallest hashes.
+def fit_pivots(classes: DataFrame, n_pivots: int, sample: int = 8, apart: float = 0.9) -> dict[int, np.ndarray]:
+    """Unit pivots for each length of vectors, from a bounded sample: the `sample * n_pivots` distinct vectors with the smallest hashes.
 
-    Of these, one after the other is taken, up to `n_pivots`, unless its cosine with a pivot is `apart` or
-    more: a large group of near copies gives few pivots, whose places in a vector's order noise can't change.
+    Of the sample's vectors of one length one after the other is taken, up to `n_pivots`, unless its cosine with a pivot is
+    `apart` or more: a large group of near copies gives few pivots, whose places in a vector's order noise can't change.
+    A length with few vectors in the sample of a larger table gets random pivots as well, up to `n_pivots`.
     """
-    got = classes.select("vec").where(F.size("vec") > 0).orderBy(F.xxhash64("vec"), "vec").limit(sample * n_pivots).collect()
-    width = max((len(r["vec"]) for r in got), default=0)
-    x = np.array([r["vec"] for r in got if len(r["vec"]) == width], dtype=np.float64)
-    pivots, n = np.zeros((n_pivots, width)), 0
-    for v in _unit(x) if len(x) else x:
-        if n < n_pivots and (pivots[:n] @ v < apart).all():
-            pivots[n], n = v, n + 1
-    return pivots[:n]
+    got, by = classes.select("vec").where(F.size("vec") > 0).orderBy(F.xxhash64("vec"), "vec").limit(sample * n_pivots).collect(), {}
+    for r in got:
+        by.setdefault(len(r["vec"]), []).append(r["vec"])
+    out = {}
+    for width, rows in by.items():
+        pivots, n = np.zeros((n_pivots, width)), 0
+        for v in _unit(np.array(rows, dtype=np.float64)):
+            if n < n_pivots and (pivots[:n] @ v < apart).all():
+                pivots[n], n = v, n + 1
+        few = len(got) == sample * n_pivots and len(rows) < 2 * n_pivots
+        out[width] = np.concatenate((pivots[:n], random_pivots(width, n_pivots - n))) if few else pivots[:n]
+    return out
+
+
+def random_pivots(width: int, n: int) -> np.ndarray:
+    """Unit pivots for a length of which no sample tells anything; the same in every task."""
+    return _unit(np.random.default_rng(width).normal(size=(n, width))) if n else np.zeros((0, width))
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -53,11 +65,23 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k].astype(np.int32)
 
 
-def candidates(near: np.ndarray, n_pivots: int, need: int, pivot: int = 0) -> np.ndarray:
-    """Which vectors share at least `need` of their nearest pivots, and none with a number below `pivot`."""
+def lists_of(near: np.ndarray, n_pivots: int, level: int) -> np.ndarray:
+    """The inverted lists of each vector: of its nearest pivots at level 1, of their pairs at level 2."""
+    if level == 1:
+        return near.astype(np.int64)
+    near = np.sort(near, axis=1).astype(np.int64)
+    a, b = np.triu_indices(near.shape[1], 1)
+    return near[:, a] * n_pivots + near[:, b]
+
+
+def candidates(near: np.ndarray, n_pivots: int, need: int, pivot: int = 0, second: int | None = None) -> np.ndarray:
+    """Which vectors share at least `need` of their nearest pivots, of which `pivot` is the first by number (0: any may be), and `second` the next."""
     has = np.zeros((len(near), n_pivots), dtype=np.float32)
     has[np.arange(len(near))[:, None], near] = 1
-    return (has @ has.T >= need) & (has[:, :pivot] @ has[:, :pivot].T == 0)
+    low = has[:, : pivot if second is None else second].copy()
+    if second is not None:
+        low[:, pivot] = 0
+    return (has @ has.T >= need) & (low @ low.T == 0)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -97,7 +121,7 @@ def embedding_groups(
     Equal vectors of a label are one class, counted with its size, so a third of all rows being one
     vector makes one index entry. A class stands in the lists of its `nearest` pivots; two classes are
     candidates if they share at least `shared` pivots, which is counted before anything else, and are compared in
-    the list of the first pivot they share. A list longer than a block is dealt as pairs of blocks, so no task grows with it. In each
+    the list of the first pivot they share (in large tables: of the first pair). A list longer than a block is dealt as pairs of blocks, so no task grows with it. In each
     block pair links are counted and only a spanning forest of them leaves the task. A pair whose nearest
     pivots differ too much is not found: that is the index's recall.
     """
@@ -106,9 +130,11 @@ def embedding_groups(
     # -0.0 and 0.0 are one number here
     ok = ok.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     classes = stored(ok.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "embed-classes")
-    pivots = fit_pivots(classes, n_pivots or pivots_for(classes.count()))
-    k = min(nearest, len(pivots))
-    need = min(shared, k)
+    n = classes.count()
+    n_pivots = n_pivots or pivots_for(n)
+    pivots = fit_pivots(classes, n_pivots)
+    # sharing two pivots or more is sharing a pair
+    level = 2 if n >= PAIRS_FROM and shared >= 2 else 1
 
     def describe(batches):
         for pdf in batches:
@@ -116,15 +142,17 @@ def embedding_groups(
             for n in sorted(width.unique()):
                 part = pdf[width == n]
                 x = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-                near = nearest_pivots(x if n == pivots.shape[1] else np.zeros((len(x), pivots.shape[1])), pivots, k)
-                yield pd.DataFrame({"label": part["label"], "dims": int(n), "rep": part["rep"], "copies": part["copies"], "near": list(near), "unit": list(x)})
+                own = pivots[n] if n in pivots else random_pivots(int(n), n_pivots)
+                near = nearest_pivots(x, own, nearest)
+                deep = level if near.shape[1] >= 2 else 1
+                yield pd.DataFrame({"label": part["label"], "dims": int(n), "rep": part["rep"], "copies": part["copies"], "near": list(near), "lists": list(lists_of(near, n_pivots, deep)), "unit": list(x)})
 
     kind = dict(rows.dtypes)["label"]
-    described = classes.mapInPandas(describe, f"label {kind}, dims int, rep long, copies long, near array<int>, unit array<double>")
+    described = classes.mapInPandas(describe, f"label {kind}, dims int, rep long, copies long, near array<int>, lists array<long>, unit array<double>")
     described = stored(described, "embed-described")
-    sizes = described.select("label", "dims", F.explode("near").alias("pivot")).groupBy("label", "dims", "pivot").count()
+    sizes = described.select("label", "dims", F.explode("lists").alias("pivot")).groupBy("label", "dims", "pivot").count()
     sizes = stored(sizes.where("count > 1").select("label", "dims", "pivot", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "embed-sizes")
-    posted = described.withColumn("pivot", F.explode("near")).join(sizes, ["label", "dims", "pivot"])
+    posted = described.withColumn("pivot", F.explode("lists")).drop("lists").join(sizes, ["label", "dims", "pivot"])
     posted = posted.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = posted.withColumn("other", other).select(
@@ -136,7 +164,9 @@ def embedding_groups(
         n, p = len(pdf), int(pdf["pivot"].iloc[0])
         x = np.stack(pdf["unit"].to_numpy())
         rep, copies, block = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["block"].to_numpy()
-        linked = candidates(np.stack(pdf["near"].to_numpy()), len(pivots), need, p)
+        near = np.stack(pdf["near"].to_numpy())
+        own = divmod(p, n_pivots) if level == 2 and near.shape[1] >= 2 else (p, None)
+        linked = candidates(near, n_pivots, min(shared, near.shape[1]), *own)
         linked[np.arange(n), np.arange(n)] = False
         if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
             linked &= block[:, None] != block[None, :]  # pairs within one block belong to that block's own group
@@ -159,7 +189,8 @@ def embedding_groups(
     states = classes.join(counts, "rep", "left").join(whole.select(F.col("id").alias("rep"), "component"), "rep", "left")
     states = states.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     states = stored(states, "embed-states")
-    out = rows.withColumn("vec", F.when(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("vec"), F.transform("vec", lambda x: x + F.lit(0.0))))
-    out = out.join(states, ["label", "vec"], "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    out = ok.join(states, ["label", "vec"], "left").select("vec_id", "links", F.coalesce("component", "vec_id").alias("component"))
+    # what links with nothing has no part in the join, where it would be one key
+    can = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable("vec"), F.lit(False))
+    out = out.unionByName(rows.where(~can).select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component")))
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("vec_id").eqNullSafe(F.col("component")).alias("kept"))

@@ -222,7 +222,9 @@ def vectors():
     return rows + [(at + i, v, 0) for i, v in enumerate(odd)] + [(None, hot, 1)]
 
 
-def test_embeddings_against_brute_force(spark):
+@pytest.mark.parametrize("pairs_from", [10**9, 1])
+def test_embeddings_against_brute_force(spark, monkeypatch, pairs_from):
+    monkeypatch.setattr(embedding_dedup, "PAIRS_FROM", pairs_from)
     rows = vectors()
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, block int")
     got = {x.vec_id: x for x in embedding_dedup.embedding_groups(df).collect()}
@@ -246,7 +248,7 @@ def test_few_vectors_are_compared(spark, sf):
     """Over whole tables, sharing pivots leaves less than a tenth of all pairs of a label to compare, and all but few links."""
     frame = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/embeddings.parquet").where(F.col("label").isNotNull() & embedding_dedup.usable()).select("label", F.col("embedding").cast("array<double>").alias("vec"))
     rows = frame.distinct().toPandas()
-    pivots = embedding_dedup.fit_pivots(frame.distinct(), embedding_dedup.pivots_for(len(rows)))
+    pivots = embedding_dedup.fit_pivots(frame.distinct(), embedding_dedup.pivots_for(len(rows)))[64]
     compared = pairs = links = found = 0
     noise = np.random.default_rng(0)
     for label in sorted(set(rows.label)):
@@ -259,6 +261,43 @@ def test_few_vectors_are_compared(spark, sf):
     assert compared < 0.1 * pairs and links > 1000 and found >= 0.9 * links
 
 
+def test_vectors_of_other_lengths_have_pivots(spark):
+    """A few vectors of another length in the sample leave the others' pivots alone, and have pivots enough of their own."""
+    r = np.random.default_rng(7)
+    rows = [(r.normal(size=17 if i % 500 == 0 else 16).tolist(),) for i in range(3000)]
+    pivots = embedding_dedup.fit_pivots(spark.createDataFrame(rows, "vec array<double>"), 128)
+    assert {n: len(p) for n, p in pivots.items()} == {16: 128, 17: 128}
+    for n in (16, 17, 40):
+        x = embedding_dedup._unit(r.normal(size=(1500, n)))
+        own = pivots.get(n, embedding_dedup.random_pivots(n, 128))
+        ask = embedding_dedup.candidates(embedding_dedup.nearest_pivots(x, own, 8), 128, 3)
+        assert ask.mean() < 0.1
+        noisy = embedding_dedup._unit(x + r.normal(size=x.shape) * 0.02)
+        near = [embedding_dedup.nearest_pivots(y, own, 8) for y in (x, noisy)]
+        assert np.mean([len(np.intersect1d(a, b)) >= 3 for a, b in zip(*near, strict=True)]) >= 0.9
+
+
+def test_pairs_of_pivots_give_the_same_candidates():
+    """Each pair of vectors is found once, in the list of the first pivot it shares, or of the first two."""
+    near = np.array([np.random.default_rng(i).choice(20, 6, replace=False) for i in range(60)])
+    want = embedding_dedup.candidates(near, 20, 3)
+    for level in (1, 2):
+        lists, got = embedding_dedup.lists_of(near, 20, level), np.zeros((60, 60), dtype=int)
+        for p in np.unique(lists).tolist():
+            at = np.flatnonzero((lists == p).any(axis=1))
+            own = divmod(p, 20) if level == 2 else (p, None)
+            got[np.ix_(at, at)] += embedding_dedup.candidates(near[at], 20, 3, *own)
+        assert (got == want).all()
+
+
+def test_vectors_that_repeat_an_id(spark):
+    """Equal rows are copies; different vectors under one id are linked each by itself, and the id stands for both."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0), (1, a, 0), (1, b, 0), (2, b, 0), (3, None, 0), (3, a, None)], "vec_id long, embedding array<double>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id) for x in embedding_dedup.embedding_groups(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+
+
 def test_embedding_lists_in_blocks(spark, monkeypatch):
     r = np.random.default_rng(8)
     base = r.normal(size=8)
