@@ -12,14 +12,14 @@ from reelspark.llm.common import BROADCAST_ROWS, lean, shared_dir, stored
 from reelspark.llm.near_dedup import _grouped
 from reelspark.llm.shingles import mix, word_hashes
 
-#: The smoothing counts so many words in the vocabulary at least; where the texts have more, as many as they have.
-WORD_SLOTS = 1 << 17
 #: Tokens of a chunk (and its last texts), tokens for a block of keys, and blocks at least. They change no result.
 CHUNK_TOKENS, BLOCK_TOKENS, LEAST_BLOCKS = 1 << 20, 1 << 20, 128
 #: A key's lowest bit is 0 for a word and 1 for a pair. The start mark has a key of its own.
 PAIR = np.uint64(1)
 START = np.uint64(0x243F6A8885A308D2)
 
+#: Counts in the two models, and of those the ones at the end of a text.
+COUNTS = ("target", "background", "target_last", "background_last")
 CHUNKS = "chunk long, ids array<long>, cut binary, flags binary, token binary, words binary, n_target long, n_background long"
 #: A row of chunks is of some MB; unless told, Parquet looks at sizes every 100 rows only.
 LARGE_ROWS = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "zstd"}
@@ -73,7 +73,7 @@ def _chunk(number: int, ids: list, flags: list, parts: list) -> dict:
 
 
 def _pairs(row: dict) -> tuple[np.ndarray, ...]:
-    """(cut, token, its pair, the pairs' own words and words before, keys of words and then pairs, order of the keys) of a chunk."""
+    """(cut, token, word before it, its pair, number of words, keys of words and then pairs, order of the keys) of a chunk."""
     cut, token, words = np.frombuffer(row["cut"], dtype=np.int64), _unpacked(row["token"]), _unpacked_keys(row["words"])
     start = np.searchsorted(words, START)
     before = np.concatenate(([start], token[:-1])) if len(token) else token.copy()
@@ -81,7 +81,7 @@ def _pairs(row: dict) -> tuple[np.ndarray, ...]:
     codes, pair = np.unique(before * len(words) + token, return_inverse=True)
     prior, own = codes // len(words), codes % len(words)
     keys = np.concatenate((words, mix(words[prior] * np.uint64(0xC2B2AE3D27D4EB4F) + words[own]) | PAIR))
-    return cut, token, pair, own, prior, keys, np.argsort(keys, kind="stable")
+    return cut, token, before, pair, len(words), keys, np.argsort(keys, kind="stable")
 
 
 def chunks_of(rows: DataFrame) -> DataFrame:
@@ -111,49 +111,60 @@ def chunks_of(rows: DataFrame) -> DataFrame:
 
 
 def model_counts(chunks: DataFrame, blocks: int) -> DataFrame:
-    """(chunk, block, target, background, n_words): for each chunk's keys in order, block by block, their counts over all chunks, stored.
+    """(chunk, block, COUNTS, n_words): for each chunk's keys in order, block by block, their counts over all chunks, stored.
 
-    Keys are dealt to `blocks` ranges; a chunk sends each key once, however often it has it. n_words sums up to
+    Of a word, the counts with _last say how often it ends a text, with nothing after it. Keys are dealt to `blocks` ranges; a chunk sends each key once, however often it has it. n_words sums up to
     the number of different words.
     """
 
     def deal(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                cut, token, pair, own, prior, keys, order = _pairs(row)
+                cut, token, _, pair, n_words, keys, order = _pairs(row)
                 keys, n, in_target = keys[order], np.diff(cut), np.frombuffer(row["flags"], dtype=bool)
-                n_words, counts = len(keys) - len(own), []
+                n_pairs, counts, ends = len(keys) - n_words, [], []
                 for texts in (in_target, np.ones(len(n), dtype=bool)):
                     picked = np.repeat(texts, n)
                     count = np.bincount(token[picked], minlength=n_words)
                     count[np.searchsorted(_unpacked_keys(row["words"]), START)] = np.count_nonzero(texts & (n > 0))
-                    counts.append(np.concatenate((count, np.bincount(pair[picked], minlength=len(own))))[order])
+                    counts.append(np.concatenate((count, np.bincount(pair[picked], minlength=n_pairs)))[order])
+                    ends.append(np.bincount(token[cut[1:][texts & (n > 0)] - 1], minlength=len(keys))[order])
                 some, first = np.unique(((keys >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32), return_index=True)
                 slices = [slice(a, b) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)]
-                sliced = [pa.array([f(x[at]) for at in slices], pa.binary()) for f, x in ((_packed_keys, keys), (_packed, counts[0]), (_packed, counts[1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([row["chunk"]] * len(some), pa.int64()), *sliced], names=["block", "chunk", "keys", "target", "background"])
+                sliced = [pa.array([f(x[at]) for at in slices], pa.binary()) for f, x in ((_packed_keys, keys), *[(_packed, x) for x in (*counts, *ends)])]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array([row["chunk"]] * len(some), pa.int64()), *sliced], names=["block", "chunk", "keys", *COUNTS])
 
     def count(rows: pa.Table) -> pa.Table:
         keys = [_unpacked_keys(x) for x in rows["keys"].to_pylist()]
         cut = np.cumsum([len(x) for x in keys])[:-1]
         every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         out = []
-        for c in ("target", "background"):
+        for c in COUNTS:
             summed = np.bincount(inverse, weights=np.concatenate([_unpacked(x) for x in rows[c].to_pylist()])).astype(np.int64)
             out.append(pa.array([_packed(x) for x in np.split(summed[inverse], cut)], pa.binary()))
         words = np.zeros(len(keys), dtype=np.int64)
         words[0] = np.count_nonzero((every & PAIR == 0) & (every != START))
-        return pa.table([rows["chunk"], rows["block"], *out, pa.array(words)], names=["chunk", "block", "target", "background", "n_words"])
+        return pa.table([rows["chunk"], rows["block"], *out, pa.array(words)], names=["chunk", "block", *COUNTS, "n_words"])
 
-    dealt = chunks.mapInArrow(lean(deal), "block long, chunk long, keys binary, target binary, background binary")
-    return stored(dealt.groupBy("block").applyInArrow(count, "chunk long, block long, target binary, background binary, n_words long"), "lm-counts")
+    kinds = ", ".join(f"{c} binary" for c in COUNTS)
+    dealt = chunks.mapInArrow(lean(deal), f"block long, chunk long, keys binary, {kinds}")
+    return stored(dealt.groupBy("block").applyInArrow(count, f"chunk long, block long, {kinds}, n_words long"), "lm-counts")
 
 
-def pair_losses(count: np.ndarray, own: np.ndarray, prior: np.ndarray, pair: np.ndarray, total: int, words: int, weight: float) -> np.ndarray:
-    """Bits of a token of each pair under one model: weight * pair / word before + (1 - weight) * (word + 1) / (all + words)."""
-    single = (count[own] + 1.0) / (total + words)
-    double = np.minimum(1.0, count[pair] / np.maximum(1, count[prior]))
-    return -np.log2(weight * double + (1 - weight) * single)
+def token_losses(word: np.ndarray, pair: np.ndarray, followed: np.ndarray, total: np.ndarray, words: int, weight: float) -> np.ndarray:
+    """Bits of tokens: of a word, a pair and how often the word before is followed by any, out of `total` tokens.
+
+    weight * pair / followed + (1 - weight) * (word + 1) / (total + words), and the second part alone after a word
+    that nothing follows: the probabilities of all words sum up to 1 after every word.
+    """
+    single = (word + 1.0) / (total + words)
+    return -np.log2(np.where(followed > 0, weight * pair / np.maximum(1, followed) + (1 - weight) * single, single))
+
+
+def _own(document: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How often each token's key occurs in its own document."""
+    _, inverse, count = np.unique(document * (int(key.max(initial=0)) + 1) + key, return_inverse=True, return_counts=True)
+    return count[inverse]
 
 
 def score_documents(
@@ -163,7 +174,8 @@ def score_documents(
 
     The target model counts the documents in `target_ids` (a table with `id_col`) or those for which
     `target` holds; the background model counts all. Both share tokens, vocabulary and smoothing, and
-    count every text as a whole. score is the mean over tokens of the target model's bits less the
+    count every text as a whole. A document is scored by what the others have: from each model that counts it its own
+    counts are left out. score is the mean over tokens of the target model's bits less the
     background model's. A document without tokens scores 0. Null texts are empty; null ids are scored,
     repeated rows one by one; other columns are ignored. Without target documents the target model is
     uniform over words.
@@ -171,7 +183,7 @@ def score_documents(
     Words and pairs are told apart by 64-bit keys and all are counted: the counts are tables in the shared
     folder that grow with the texts, and neither the driver nor any task holds them all. Texts are read
     once, in chunks; a chunk sends its keys to the blocks that count them and gets their counts back. The
-    vocabulary of the smoothing is the number of different words, or WORD_SLOTS where there are fewer.
+    vocabulary of the smoothing is all different words of the texts, so that each model is a distribution over them.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(False) if target is None else F.coalesce(target, F.lit(False))).alias("target"))
     if target_ids is not None:
@@ -184,23 +196,28 @@ def score_documents(
     chunks = chunks_of(marked)
     totals = chunks.agg(*[F.coalesce(F.sum(f"n_{c}"), F.lit(0)).alias(c) for c in ("target", "background")]).first().asDict()
     counts = model_counts(chunks, max(LEAST_BLOCKS, -(-totals["background"] // BLOCK_TOKENS)))
-    words = max(WORD_SLOTS, counts.agg(F.sum("n_words")).first()[0] or 0)
+    words = counts.agg(F.sum("n_words")).first()[0] or 0
 
     def run(counted: pa.Table, chunk: pa.Table) -> pa.Table:
         counted, row = counted.sort_by("block"), chunk.to_pylist()[0]
-        cut, _, pair, own, prior, keys, order = _pairs(row)
-        at_pair, bits = np.arange(len(keys) - len(own), len(keys)), []
+        cut, token, before, pair, n_words, keys, order = _pairs(row)
+        n, flags = np.diff(cut), np.frombuffer(row["flags"], dtype=bool)
+        document, held = np.repeat(np.arange(len(n)), n), {}
+        for c in COUNTS:
+            held[c] = np.empty(len(keys), dtype=np.int64)
+            held[c][order] = np.concatenate([_unpacked(x) for x in counted[c].to_pylist()])
+        own, bits = [_own(document, x) for x in (token, pair, before)], []
         for c, total in totals.items():
-            count = np.empty(len(keys), dtype=np.int64)
-            count[order] = np.concatenate([_unpacked(x) for x in counted[c].to_pylist()])
-            losses = pair_losses(count, own, prior, at_pair, total, words, weight)
-            summed = np.concatenate(([0.0], np.cumsum(losses[pair])))
-            bits.append((summed[cut[1:]] - summed[cut[:-1]]) / np.maximum(1, np.diff(cut)))
+            inside = (flags if c == "target" else np.ones(len(n), dtype=bool))[document].astype(np.int64)
+            followed = (held[c] - held[f"{c}_last"])[before]
+            losses = token_losses(held[c][token] - inside * own[0], held[c][n_words + pair] - inside * own[1], followed - inside * own[2], total - inside * n[document], words, weight)
+            summed = np.concatenate(([0.0], np.cumsum(losses)))
+            bits.append((summed[cut[1:]] - summed[cut[:-1]]) / np.maximum(1, n))
         return pa.table(
             [pa.array(row["ids"], pa.int64()), pa.array(np.diff(cut)), pa.array(bits[0]), pa.array(bits[1]), pa.array(bits[0] - bits[1])],
             names=["doc_id", "n_tokens", "target_bits", "background_bits", "score"],
         )
 
-    texts = chunks.select("chunk", "ids", "cut", "token", "words")
+    texts = chunks.select("chunk", "ids", "cut", "flags", "token", "words")
     replies = counts.drop("n_words").groupBy("chunk")
     return replies.cogroup(texts.groupBy("chunk")).applyInArrow(run, "doc_id long, n_tokens long, target_bits double, background_bits double, score double")

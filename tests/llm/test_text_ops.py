@@ -115,49 +115,73 @@ def test_full_chunks_are_cut_in_order(spark, monkeypatch):
             assert [(x.text, x.mask) for x in mine] == [rendered(turns[i : i + 64], speaker) for i in range(0, len(turns), 64)]
 
 
+def plain_bits(toks, target):
+    """Per text and model the mean bits of its tokens, by plain counts of all texts but its own."""
+    words, start, out = {w for t in toks for w in t}, "<s>", []
+
+    def counted(texts):
+        one, two, ctx = Counter(), Counter(), Counter()
+        for t in texts:
+            one.update(t)
+            two.update(zip([start, *t], t, strict=False))
+            ctx.update([start, *t[:-1]] if t else [])
+        return one, two, ctx
+
+    for m in (0, 1):
+        of = [i for i in range(len(toks)) if m or i in target]
+        whole, bits = counted([toks[i] for i in of]), []
+        for i, t in enumerate(toks):
+            own = counted([t] if i in of else [])
+            n = sum(whole[0].values()) - sum(own[0].values())
+            p = []
+            for a, b in zip([start, *t], t, strict=False):
+                single, ctx = (whole[0][b] - own[0][b] + 1) / (n + len(words)), whole[2][a] - own[2][a]
+                p.append(0.5 * (whole[1][a, b] - own[1][a, b]) / ctx + 0.5 * single if ctx else single)
+            bits.append(-np.log2(p).mean() if p else 0.0)
+        out.append(bits)
+    return out
+
+
 def test_lm_scores_against_plain_counts(spark):
     r = random.Random(9)
-    texts = [None, "", "  ", "a"] + [" ".join(r.choice("a b c d e f g".split()) for _ in range(30)) for _ in range(20)] + ["A a\tB\nb " * 3000]
+    texts = [None, "", "  ", "a"] + [" ".join(r.choice("a b c d e f g".split()) for _ in range(30)) for _ in range(20)] + ["A a\tB\nb " * 3000, "last only here zz"]
     target = {3, 5, 6, 7}
     df = docs(spark, texts)
     got = {x.doc_id: x for x in lm_scoring.score_documents(df, target=F.col("doc_id").isin(*target)).collect()}
     toks = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) for t in texts]
-    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    bits = plain_bits(toks, target)
     for i, t in enumerate(toks):
-        for m in (0, 1) if i in target else (1,):
-            one[m].update(["<s>"] * bool(t) + t)
-            two[m].update(zip(["<s>"] + t, t, strict=False))
-    for i, t in enumerate(toks):
-        bits = []
-        for m in (0, 1):
-            n = sum(v for k, v in one[m].items() if k != "<s>")
-            p = [0.5 * min(1, two[m][a, b] / max(1, one[m][a])) + 0.5 * (one[m][b] + 1) / (n + lm_scoring.WORD_SLOTS) for a, b in zip(["<s>"] + t, t, strict=False)]
-            bits.append(-np.log2(p).sum() / max(1, len(p)) if p else 0.0)
         assert got[i].n_tokens == len(t)
-        assert got[i].target_bits == pytest.approx(bits[0]) and got[i].score == pytest.approx(bits[0] - bits[1])
+        assert got[i].target_bits == pytest.approx(bits[0][i]) and got[i].score == pytest.approx(bits[0][i] - bits[1][i])
     by_table = lm_scoring.score_documents(df, df.where(F.col("doc_id").isin(*target)).select("doc_id"))
     assert {x.doc_id: round(x.score, 9) for x in by_table.collect()} == {k: round(x.score, 9) for k, x in got.items()}
     assert lm_scoring.score_documents(docs(spark, [])).count() == 0
 
 
+def test_lm_models_are_distributions():
+    """After every word, one that is never followed included, the probabilities of all words sum up to 1."""
+    texts = [["a", "b", "a"], ["b", "b", "c"], ["d"]]
+    words = sorted({w for t in texts for w in t})
+    one, two, ctx = Counter(w for t in texts for w in t), Counter(), Counter()
+    for t in texts:
+        two.update(zip(["<s>", *t], t, strict=False))
+        ctx.update(["<s>", *t[:-1]])
+    for before in ("<s>", *words):
+        cols = [np.array(x) for x in ([one[w] for w in words], [two[before, w] for w in words], [ctx[before]] * len(words))]
+        p = 2 ** -lm_scoring.token_losses(*cols, np.full(len(words), sum(one.values())), len(words), 0.3)
+        assert p.sum() == pytest.approx(1.0)
+
+
 def test_lm_scores_tell_all_words_apart(spark, monkeypatch):
     """More words and pairs than any fixed table: each has its own count, and chunks and blocks change nothing."""
-    texts = [" ".join(f"w{j}" for j in range(i * 700, (i + 1) * 700)) for i in range(600)] + ["w0 w1 w2", None, "w0 w0 w419999 w1"]
+    texts = [" ".join(f"w{j}" for j in range(i * 700, (i + 1) * 700)) for i in range(300)] + ["w0 w1 w2", None, "w0 w0 w209999 w1"]
     df = docs(spark, texts)
     score = lambda: {x.doc_id: x for x in lm_scoring.score_documents(df, target=F.col("doc_id") < 3).collect()}
     got, toks = score(), [(t or "").split() for t in texts]
-    words = len({w for t in toks for w in t})
-    assert words > 3 * lm_scoring.WORD_SLOTS
-    one, two = [Counter(), Counter()], [Counter(), Counter()]
-    for i, t in enumerate(toks):
-        for m in (0, 1) if i < 3 else (1,):
-            one[m].update(["<s>"] * bool(t) + t)
-            two[m].update(zip(["<s>"] + t, t, strict=False))
+    bits = plain_bits(toks, {0, 1, 2})
     for m, name in enumerate(("target_bits", "background_bits")):
-        n = sum(one[m].values()) - one[m]["<s>"]
-        for i, t in enumerate(toks):
-            p = [0.5 * min(1, two[m][a, b] / max(1, one[m][a])) + 0.5 * (one[m][b] + 1) / (n + words) for a, b in zip(["<s>"] + t, t, strict=False)]
-            assert got[i][name] == pytest.approx(-np.log2(p).mean() if t else 0.0)
+        for i in range(len(toks)):
+            assert got[i][name] == pytest.approx(bits[m][i])
     for name, n in {"CHUNK_TOKENS": 5000, "BLOCK_TOKENS": 100_000, "LEAST_BLOCKS": 3}.items():
         monkeypatch.setattr(lm_scoring, name, n)
     assert {i: round(x.score, 9) for i, x in score().items()} == {i: round(x.score, 9) for i, x in got.items()}
