@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from reelspark.llm.common import lower_ascii, only_ids, shared_dir, stored, without
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches of changed states that are read again by every call; beyond that all states are written as one.
+COMPACT_AFTER = 8
 
 
 def digest_log(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
@@ -66,10 +68,39 @@ def fold_stream(log: DataFrame, state_dir: str, partitions: int | None = None) -
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    # A state only grows, so that the latest version of each digest is the one with the largest count.
-    versions = spark.read.schema(states.schema).parquet(changed) if _exists(spark, changed) else spark.createDataFrame([], states.schema)
+    return _latest(spark, state_dir, states.schema)
+
+
+def _latest(spark: SparkSession, state_dir: str, schema) -> DataFrame:
+    """The current states. Once there are many batches they are written as one table `upto=n`, and the batches that it holds go.
+
+    A state only grows, so the latest version of each digest is the one with the largest count, and reading a version twice does no harm:
+    a table counts only when it is whole, and until then the batches are all there.
+    """
+    def numbered(folder: str, key: str) -> list[int]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}=") and _exists(spark, f"{folder}/{n}/_SUCCESS"))
+
+    def remove(path: str) -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    changed, whole = f"{state_dir}/changed", f"{state_dir}/whole"
+    tables, batches = numbered(whole, "upto"), numbered(changed, "batch")
+    upto = tables[-1] if tables else -1
+    later = [n for n in batches if n > upto]
+    files = [f"{whole}/upto={upto}"] * bool(tables) + [f"{changed}/batch={n}" for n in later]
+    versions = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
     latest = F.max(F.struct("group_size", "keep_id", "locator", "n_bytes_low", "n_bytes_high")).alias("s")
-    return versions.groupBy("digest").agg(latest).select("digest", "s.*")
+    states = versions.groupBy("digest").agg(latest).select("digest", "s.*")
+    if len(later) <= COMPACT_AFTER:
+        return states
+    states.select(*[f.name for f in schema]).write.mode("overwrite").parquet(f"{whole}/upto={later[-1]}")
+    for path in [f"{changed}/batch={n}" for n in batches] + [f"{whole}/upto={n}" for n in tables]:
+        remove(path)
+    return spark.read.schema(schema).parquet(f"{whole}/upto={later[-1]}")
 
 
 def _exists(spark, path: str) -> bool:
@@ -108,6 +139,7 @@ def exact_groups(
     files_per_batch: int = 10_000,
     state_dir: str | None = None,
     read: Callable[[SparkSession, list[str]], DataFrame] | None = None,
+    restate: bool = False,
 ) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256, n_bytes, locator.
 
@@ -123,7 +155,8 @@ def exact_groups(
     group_size and may be the ones that stay. `docs` is then new rows only. The texts of earlier rows that are hit
     are fetched through their locators: from a copy that each call leaves in `state_dir`, or, with `read`
     (spark, files -> rows with the same columns, such as `read_parquet`), from the files that `docs` come from,
-    which must stay as they are.
+    which must stay as they are. The rows of earlier calls that new ones join are not told again, though another row may
+    now be the one that stays: with `restate` they are, as they stand now, and a column earlier tells them from the new ones.
     """
     spark, whole, number = docs.sparkSession, state_dir is None, uuid.uuid4().hex
     state_dir = state_dir or shared_dir(spark, "exact-state")
@@ -158,19 +191,21 @@ def exact_groups(
     mixed = full.groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high")).where("low <> high").select("digest")
     mixed = stored(mixed, "exact-mixed")
 
-    rows = log.join(states.drop("locator"), "digest", "left").select("doc_id", "digest", "keep_id", "group_size", "text_sha256", "n_bytes", "locator")
+    told = log.withColumn("earlier", F.lit(False))
+    if restate and not whole:
+        told = told.unionByName(only_ids(earlier, touched, "digest").withColumn("earlier", F.lit(True)))
+    rows = told.join(states.drop("locator"), "digest", "left").select("doc_id", "digest", "keep_id", "group_size", "text_sha256", "n_bytes", "locator", "earlier")
     if not mixed.isEmpty():
-        apart = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), F.input_file_name().alias("locator"), (F.sha2(text.cast("binary"), 256) if digest is None else digest).alias("digest"))
-        apart = apart.join(mixed, "digest", "left_semi")
-        members = apart.select("doc_id", "digest", "norm")
+        members = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("norm"), (F.sha2(text.cast("binary"), 256) if digest is None else digest).alias("digest"))
+        members = members.join(mixed, "digest", "left_semi").select("doc_id", "digest", "norm")
         if not whole:
             members = members.unionByName(fetched(earlier.join(mixed, "digest", "left_semi"), id_col, text_col, read).select("doc_id", "digest", "norm"))
         texts = members.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        apart = apart.join(texts, ["digest", "norm"]).select(
-            "doc_id", "digest", "keep_id", "group_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.octet_length("norm").cast("long").alias("n_bytes"), "locator"
-        )
-        rows = rows.join(mixed, "digest", "left_anti").select(apart.columns).union(apart)
-    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "locator")
+        texts = texts.withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)).drop("norm")
+        apart = rows.drop("keep_id", "group_size").join(mixed, "digest", "left_semi").join(texts, ["digest", "text_sha256"]).select(rows.columns)
+        rows = rows.join(mixed, "digest", "left_anti").unionByName(apart)
+    out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes", "locator"]
+    return rows.select(*out, *["earlier"] * restate)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

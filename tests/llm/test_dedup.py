@@ -87,6 +87,37 @@ def test_exact_calls_go_on(spark, tmp_path, digest, own_files):
         assert {x.doc_id: (x.keep_id, x.group_size) for x in got} == {i: want[i] for i in range(10 * k, 10 * k + len(texts))}
 
 
+@pytest.mark.parametrize("digest", [None, lambda: F.lit("same")])
+def test_earlier_rows_are_told_again(spark, tmp_path, digest):
+    """With restate a call also gives the earlier rows whose groups it changes: put over one another, calls are the whole."""
+    state, told, every = f"file://{tmp_path}/state", {}, {}
+    for k, texts in enumerate((["t", "u", "v"], ["T"], ["w", "U", "u"], ["t", None])):
+        ids = range(10 * k, 10 * k + len(texts))
+        every |= dict(zip(ids, texts, strict=True))
+        got = exact_dedup.exact_groups(docs(spark, texts, ids), digest=digest and digest(), state_dir=state, restate=True).collect()
+        assert {x.doc_id for x in got if not x.earlier} == set(ids)
+        told |= {x.doc_id: (x.keep_id, x.group_size) for x in got}
+        assert told == expected_exact(every, every.values())
+    alone = exact_dedup.exact_groups(docs(spark, ["a", "A"]), restate=True).collect()
+    assert [x.earlier for x in alone] == [False, False]
+
+
+def test_states_are_written_as_one(spark, tmp_path, monkeypatch):
+    """Many batches become one table, before and after which the states are the same; a table that is not whole doesn't count."""
+    monkeypatch.setattr(exact_dedup, "COMPACT_AFTER", 2)
+    state, every = tmp_path / "state", {}
+    for k in range(7):
+        texts = [f"t{k % 3}", f"only {k}"]
+        every |= dict(zip(range(10 * k, 10 * k + 2), texts, strict=True))
+        got = exact_dedup.exact_groups(docs(spark, texts, range(10 * k, 10 * k + 2)), state_dir=f"file://{state}", restate=True).collect()
+        want = expected_exact(every, every.values())
+        assert all((x.keep_id, x.group_size) == want[x.doc_id] for x in got)
+        assert len(list((state / "changed").iterdir())) <= 3
+        if k == 3:
+            (state / "whole" / "upto=99").mkdir(parents=True)
+    assert (state / "whole").exists()
+
+
 def test_a_moved_text_is_an_error(spark, tmp_path):
     for name, texts in (("x", ["a"]), ("y", ["A"])):
         docs(spark, texts, [len(name + texts[0])]).coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
