@@ -48,7 +48,7 @@ with t(template, label, base, w) as (values {_TEMPLATES}),
   from hit h join t on h.template = t.template join d on h.doc_id = d.doc_id),
  marked as (select *, case when not base and diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= {APART} then 0 else 1 end as m from voted),
  islands as (select *, sum(m) over (partition by doc_id, template order by diagonal) as island from marked),
- spans as (select doc_id, template, label, base, size, min(diagonal) as start, max(len(equal)) as agree, cast(len(list_distinct(flatten(list(equal)))) as double) / size as share from islands group by doc_id, template, label, base, size, island),
+ spans as (select doc_id, template, label, base, size, min(diagonal) as start, max(len(equal)) as agree, cast(len(list_distinct(flatten(list(equal)))) as double) / greatest(size, coalesce(max(diagonal + list_max(equal)) - min(diagonal + list_min(equal)) + 1, 0)) as share from islands group by doc_id, template, label, base, size, island),
  found as (select *, base and agree = size as place, (base and agree = size) or (not base and share >= 0.7) as found from spans)
 select d.doc_id, cast(any_value(len(d.w)) as bigint) as n_words, count(*) filter (where place) as n_base, cast(min(start) filter (where place) as bigint) as first_word, cast(max(start) filter (where place) as bigint) as last_word,
  coalesce(string_agg(distinct label, ',' order by label) filter (where place), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label) filter (where found), '') as labels, coalesce(max(share), 0) as score

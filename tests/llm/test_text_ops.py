@@ -55,6 +55,24 @@ def test_each_word_of_a_template_counts_once(spark):
     assert x.score == 8 / 16 and x.labels == ""
 
 
+def test_foreign_words_count_in_a_span(spark):
+    """A template with other words between its own agrees by its words over the whole stretch."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software".split()
+    mixed = [w for i, m in enumerate(mit) for w in ([m, "x"] if i in (3, 5, 7, 9, 11) else [m])]
+    apart = [w for i, m in enumerate(mit) for w in ([m, "x", "y"] if i in (3, 6, 9, 12) else [m])]
+    got = license_scan.license_scan(docs(spark, [" ".join(mit), " ".join(mixed), " ".join(apart)])).orderBy("doc_id").collect()
+    assert got[0].score == 1.0 and got[1].score <= 16 / 21 and got[2].score <= 16 / 24 and got[2].labels == ""
+
+
+def test_whole_licence_texts(spark):
+    long = [(p, label) for p, label in license_scan.OTHERS.items() if len(p.split()) > 40]
+    r = random.Random(3)
+    changed = [" ".join(w if r.random() > 0.05 else "other" for w in p.split()) for p, _ in long]
+    got = license_scan.license_scan(docs(spark, [p for p, _ in long] + changed + ["foo " * 50 + p.upper() for p, _ in long])).orderBy("doc_id").collect()
+    assert len(long) >= 5 and all(label in x.labels.split(",") for x, (_, label) in zip(got, long * 3, strict=True))
+    assert all(x.score == 1.0 for x in got[: len(long)])
+
+
 def test_license_borders(spark):
     assert license_scan.license_scan(docs(spark, [])).count() == 0
     assert license_scan.license_scan(docs(spark, ["a", "a", "cc by nc"], [1, 1, None])).count() == 3
