@@ -9,7 +9,7 @@ from reelspark.operators.events import finalise, upsert_events, video_status
 from reelspark.sources.commits import Conflict, Versions
 
 #: Messages of a part at most, on average; a part that grows beyond is split in two by the next bit of the video's hash.
-PART_ROWS = 1 << 17
+PART_ROWS = 1 << 15
 KEY = ("video_id", "event_type", "event_index")
 COLUMNS = (*KEY, "total_events", "completion", "Timestamp", "MessageId")
 #: Times that a batch is merged anew because another writer came first.
