@@ -158,23 +158,27 @@ def upsert_events(msgs: DataFrame, key: tuple[str, ...] = ("video_id", "event_in
     return msgs.groupBy(*key).agg(best).select(*key, "s.*").select(msgs.columns)
 
 
-def video_status(msgs: DataFrame) -> DataFrame:
+def video_status(msgs: DataFrame, by: tuple[str, ...] = ("video_id",), unique: bool = False) -> DataFrame:
     """Per video: received_count (different events), completion_received, expected_total; job_id and result_s3_uri
     where `msgs` has completion (of parsed envelopes), created_at and updated_at where it has Timestamp.
 
-    A set of indices is counted, so that repeated deliveries change nothing, on a stream as well.
+    A set of indices is counted, so that repeated deliveries change nothing, on a stream as well; `unique` says that none is repeated.
+    `by` may have columns besides video_id that a video decides.
     """
     done = F.col("event_type") == COMPLETE
-    if msgs.isStreaming:
-        received = F.size(F.collect_set(F.when(F.col("event_type") == EVENT, F.col("event_index"))))
+    index = F.when(F.col("event_type") == EVENT, F.col("event_index"))
+    if unique:
+        received = F.count(index)
+    elif msgs.isStreaming:
+        received = F.size(F.collect_set(index))
     else:
-        received = F.count_distinct(F.when(F.col("event_type") == EVENT, F.col("event_index")))
+        received = F.count_distinct(index)
     more = []
     if "completion" in msgs.columns:
         more += [F.max(f"completion.{c}").alias(c) for c in ("job_id", "result_s3_uri")]
     if "Timestamp" in msgs.columns:
         more += [F.min("Timestamp").alias("created_at"), F.max("Timestamp").alias("updated_at")]
-    return msgs.groupBy("video_id").agg(
+    return msgs.groupBy(*by).agg(
         received.cast("long").alias("received_count"),
         F.bool_or(done).alias("completion_received"),
         F.coalesce(F.max(F.when(done, F.col("total_events"))), F.max("total_events")).cast("long").alias("expected_total"),

@@ -69,7 +69,7 @@ def _staged(batch: DataFrame, v: Versions) -> tuple[DataFrame, str]:
 def _merged(staged: DataFrame, v: Versions, base: dict) -> dict | None:
     """Write the touched parts anew, and give the parts of the next version; None if the batch is empty."""
     spark, parts = staged.sparkSession, base["parts"] or {"0-0": {"rows": 0}}
-    came = {r["part"]: r["count"] for r in staged.groupBy(_part_of(list(parts)).alias("part")).count().collect()}  # a row for each part at most
+    came = {r["part"]: r["count"] for r in staged.select(_part_of(list(parts)).alias("part")).groupBy("part").count().collect()}  # a row for each part at most
     if not came:
         return None
     names = [n for p, k in came.items() for n in _split(p, k + parts[p]["rows"])]
@@ -79,10 +79,10 @@ def _merged(staged: DataFrame, v: Versions, base: dict) -> dict | None:
     rows = rows.withColumn("part", _part_of(names))
     rows.repartition("part").write.partitionBy("part").parquet(f"{v.path}/{folder}/messages")
     kept = spark.read.schema(rows.schema).parquet(f"{v.path}/{folder}/messages")
-    state = video_status(kept.drop("part", "hash"))
+    # a part's messages are brought together once, for its videos' status and for its file
+    state = video_status(kept.drop("hash").repartition("part"), ("part", "video_id"), unique=True)
     state = state.withColumn("finalized", F.coalesce(F.expr("completion_received and received_count >= expected_total"), F.lit(False)))
-    state = state.withColumn("hash", _hash()).withColumn("part", _part_of(names)).drop("hash")
-    state.repartition("part").write.partitionBy("part").parquet(f"{v.path}/{folder}/status")
+    state.write.partitionBy("part").parquet(f"{v.path}/{folder}/status")
     counts = {r["part"]: r["count"] for r in kept.groupBy("part").count().collect()}
     new = {n: {"rows": counts.get(n, 0)} | {k: f"{folder}/{k}/part={n}" for k in ("messages", "status") if n in counts} for n in names}
     return {n: p for n, p in parts.items() if n not in came} | new
