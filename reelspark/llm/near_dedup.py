@@ -362,7 +362,8 @@ def near_groups(
     class is first verified against the likeliest of its buckets' leaders, a random member each; a group of copies is
     then nearly one component, at a cost in proportion to its members. Next, of every two components that sizes,
     sketches and minhashes still leave possible, the closest pairs are verified, and last, of those that are apart
-    even so, all pairs: nothing is given up. In a bucket of many texts that are alike but under the threshold,
+    even so, all pairs. What is lost is what the tables miss (see above) and what the bound on equal minhashes gives up, one in a
+    billion of the pairs at the threshold. In a bucket of many texts that are alike but under the threshold,
     sketches of all members outside the largest component are compared with all others, in blocks and
     without emitting pairs; that is the one cost that grows with the square of such a group.
     """

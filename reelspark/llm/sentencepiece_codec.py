@@ -60,12 +60,14 @@ class Codec(WordTable):
         self.parts: list[tuple[int, int]] = []
         id_of: list[int] = []
         number: dict[str, int] = {}
-        for i in sorted((i for i in plain if SPACE * 2 not in text[i]), key=lambda i: (len(text[i]) > 1, -self.score[text[i]], i)):
+        for i in sorted(plain, key=lambda i: (len(text[i]) > 1, -self.score[text[i]], len(text[i]), i)):
             made = self.merge(text[i])
             if len(made) == 1:
                 number[text[i]] = len(id_of)
                 id_of.append(i)
                 self.parts.append(tuple(number[p] for p in made[0][1]) if len(text[i]) > 1 else (number[text[i]],) * 2)
+        # Pieces of equal scores, such as runs of spaces, are merged by place alone: they have one rank.
+        self.rank = np.unique([-self.score[t] if len(t) > 1 else -np.inf for t in number], return_inverse=True)[1].tolist()
         self.number, self.piece_ids = number, np.array(id_of, dtype=np.uint32)
         self.piece_scores = np.array([self.score[t] for t in number])
         self.text_of = list(number)
@@ -131,7 +133,8 @@ class Codec(WordTable):
         i, j = len(ca) - 1, len(cb) - 1
         while True:
             across = self.number.get(self.text_of[ca[i]] + self.text_of[cb[j]])
-            next_a, next_b = ca[i - 1] if i else None, cb[j - 1] if j else None
+            across = None if across is None else self.rank[across]
+            next_a, next_b = self.rank[ca[i - 1]] if i else None, self.rank[cb[j - 1]] if j else None
             # a merge across the seam wins a tie against one on its right, as it stands further left
             if across is not None and (next_a is None or across < next_a) and (next_b is None or across <= next_b):
                 return False
@@ -213,19 +216,13 @@ class Codec(WordTable):
             flat = np.fromiter(chain.from_iterable(reversed(ids)), dtype=np.uint32)
             self.add([words[i]], flat, np.array([len(flat)]))
 
-    def spaced(self, word: str) -> tuple[int, ...]:
-        """Ids of a word with several spaces in a row: their pieces share one score, so that place alone decides."""
-        made = [p for p, _ in self.merge(word)]
-        return tuple(chain.from_iterable([self.id_of[p]] if p in self.id_of else [self.byte_ids.get(b, self.unknown) for b in p.encode("utf-8", "replace")] for p in made))
-
     def learn(self, words: list[str]) -> None:
         by_length: dict[int, list[str]] = defaultdict(list)
         for w in words:
-            if SPACE * 2 in w or not w:
-                ids = np.array(self.spaced(w), dtype=np.uint32)
-                self.add([w], ids, np.array([len(ids)]))
-            else:
+            if w:
                 by_length[len(w)].append(w)
+            else:
+                self.add([w], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
         if len(self.pairs) > 4 * self.most:
             self.pairs, self.fits = self.pairs[:0], self.fits[:0]
         for n, some in by_length.items():

@@ -120,6 +120,16 @@ def test_sentencepiece_one_long_word(monkeypatch):
     assert whole == [x.tolist() for x in sentencepiece_codec.Codec(SP).encode(texts)] == [lib.encode(t) for t in texts]
 
 
+def test_sentencepiece_searches_runs_of_spaces():
+    """Pieces of equal scores are merged from the left; words with such runs go through the search like others."""
+    import sentencepiece
+
+    lib, r, codec = sentencepiece.SentencePieceProcessor(model_file=SP), random.Random(8), sentencepiece_codec.Codec(SP)
+    texts = ["".join(r.choice([" " * r.randint(1, 45), "the", "a", "ing", "x", "é", "漢", "un", " "]) for _ in range(r.randint(1, 8))) for _ in range(1500)]
+    texts += [" " * n + x for n in range(60) for x in ("", "a", "the end")] + [" " * 5000]
+    assert [x.tolist() for x in codec.encode(texts)] == [lib.encode(t) for t in texts]
+
+
 def test_sentencepiece_refuses_other_models(monkeypatch):
     import sentencepiece
 
