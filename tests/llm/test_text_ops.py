@@ -85,6 +85,46 @@ def test_license_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_native_plans_have_no_python(spark):
+    """The operators that are to run on built-in functions alone do, in every job that they start."""
+    from reelspark.llm import chat, exact_dedup
+
+    seen = []
+
+    class Jobs:
+        def onSuccess(self, name, execution, took):
+            seen.append(execution.executedPlan().toString())
+
+        def onFailure(self, name, execution, error):
+            seen.append(execution.executedPlan().toString())
+
+        class Java:
+            implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    from pyspark.java_gateway import ensure_callback_server_started
+
+    ensure_callback_server_started(spark.sparkContext._gateway)
+    listener = Jobs()
+    spark._jsparkSession.listenerManager().register(listener)
+    try:
+        exact_dedup.exact_groups(docs(spark, ["a", "A", "b"])).collect()
+        chat.rotated_chats(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "ann", "x")], "conv_id long, turn long, role string, text string")).collect()
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark._jsparkSession.listenerManager().unregister(listener)
+    assert len(seen) > 3 and not any(re.search("Python|Pandas|Arrow", p) for p in seen)
+
+
+def test_very_long_turns(spark):
+    """A turn of some megabytes is rendered whole, its mask by characters."""
+    long = "é<| " * 500_000
+    got = spark.createDataFrame([(1, 0, "ann", long), (1, 1, "bob", "short")], "conv_id long, turn long, role string, text string")
+    from reelspark.llm import chat
+
+    for x in chat.rotated_chats(got).collect():
+        assert (x.text, x.mask) == rendered([(0, "ann", long), (1, "bob", "short")], x.speaker)
+
+
 def rendered(rows, speaker):
     text, mask = "", []
     for _, role, body in rows:
