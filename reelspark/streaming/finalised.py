@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +19,10 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
+# The processor goes to the workers as it is, so that they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Finaliser(StatefulProcessor):
     """State of a video: pages of a bitmap of the indices received, and a row of totals.
 
