@@ -209,6 +209,15 @@ def test_top_products_equal_brute_force(spark, monkeypatch, routes, block, queri
     assert sorted(map(tuple, got.collect())) == products(rows, 5, 20)
 
 
+def test_large_numbers_are_exact(spark):
+    """Sums that doubles can't hold are added as whole numbers."""
+    r = np.random.default_rng(2)
+    rows = [(i, (r.integers(-(2**40), 2**40, 6) / 2.0**18).tolist()) for i in range(60)]
+    got = topk_search.top_products(vectors(spark, rows), k=7, every=20)
+    want = products(rows, 7, 20)
+    assert max(abs(s) for *_, s in want) > 2**53 and sorted(map(tuple, got.collect())) == want
+
+
 def test_top_products_borders(spark):
     none = topk_search.top_products(vectors(spark, []))
     assert none.count() == 0 and none.columns == ["query_id", "rank", "vec_id", "score"]
