@@ -11,11 +11,22 @@ from reelspark.llm.packing import pack_documents
 from reelspark.llm.quality import keep_good
 
 
+#: Rows of a batch that goes to a Python worker: whole texts may be long, and a stage holds some batches at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark, most: int = 2000) -> None:
+    """No more than `most` texts go to Python at once from here on; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= most:
+        spark.conf.set(BATCH_ROWS, str(most))
+
+
 def quality_stage(spark, docs, sf_dir):
     """Documents that the quality classifier (operator 10) rejects go.
 
     Null and empty texts are scored like others, by their statistics; rows that repeat and null ids too.
     """
+    small_batches(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,11 +43,13 @@ def near_stage(spark, docs, sf_dir):
 
     Rows without an id or without words stay; different texts under one id are told apart.
     """
+    small_batches(spark)
     return drop_near(docs, size=5, percent=80)
 
 
 def packing_stage(spark, docs, sf_dir):
     """What is left is packed into sequences of at most 4096 tokens (operator 9); null and empty texts are one end token each."""
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1, size=4096)
 
 
