@@ -217,8 +217,8 @@ class Encoder(WordTable):
 _kept: dict[tuple[str, str], Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for each worker process and file; the path must exist on every executor."""
+def encoder(path: str, kind: str, cache_words: int = 500_000) -> Encoder:
+    """One encoder for each worker process and file; the path must exist on every executor. It remembers so many words at most."""
     if (path, kind) not in _kept:
-        _kept[path, kind] = Encoder(path, kind)
+        _kept[path, kind] = Encoder(path, kind, cache_words)
     return _kept[path, kind]

@@ -15,6 +15,9 @@ from reelspark.llm.encode import encoder
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
+#: Words whose ids a worker remembers. Workers outlive their tasks, and other stages run beside what they remember.
+CACHE_WORDS = 200_000
+
 
 class OpenBins:
     """Open bins by remaining room, under a segment tree over the rooms 0..size.
@@ -73,7 +76,7 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col
     """Each document's ids (null text: empty) and `end_id`, cut only where longer than `size`: one row per piece."""
 
     def run(batches):
-        enc = encoder(path, kind)
+        enc = encoder(path, kind, CACHE_WORDS)
         for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
             out: list[tuple] = []
             docs, rows, texts = (c.to_pylist() for c in batch.columns)

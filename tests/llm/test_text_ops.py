@@ -405,4 +405,4 @@ def test_pipeline_borders(spark, sf, tmp_path):
 def test_queries_are_complete():
     from reelspark.llm import queries
 
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11)) and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14)) and set(queries.ORACLE) <= set(queries.QUERIES)
