@@ -657,18 +657,19 @@ def read_job_requests(spark, sf_dir):
     return readers.read_job_requests(spark, path).select("video_id", "sampling_rate", "analyzer_mode", "method", "video_s3_bucket", "output_s3_key")
 
 
-#: Answers with keys that nobody asked for, a null and values of other types than expected; ids of one digit more than JSON texts of equal length.
-KEYED_RESPONSES = """select video_id, window_no, is_final, response, case when parse_ok then replace(body, '"clips":[{', '"mood":{"calm":[true,null,' || cast(window_no as varchar) || ']},"note":null,"clips":[{"score_delta":' || cast(window_no % 7 as varchar) || ',"role":null,"reasoning":5,') else body end as body, parse_ok from parsed"""
+#: Put into every answer: keys that nobody asked for, a null, and a value of another type than expected. {} are the window's number and its rest by 7.
+MORE_KEYS = ('"mood":{"calm":[true,null,', ']},"note":null,"clips":[{"score_delta":', ',"role":null,"reasoning":5,')
+MORE_SQL = "'" + MORE_KEYS[0] + "' || cast(window_no as varchar) || '" + MORE_KEYS[1] + "' || cast(window_no % 7 as varchar) || '" + MORE_KEYS[2] + "'"
+KEYED_RESPONSES = f"""select video_id, window_no, is_final, parse_ok, replace(response, '"clips":[{{', {MORE_SQL}) as response, case when parse_ok then cast(replace(body, '"clips":[{{', {MORE_SQL}) as json) end as a from parsed"""
 
 
 def keyed_responses(spark, sf_dir):
     """The parsed answers with more keys in them and in their clips."""
-    n = F.col("window_no").cast("string")
-    more = F.concat(F.lit('"mood":{"calm":[true,null,'), n, F.lit(']},"note":null,"clips":[{"score_delta":'), (F.col("window_no") % 7).cast("string"), F.lit(',"role":null,"reasoning":5,'))
+    n = F.col("window_no")
+    more = F.concat(F.lit(MORE_KEYS[0]), n.cast("string"), F.lit(MORE_KEYS[1]), (n % 7).cast("string"), F.lit(MORE_KEYS[2]))
     last = F.max("window_no").over(Window.partitionBy("video_id"))
-    rows = view(spark, sf_dir, "v_responses").withColumn("is_final", F.col("window_no") == last)
-    good = F.col("window_no") == F.col("window_no")
-    return responses.parse_responses(rows.withColumn("response", F.when(good, F.replace("response", F.lit('"clips":[{'), more))))
+    rows = view(spark, sf_dir, "v_responses").withColumn("is_final", n == last)
+    return responses.parse_responses(rows.withColumn("response", F.replace("response", F.lit('"clips":[{'), more)))
 
 
 #: An answer's values under their keys, as one text in which every value shows its kind.
@@ -690,8 +691,7 @@ def answer_columns(a):
 
 
 @query(
-    f"""select video_id, case when is_final then 'final' else cast(window_no as varchar) end as "window", case when not parse_ok then replace(response, '"clips":[{{', {"'" + '"mood":{"calm":[true,null,' + "'"} || cast(window_no as varchar) || ']}},"note":null,"clips":[{{"score_delta":' || cast(window_no % 7 as varchar) || ',"role":null,"reasoning":5,') end as raw_error, {ANSWER}
- from (select *, case when parse_ok then cast(body as json) end as a from keyed_responses) where parse_ok or not is_final""",
+    f"""select video_id, case when is_final then 'final' else cast(window_no as varchar) end as "window", case when not parse_ok then response end as raw_error, {ANSWER} from keyed_responses where parse_ok or not is_final""",
     body=BODY,
     parsed=PARSED,
     keyed_responses=KEYED_RESPONSES,
@@ -705,7 +705,7 @@ def write_raw(spark, sf_dir):
 
 
 @query(
-    f"""select video_id, window_no, case when is_final then 'final' else cast(window_no as varchar) end as "window", parse_ok as has_analysis, {ANSWER} from (select *, case when parse_ok then cast(body as json) end as a from keyed_responses) where parse_ok or not is_final""",
+    f"""select video_id, window_no, case when is_final then 'final' else cast(window_no as varchar) end as "window", parse_ok as has_analysis, {ANSWER} from keyed_responses where parse_ok or not is_final""",
     body=BODY,
     parsed=PARSED,
     keyed_responses=KEYED_RESPONSES,
@@ -715,10 +715,6 @@ def raw_records(spark, sf_dir):
     return rows.select("video_id", "window_no", "window", F.col("analysis").isNotNull().alias("has_analysis"), *[v.alias(k) for k, v in answer_columns(F.col("a")).items()])
 
 
-#: Clips as models give them, with keys of their own.
-FREE_CLIPS = """select video_id, pos, start_frame, end_frame, category, confidence, '{"start_frame":' || cast(start_frame as varchar) || ',"end_frame":' || cast(end_frame as varchar) || ',"category":"' || category || '","pos":' || cast(pos as varchar) || ',"why":null,"tags":["a",' || cast(pos % 3 as varchar) || ']}' as clip from v_clips"""
-
-
 @query(
     """select v.video_id, 'Analysis generated via Single-Agent' as match_summary, fps, clip_no, m.start_frame, m.end_frame, m.category, cast(m.pos as bigint) as pos, case when m.pos is not null then 'NULL' end as why_kind, case when m.pos is not null then '["a",' || cast(m.pos % 3 as varchar) || ']' end as tags
  from v_videos v left join (select video_id, cast(island as bigint) as clip_no, min(start_frame) as start_frame, max(end_frame) as end_frame, first(category order by coalesce(confidence, 0) desc, rk) as category, first(pos order by coalesce(confidence, 0) desc, rk) as pos from islands group by video_id, island) m on v.video_id = m.video_id""",
