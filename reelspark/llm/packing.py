@@ -15,8 +15,8 @@ from reelspark.llm.encode import encoder
 
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
-#: Words whose ids a worker remembers. Workers outlive their tasks, and other stages run beside what they remember.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers, unless told otherwise: workers outlive their tasks, and other stages run beside what they remember.
+CACHE_WORDS = 500_000
 
 
 class OpenBins:
@@ -72,11 +72,11 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, kind: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
     """Each document's ids (null text: empty) and `end_id`, cut only where longer than `size`: one row per piece."""
 
     def run(batches):
-        enc = encoder(path, kind, CACHE_WORDS)
+        enc = encoder(path, kind, cache_words)
         for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
             out: list[tuple] = []
             docs, rows, texts = (c.to_pylist() for c in batch.columns)
@@ -133,7 +133,7 @@ def _packed_once(cut: DataFrame, size: int, groups: int, turn: int) -> DataFrame
 
 
 def pack_documents(
-    docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 50_000
+    docs: DataFrame, path: str, kind: str = "word", end_id: int = 1, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", group_rows: int = 50_000, cache_words: int = CACHE_WORDS
 ) -> DataFrame:
     """Pack documents into sequences of at most `size` tokens: one row per piece of a document.
 
@@ -142,5 +142,5 @@ def pack_documents(
     gaps and start at 0. Null and empty texts are one piece of the end id alone. Rows that repeat an id
     are packed one by one; a null id stays null. Other columns are ignored; no rows give no rows.
     """
-    cut = stored(pieces(docs, path, kind, end_id, size, id_col, text_col), "pack-pieces")
+    cut = stored(pieces(docs, path, kind, end_id, size, id_col, text_col, cache_words), "pack-pieces")
     return packed(cut, size, group_rows).drop("row")
