@@ -50,7 +50,7 @@ def near_stage(spark, docs, sf_dir):
 def packing_stage(spark, docs, sf_dir):
     """What is left is packed into sequences of at most 4096 tokens (operator 9); null and empty texts are one end token each."""
     small_batches(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1, size=4096)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), "word", end_id=1, size=4096, cache_words=200_000)
 
 
 STAGES = [("quality_classifier", quality_stage), ("exact_dedup", exact_stage), ("minhash_near_dedup", near_stage), ("best_fit_packing", packing_stage)]
