@@ -24,6 +24,9 @@ MAGIC = b"FRV2"
 #: Bytes of each of the four values under a control byte.
 SIZES = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 
+#: Words whose ids a worker remembers: some 200 bytes each.
+CACHE_WORDS = 1_500_000
+
 
 def code(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
@@ -83,7 +86,7 @@ def write_token_files(
     fields = {"doc_id": pa.int64(), "key": pa.int64(), "row": pa.int64(), "n": pa.int32(), "ids": pa.binary(), "counts": pa.binary()}
 
     def encode(batches):
-        enc, total = encoder(path, kind), np.zeros(end_id + 1, dtype=np.int64)
+        enc, total = encoder(path, kind, CACHE_WORDS), np.zeros(end_id + 1, dtype=np.int64)
         for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
             coded = [np.append(x, np.uint32(end_id)) for x in enc.encode_all([t or "" for t in batch.column(3).to_pylist()])]
             more = np.bincount(np.concatenate(coded), minlength=len(total))
