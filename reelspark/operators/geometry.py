@@ -80,15 +80,16 @@ def mask_bbox(pixels: DataFrame) -> DataFrame:
 def mask_runs(pixels: DataFrame, width: int) -> DataFrame:
     """Masks as runs (video_id, frame, track_id, width, starts, lengths) from a row per set pixel (x, y), counted row by row from 0.
 
-    Pixels that repeat count once; a pixel outside of its row is an error of the input and stays out.
+    Pixels that repeat count once; a pixel outside of its row is an error of the input and stays out. One shuffle of sets of
+    pixels, and runs are told within a mask's row, so that a task holds its pixels once, in a sorter that spills.
     """
     keys = ("video_id", "frame", "track_id")
     at = F.array_sort(F.collect_set((F.col("y") * width + F.col("x")).cast("long")))
     rows = pixels.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0)).groupBy(*keys).agg(at.alias("at"))
-    # place less rank is equal within a run
-    rows = rows.select(*keys, F.posexplode("at").alias("rank", "place")).groupBy(*keys, (F.col("place") - F.col("rank")).alias("run"))
-    runs = rows.agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("length")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("r"))
-    return runs.select(*keys, F.lit(width).alias("width"), F.col("r.start").alias("starts"), F.col("r.length").alias("lengths"))
+    # a run starts and ends where no neighbour is set
+    edges = lambda step: F.filter("at", lambda p, i: F.coalesce(F.get("at", i + step) != p + step, F.lit(True)))
+    rows = rows.select(*keys, edges(-1).alias("starts"), edges(1).alias("ends"))
+    return rows.select(*keys, F.lit(width).alias("width"), "starts", F.zip_with("starts", "ends", lambda s, e: e - s + 1).alias("lengths"))
 
 
 def mask_bbox_runs(masks: DataFrame) -> DataFrame:

@@ -224,6 +224,21 @@ def test_runs_are_the_pixels(spark):
     assert [tuple(x)[2:] for x in geometry.mask_bbox_runs(odd).collect()] == [(1, 0, 2, 9, 3, 12)]
 
 
+def test_runs_from_sets_of_pixels(spark):
+    """Pixels are held once, in sets that are sorted with spilling: no rows of pixels or runs after the only shuffle."""
+    r, want, rows = random.Random(11), {}, []
+    for t in range(40):
+        cells = sorted({(r.randrange(7), r.randrange(6)) for _ in range(r.choice([1, 6, 30, 90]))}, key=lambda c: (c[1], c[0]))
+        rows += [(1, 2, t, x, y) for x, y in cells + cells[:3]] + [(1, 2, t, 7, 0), (1, 2, t, -1, 1)]
+        at = [y * 7 + x for x, y in cells]
+        starts = [p for p in at if p - 1 not in at]
+        want[t] = (starts, [next(n for n in range(1, 50) if s + n not in at) for s in starts])
+    runs = geometry.mask_runs(spark.createDataFrame(rows, "video_id long, frame long, track_id int, x int, y int").repartition(5), 7)
+    assert {x.track_id: (x.starts, x.lengths) for x in runs.collect()} == want
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan
+
+
 def test_score_blocks(spark, monkeypatch):
     """A video with many entries and candidates is dealt in blocks, without loss and without a hint to broadcast."""
     monkeypatch.setattr(reid.in_blocks, "__defaults__", (8, 16))
