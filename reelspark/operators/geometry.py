@@ -84,7 +84,7 @@ def mask_runs(pixels: DataFrame, width: int) -> DataFrame:
     pixels, and runs are told within a mask's row, so that a task holds its pixels once, in a sorter that spills.
     """
     keys = ("video_id", "frame", "track_id")
-    at = F.array_sort(F.collect_set((F.col("y") * width + F.col("x")).cast("long")))
+    at = F.sort_array(F.collect_set((F.col("y") * width + F.col("x")).cast("long")))
     rows = pixels.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0)).groupBy(*keys).agg(at.alias("at"))
     # a run starts and ends where no neighbour is set
     edges = lambda step: F.filter("at", lambda p, i: F.coalesce(F.get("at", i + step) != p + step, F.lit(True)))

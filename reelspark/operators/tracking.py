@@ -11,9 +11,9 @@ FRAGMENT_FRAMES = 1000
 
 
 def _by_frame(tracks: DataFrame, frame_map: DataFrame) -> DataFrame:
-    """(video_id, local_idx, frame, athletes), frames without athletes with none."""
+    """(video_id, local_idx, frame, athletes), frames without athletes with none. No item is null: sort_array compares each pair once, natively."""
     athlete = F.struct("track_id", "box", "mask_area")
-    by_frame = tracks.groupBy("video_id", "local_idx").agg(F.array_sort(F.collect_list(athlete)).alias("athletes"))
+    by_frame = tracks.groupBy("video_id", "local_idx").agg(F.sort_array(F.collect_list(athlete)).alias("athletes"))
     none = F.array().cast(by_frame.schema["athletes"].dataType)
     rows = frame_map.join(by_frame, ["video_id", "local_idx"], "left")
     return rows.select("video_id", "local_idx", F.coalesce("frame", "local_idx").alias("frame"), F.coalesce("athletes", none).alias("athletes"))
@@ -37,7 +37,7 @@ def tracking_document(tracks: DataFrame, frame_map: DataFrame, videos: DataFrame
     row; `tracking_fragments` makes documents of any length.
     """
     item = F.struct("local_idx", "frame", "athletes")
-    docs = _by_frame(tracks, frame_map).groupBy("video_id").agg(F.array_sort(F.collect_list(item)).alias("f"), _num_objects())
+    docs = _by_frame(tracks, frame_map).groupBy("video_id").agg(F.sort_array(F.collect_list(item)).alias("f"), _num_objects())
     frames = F.transform("f", lambda x: F.struct(x["frame"].alias("frame"), x["athletes"].alias("athletes")))
     out = docs.join(videos, "video_id")
     return out.select("video_id", _named(videos).alias("video"), F.lit(model).alias("model"), "fps", F.array("width", "height").alias("video_size"), "num_objects", frames.alias("frames"))
@@ -51,7 +51,7 @@ def tracking_fragments(tracks: DataFrame, frame_map: DataFrame, videos: DataFram
     """
     item = F.struct("local_idx", "frame", "athletes")
     rows = _by_frame(tracks, frame_map).withColumn("step", F.floor(F.col("local_idx") / per))
-    steps = rows.groupBy("video_id", "step").agg(F.array_sort(F.collect_list(item)).alias("f"), _num_objects(), F.min(F.when(F.size("athletes") > 0, F.col("local_idx"))).alias("first"))
+    steps = rows.groupBy("video_id", "step").agg(F.sort_array(F.collect_list(item)).alias("f"), _num_objects(), F.min(F.when(F.size("athletes") > 0, F.col("local_idx"))).alias("first"))
     frames = F.transform("f", lambda x: F.struct(x["frame"].alias("frame"), x["athletes"].alias("athletes")))
     steps = steps.select("video_id", "step", "num_objects", "first", F.to_json(frames).alias("frames"))
     heads = steps.groupBy("video_id").agg(F.coalesce(F.min_by("num_objects", "first"), F.lit(0)).alias("num_objects"), F.count(F.lit(1)).alias("n"))

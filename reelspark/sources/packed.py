@@ -66,6 +66,12 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINES).json(f"{path.rstrip('/')}/{part['lines']}").select("video_id", "seq", "document")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value): the lines of the table as text, for readers that parse line and document at once."""
+    part = _version(spark, path)
+    return spark.createDataFrame([], "value string") if part is None else spark.read.text(f"{path.rstrip('/')}/{part['lines']}").select("value")
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(file, video_id, seq, at, length): where each document or fragment stands; at is its first byte."""
     part = _version(spark, path)

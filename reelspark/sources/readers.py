@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark import schemas
-from reelspark.sources.packed import read_packed
+from reelspark.sources.packed import read_lines, read_packed
 
 #: Stands before each frame of a tracking document, and nowhere else: in a string its quotes would be escaped.
 FRAME_MARK = '"frame":'
@@ -43,9 +43,12 @@ def read_tracking_frames(spark: SparkSession, path: str, packed: bool = False) -
     """
     kind = schemas.TRACKING.split("frames array<")[1][:-1]
     if packed:
-        rows = read_packed(spark, path)
-        items = F.when(F.startswith("document", F.lit("[")), F.from_json("document", f"array<{kind}>")).otherwise(F.from_json("document", f"struct<frames: array<{kind}>>")["frames"])
-        rows = rows.select("video_id", "seq", F.posexplode(items).alias("at", "f"))
+        # quotes in an id are escaped, so that the first match is the line's own; a line is parsed once, by what its document is
+        listed = F.regexp_extract("value", r',"document":\s*(.)', 1) == "["
+        parsed = lambda kind: F.from_json("value", f"video_id string, seq int, document {kind}")
+        rows = read_lines(spark, path).select(F.when(listed, parsed(f"array<{kind}>")).alias("a"), F.when(~listed, parsed(f"struct<frames: array<{kind}>>")).alias("b"))
+        either = lambda c: F.coalesce(f"a.{c}", f"b.{c}").alias(c)
+        rows = rows.select(either("video_id"), either("seq"), F.posexplode(F.coalesce("a.document", "b.document.frames")).alias("at", "f"))
         return rows.select("video_id", F.struct(F.col("seq").cast("long").alias("block"), F.col("at").cast("long").alias("at")).alias("pos"), "f.frame", "f.timestamp", "f.athletes")
     texts = spark.read.option("lineSep", FRAME_MARK).text(path)
     rows = texts.select(_file_video().alias("video_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")

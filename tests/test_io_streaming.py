@@ -253,6 +253,21 @@ def test_fragments_are_the_document(spark, tmp_path, per):
     assert order == [i * 2 if i % 3 else i for i in range(40)]
 
 
+def test_fragments_are_compared_and_parsed_once(spark, tmp_path):
+    """Lists are sorted natively, and a line is parsed at once with its document, whatever its id holds."""
+    tracks, frame_map, videos = tracking_tables(spark, 20)
+    name = F.concat("video_id", F.lit('\\",\"document\":[ "document":'))
+    tracks, frame_map, videos = (x.withColumn("video_id", name) for x in (tracks, frame_map, videos))
+    parts = tracking.tracking_fragments(tracks, frame_map, videos, per=7)
+    assert "array_sort" not in parts._jdf.queryExecution().optimizedPlan().toString()
+    sinks.write_tracking(parts, str(tmp_path / "p"))
+    read = readers.read_tracking_frames(spark, str(tmp_path / "p"), packed=True)
+    # a line is of one of two kinds, and each kind has one parser
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 2 and "text" in read._jdf.queryExecution().executedPlan().toString()
+    got = sorted((x.video_id[0], x.video_id[1:], x.frame, len(x.athletes)) for x in read.collect())
+    assert got == sorted([("v", '\\","document":[ "document":', i * 2 if i % 3 else i, i % 3 if i >= 2 else 0) for i in range(20)] + [("w", '\\","document":[ "document":', 5, 0)])
+
+
 def test_long_documents_are_read_in_pieces(spark, tmp_path, monkeypatch):
     """As json.dump writes them, with or without indentation; one file by several tasks, with the rows that a whole reading gives."""
     docs = {}
