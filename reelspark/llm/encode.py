@@ -1,11 +1,9 @@
 """Token ids by a public tokenizer file, with a cache of the words that texts share.
 
-Both tokenizers cut a text into pieces before they merge bytes, and never merge across pieces; and no piece
-reaches from a word into the space after it. So the words of many texts are told apart at once, each distinct
-one, with what sticks to it, is encoded once by the tokenizers library, and ids are gathered by numpy.
-Texts that hold a special token's string, or characters for which Python's rules and the library's may
-differ, go whole through the library, and texts with runs of white space that a cut at a space would part go
-piece by piece. The ids are the library's.
+Both tokenizers cut a text into pieces before they merge bytes, and never merge across pieces. So the words
+(byte level: the pieces) of many texts are told apart at once, each distinct one is encoded once by the
+tokenizers library, and ids are gathered by numpy. Texts that hold a special token's string, or characters
+for which Python's rules and the library's may differ, go whole through the library. The ids are the library's.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +23,64 @@ BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 
 #: Any character but Latin letters, signs and the usual quotes; such texts go to the library. NEL and the file separators are left out as well.
 OTHER = re.compile("[^\t\n\r\x20-\x7e\xa0-\xac\xae-ɏ‐-‧‰-⁞₠-₿]")
-#: A space within a run of white space, or at its end where a text ends.
-RUN = re.compile("[\t\n\r\xa0 ] (?:[\t\n\r\xa0 ]|\\Z)")
-BLANK = "\t\n\r\xa0 "
-#: Begins the key of what has no space before it; no text that is cut into words holds this character.
-BARE = "\0"
+#: Stands between pieces that are encoded together; no text that is cut into pieces holds this character.
+BETWEEN = "\0"
+#: Kinds of characters of which pieces are made; ODD: those of OTHER.
+WHITE, SPACE, LETTER, NUMBER, SIGN, ODD = range(6)
 #: Characters of texts that are cut into words together.
 GROUP_CHARS = 4 << 20
 
 
+def kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kinds of characters of one, two and three bytes in UTF-8, by the lower 7, 11 and 16 bits of their code points."""
+
+    def kind(c: str) -> int:
+        if OTHER.match(c) or "\ud800" <= c <= "\udfff":
+            return ODD
+        return SPACE if c == " " else next(k for k, p in ((WHITE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SIGN, "")) if regex.match(p, c))
+
+    one, two, three = np.full(256, ODD, np.uint8), np.full(1 << 11, ODD, np.uint8), np.full(1 << 16, ODD, np.uint8)
+    for table, codes in ((one, range(128)), (two, range(128, 1 << 11)), (three, range(0x2000, 0x2100))):
+        table[codes] = [kind(chr(c)) for c in codes]
+    return one, two, three
+
+
+ONE, TWO, THREE = kinds()
+
+
+def kinds_of(x: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 the kind of its character."""
+    out = ONE[x]
+    if (x & 0x80).any():
+        at = np.flatnonzero((x >= 0xC2) & (x < 0xE0))
+        out[at] = out[at + 1] = TWO[(x[at].astype(np.int64) & 0x1F) << 6 | x[at + 1] & 0x3F]
+        at = np.flatnonzero((x & 0xF0) == 0xE0)
+        out[at] = out[at + 1] = out[at + 2] = THREE[(x[at].astype(np.int64) & 0xF) << 12 | (x[at + 1].astype(np.int64) & 0x3F) << 6 | x[at + 2] & 0x3F]
+    return out
+
+
+def piece_starts(x: np.ndarray, kind: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pieces of BYTE_PIECES begin in texts that stand side by side and hold no odd characters."""
+    first = np.zeros(len(x) + 3, dtype=bool)
+    first[offsets] = True
+    white = kind <= SPACE
+    # a space goes with what follows it, and white space before something else is a piece without its last character
+    start = np.zeros(len(x) + 3, dtype=bool)
+    start[1 : len(x)] = (kind[1:] != kind[:-1]) & (kind[:-1] != SPACE) & ~(white[1:] & white[:-1])
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1 : len(x)])
+    start[last - (x[last] == 0xA0)] = True
+    start |= first
+    at = np.flatnonzero((x == ord("'")) & start[: len(x)])
+    if len(at):
+        after = np.concatenate((x, np.zeros(2, np.uint8)))
+        a, b = after[at + 1], after[at + 2]
+        two = np.isin(a, np.frombuffer(b"stmd", np.uint8)) & ~first[at + 1]
+        three = ((b == ord("e")) & ((a == ord("r")) | (a == ord("v"))) | (a == ord("l")) & (b == ord("l"))) & ~first[at + 1] & ~first[at + 2]
+        start[at[two | three] + 1] = False
+        start[at[two] + 2] = start[at[three] + 3] = True
+    return np.flatnonzero(start[: len(x)])
+
+
 def byte_names() -> dict[int, int]:
     """The character that stands for each byte in names of byte-level pieces: printable ones for themselves, others from 256 on."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -83,18 +130,24 @@ class WordTable:
         ends = np.cumsum(size)
         return self.ids[np.repeat(self.start[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
 
-    def looked_up(self, words: pa.ListArray) -> list[np.ndarray]:
-        """The ids of each text from its words; those that are new are learned first."""
-        coded = words.flatten().dictionary_encode()
-        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    def flat(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's end; those that are new are learned first."""
+        coded = words.dictionary_encode()
+        index, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(distinct) > self.most:
             self.forget()
-        new = [w for w in distinct if w not in self.known]
-        if new:
+        places = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        lost = np.flatnonzero(places < 0)
+        if len(lost):
+            new = [distinct[i] for i in lost.tolist()]
             self.learn(new)
-        places = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+            places[lost] = np.fromiter(map(self.known.__getitem__, new), dtype=np.int64, count=len(new))
         self.seen[places] += np.bincount(index, minlength=len(distinct))
-        ids, ends = self.gather(places[index])
+        return self.gather(places[index])
+
+    def looked_up(self, words: pa.ListArray) -> list[np.ndarray]:
+        """The ids of each text from its words."""
+        ids, ends = self.flat(words.flatten())
         cuts = np.concatenate(([0], ends))[words.offsets.to_numpy() - words.offsets[0].as_py()]
         return [ids[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
@@ -119,7 +172,6 @@ class Encoder(WordTable):
             #: The library on pieces that are cut already and stand between spaces.
             self.merges = Tokenizer.from_file(path)
             self.merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
-            self.pieces = regex.compile(BYTE_PIECES).findall
             self.names = byte_names()
 
     def whole(self, text: str) -> np.ndarray:
@@ -132,7 +184,7 @@ class Encoder(WordTable):
         return cut if place[-1] == (ends[-1] if len(ends) else 0) and (place[cut] == ends).all() else None
 
     def one_by_one(self, words: list[str]) -> None:
-        got = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast([w[1:] if w[:1] == BARE else w if self.kind == "word" else " " + w for w in words], add_special_tokens=False)]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
         self.add(words, np.concatenate(got), np.cumsum([len(x) for x in got]))
 
     def learn_words(self, words: list[str]) -> None:
@@ -144,58 +196,61 @@ class Encoder(WordTable):
             self.add(part, ids, ends) if ends is not None else self.one_by_one(part)
 
     def learn_pieces(self, pieces: list[str]) -> None:
-        """Kind "byte": new pieces by their keys, each between spaces in one text of byte names."""
+        """Kind "byte": new pieces, each between spaces in one text of byte names."""
         for at in range(0, len(pieces), 5000):
             part = pieces[at : at + 5000]
-            plain = [p[1:] if p[:1] == BARE else " " + p for p in part]
-            text = BARE.join(plain).encode().decode("latin-1").translate(self.names).replace(chr(self.names[0]), " ")
+            coded = [p.encode() for p in part]
+            text = BETWEEN.encode().join(coded).decode("latin-1").translate(self.names).replace(chr(self.names[0]), " ")
             ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = self.split(ids, np.array([len(p.encode()) for p in plain]))
+            ends = self.split(ids, np.array([len(p) for p in coded]))
             self.add(part, ids, ends) if ends is not None else self.one_by_one(part)
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words. Kind "byte": their new pieces first; words of several pieces are put together from them."""
-        if self.kind == "word":
-            return self.learn_words(words)
-        for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            plain = [w[1:] if w[:1] == BARE else " " + w for w in some]
-            # side by side, pieces are those of each alone if one ends in no white space and the next begins with one space
-            odd = [i for i, p in enumerate(plain) if p[:1] != " " or p[1:2] in BLANK or p[-1] in BLANK]
-            apart = [self.pieces(plain[i]) for i in odd]
-            if odd:
-                out = set(odd)
-                order = [i for i in range(len(some)) if i not in out]
-                some = [some[i] for i in (*order, *odd)]
-                plain = [plain[i] for i in order]
-            pieces = self.pieces("".join(plain))
-            ends = np.searchsorted(np.cumsum([len(p) for p in pieces]), np.cumsum([len(p) for p in plain])) + 1 if plain else np.zeros(0, dtype=np.int64)
-            pieces += chain.from_iterable(apart)
-            ends = np.concatenate((ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(x) for x in apart], dtype=np.int64)))
-            keys = [p[1:] if p[0] == " " else BARE + p for p in pieces]
-            self.learn_pieces([k for k in dict.fromkeys(keys) if k not in self.known])
-            places = np.fromiter(map(self.known.__getitem__, keys), dtype=np.int64, count=len(keys))
-            count = np.diff(ends, prepend=0)
-            several = count != 1
-            ids, cut = self.gather(places[np.repeat(several, count)])
-            self.add([some[i] for i in np.flatnonzero(several).tolist()], ids, np.concatenate(([0], cut))[np.cumsum(count[several])])
+        return self.learn_words(words) if self.kind == "word" else self.learn_pieces(words)
 
     def cut(self, texts: list[str]) -> pa.ListArray:
-        """The words of texts, by their keys."""
-        if self.kind == "word":
-            return pc.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", t).lower() for t in texts], pa.string()))
-        run = [RUN.search(t) is not None for t in texts]
-        plain = [BARE if r else t[1:] if t[:1] == " " else BARE + t for t, r in zip(texts, run, strict=True)]
-        words = pc.split_pattern(pa.array(plain, pa.string()), " ")
-        if any(run):
-            words = words.to_pylist()
-            for i in np.flatnonzero(run).tolist():
-                words[i] = [p[1:] if p[0] == " " else BARE + p for p in self.pieces(texts[i])]
-            words = pa.array(words, pa.list_(pa.string()))
-        return words
+        """Kind "word": the words of texts."""
+        return pc.utf8_split_whitespace(pa.array([unicodedata.normalize("NFC", t).lower() for t in texts], pa.string()))
+
+    def encode_pieces(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind "byte": the ids of texts (no nulls) one after the other, and where each text's end."""
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        begin, offsets = int(offsets[0]), offsets - offsets[0]
+        if not offsets[-1]:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        data = data.slice(begin, int(offsets[-1]))
+        x = np.frombuffer(data, np.uint8)
+        kind = kinds_of(x)
+        odd = np.zeros(len(texts), dtype=bool)
+        odd[np.searchsorted(offsets, np.flatnonzero(kind == ODD), "right") - 1] = True
+        for s in self.special:
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        if odd.any():
+            plain = iter(np.split(*self.encode_pieces(texts.filter(pa.array(~odd))))[:-1])
+            parts = [self.whole(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.tolist(), strict=True)]
+            return np.concatenate(parts), np.cumsum([len(p) for p in parts])
+        starts = piece_starts(x, kind, offsets)
+        ids, ends = self.flat(pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(x)).astype(np.int32)), data))
+        return ids, np.concatenate(([0], ends))[np.searchsorted(starts, offsets[1:])]
+
+    def encode_array(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Kind "byte": as `encode_pieces`, of texts of any number; a null is empty."""
+        texts = texts.fill_null("")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out, at = [], 0
+        while at < len(texts):
+            # so many texts as begin within the group
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_CHARS, "right")))
+            out.append(self.encode_pieces(texts.slice(at, end - at)))
+            at = end
+        counts = [np.diff(e, prepend=0) for _, e in out]
+        return (np.concatenate([i for i, _ in out]), np.cumsum(np.concatenate(counts))) if out else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers, without special tokens of its own."""
+        if self.kind == "byte":
+            return np.split(*self.encode_array(pa.array(texts, pa.string())))[:-1]
         out: list[np.ndarray | None] = [None] * len(texts)
         some, chars = [], 0
         for i, t in enumerate(texts):

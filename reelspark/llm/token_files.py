@@ -71,6 +71,24 @@ def open_page(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None] * nulls + docs.tolist(), counts, decode(blob[at:end], blob[end:], values)
 
 
+def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of documents one after the other, each with `end_id` at its end, and where each ends."""
+    ends = ends + np.arange(1, len(ends) + 1)
+    own = np.ones(len(ids) + len(ends), dtype=bool)
+    own[ends - 1] = False
+    out = np.full(len(own), end_id, dtype=np.uint32)
+    out[own] = ids
+    return out, ends
+
+
+def id_bytes(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each document's ids as bytes: two of each id, or four where one of the document's is larger."""
+    if len(ids) and ids.max() > 0xFFFF:
+        return pa.array([x.astype("<u2" if x.max() <= 0xFFFF else "<u4").tobytes() for x in np.split(ids, ends)[:-1]], pa.binary())
+    offsets = np.concatenate(([0], 2 * ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))])
+
+
 def write_token_files(
     docs: DataFrame, folder: str, path: str, kind: str = "byte", end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", page_tokens: int = 1 << 18
 ) -> None:
@@ -88,12 +106,11 @@ def write_token_files(
     def encode(batches):
         enc, total = encoder(path, kind, CACHE_WORDS), np.zeros(end_id + 1, dtype=np.int64)
         for batch in (b.slice(at, 2048) for b in batches for at in range(0, b.num_rows, 2048)):
-            coded = [np.append(x, np.uint32(end_id)) for x in enc.encode_all([t or "" for t in batch.column(3).to_pylist()])]
-            more = np.bincount(np.concatenate(coded), minlength=len(total))
+            ids, ends = with_end(*enc.encode_array(batch.column(3).cast(pa.string())), end_id)
+            more = np.bincount(ids, minlength=len(total))
             more[: len(total)] += total
             total = more
-            narrow = len(total) <= 1 << 16
-            rows = [*batch.columns[:3], pa.array([len(x) for x in coded], pa.int32()), pa.array([x.astype("<u2" if narrow or x.max() <= 0xFFFF else "<u4").tobytes() for x in coded], pa.binary()), pa.nulls(len(coded), pa.binary())]
+            rows = [*batch.columns[:3], pa.array(np.diff(ends, prepend=0), pa.int32()), id_bytes(ids, ends), pa.nulls(len(ends), pa.binary())]
             yield pa.RecordBatch.from_arrays(rows, names=list(fields))
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, -1, None, total.astype("<i8").tobytes()), fields.values(), strict=True)], names=list(fields))
 

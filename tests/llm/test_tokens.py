@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -30,6 +32,27 @@ def test_encoder_is_the_library(kind, path):
         assert enc.encode(t).tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abÉßªɏ 09²½.,!''<×–€ \t\n\r\xa0 strevldm"), max_size=30), min_size=1, max_size=6))
+def test_pieces_are_those_of_the_pattern(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    if len(data):
+        starts = encode.piece_starts(data, encode.kinds_of(data), offsets).tolist()
+        cut = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+        assert cut == [p for t in texts for p in regex.findall(encode.BYTE_PIECES, t)]
+
+
+def test_each_piece_is_encoded_once():
+    """Words that differ in the signs beside them are no new words; null is empty, and odd texts keep their places."""
+    enc = encode.Encoder(BYTE, "byte")
+    texts = ["one, one. one\n(one)\n\n  one's", None, "漢字 one", "one! one?", "", "<|endoftext|>one"]
+    ids, ends = enc.encode_array(pa.array(["-", *texts, "-"]).slice(1, len(texts)))
+    assert set(enc.known) == {"one", " one", ",", ".", "\n", "\n\n ", ")", "(", "'s", "!", "?"}
+    lib = Tokenizer.from_file(BYTE)
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**32 - 1)), max_size=50))
 def test_code_round_trip(values):
