@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -371,3 +373,20 @@ def test_marks_of_finished_videos_go(spark, tmp_path):
     assert spark.read.parquet(out).count() == 3
     left = spark.read.format("statestore").option("stateVarName", "seen").option("path", check).load()
     assert {x.key.video_id for x in left.select("key").collect()} <= {"v1", "v2"}
+
+
+def test_messages_reach_the_state_summed_up(spark):
+    """One row for each video of a task, as the batch counts; messages without a video, kind, index or total."""
+    e, c = events.EVENT, events.COMPLETE
+    rows = [("v", e, i % 40, 40, "x", "y") for i in range(200)] + [("v", e, None, 41, None, None), ("v", None, 77, None, None, None), ("v", c, 90, 39, None, "a"), ("v", c, None, None, "j", "b"), ("v", c, None, 38, "i", None)]
+    rows += [(None, e, 1, 1, None, None), ("w", c, None, 0, "é", None), ("x", e, 1 << 40, None, None, None)]
+    names = ["video_id", "event_type", "event_index", "total_events", "job_id", "result_s3_uri"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    table = pa.table([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    got = [r for b in finalised.summaries(iter(table.to_batches(max_chunksize=7))) for r in b.to_pylist()]
+    assert [{**r, "indices": sorted(np.frombuffer(r["indices"], "<i8").tolist())} for r in got] == [
+        {"video_id": "v", "indices": list(range(40)), "total": 41, "told": 39, "completion": True, "job_id": "j", "result_s3_uri": "b"},
+        {"video_id": "w", "indices": [], "total": 0, "told": 0, "completion": True, "job_id": "é", "result_s3_uri": None},
+        {"video_id": "x", "indices": [1 << 40], "total": None, "told": None, "completion": False, "job_id": None, "result_s3_uri": None},
+    ]
+    assert list(finalised.summaries(iter([]))) == list(finalised.summaries(iter(table.slice(205, 1).to_batches()))) == []
